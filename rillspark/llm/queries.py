@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from . import exact_dedup, quality_rules
 from .byte_bpe import op8_byte_bpe
+from .exact_dedup import op5_exact_dedup
+from .mixing import op4_mixing
+from .quality_rules import op6_quality_rules
+from .ring_sharding import op7_ring_sharding
 
 QUERIES = {
+    "op4_mixing": op4_mixing,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_ring_sharding": op7_ring_sharding,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_dedup": exact_dedup.ORACLE,
+    "op6_quality_rules": quality_rules.ORACLE,
+}

@@ -3,14 +3,15 @@
 The merges of a rank file define one token sequence for every piece of text.  A sequence is that one exactly when each
 adjacent pair of its tokens is what the merges make of the pair's own bytes (Berglund and van der Merwe, "Formalizing BPE
 tokenization").  So the tokens that end at a byte depend on a bounded window: the longest suffix that some token may still
-continue, and the token paths into that window.  These are the transducer's states.  They are made when a text first needs
-them, each with its outgoing byte transitions; a token is emitted when every live continuation agrees on it, which is at
-most one token's length after its end.
+continue, and the tokens that end in that window.  These are the transducer's states.  They are made when a text first needs
+them, each with its outgoing byte transitions; a token is emitted when every position that may still be continued descends from it.
 """
 
 from __future__ import annotations
 
 import base64
+import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -22,12 +23,16 @@ from .common import read_table
 
 #: Pieces at least this long are not remembered whole; the transducer reads them byte by byte each time.
 MEMO_PIECE = 64
-#: The memo and the state table are emptied beyond these sizes, so a worker's memory is bounded.
-MEMO_ROWS, MAX_STATES, MAX_PAIRS = 400_000, 300_000, 1_000_000
+#: The memo stops at its size, the state table and the known pairs are emptied at theirs, so a worker's memory is bounded.
+MEMO_ROWS, MAX_STATES, MAX_PAIRS = 250_000, 250_000, 400_000
 #: The rank of a pair that no merge joins.
 NEVER = 1 << 60
 #: Texts are split into pieces in one go up to this many characters, beyond it piece by piece.
 WHOLE_TEXT = 1_000_000
+#: Bytes of a piece whose labels are held before tokens are emitted; the longest token is shorter.
+LOOKAHEAD = 4096
+#: Rows of an Arrow batch that are worked on at a time.
+SLICE = 1000
 #: Tokens joined at a time by the decoder.
 DECODE_CHUNK = 8192
 
@@ -39,22 +44,25 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """Bytes of one piece in, token ids out.
 
-    A state holds the bytes that a token may still continue, for each position where such a token can begin the tokens since
-    the last emitted one, and that one's id if a next token may touch it.
+    A state holds the bytes that a token may still continue and, for each position where such a token can begin, the token
+    that ends there.  A step reads a byte and says which token ends after it.  Tokens are emitted once every position that
+    is still open descends from them.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self.length_of = {i: len(t) for t, i in ranks.items()}
+        self.offsets: dict[bytes, tuple[int, ...]] = {}
         self.open = {t[:k] for t in ranks for k in range(1, len(t))}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.edges: dict[int, tuple[bool, list, list]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        start = (b"", ((0, ()),), -1)
+        start = (b"", (-1,))
         self.states, self.index = [start], {start: 0}
-        self.step: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.step: dict[int, int] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The definition: merge the adjacent pair of lowest rank, leftmost first, until none has a rank."""
@@ -118,34 +126,41 @@ class Transducer:
             else:
                 j += 1
 
-    def _determinise(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        window, paths, before = self.states[state]
-        seen = window + bytes((byte,))
-        rank_of, open_ = self.ranks.get, self.open
-        for at, path in paths:
-            token = rank_of(seen[at:])
-            if token is not None and self._fits(path[-1] if path else before, token):
-                path = (*path, token)
+    def _open_at(self, window: bytes) -> tuple[int, ...]:
+        """The positions in a window where a token can have begun that goes on; the last is the window's end."""
+        if (known := self.offsets.get(window)) is None:
+            if len(self.offsets) > MAX_STATES:
+                self.offsets.clear()
+            known = self.offsets[window] = (*(k for k in range(len(window)) if window[k:] in self.open), len(window))
+        return known
+
+    def _determinise(self, state: int, byte: int) -> int:
+        window, ends = self.states[state]
+        seen, at = window + bytes((byte,)), self._open_at(window)
+        for k, before in zip(at, ends):
+            token = self.ranks.get(seen[k:])
+            if token is not None and self._fits(before, token):
                 break
         else:
             raise ValueError("the ranks don't give each single byte a token")
-        live = [x for x in paths if seen[x[0] :] in open_]
-        live.append((len(seen), path))
-        agreed, shortest = 0, min(len(x[1]) for x in live)
-        while agreed < shortest and all(x[1][agreed] == path[agreed] for x in live):
-            agreed += 1
-        if agreed:
-            before = path[agreed - 1]
-        if shortest > agreed:
-            before = -1  # no next token can touch it
-        first = live[0][0]
-        target = (seen[first:], tuple((at - first, p[agreed:]) for at, p in live), before)
+        first = next((k for k in at if seen[k:] in self.open), len(seen))
+        left = seen[first:]
+        still = {k + first for k in self._open_at(left)}
+        target = (left, (*(t for k, t in zip(at, ends) if k in still), token))
         if (to := self.index.get(target)) is None:
             to = self.index[target] = len(self.states)
             self.states.append(target)
-            self.step.append({})
-        self.step[state][byte] = (to, path[:agreed])
-        return to, path[:agreed]
+        self.step[state << 8 | byte] = found = to << 20 | token
+        return found
+
+    def _settled(self, labels: list[int], upto: int) -> list[int]:
+        """The tokens that lead to position ``upto``, read off backwards."""
+        out, length = [], self.length_of
+        while upto > 0:
+            out.append(token := labels[upto - 1])
+            upto -= length[token]
+        out.reverse()
+        return out
 
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:  # the rank files' rule: a piece that is a token stays whole
@@ -153,14 +168,27 @@ class Transducer:
         if len(self.states) > MAX_STATES:
             self._reset()
         out: list[int] = []
-        state, step = 0, self.step
+        labels: list[int] = []
+        state, known = 0, self.step.get
         for byte in piece:
-            found = step[state].get(byte)
-            state, emitted = found if found is not None else self._determinise(state, byte)
-            if emitted:
-                out.extend(emitted)
-        out.extend(self.states[state][1][-1][1])
-        return out
+            found = known(state << 8 | byte)
+            if found is None:
+                found = self._determinise(state, byte)
+            state = found >> 20
+            labels.append(found & 0xFFFFF)
+            if len(labels) > LOOKAHEAD:
+                self._emit(labels, state, out)
+        return out + self._settled(labels, len(labels))
+
+    def _emit(self, labels: list[int], state: int, out: list[int]) -> None:
+        """Emit what every open position agrees on, and forget its labels."""
+        window = self.states[state][0]
+        paths = [self._settled(labels, len(labels) - len(window) + k) for k in self._open_at(window)]
+        agreed = 0
+        while all(len(p) > agreed for p in paths) and len({p[agreed] for p in paths}) == 1:
+            agreed += 1
+        out += paths[0][:agreed]
+        del labels[: sum(self.length_of[t] for t in paths[0][:agreed])]
 
 
 class Utf8Stream:
@@ -191,13 +219,27 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
+def _latin_classes(pattern: str) -> re.Pattern:
+    """``pattern`` for texts of characters below U+0250, its classes spelt out: the standard library's engine is faster."""
+
+    def chars(kind: str) -> str:
+        return "".join(f"\\u{c:04x}" for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+
+    space = r"\t-\r \u0085\u00a0"
+    letters, numbers = chars("L"), chars("N")
+    spelt = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
+    return re.compile(spelt.replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]"))
+
+
+_BEYOND_LATIN = re.compile("[^\\x00-\u024f]")
+
 _workers: dict[int, Encoder] = {}
 
 
 class Encoder:
     def __init__(self, ranks: bytes, pattern: str):
         self.fst = Transducer(parse_ranks(ranks))
-        self.split = regex.compile(pattern)
+        self.split, self.split_latin = regex.compile(pattern), _latin_classes(pattern)
         self.memo: dict[str, bytes] = {}
 
     @classmethod
@@ -211,19 +253,24 @@ class Encoder:
 
     def _miss(self, piece: str) -> bytes:
         packed = b"".join(i.to_bytes(4, "little") for i in self.fst.encode(piece.encode()))
-        if len(piece) < MEMO_PIECE:
-            if len(self.memo) >= MEMO_ROWS:
-                self.memo.clear()
+        if len(piece) < MEMO_PIECE and len(self.memo) < MEMO_ROWS:  # frequent pieces come early
             self.memo[piece] = packed
         return packed
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
-        pieces: Iterable[str] = self.split.findall(text) if len(text) <= WHOLE_TEXT else (m[0] for m in self.split.finditer(text))
+        split = self.split if _BEYOND_LATIN.search(text) else self.split_latin
+        pieces: Iterable[str] = split.findall(text) if len(text) <= WHOLE_TEXT else (m[0] for m in split.finditer(text))
         known, miss = self.memo.get, self._miss
         return b"".join([known(p) or miss(p) for p in pieces])
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids array<int>)``, a row for each row of ``docs``.
 
@@ -233,7 +280,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(ranks, pattern)
-        for batch in rows:
+        for batch in slices(rows):
             packed = [encoder.encode(t) if t else b"" for t in (x.as_py() for x in batch.column(1))]
             ends = pa.array([0, *_running(len(p) // 4 for p in packed)], pa.int32())
             values = pa.Array.from_buffers(pa.int32(), ends[-1].as_py(), [None, pa.py_buffer(b"".join(packed))])
@@ -248,7 +295,7 @@ def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {i: t for t, i in parse_ranks(ranks).items()}
-        for batch in rows:
+        for batch in slices(rows):
             texts = []
             for ids in (x.values for x in batch.column(1)):
                 ids, stream, out = ids.to_pylist() if ids is not None else [], Utf8Stream(), []

@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,3 +54,26 @@ def drop(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it, so that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def keep_rows(docs: DataFrame, key: Column, keepers: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and ``key`` are among ``keepers`` ``(doc_id, key, rows)``, all columns as they are.
+
+    A keeper stands for one row: if ``rows`` says that more have its id and key, one of them stays.
+    """
+    name = free_name(docs, "_key")
+    marked = docs.withColumn(name, key)
+    wanted = keepers.select(F.col("doc_id").alias(f"{name}_id"), F.col("key").alias(f"{name}_of"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{name}_id")) & (F.col(name) == F.col(f"{name}_of"))
+    kept = marked.join(wanted, same, "left_semi")
+    if not keepers.filter("rows > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", name])
+    return kept.drop(name)

@@ -10,15 +10,13 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import cut, keep_rows, read_table
 
 #: Distinct digests meant for a bucket: some 10 MB in the task that builds or searches it.
 BUCKET_DIGESTS = 100_000
@@ -90,17 +88,15 @@ def matrix(digests: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 32)
 
 
-def with_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, digest)`` of every row: SHA-256 of the whole text after lower-casing A-Z; null counts as empty."""
+@F.arrow_udf("binary")
+def digest_of(text: pa.Array) -> pa.Array:
+    """SHA-256 of the whole text after lower-casing A-Z; null counts as empty."""
+    return pa.array([hashlib.sha256(t.as_py().lower()).digest() for t in text.cast(pa.binary()).fill_null(b"")], pa.binary())
 
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            texts = batch.column(1).cast(pa.binary()).fill_null(b"")
-            out = pa.array([hashlib.sha256(t.as_py().lower()).digest() for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), out], ["doc_id", "digest"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(batches, "doc_id long, digest binary")
+def with_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, digest)`` of every row; other columns are left out, so their names can't clash."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), digest_of(F.col(text_col).cast("string")).alias("digest"))
 
 
 def bucket_of(digest: Column, buckets: int) -> Column:
@@ -196,6 +192,14 @@ def dedup_table(docs: DataFrame) -> DataFrame:
     return exact_dedup(with_digests(docs), midpoint(docs))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with the row that stays of each group, all columns as they are."""
+    groups = dedup_table(docs)
+    rows = F.count(F.lit(1)).alias("rows")
+    same = groups.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", F.col("digest").alias("key")).agg(rows)
+    return keep_rows(docs, digest_of(F.col("text").cast("string")), cut(same, "exact-keepers"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_table(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")

@@ -8,8 +8,10 @@ from .exact_dedup import op5_exact_dedup
 from .mixing import op4_mixing
 from .quality_rules import op6_quality_rules
 from .ring_sharding import op7_ring_sharding
+from .simhash import op2_simhash
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_rules": op6_quality_rules,

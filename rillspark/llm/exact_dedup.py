@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, keep_rows, read_table
 
@@ -88,7 +89,7 @@ def matrix(digests: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 32)
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def digest_of(text: pa.Array) -> pa.Array:
     """SHA-256 of the whole text after lower-casing A-Z; null counts as empty."""
     return pa.array([hashlib.sha256(t.as_py().lower()).digest() for t in text.cast(pa.binary()).fill_null(b"")], pa.binary())

@@ -2,5 +2,506 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rillspark.constants import PALETTE, PALETTE_RGB, SCALE_NOTES, VARIABLES
+from rillspark.functions import paths as P
+from rillspark.functions import scales as S
+from rillspark.functions import values as V
+from rillspark.operators import aggregates, distribution, merge, network, painting, series, spatial
+from rillspark.plans import runtree
+from rillspark.sources.tables import divides, event_rows, event_run, flowpaths, split_runs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: The step, feature and region that single lookups ask for.
+T, FEATURE = 7, 5
+TILE = (2, 1, 1, 0)
+
+
+def base_sql(unit: str = "day") -> str:
+    """Long rows, cells and axes of the events, as table expressions."""
+    last = ", ".join(f"max_by({v}, ord) FILTER (WHERE {v} IS NOT NULL) AS {v}" for v in VARIABLES)
+    return f"""
+rows AS (
+  SELECT user_id AS feature_id, epoch_ms(date_trunc('{unit}', ts)) AS time, event_id AS ord,
+    CAST(CASE WHEN event_type IN ('view', 'click') THEN value END AS FLOAT) AS flow,
+    CAST(CASE WHEN event_type = 'purchase' THEN value END AS FLOAT) AS velocity,
+    CAST(CASE WHEN event_type = 'signup' THEN value END AS FLOAT) AS depth
+  FROM events
+), cells AS (SELECT feature_id, time, {last} FROM rows GROUP BY feature_id, time),
+features AS (SELECT feature_id, row_number() OVER (ORDER BY feature_id) - 1 AS row_idx FROM (SELECT DISTINCT feature_id FROM rows)),
+times AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS t_idx FROM (SELECT DISTINCT time FROM rows))"""
+
+
+BASE = "WITH " + base_sql()
+HOURLY = "WITH " + base_sql("hour")
+BOUNDS = ", b AS (SELECT coalesce(min(CAST(flow AS DOUBLE)), 0) AS mn, coalesce(max(CAST(flow AS DOUBLE)), 1) AS mx FROM cells)"
+SLICE = f", slice AS (SELECT feature_id, CAST(flow AS DOUBLE) AS value FROM features LEFT JOIN (SELECT * FROM cells JOIN times USING (time) WHERE t_idx = {T}) USING (feature_id))"
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return register
+
+
+def rounded(c: str | Column, digits: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+
+
+# Scans, axes and cells
+
+
+@query(BASE + " SELECT feature_id, time, ord, CAST(flow AS DOUBLE) AS flow, CAST(velocity AS DOUBLE) AS velocity, CAST(depth AS DOUBLE) AS depth FROM rows")
+def scan_cells(spark, d):
+    return event_rows(spark, d).select("feature_id", "time", "ord", *[F.col(v).cast("double").alias(v) for v in VARIABLES])
+
+
+@query(BASE + ", x AS (UNPIVOT cells ON flow, velocity, depth INTO NAME variable VALUE value) SELECT variable, count(*) AS n, round(sum(CAST(value AS DOUBLE)), 4) AS total FROM x WHERE value > -9998 AND NOT isnan(value) GROUP BY variable")
+def valid_cells(spark, d):
+    return event_run(spark, d).long().groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("value").cast("double")), 4).alias("total"))
+
+
+@query(BASE + " SELECT t_idx, time FROM times")
+def time_axis(spark, d):
+    return event_run(spark, d).times.select("t_idx", "time")
+
+
+@query(BASE + " SELECT row_idx, feature_id FROM features")
+def feature_axis(spark, d):
+    return event_run(spark, d).features.select("row_idx", "feature_id")
+
+
+@query(BASE + " SELECT feature_id, time, CAST(flow AS DOUBLE) AS flow, CAST(velocity AS DOUBLE) AS velocity, CAST(depth AS DOUBLE) AS depth FROM cells")
+def dedupe_last(spark, d):
+    return event_run(spark, d).cells.select("feature_id", "time", *[F.col(v).cast("double").alias(v) for v in VARIABLES])
+
+
+@query(BASE + " SELECT row_idx * (SELECT count(*) FROM times) + t_idx AS cell_idx, row_idx, t_idx, coalesce(CAST(flow AS DOUBLE), -9999) AS flow, coalesce(CAST(velocity AS DOUBLE), -9999) AS velocity, coalesce(CAST(depth AS DOUBLE), -9999) AS depth FROM features CROSS JOIN times LEFT JOIN cells USING (feature_id, time)")
+def dense_matrix(spark, d):
+    return series.dense_matrix(event_run(spark, d))
+
+
+@query(BASE + " SELECT t_idx, strftime(make_timestamp(time * 1000), '%Y-%m-%d %H:00Z') AS label, 'T+' || (time // 3600) || 'h' AS offset_label FROM times")
+def time_labels(spark, d):
+    t = event_run(spark, d).times
+    return t.select("t_idx", V.time_label(F.col("time"), "epoch_ms").alias("label"), V.time_label(F.col("time"), "offset_s").alias("offset_label"))
+
+
+# Lookups
+
+
+@query(BASE + f" SELECT max(CAST(flow AS DOUBLE)) AS value FROM cells JOIN times USING (time) WHERE feature_id = {FEATURE} AND t_idx = {T}")
+def point_lookup(spark, d):
+    return series.point(event_run(spark, d), "flow", FEATURE, T)
+
+
+@query(BASE + f" SELECT t_idx, time, CAST(flow AS DOUBLE) AS value FROM times LEFT JOIN (SELECT * FROM cells WHERE feature_id = {FEATURE}) USING (time)")
+def feature_series(spark, d):
+    return series.series(event_run(spark, d), "flow", FEATURE)
+
+
+@query(BASE + SLICE + " SELECT feature_id, value FROM slice")
+def time_slice(spark, d):
+    return series.time_slice(event_run(spark, d), "flow", T)
+
+
+@query(BASE + SLICE + " SELECT feature_id, value FROM slice JOIN (SELECT c_custkey AS feature_id FROM customer WHERE c_custkey % 2 = 0) USING (feature_id)")
+def paint_join(spark, d):
+    visible = flowpaths(spark, d).filter("feature_id % 2 = 0")
+    return series.paint(event_run(spark, d), "flow", T, visible)
+
+
+@query(BASE + SLICE + " SELECT feature_id, value FROM slice WHERE feature_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
+def unpainted_features(spark, d):
+    painted = flowpaths(spark, d).filter("feature_id % 3 = 0")
+    return series.unpainted(painted, series.time_slice(event_run(spark, d), "flow", T))
+
+
+@query(BASE + f" SELECT c_custkey AS feature_id, 'wb-' || c_custkey AS label, CAST(flow AS DOUBLE) AS flow, CAST(velocity AS DOUBLE) AS velocity, CAST(depth AS DOUBLE) AS depth FROM customer LEFT JOIN (SELECT * FROM cells JOIN times USING (time) WHERE t_idx = {T}) ON feature_id = c_custkey")
+def feature_record(spark, d):
+    return series.record(event_run(spark, d), T, flowpaths(spark, d))
+
+
+@query(BASE + SLICE + ", p AS (SELECT c_custkey AS feature_id, unnest(['name', 'segment']) AS key, unnest([c_name, c_mktsegment]) AS property FROM customer) SELECT feature_id, value, key, property FROM p LEFT JOIN slice USING (feature_id)")
+def feature_info(spark, d):
+    return series.info(event_run(spark, d), "flow", T, flowpaths(spark, d))
+
+
+@query(BASE + " SELECT (SELECT count(*) FROM features) AS features, (SELECT count(*) FROM times) AS time_steps, (SELECT count(*) FROM features) AS matched, '2024-05-01' AS ref_date, (SELECT count(DISTINCT feature_id) FROM cells) AS features_with_cells")
+def dataset_info(spark, d):
+    return aggregates.dataset_info(event_run(spark, d).replace(ref_time="2024-05-01_00:00:00"))
+
+
+# Aggregates
+
+
+@query(BASE + BOUNDS + " SELECT mn AS min, mx AS max FROM b")
+def bounds(spark, d):
+    return aggregates.bounds(event_run(spark, d), "flow")
+
+
+@query(BASE + " " + " UNION ALL ".join(f"SELECT '{v}' AS variable, coalesce(min(CAST({v} AS DOUBLE)), 0) AS min, coalesce(max(CAST({v} AS DOUBLE)), 1) AS max FROM cells" for v in VARIABLES))
+def bounds_all(spark, d):
+    return aggregates.all_bounds(event_run(spark, d))
+
+
+TOTALS = ", totals AS (SELECT t_idx, time, coalesce(sum(CAST(flow AS DOUBLE)), 0) AS total FROM times LEFT JOIN cells USING (time) GROUP BY t_idx, time)"
+
+
+@query(BASE + TOTALS + " SELECT t_idx, time, round(total, 4) AS total FROM totals")
+def totals_by_time(spark, d):
+    return aggregates.totals_by_time(event_run(spark, d), "flow").select("t_idx", "time", rounded("total", 4).alias("total"))
+
+
+@query(BASE + TOTALS + ", r AS (SELECT *, min(total) OVER () AS lo, max(total) OVER () AS hi, max(t_idx) OVER () AS n FROM totals) SELECT t_idx, time, round(total, 4) AS total, round(CASE WHEN n = 0 THEN 0.5 ELSE t_idx / n END, 6) AS x, round((total - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, 6) AS y FROM r")
+def overview_norm(spark, d):
+    o = aggregates.overview(event_run(spark, d), "flow")
+    return o.select("t_idx", "time", rounded("total", 4).alias("total"), rounded("x").alias("x"), rounded("y").alias("y"))
+
+
+@query(BASE + ", m AS (SELECT feature_id, min(CAST(flow AS DOUBLE)) AS min, max(CAST(flow AS DOUBLE)) AS max FROM cells WHERE flow IS NOT NULL GROUP BY feature_id) SELECT *, CASE WHEN max = min THEN 1 ELSE max - min END AS range FROM m")
+def feature_minmax(spark, d):
+    return aggregates.feature_extremes(event_run(spark, d), "flow")
+
+
+# Ordered
+
+
+@query(BASE + ", s AS (SELECT feature_id, t_idx, t_idx - row_number() OVER (PARTITION BY feature_id ORDER BY t_idx) AS island FROM cells JOIN times USING (time) WHERE flow IS NOT NULL), g AS (SELECT feature_id, min(t_idx) AS first_t, max(t_idx) AS last_t, count(*) AS points FROM s GROUP BY feature_id, island) SELECT feature_id, row_number() OVER (PARTITION BY feature_id ORDER BY first_t) - 1 AS segment, first_t, last_t, points FROM g")
+def series_segments(spark, d):
+    return series.segments(event_run(spark, d), "flow")
+
+
+@query(BASE + ", s AS (SELECT feature_id, t_idx, CAST(flow AS DOUBLE) AS v, min(flow) OVER w AS lo, max(flow) OVER w AS hi FROM cells JOIN times USING (time) WHERE flow IS NOT NULL WINDOW w AS (PARTITION BY feature_id)) SELECT feature_id, t_idx, round(t_idx / ((SELECT count(*) FROM times) - 1), 6) AS x, round((v - CAST(lo AS DOUBLE)) / CASE WHEN hi = lo THEN 1 ELSE CAST(hi AS DOUBLE) - CAST(lo AS DOUBLE) END, 6) AS y FROM s")
+def series_norm(spark, d):
+    return series.chart(event_run(spark, d), "flow").select("feature_id", "t_idx", rounded("x").alias("x"), rounded("y").alias("y"))
+
+
+@query(BASE + ", n AS (SELECT count(*) AS n FROM times) SELECT t_idx, (t_idx + 1) % n AS next_t, (t_idx - 1 + n) % n AS previous_t FROM times, n")
+def playback_next(spark, d):
+    return series.playback_steps(event_run(spark, d))
+
+
+@query(BASE + ", n AS (SELECT count(*) AS n FROM times) SELECT k, CAST(greatest(0, least(n - 1, floor(k / 20.0 * (n - 1) + 0.5))) AS INTEGER) AS t_idx FROM range(-2, 24) r(k), n")
+def seek_index(spark, d):
+    n = event_run(spark, d).shape[1]
+    return spark.range(-2, 24).select(F.col("id").alias("k"), V.seek_index(F.col("id") / 20, n).alias("t_idx"))
+
+
+# Merging
+
+SPLIT = "ds_rows AS (SELECT *, CASE WHEN feature_id % 3 = 2 AND ord % 2 = 0 THEN 0 WHEN ord % 3 = 0 THEN 1 ELSE 2 END AS ds FROM rows)"
+MERGED = f"""
+{BASE}, {SPLIT},
+c AS (SELECT ds, feature_id, time, {", ".join(f"max_by({v}, ord) FILTER (WHERE {v} IS NOT NULL) AS {v}" for v in VARIABLES)} FROM ds_rows GROUP BY ds, feature_id, time),
+g AS (SELECT feature_id, time, max(ds) AS ds FROM (SELECT DISTINCT ds, feature_id FROM ds_rows) JOIN (SELECT DISTINCT ds, time FROM ds_rows) USING (ds) GROUP BY feature_id, time)"""
+
+
+@query(MERGED + " SELECT feature_id, time, CAST(flow AS DOUBLE) AS flow, CAST(velocity AS DOUBLE) AS velocity, CAST(depth AS DOUBLE) AS depth FROM g JOIN c USING (feature_id, time, ds) WHERE flow IS NOT NULL OR velocity IS NOT NULL OR depth IS NOT NULL")
+def merge_runs(spark, d):
+    cells = merge.merge(split_runs(spark, d)).cells
+    return cells.select("feature_id", "time", *[F.col(v).cast("double").alias(v) for v in VARIABLES]).filter("coalesce(flow, velocity, depth) IS NOT NULL")
+
+
+@query(f"{BASE}, {SPLIT} SELECT time, row_number() OVER (ORDER BY time) - 1 AS t_idx FROM (SELECT DISTINCT time FROM ds_rows)")
+def merge_times(spark, d):
+    return merge.merged_times(split_runs(spark, d))
+
+
+@query(f"{BASE}, {SPLIT} SELECT feature_id, row_number() OVER (ORDER BY ds, feature_id) - 1 AS row_idx FROM (SELECT feature_id, min(ds) AS ds FROM ds_rows GROUP BY feature_id)")
+def merge_features(spark, d):
+    return merge.merged_features(split_runs(spark, d))
+
+
+@query(f"{BASE}, {SPLIT}, k AS (SELECT feature_id % 2 AS part, * FROM rows) SELECT feature_id, count(*) AS cells, round(coalesce(sum(f), 0), 4) AS flow FROM (SELECT feature_id, time, CAST(max_by(flow, ord) FILTER (WHERE flow IS NOT NULL) AS DOUBLE) AS f FROM k GROUP BY feature_id, time) GROUP BY feature_id")
+def scan_many_merge(spark, d):
+    run = event_run(spark, d)
+    parts = [run.replace(cells=run.cells.filter(F.col("feature_id") % 2 == i), features=run.features.filter(F.col("feature_id") % 2 == i)) for i in range(2)]
+    cells = merge.merge_disjoint(parts).cells
+    return cells.groupBy("feature_id").agg(F.count(F.lit(1)).alias("cells"), F.round(F.coalesce(F.sum(F.col("flow").cast("double")), F.lit(0.0)), 4).alias("flow"))
+
+
+# Distributions, over hourly cells
+
+SAMPLE = HOURLY + """, k AS (SELECT (SELECT count(*) FROM features) AS nf, (SELECT count(*) FROM times) AS nt),
+sample AS (SELECT row_idx * nt + t_idx AS cell_idx, CAST(flow AS DOUBLE) AS value FROM cells JOIN times USING (time) JOIN features USING (feature_id), k WHERE flow IS NOT NULL AND (row_idx * nt + t_idx) % greatest(1, nf * nt // 50000) = 0)"""
+
+
+def _repaired(quantiles: list[float]) -> str:
+    """SQL for a list of quantiles, each above the one before."""
+    raw = ", ".join(f"coalesce(quantile_cont(value, {p!r}), 0) AS q{i}" for i, p in enumerate(quantiles))
+    steps = ["q0 AS s0", *(f"CASE WHEN q{i} > s{i - 1} THEN q{i} ELSE s{i - 1} + 1e-6 END AS s{i}" for i in range(1, len(quantiles)))]
+    return f", raw AS (SELECT {raw} FROM sample), stops AS (SELECT {', '.join(steps)} FROM raw)"
+
+
+STOP_AT = [i / (len(PALETTE) - 1) for i in range(len(PALETTE))]
+BREAK_AT = [i / len(PALETTE) for i in range(1, len(PALETTE))]
+
+
+def _numbered(values: list[float], spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, value double").select("i", rounded("value").alias("value"))
+
+
+def _listed(n: int) -> str:
+    return " UNION ALL ".join(f"SELECT {i} AS i, round(s{i}, 6) AS value FROM stops" for i in range(n))
+
+
+@query(SAMPLE + " SELECT cell_idx, value FROM sample")
+def value_sample(spark, d):
+    return distribution.value_sample(event_run(spark, d, "hour"), "flow")
+
+
+@query(SAMPLE + ", raw AS (" + " UNION ALL ".join(f"SELECT {i} AS i, quantile_cont(value, {p}) AS q FROM sample" for i, p in enumerate((0.1, 0.5, 0.9))) + ") SELECT i, round(q, 6) AS value FROM raw")
+def quantiles(spark, d):
+    return _numbered(distribution.quantiles(event_run(spark, d, "hour"), "flow", [0.1, 0.5, 0.9]), spark)
+
+
+@query(SAMPLE + _repaired(STOP_AT) + " " + _listed(6))
+def quantile_stops(spark, d):
+    return _numbered(distribution.quantile_stops(event_run(spark, d, "hour"), "flow"), spark)
+
+
+@query(SAMPLE + _repaired(BREAK_AT) + " " + _listed(5))
+def quantile_class_breaks(spark, d):
+    return _numbered(distribution.quantile_class_breaks(event_run(spark, d, "hour"), "flow"), spark)
+
+
+@query(SAMPLE + ", r AS (SELECT value, row_number() OVER (ORDER BY value, cell_idx) - 1 AS rk, count(*) OVER () AS n FROM sample) SELECT i, value FROM r JOIN (SELECT CAST(k AS INTEGER) AS i FROM range(1000) x(k)) ON rk = CASE WHEN n > 1000 THEN CAST(floor(i * (n / 1000.0::DOUBLE)) AS BIGINT) ELSE i END")
+def jenks_sample(spark, d):
+    return distribution.jenks_sample(event_run(spark, d, "hour"), "flow").select("i", "value")
+
+
+@query()
+def jenks_breaks(spark, d):
+    return _numbered(distribution.jenks_breaks(event_run(spark, d, "hour"), "flow"), spark)
+
+
+# Scales and colours, over a slice of the daily cells
+
+_LOG_LO, _SYM = "greatest(mn, 1e-6)", "greatest(mx / 100, 1e-6)"
+_REACH = "CASE WHEN mx > mn THEN mx - mn ELSE 1 END"
+
+
+def _symlog_sql(v: str) -> str:
+    return f"CASE WHEN {v} <= {_SYM} THEN {v} / {_SYM} ELSE 1 + log10(greatest({v}, 1e-9) / {_SYM}) END"
+
+
+TRANSFORM_SQL = {
+    "linear": ("value", "mn", "mx"),
+    "log": (f"log10(greatest(value, {_LOG_LO}))", f"log10({_LOG_LO})", f"log10(greatest(mx, 10 * {_LOG_LO}))"),
+    "sqrt": (f"power((greatest(value, mn) - mn) / {_REACH}, 0.5)", "0.0", "1.0"),
+    "cbrt": (f"power((greatest(value, mn) - mn) / {_REACH}, 1.0::DOUBLE / 3)", "0.0", "1.0"),
+    "symlog": (_symlog_sql("value"), _symlog_sql("mn"), _symlog_sql("mx")),
+}
+CHANNELS_SQL = ", ".join(
+    f"round(list_extract({[float(c[k]) for c in PALETTE_RGB]}, CAST(i + 1 AS INTEGER)) + (list_extract({[float(c[k]) for c in PALETTE_RGB]}, CAST(i + 2 AS INTEGER)) - list_extract({[float(c[k]) for c in PALETTE_RGB]}, CAST(i + 1 AS INTEGER))) * (position - i), 3) AS {name}"
+    for k, name in enumerate(("red", "green", "blue"))
+)
+PAINTED = f", spots AS (SELECT *, least(floor(position), 4) AS i FROM placed) SELECT feature_id, round(position, 5) AS position, {CHANNELS_SQL} FROM spots"
+
+
+def _scale(name: str) -> None:
+    value, a, b = TRANSFORM_SQL[name]
+    ends = f", ends AS (SELECT {a} AS a, CASE WHEN {b} > {a} THEN {b} ELSE {a} + 1 END AS hi FROM b)"
+
+    @query(f"{BASE}{BOUNDS}{SLICE}{ends} SELECT feature_id, round({value}, 6) AS input FROM slice, b WHERE value IS NOT NULL", f"scale_{name}")
+    def transformed(spark, d):
+        run = event_run(spark, d)
+        scale = S.Scale(name, *aggregates.bounds_values(run, "flow"))
+        return series.time_slice(run, "flow", T).filter("value IS NOT NULL").select("feature_id", rounded(scale.transform(F.col("value"))).alias("input"))
+
+    placed = f", placed AS (SELECT feature_id, CASE WHEN value IS NOT NULL THEN greatest(0, least(5, ({value} - a) / (hi - a) * 5)) END AS position FROM slice, b, ends)"
+
+    @query(f"{BASE}{BOUNDS}{SLICE}{ends}{placed}{PAINTED}", f"colorize_{name}")
+    def colorized(spark, d):
+        run = event_run(spark, d)
+        return _painted(painting.colorize(run, "flow", name, series.time_slice(run, "flow", T)))
+
+
+def _painted(colored: DataFrame) -> DataFrame:
+    return colored.select("feature_id", rounded("position", 5).alias("position"), *[rounded(c, 3).alias(c) for c in ("red", "green", "blue")])
+
+
+for _name in S.TRANSFORMS:
+    _scale(_name)
+
+RAMP = "CASE WHEN value <= s0 THEN 0.0 " + " ".join(f"WHEN value <= s{i + 1} THEN {i} + (value - s{i}) / (s{i + 1} - s{i})" for i in range(5)) + " WHEN value IS NOT NULL THEN 5.0 END"
+DAILY_SAMPLE = SAMPLE.replace(HOURLY, BASE)
+INDEX = " + ".join(f"CAST(value >= s{i} AS INTEGER)" for i in range(5))
+
+
+@query(f"{DAILY_SAMPLE}{_repaired(STOP_AT)}{SLICE}, placed AS (SELECT feature_id, {RAMP} AS position FROM slice, stops){PAINTED}")
+def colorize_quantile(spark, d):
+    run = event_run(spark, d)
+    return _painted(painting.colorize(run, "flow", "quantile", series.time_slice(run, "flow", T)))
+
+
+@query(f"{DAILY_SAMPLE}{_repaired(BREAK_AT)}{SLICE}, placed AS (SELECT feature_id, CAST({INDEX} AS DOUBLE) AS position FROM slice, stops){PAINTED}")
+def colorize_quantile_classes(spark, d):
+    run = event_run(spark, d)
+    return _painted(painting.colorize(run, "flow", "quantile-classes", series.time_slice(run, "flow", T)))
+
+
+@query()
+def colorize_jenks(spark, d):
+    run = event_run(spark, d)
+    return _painted(painting.colorize(run, "flow", "jenks", series.time_slice(run, "flow", T)))
+
+
+@query(f"{DAILY_SAMPLE}{_repaired(BREAK_AT)}{SLICE} SELECT feature_id, value, {INDEX} AS class_index FROM slice, stops")
+def class_index_quantile_classes(spark, d):
+    run = event_run(spark, d)
+    return painting.classify(run, "flow", "quantile-classes", series.time_slice(run, "flow", T))
+
+
+@query()
+def class_index_jenks(spark, d):
+    run = event_run(spark, d)
+    return painting.classify(run, "flow", "jenks", series.time_slice(run, "flow", T))
+
+
+@query(
+    f"{BASE}{BOUNDS} "
+    + " UNION ALL ".join(
+        f"SELECT '{n}' AS scale, CAST(k AS INTEGER) AS i, round(a + (CASE WHEN e > a THEN e - a ELSE 1 END) * k / 5, 6) AS value FROM (SELECT {a} AS a, {b} AS e FROM b), range(6) r(k)" for n, (_, a, b) in TRANSFORM_SQL.items()
+    )
+)
+def color_stops(spark, d):
+    low, high = aggregates.bounds_values(event_run(spark, d), "flow")
+    rows = [(n, i, v) for n in S.TRANSFORMS for i, v in enumerate(S.Scale(n, low, high).stops())]
+    return spark.createDataFrame(rows, "scale string, i int, value double").select("scale", "i", rounded("value").alias("value"))
+
+
+@query(f"{BASE}{BOUNDS}{SLICE} SELECT feature_id, value, round(CASE WHEN value IS NULL THEN 0 ELSE 1.5 + 5.5 * least(1, greatest(0, (value - mn) / (CASE WHEN mx > mn THEN mx - mn ELSE 1 END))) END, 6) AS width FROM slice, b")
+def line_width(spark, d):
+    run = event_run(spark, d)
+    return painting.widths(run, "flow", series.time_slice(run, "flow", T)).select("feature_id", "value", rounded("width").alias("width"))
+
+
+@query(f"{BASE}{BOUNDS} " + " UNION ALL ".join(f"SELECT '{s}' AS scale, 'Flow (m³/s){'' if s == 'linear' else ' · ' + note}' AS title, mn AS min, mx AS max FROM b" for s, note in SCALE_NOTES.items()))
+def legend(spark, d):
+    run = event_run(spark, d)
+    return reduce(DataFrame.unionByName, [aggregates.legend(run, "flow", s).withColumn("scale", F.lit(s)) for s in SCALE_NOTES])
+
+
+# The network
+
+NESTED = """WITH sizes AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey),
+r AS (SELECT r_regionkey, coalesce(n, 0) AS n, 1 + coalesce(sum(coalesce(n, 0) + 1) OVER (ORDER BY r_regionkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM region LEFT JOIN sizes ON n_regionkey = r_regionkey),
+divides AS (SELECT CAST(u AS BIGINT) AS upstream_id, n AS num_upstreams FROM r UNION ALL SELECT CAST(u + row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) AS BIGINT), 0 FROM nation JOIN r ON n_regionkey = r_regionkey)"""
+
+
+@query(NESTED + " SELECT upstream_id, num_upstreams FROM divides WHERE upstream_id > 7 AND upstream_id <= 12")
+def upstream_select(spark, d):
+    return network.upstream(divides(spark, d), 7, 5)
+
+
+@query(NESTED + " SELECT a.upstream_id, b.upstream_id AS member_id FROM divides a JOIN divides b ON b.upstream_id > a.upstream_id AND b.upstream_id <= a.upstream_id + a.num_upstreams")
+def upstream_join(spark, d):
+    all_divides = divides(spark, d)
+    return network.upstream_pairs(all_divides, all_divides, width=4)
+
+
+# Geometry
+
+
+def _point_sql(a: int, b: int) -> str:
+    return f"{{'x': (c_custkey * {a}) % 3600 / 10 - 180, 'y': (c_custkey * {b}) % 1600 / 10 - 80}}"
+
+
+LINES = f"lines AS (SELECT c_custkey AS feature_id, unnest(CASE WHEN c_custkey % 3 = 0 THEN [{_point_sql(37, 53)}, {_point_sql(41, 59)}, {_point_sql(43, 61)}, {_point_sql(47, 67)}] ELSE [{_point_sql(37, 53)}, {_point_sql(41, 59)}] END) AS p FROM customer)"
+BOX = "min(p.x) AS min_x, min(p.y) AS min_y, max(p.x) AS max_x, max(p.y) AS max_y"
+_Z, _X, _Y, _W = TILE
+LAT = lambda y, z: f"degrees(atan(sinh(pi() * (1 - 2 * ({y}) / power(2.0, {z})))))"
+
+
+@query(f"WITH {LINES} SELECT {BOX} FROM lines WHERE feature_id IN (SELECT user_id FROM events)")
+def loaded_extent(spark, d):
+    return spatial.loaded_extent(flowpaths(spark, d), event_run(spark, d).features)
+
+
+@query(f"SELECT z, x, y, w AS wrap, round(x / power(2.0, z) * 360 - 180 + w * 360, 6) AS west, round((x + 1) / power(2.0, z) * 360 - 180 + w * 360, 6) AS east, round({LAT('y', 'z')}, 6) AS north, round({LAT('y + 1', 'z')}, 6) AS south FROM range(4) a(z), range(8) b(x), range(8) c(y), range(2) e(w) WHERE x < power(2, z) AND y < power(2, z)")
+def tile_bbox(spark, d):
+    n = spark.range(4 * 8 * 8 * 2)
+    tiles = n.select(F.floor(F.col("id") / 128).alias("z"), (F.floor(F.col("id") / 16) % 8).alias("x"), (F.floor(F.col("id") / 2) % 8).alias("y"), (F.col("id") % 2).alias("wrap"))
+    box = V.tile_bbox(*[F.col(c) for c in ("z", "x", "y", "wrap")])
+    return tiles.filter("x < power(2, z) AND y < power(2, z)").select("z", "x", "y", "wrap", *[rounded(c).alias(k) for k, c in box.items()])
+
+
+@query(f"WITH {LINES}, boxes AS (SELECT feature_id, {BOX} FROM lines GROUP BY feature_id), t AS (SELECT {_X} / power(2.0, {_Z}) * 360 - 180 AS w, ({_X} + 1) / power(2.0, {_Z}) * 360 - 180 AS e, {LAT(_Y, _Z)} AS n, {LAT(f'{_Y} + 1', _Z)} AS s) SELECT boxes.* FROM boxes, t WHERE min_x <= e AND max_x >= w AND min_y <= n AND max_y >= s")
+def bbox_filter(spark, d):
+    box = spark.range(1).select(*[c.alias(k) for k, c in V.tile_bbox(*[F.lit(x) for x in TILE]).items()]).first()
+    return spatial.in_box(spatial.feature_boxes(flowpaths(spark, d)), box.west, box.south, box.east, box.north)
+
+
+# The tree of runs
+
+RUN_KEYS = [
+    f"outputs/cfe_nom/v2.2_hydrofabric/ngen.{date}/{range_}/{cycle}/{vpu}/ngen-run/outputs/troute/{file}"
+    for date in ("20260718", "20260719", "20260720")
+    for range_, cycles in (("short_range", ("00", "06", "18")), ("medium_range", ("00/1", "18/1", "18/2")), ("analysis_assim_extend", ("16",)))
+    for cycle in cycles
+    for vpu in ("VPU_01", "VPU-02", "vpu_03N")
+    for file in ("troute.nc", "part.parquet", "log.txt")
+]
+KEYS_SQL = "WITH keys AS (SELECT unnest([" + ", ".join(f"'{k}'" for k in RUN_KEYS) + "]) AS key)"
+FABRIC = "outputs/cfe_nom/v2.2_hydrofabric/"
+FOLDERS_SQL = KEYS_SQL + ", folders AS (SELECT DISTINCT array_to_string(parts[1:n], '/') || '/' AS path, parts[n] AS name, CASE WHEN n = 1 THEN '' ELSE array_to_string(parts[1:n - 1], '/') || '/' END AS parent FROM (SELECT string_split(key, '/') AS parts, unnest(range(1, len(string_split(key, '/')))) AS n FROM keys))"
+
+
+def run_keys(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k,) for k in RUN_KEYS], "key string")
+
+
+def run_folders(spark: SparkSession) -> DataFrame:
+    """``(path, name, parent)`` of every folder above a key."""
+    parts = F.split("key", "/")
+    at = run_keys(spark).select(parts.alias("parts"), F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("n"))
+    path = F.concat(F.array_join(F.slice("parts", 1, F.col("n")), "/"), F.lit("/"))
+    return at.select(path.alias("path")).distinct().select("path", P.name_of(F.col("path")).alias("name"), P.parent_of(F.col("path")).alias("parent"))
+
+
+@query(FOLDERS_SQL + f" SELECT CAST(row_number() OVER (ORDER BY name DESC) - 1 AS INTEGER) AS position, name, path FROM folders WHERE parent = '{FABRIC}'")
+def list_folders(spark, d):
+    return runtree.list_folders(run_keys(spark), FABRIC)
+
+
+@query(FOLDERS_SQL + r" SELECT path, name, regexp_matches(name, '\d{8}') AS is_date, regexp_matches(name, '(?i)_range$') OR regexp_matches(name, '(?i)^analysis') AS is_range, regexp_matches(name, '^\d+$') AS is_cycle, regexp_matches(name, '(?i)^VPU[_-]') AS is_vpu, coalesce(TRY_CAST(regexp_extract(name, '(\d{8})', 1) AS INTEGER), 0) AS date_key FROM folders")
+def classify_folders(spark, d):
+    return runtree.classified(run_folders(spark))
+
+
+@query(FOLDERS_SQL + " SELECT parent, bool_and(regexp_matches(name, '(?i)^VPU[_-]')) AS is_cycle_level FROM folders GROUP BY parent")
+def is_cycle_level(spark, d):
+    return runtree.is_cycle_level(run_folders(spark))
+
+
+@query(
+    FOLDERS_SQL
+    + r""", p AS (SELECT path, string_split(rtrim(path, '/'), '/') AS s FROM folders), newest AS (SELECT max(s[4]) AS day FROM p WHERE len(s) = 4),
+c AS (SELECT s[5] AS rng, max(CAST(s[6] AS INTEGER)) AS cycle FROM p, newest WHERE len(s) = 6 AND s[4] = day GROUP BY s[5]),
+m AS (SELECT s[5] AS rng, max(TRY_CAST(s[7] AS INTEGER)) AS member FROM p, newest, c WHERE len(s) = 7 AND s[4] = day AND s[5] = rng AND CAST(s[6] AS INTEGER) = cycle GROUP BY s[5])
+SELECT k AS range_key, 'outputs/cfe_nom/v2.2_hydrofabric/' || day || '/' || c.rng || '/' || lpad(CAST(cycle AS VARCHAR), 2, '0') || '/' || coalesce(member || '/', '') AS path
+FROM (SELECT unnest(['short', 'medium', 'analysis']) AS k) JOIN c ON starts_with(c.rng, k) JOIN m ON m.rng = c.rng, newest"""
+)
+def latest_cycle(spark, d):
+    return runtree.latest_cycles(spark, run_keys(spark), "outputs/cfe_nom/v2.2_hydrofabric/ngen.20260718/", ["short", "medium", "analysis"])
+
+
+VPU = f"{FABRIC}ngen.20260720/short_range/18/VPU_01/"
+
+
+@query(KEYS_SQL + f" SELECT list_extract(string_split(key, '/'), -1) AS name, key FROM keys WHERE starts_with(key, '{VPU}') AND (key LIKE '%.nc' OR key LIKE '%.parquet')")
+def result_files(spark, d):
+    return runtree.result_files(run_keys(spark), VPU)

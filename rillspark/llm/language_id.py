@@ -110,6 +110,8 @@ class Model:
     def paths(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The language of each word of each text, all texts a word at a time."""
         k = len(self.languages)
+        if not k:
+            return [np.zeros(len(t), np.int16) for t in texts]
         numbers = self.numbered(texts)
         table = self.rows[0] = np.concatenate(self.rows)
         del self.rows[1:]

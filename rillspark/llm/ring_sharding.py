@@ -96,13 +96,16 @@ def bounded_loads(keys: DataFrame, shards: int, slack: float = 0.0, virtual_node
     spark, names = keys.sparkSession, keys.columns
     grouped = keys.groupBy(*names).agg(F.count(F.lit(1)).alias("copies"))
     grouped = grouped.withColumn("at", position(F.lit("key"), F.col("key")))
-    grouped = with_arcs(grouped, ring(spark, shards, virtual_nodes))
+    arcs = cut(ring(spark, shards, virtual_nodes), f"{label}-arcs")
+    grouped = with_arcs(grouped, arcs)
     grouped = cut(grouped.withColumn("cell", F.pmod(F.xxhash64(F.lit("cell"), *names), F.lit(CELLS)).cast("int")), f"{label}-keys")
     cells = grouped.groupBy("arc", "owner", "cell").agg(F.sum("copies").alias("rows"))
     # arcs x cells rows at most, and a window over the 64 of an arc
     before = Window.partitionBy("arc").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("cell_start", F.coalesce(F.sum("rows").over(before), F.lit(0)))
-    counts = [(r.arc, r.owner, r.n) for r in cells.groupBy("arc", "owner").agg(F.sum("rows").alias("n")).orderBy("arc").collect()]  # shards x virtual nodes rows
+    per_arc = cells.groupBy("arc").agg(F.sum("rows").alias("n"))
+    clockwise = arcs.select("arc", "shard").distinct().join(per_arc, "arc", "left").orderBy("arc")
+    counts = [(r.arc, r.shard, r.n or 0) for r in clockwise.collect()]  # shards x virtual nodes rows
     n = sum(c[2] for c in counts)
     if slack:
         bounds = [int((1 + slack) * n / shards) + 1] * shards

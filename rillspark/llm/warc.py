@@ -49,9 +49,9 @@ def originals(rows: DataFrame, least_bytes: int) -> DataFrame:
     return grouped.select(F.col("digest").alias("of_digest"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
 
 
-def record_id(page_id: Column, digest: Column, number: Column) -> Column:
+def record_id(page_id: Column, url: Column, digest: Column, number: Column) -> Column:
     """A name-based identifier of the record, in the form of a UUID."""
-    h = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("null")), digest, number.cast("string")).cast("binary"))
+    h = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("null")), F.coalesce(url, F.lit("")), digest, number.cast("string")).cast("binary"))
     part = lambda a, n: F.substring(h, a, n)
     return F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-3"), part(14, 3), F.lit("-8"), part(18, 3), F.lit("-"), part(21, 12), F.lit(">"))
 
@@ -96,9 +96,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     revisits = (
         known.filter(F.col("of_digest").isNotNull() & ~(is_first & (F.col("copies") == 1)))
         .select("*", numbers.alias("number"))
-        .withColumn("record_id", record_id(F.col("page_id"), F.col("digest"), F.col("number")))
+        .withColumn("record_id", record_id(F.col("page_id"), F.col("url"), F.col("digest"), F.col("number")))
     )
-    to = F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), record_id(F.col("first_id"), F.col("digest"), F.lit(0)), F.lit("\r\n"))
+    to = F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), record_id(F.col("first_id"), F.col("first_url"), F.col("digest"), F.lit(0)), F.lit("\r\n"))
     revisit_records = revisits.select(_record("revisit", [to], _http(F.col("bytes"))).alias("value"))
     responses = _with_payload(pages, rows, firsts, least_bytes)
     html = F.coalesce(F.col("html"), F.lit(""))
@@ -119,7 +119,7 @@ def _with_payload(pages: DataFrame, rows: DataFrame, firsts: DataFrame, least_by
     first_rows = rows.join(firsts, same, "left_semi").filter("copies > 1")
     if not first_rows.isEmpty():  # rows that are equal in everything: one of them is the response
         kept = kept.dropDuplicates(["page_id", "url", "digest"])
-    ids = lambda df, n: df.withColumn("record_id", record_id(F.col("page_id"), F.col("digest"), n))
+    ids = lambda df, n: df.withColumn("record_id", record_id(F.col("page_id"), F.col("url"), F.col("digest"), n))
     kept = ids(kept, F.lit(0))
     return kept.unionByName(ids(full.filter(small), F.monotonically_increasing_id())) if least_bytes else kept
 

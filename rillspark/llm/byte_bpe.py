@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -170,13 +171,14 @@ class Transducer:
         out: list[int] = []
         labels: list[int] = []
         state, known = 0, self.step.get
-        for byte in piece:
-            found = known(state << 8 | byte)
-            if found is None:
-                found = self._determinise(state, byte)
-            state = found >> 20
-            labels.append(found & 0xFFFFF)
-            if len(labels) > LOOKAHEAD:
+        for at in range(0, len(piece), LOOKAHEAD):
+            for byte in piece[at : at + LOOKAHEAD]:
+                found = known(state << 8 | byte)
+                if found is None:
+                    found = self._determinise(state, byte)
+                state = found >> 20
+                labels.append(found & 0xFFFFF)
+            if len(piece) > LOOKAHEAD:
                 self._emit(labels, state, out)
         return out + self._settled(labels, len(labels))
 
@@ -252,13 +254,13 @@ class Encoder:
         return _workers[key]
 
     def _miss(self, piece: str) -> bytes:
-        packed = b"".join(i.to_bytes(4, "little") for i in self.fst.encode(piece.encode()))
+        packed = array("i", self.fst.encode(piece.encode())).tobytes()
         if len(piece) < MEMO_PIECE and len(self.memo) < MEMO_ROWS:  # frequent pieces come early
             self.memo[piece] = packed
         return packed
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
+        """Ids as 32-bit integers."""
         split = self.split if _BEYOND_LATIN.search(text) else self.split_latin
         pieces: Iterable[str] = split.findall(text) if len(text) <= WHOLE_TEXT else (m[0] for m in split.finditer(text))
         known, miss = self.memo.get, self._miss
@@ -294,13 +296,14 @@ def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
     """``(doc_id, ids, text)`` from ``encode``'s rows; ids that end in the middle of a character give U+FFFD there."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {i: t for t, i in parse_ranks(ranks).items()}
+        known = {i: t for t, i in parse_ranks(ranks).items()}
+        token = [known.get(i, b"") for i in range(max(known, default=-1) + 1)].__getitem__
         for batch in slices(rows):
             texts = []
             for ids in (x.values for x in batch.column(1)):
-                ids, stream, out = ids.to_pylist() if ids is not None else [], Utf8Stream(), []
+                ids, stream, out = ids.to_numpy().tolist() if ids is not None else [], Utf8Stream(), []
                 for at in range(0, len(ids), DECODE_CHUNK):
-                    out.append(stream.feed(b"".join([table[i] for i in ids[at : at + DECODE_CHUNK]])))
+                    out.append(stream.feed(b"".join(map(token, ids[at : at + DECODE_CHUNK]))))
                 texts.append("".join([*out, stream.close()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 

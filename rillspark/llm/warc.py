@@ -100,7 +100,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     )
     to = F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), record_id(F.col("first_id"), F.col("first_url"), F.col("digest"), F.lit(0)), F.lit("\r\n"))
     revisit_records = revisits.select(_record("revisit", [to], _http(F.col("bytes"))).alias("value"))
-    responses = _with_payload(pages, rows, firsts, least_bytes)
+    others = known.filter(F.col("of_digest").isNotNull() & ~is_first).select("page_id", "url", "digest")
+    doubled = not known.filter(is_first & (F.col("copies") > 1)).isEmpty()
+    responses = _with_payload(pages, others, doubled, least_bytes)
     html = F.coalesce(F.col("html"), F.lit(""))
     response_records = responses.select(_record("response", [], F.concat(_http(F.octet_length(html)), html)).alias("value"))
     writer = response_records.unionByName(revisit_records).write.option("maxRecordsPerFile", RECORDS_A_FILE)
@@ -108,20 +110,22 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     writer.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
-def _with_payload(pages: DataFrame, rows: DataFrame, firsts: DataFrame, least_bytes: int) -> DataFrame:
-    """``(page_id, url, digest, html, record_id)`` of the responses; only here payloads are shuffled, once."""
+def _with_payload(pages: DataFrame, others: DataFrame, doubled: bool, least_bytes: int) -> DataFrame:
+    """``(page_id, url, digest, html, record_id)`` of the responses: all rows but ``others``, the ones that are revisits.
+
+    Where these are few, which Spark finds by their size, payloads aren't shuffled at all; else once.
+    """
     full = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
     ).withColumn("digest", payload_digest("html"))
+    renamed = others.toDF("_page_id", "_url", "_digest")
+    same = (F.col("digest") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("_page_id")) & F.col("url").eqNullSafe(F.col("_url"))
+    kept = full.join(renamed, same, "left_anti")
     small = F.coalesce(F.octet_length("html"), F.lit(0)) < least_bytes
-    same = (F.col("digest") == F.col("of_digest")) & F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url"))
-    kept = full.filter(~small).join(firsts, same, "left_semi")
-    first_rows = rows.join(firsts, same, "left_semi").filter("copies > 1")
-    if not first_rows.isEmpty():  # rows that are equal in everything: one of them is the response
-        kept = kept.dropDuplicates(["page_id", "url", "digest"])
-    ids = lambda df, n: df.withColumn("record_id", record_id(F.col("page_id"), F.col("url"), F.col("digest"), n))
-    kept = ids(kept, F.lit(0))
-    return kept.unionByName(ids(full.filter(small), F.monotonically_increasing_id())) if least_bytes else kept
+    if doubled:  # rows that are equal in everything: one of them is the response
+        kept = kept.filter(~small).dropDuplicates(["page_id", "url", "digest"]).unionByName(kept.filter(small)) if least_bytes else kept.dropDuplicates(["page_id", "url", "digest"])
+    number = F.when(small, F.monotonically_increasing_id()).otherwise(F.lit(0)) if least_bytes else F.lit(0)
+    return kept.withColumn("record_id", record_id(F.col("page_id"), F.col("url"), F.col("digest"), number))
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

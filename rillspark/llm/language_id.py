@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from .common import free_name, read_table
 
 #: Training texts of a language on the average (all, if it has fewer), and n-grams that the model keeps.
-SAMPLE_TEXTS, MAX_GRAMS = 3000, 60_000
-#: Lengths of the n-grams of a word with its ends marked.
-GRAMS = (1, 2, 3)
+SAMPLE_TEXTS, MAX_GRAMS = 1000, 60_000
+#: Letters of the n-grams of a word with its ends marked.
+GRAM = 3
 #: The price of a change of language, the most that one word can say, and the price of a language without the word's script.
 SWITCH, MOST, WRONG_SCRIPT = 12.0, 8.0, 30.0
 #: A language uses a script if it has this share of its letters.
@@ -50,8 +50,19 @@ SCRIPTS = (
     ("hangul", 0xAC00, 0xD7AF),
 )
 
-#: Runs of letters: word characters but the underscore and all sorts of numbers.
-WORDS = re.compile(rf"[^\W_{''.join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())}]+")
+WORDS, ASCII_WORDS = re.compile(r"[^\W\d_]+"), re.compile("[a-z]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The lower-cased text's runs of letters."""
+    text = text.lower()
+    if text.isascii():
+        return ASCII_WORDS.findall(text)
+    found = WORDS.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    # Numbers other than decimal digits, such as a superscript two, are word characters but no letters.
+    return [part for word in found for part in "".join(c if c.isalpha() else " " for c in word).split()]
 
 
 def script_of(word: str) -> str:
@@ -61,7 +72,7 @@ def script_of(word: str) -> str:
 
 def grams_of(word: str) -> list[str]:
     marked = f"\x02{word[:WORD_LETTERS]}\x03"
-    return [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
+    return [marked[i : i + GRAM] for i in range(len(marked) - GRAM + 1)]
 
 
 @dataclass
@@ -80,17 +91,21 @@ class Model:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """A row for each lower-cased word: the sum over its n-grams, within bounds, against languages of other scripts."""
+        unknown = len(self.scores) - 1  # a row of zeros
+        number = self.grams.get
         flat: list[int] = []
         starts = []
         for word in words:
             starts.append(len(flat))
-            flat.append(len(self.scores) - 1)  # a row of zeros, so that no word is without any
-            flat += [i for g in grams_of(word) if (i := self.grams.get(g)) is not None]
+            flat += [number(g, unknown) for g in grams_of(word)]
         found = np.add.reduceat(self.scores[flat], starts, axis=0) if words else np.zeros((0, len(self.languages)), np.float32)
         found = np.clip(found, -MOST, MOST)
-        everyone = np.ones(len(self.languages), bool)
-        masks = [self.scripts.get(script_of(w), everyone) for w in words]
-        return np.where(np.array(masks).reshape(found.shape), found, np.float32(-WRONG_SCRIPT))
+        scripts = ["latin" if w.isascii() else script_of(w) for w in words]
+        for script in set(scripts) & self.scripts.keys():
+            if not self.scripts[script].all():
+                of_script = np.array([s == script for s in scripts])
+                found[np.ix_(of_script, ~self.scripts[script])] = -WRONG_SCRIPT
+        return found
 
     def numbered(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Each text's words as rows of the table of scores; new words are scored together."""
@@ -167,7 +182,7 @@ def train(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, max_grams: int
         for batch in rows:
             for text, lang in zip(batch.column(0), batch.column(1), strict=True):
                 lang = lang.as_py()
-                for word, n in Counter(WORDS.findall(text.as_py().lower())).items():
+                for word, n in Counter(words_of(text.as_py())).items():
                     found[lang, "\x00" + script_of(word)] += n * len(word)
                     for g in grams_of(word):
                         found[lang, g] += n
@@ -240,7 +255,7 @@ def language_of(model: Model):
             _models[key] = model
         own, out = _models[key], []
         for at in range(0, len(text), TEXTS):
-            texts = [WORDS.findall(t.lower()) if t and own.languages else [] for t in text.slice(at, TEXTS).to_pylist()]
+            texts = [words_of(t) if t and own.languages else [] for t in text.slice(at, TEXTS).to_pylist()]
             out += [verdict(own, words, path) for words, path in zip(texts, own.paths(texts), strict=True)]
         langs, scores, spans = zip(*out, strict=True) if out else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(SPAN))], ["lang_pred", "score", "spans"])

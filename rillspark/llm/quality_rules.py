@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .common import WORD, read_table
 
 SPACE = r"[\x20\x09-\x0D]"
+#: Words below which a text can be without stop words by chance: the share is null then.
+STOP_WORD_TEXT = 25
 #: Words of the windows whose repeats count.
 WINDOW = 5
 
@@ -36,7 +38,7 @@ RULES = (
     Rule("mean_word_chars", low=2, high=14),
     Rule("symbols_per_word", high=0.1),
     Rule("stop_word_share", low=0.02),
-    Rule("dup_line_share", high=0.3),
+    Rule("dup_line_share", high=0.4),
 )
 
 
@@ -100,7 +102,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "*",
         per_word("word_chars").alias("mean_word_chars"),
         per_word("n_symbols").alias("symbols_per_word"),
-        per_word("n_stop_words").alias("stop_word_share"),
+        F.when(F.col("n_words") >= STOP_WORD_TEXT, per_word("n_stop_words")).alias("stop_word_share"),
         F.try_divide(F.col("n_dup_lines"), F.col("n_lines")).alias("dup_line_share"),
     )
 
@@ -144,6 +146,6 @@ c AS (
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND n_words BETWEEN 10 AND 1000000 AND word_chars BETWEEN 2 * n_words AND 14 * n_words
-    AND 1.0 * n_symbols / n_words <= 0.1 AND 1.0 * n_stop / n_words >= 0.02 AND coalesce(1.0 * n_dup_lines / n_lines <= 0.3, true) AS kept
+    AND 1.0 * n_symbols / n_words <= 0.1 AND (n_words < 25 OR 1.0 * n_stop / n_words >= 0.02) AND coalesce(1.0 * n_dup_lines / n_lines <= 0.4, true) AS kept
 FROM b
 """

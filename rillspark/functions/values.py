@@ -37,16 +37,19 @@ def feature_id(v: Column) -> Column:
 
 
 def epoch_ms(v: Column, kind: T.DataType) -> Column:
-    """Milliseconds since 1970 of a timestamp with or without a zone (as UTC), a date, or a number that already is one."""
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.unix_millis(v.cast("timestamp"))
+    """Milliseconds since 1970 of a timestamp, of one without a zone or a date as UTC, or of a number that already is one."""
+    if isinstance(kind, T.TimestampType):
+        return F.unix_millis(v)
+    if isinstance(kind, (T.TimestampNTZType, T.DateType)):
+        here = F.convert_timezone(F.lit("UTC"), F.current_timezone(), v.cast("timestamp_ntz"))
+        return F.unix_millis(here.cast("timestamp"))
     return v.cast("bigint")
 
 
 def time_label(time: Column, kind: str) -> Column:
     """``2026-07-20 06:00Z`` of epoch milliseconds (the minutes are dropped), ``T+2h`` of an offset in seconds."""
     if kind == "epoch_ms":
-        return F.date_format(F.timestamp_millis(time), "yyyy-MM-dd HH':00Z'")
+        return F.date_format(F.to_utc_timestamp(F.timestamp_millis(time), F.current_timezone()), "yyyy-MM-dd HH':00Z'")
     return F.concat(F.lit("T+"), F.floor(time / 3600).cast("string"), F.lit("h"))
 
 

@@ -18,7 +18,7 @@ def event_rows(spark: SparkSession, sf_dir: str, unit: str = "day") -> DataFrame
     of = lambda *types: F.when(F.col("event_type").isin(*types), F.col("value"))
     raw = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("feature_id"),
-        F.date_trunc(unit, F.col("ts").cast("timestamp")).alias("time"),
+        F.date_trunc(unit, F.col("ts")).cast("timestamp_ntz").alias("time"),
         "event_id",
         of("view", "click").alias("flow"),
         of("purchase").alias("velocity"),

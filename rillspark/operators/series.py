@@ -10,13 +10,15 @@ from rillspark.functions import values as V
 from rillspark.model import Run
 
 
-def time_at(run: Run, t_idx: int) -> DataFrame:
-    return run.times.filter(F.col("t_idx") == t_idx)
+def at_step(run: Run, t_idx: int) -> DataFrame:
+    """The cells of one step.  Its time is looked up first, so that the filter is on a literal and reaches below the last writes."""
+    found = run.times.filter(F.col("t_idx") == t_idx).select("time").first()
+    return run.cells.filter(F.col("time") == found.time if found else F.lit(False))
 
 
 def point(run: Run, variable: str, feature_id: int, t_idx: int) -> DataFrame:
     """One row ``(value)``, null where the cell is missing."""
-    hit = run.cells.filter(F.col("feature_id") == feature_id).join(F.broadcast(time_at(run, t_idx)), "time")
+    hit = at_step(run, t_idx).filter(F.col("feature_id") == feature_id)
     return hit.agg(F.max(F.col(variable).cast("double")).alias("value"))
 
 
@@ -28,7 +30,7 @@ def series(run: Run, variable: str, feature_id: int) -> DataFrame:
 
 def time_slice(run: Run, variable: str, t_idx: int) -> DataFrame:
     """``(feature_id, value)`` of all features at a step, null where missing."""
-    now = run.cells.join(F.broadcast(time_at(run, t_idx)), "time").select("feature_id", F.col(variable).cast("double").alias("value"))
+    now = at_step(run, t_idx).select("feature_id", F.col(variable).cast("double").alias("value"))
     return run.features.select("feature_id").join(now, "feature_id", "left")
 
 
@@ -44,7 +46,7 @@ def unpainted(painted: DataFrame, slice_: DataFrame) -> DataFrame:
 
 def record(run: Run, t_idx: int, wanted: DataFrame) -> DataFrame:
     """``(feature_id, label, flow, velocity, depth)`` of wanted features, known or not; null reads N/A."""
-    now = run.cells.join(F.broadcast(time_at(run, t_idx)), "time").select("feature_id", *[F.col(v).cast("double").alias(v) for v in VARIABLES])
+    now = at_step(run, t_idx).select("feature_id", *[F.col(v).cast("double").alias(v) for v in VARIABLES])
     return wanted.select("feature_id").join(now, "feature_id", "left").select("feature_id", V.feature_label(F.col("feature_id")).alias("label"), *VARIABLES)
 
 

@@ -15,7 +15,7 @@ from rillspark.functions import scales as S
 from rillspark.functions import values as V
 from rillspark.model import run_of
 from rillspark.operators import aggregates, distribution, merge, network, painting, series, spatial
-from rillspark.plans import ranking, runtree
+from rillspark.plans import ranking, runtree, views
 from rillspark.sources import netcdf, results
 from rillspark.streaming import ingest
 
@@ -262,6 +262,18 @@ def test_files(spark, tmp_path):
     assert cells(results.load(spark, f"{tmp_path}/out.parquet")) == cells(run)
 
 
+def test_lookups_filter_the_scan(spark, tmp_path):
+    rows = [(f, t, float(f + t)) for f in range(3) for t in range(3)]
+    spark.createDataFrame(rows, "feature_id long, time long, flow double").write.parquet(f"{tmp_path}/x.parquet")
+    run = results.load(spark, f"{tmp_path}/x.parquet")
+    plan = series.point(run, "flow", 2, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(feature_id,2)" in plan and "EqualTo(time,1)" in plan
+    assert series.point(run, "flow", 2, 1).first().value == 3.0
+    assert series.point(run, "flow", 2, 9).first().value is None
+    assert views.register(run, "run_") == ["run_cells", "run_features", "run_times"]
+    assert spark.sql("SELECT sum(flow) AS s FROM run_cells JOIN run_times USING (time) WHERE t_idx = 2").first().s == 9.0
+
+
 def test_dense_arrays():
     arrays = {"time": np.array([0, 3600]), "feature_id": np.array([7, 8]), "flow": np.array([1, 2, 3, 4], np.float32), "depth": np.array([5.0], np.float32)}
     rows = list(netcdf.dense_rows(arrays, {"file_reference_time": b"2026"}, 0, 2))

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,10 @@ GRAM = 3
 SWITCH, MOST, WRONG_SCRIPT = 12.0, 8.0, 30.0
 #: A language uses a script if it has this share of its letters.
 SCRIPT_SHARE = 0.01
-#: Scores that a worker remembers, letters of a word that are looked at, and texts whose paths are found together.
-MEMO_SCORES, WORD_LETTERS, TEXTS = 1_600_000, 40, 4000
+#: A longer run of letters, as in scripts without spaces, is read as several words of so many letters.
+WORD_LETTERS = 40
+#: Scores that a worker remembers, and texts whose paths are found together: so many, or fewer with that many characters.
+MEMO_SCORES, TEXTS, CHARS = 1_600_000, 4000, 8_000_000
 
 # First and last code points of the scripts' main blocks.
 SCRIPTS = (
@@ -50,11 +53,11 @@ SCRIPTS = (
     ("hangul", 0xAC00, 0xD7AF),
 )
 
-WORDS, ASCII_WORDS = re.compile(r"[^\W\d_]+"), re.compile("[a-z]+")
+WORDS, ASCII_WORDS = re.compile(rf"[^\W\d_]{{1,{WORD_LETTERS}}}"), re.compile(f"[a-z]{{1,{WORD_LETTERS}}}")
 
 
 def words_of(text: str) -> list[str]:
-    """The lower-cased text's runs of letters."""
+    """The lower-cased text's runs of letters, those of over ``WORD_LETTERS`` in parts: every letter is in a word."""
     text = text.lower()
     if text.isascii():
         return ASCII_WORDS.findall(text)
@@ -71,7 +74,7 @@ def script_of(word: str) -> str:
 
 
 def grams_of(word: str) -> list[str]:
-    marked = f"\x02{word[:WORD_LETTERS]}\x03"
+    marked = f"\x02{word}\x03"
     return [marked[i : i + GRAM] for i in range(len(marked) - GRAM + 1)]
 
 
@@ -226,6 +229,17 @@ def fit(grams: list[tuple[str, dict[str, int]]], scripts: list[tuple[str, dict[s
 _models: dict[int, Model] = {}
 
 
+def groups(texts: pa.Array, most: int = TEXTS, chars: int = CHARS) -> Iterator[pa.Array]:
+    """The texts in order, ``most`` or fewer at a time with no more than ``chars`` bytes, longer ones alone."""
+    start, held = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if i > start and (i - start == most or held + n > chars):
+            yield texts.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    yield texts.slice(start)
+
+
 SPAN = pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("lang", pa.string())])
 VERDICT = "lang_pred string, score double, spans array<struct<first_word:int,words:int,lang:string>>"
 
@@ -254,8 +268,8 @@ def language_of(model: Model):
             _models.clear()
             _models[key] = model
         own, out = _models[key], []
-        for at in range(0, len(text), TEXTS):
-            texts = [words_of(t) if t and own.languages else [] for t in text.slice(at, TEXTS).to_pylist()]
+        for part in groups(text):
+            texts = [words_of(t) if t and own.languages else [] for t in part.to_pylist()]
             out += [verdict(own, words, path) for words, path in zip(texts, own.paths(texts), strict=True)]
         langs, scores, spans = zip(*out, strict=True) if out else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(SPAN))], ["lang_pred", "score", "spans"])

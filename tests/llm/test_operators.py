@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -216,6 +217,20 @@ def test_language_id_on_mixed_and_odd_texts(spark, odd, empty, clashing):
     assert not {4, 5, 6, 9} & {r.doc_id for r in language_id.keep_identified(clashing).collect()}
 
 
+def test_every_letter_of_a_long_run_is_read():
+    for run in ("ab" * 75, "漢字" * 75):
+        assert "".join(language_id.words_of(f"1{run}2")) == run
+        assert max(map(len, language_id.words_of(run))) == language_id.WORD_LETTERS
+
+
+def test_texts_are_taken_in_bounded_groups():
+    texts = pa.array(["a" * n if n else None for n in (3, 0, 50, 4, 4, 4, 1, 1, 1)])
+    parts = [p.to_pylist() for p in language_id.groups(texts, 3, 10)]
+    assert sum(parts, []) == texts.to_pylist()
+    assert [len(p) for p in parts] == [2, 1, 2, 3, 1]
+    assert [p.to_pylist() for p in language_id.groups(texts.slice(0, 0))] == [[]]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     model = language_id.Model(["a", "b", "c"], {}, np.zeros((1, 3), np.float32), {})

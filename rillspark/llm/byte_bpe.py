@@ -25,7 +25,7 @@ from .common import read_table
 #: Pieces at least this long are not remembered whole; the transducer reads them byte by byte each time.
 MEMO_PIECE = 64
 #: The memo stops at its size, the state table and the known pairs are emptied at theirs, so a worker's memory is bounded.
-MEMO_ROWS, MAX_STATES, MAX_PAIRS = 250_000, 250_000, 400_000
+MEMO_ROWS, MAX_STATES, MAX_PAIRS = 120_000, 120_000, 200_000
 #: The rank of a pair that no merge joins.
 NEVER = 1 << 60
 #: Texts are split into pieces in one go up to this many characters, beyond it piece by piece.
@@ -273,6 +273,32 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
+def encode_texts(encoder: Encoder, texts: pa.Array) -> pa.ListArray:
+    packed = [encoder.encode(t) if t else b"" for t in (x.as_py() for x in texts)]
+    ends = pa.array([0, *_running(len(p) // 4 for p in packed)], pa.int32())
+    values = pa.Array.from_buffers(pa.int32(), ends[-1].as_py(), [None, pa.py_buffer(b"".join(packed))])
+    return pa.ListArray.from_arrays(ends, values)
+
+
+def token_table(ranks: bytes) -> list[bytes]:
+    known = {i: t for t, i in parse_ranks(ranks).items()}
+    return [known.get(i, b"") for i in range(max(known, default=-1) + 1)]
+
+
+def decode_ids(tokens: list[bytes], lists: pa.ListArray) -> pa.Array:
+    token, texts = tokens.__getitem__, []
+    for ids in (x.values for x in lists):
+        ids, stream, out = ids.to_numpy().tolist() if ids is not None else [], Utf8Stream(), []
+        for at in range(0, len(ids), DECODE_CHUNK):
+            out.append(stream.feed(b"".join(map(token, ids[at : at + DECODE_CHUNK]))))
+        texts.append("".join([*out, stream.close()]))
+    return pa.array(texts, pa.string())
+
+
+def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids array<int>)``, a row for each row of ``docs``.
 
@@ -283,33 +309,34 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(ranks, pattern)
         for batch in slices(rows):
-            packed = [encoder.encode(t) if t else b"" for t in (x.as_py() for x in batch.column(1))]
-            ends = pa.array([0, *_running(len(p) // 4 for p in packed)], pa.int32())
-            values = pa.Array.from_buffers(pa.int32(), ends[-1].as_py(), [None, pa.py_buffer(b"".join(packed))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, values)], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), encode_texts(encoder, batch.column(1))], ["doc_id", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(batches, "doc_id long, ids array<int>")
+    return id_and_text(docs, id_col, text_col).mapInArrow(batches, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
     """``(doc_id, ids, text)`` from ``encode``'s rows; ids that end in the middle of a character give U+FFFD there."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {i: t for t, i in parse_ranks(ranks).items()}
-        token = [known.get(i, b"") for i in range(max(known, default=-1) + 1)].__getitem__
+        tokens = token_table(ranks)
         for batch in slices(rows):
-            texts = []
-            for ids in (x.values for x in batch.column(1)):
-                ids, stream, out = ids.to_numpy().tolist() if ids is not None else [], Utf8Stream(), []
-                for at in range(0, len(ids), DECODE_CHUNK):
-                    out.append(stream.feed(b"".join(map(token, ids[at : at + DECODE_CHUNK]))))
-                texts.append("".join([*out, stream.close()]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), decode_ids(tokens, batch.column(1))], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(batches, "doc_id long, ids array<int>, text string")
 
 
+def encode_decode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` in one Python worker for each task, where two would hold the vocabulary twice."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, tokens = Encoder.of(ranks, pattern), token_table(ranks)
+        for batch in slices(rows):
+            ids = encode_texts(encoder, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, decode_ids(tokens, ids)], ["doc_id", "ids", "text"])
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(batches, "doc_id long, ids array<int>, text string")
+
+
 def _running(sizes: Iterable[int]) -> Iterator[int]:
     total = 0
     for size in sizes:
@@ -335,7 +362,7 @@ def public_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[bytes,
 
 def round_trip(docs: DataFrame) -> DataFrame:
     ranks, pattern = public_vocabulary()
-    return decode(encode(docs, ranks, pattern), ranks).select(*digest_columns())
+    return encode_decode(docs, ranks, pattern).select(*digest_columns())
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

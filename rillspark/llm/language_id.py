@@ -31,7 +31,7 @@ SCRIPT_SHARE = 0.01
 #: A longer run of letters, as in scripts without spaces, is read as several words of so many letters.
 WORD_LETTERS = 40
 #: Scores that a worker remembers, and texts whose paths are found together: so many, or fewer with that many characters.
-MEMO_SCORES, TEXTS, CHARS = 1_600_000, 4000, 8_000_000
+MEMO_SCORES, TEXTS, CHARS = 600_000, 2000, 4_000_000
 
 # First and last code points of the scripts' main blocks.
 SCRIPTS = (

@@ -487,6 +487,9 @@ def test_bpe_on_odd_rows(tokenizer, odd, empty, clashing):
         want.append((doc_id, len(ids), sha(",".join(map(str, ids)).encode()), sha((text or "").encode())))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert byte_bpe.round_trip(empty).count() == 0
+    ranks, pattern = byte_bpe.public_vocabulary()
+    one, two = byte_bpe.encode_decode(odd, ranks, pattern), byte_bpe.decode(byte_bpe.encode(odd, ranks, pattern), ranks)
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
 
 
 # 9

@@ -20,7 +20,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, keep_rows, read_table
@@ -263,13 +263,13 @@ def link(rows: DataFrame, scheme: Scheme, label: str = "simhash", block: int = B
 
 
 def near_groups(docs: DataFrame, width: int = 3, scheme: Scheme = NEAR, label: str = "simhash", block: int = BLOCK) -> DataFrame:
-    """``(doc_id, fp, root, component_id)``, a row for each row of ``docs``.
+    """``(doc_id, text_hash, fp, root, component_id)``, a row for each row of ``docs``.
 
     component_id is the smallest doc_id reachable, null only where all are null.  Texts that are null or have no word share the
     fingerprint zero and link like any others; repeated rows are one node; an empty table gives an empty one.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(rows.select("doc_id", fingerprint(width, scheme.seeds)("text").alias("fp")), f"{label}-fingerprints")
+    rows = cut(rows.select("doc_id", text_hash(F.col("text")).alias("text_hash"), fingerprint(width, scheme.seeds)("text").alias("fp")), f"{label}-fingerprints")
     roots = cut(link(rows, scheme, label, block), f"{label}-roots")
     smallest = rows.groupBy("fp").agg(F.min("doc_id").alias("smallest")).join(roots, "fp")
     ids = smallest.groupBy("root").agg(F.min("smallest").alias("component_id"))
@@ -277,12 +277,17 @@ def near_groups(docs: DataFrame, width: int = 3, scheme: Scheme = NEAR, label: s
     return rows.join(classes, "fp")
 
 
+def text_hash(text: Column) -> Column:
+    """What tells rows of one doc_id apart without another fingerprint; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def keep_one(docs: DataFrame, width: int = 5, scheme: Scheme = SIMILAR, label: str = "simhash-stage") -> DataFrame:
     """``docs`` with one row of each component, that of the smallest doc_id, nulls last; rows that tie stay once."""
-    rows = near_groups(docs, width, scheme, label).groupBy("root", "doc_id", "fp").agg(F.count(F.lit(1)).alias("rows"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "rows")).alias("first")
-    keepers = cut(rows.groupBy("root").agg(first).select("first.doc_id", F.col("first.fp").alias("key"), "first.rows"), f"{label}-keepers")
-    return keep_rows(docs, fingerprint(width, scheme.seeds)("text"), keepers)
+    rows = near_groups(docs, width, scheme, label).groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "rows")).alias("first")
+    keepers = cut(rows.groupBy("root").agg(first).select("first.doc_id", F.col("first.text_hash").alias("key"), "first.rows"), f"{label}-keepers")
+    return keep_rows(docs, text_hash(F.col("text").cast("string")), keepers)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -290,6 +290,12 @@ def keep_one(docs: DataFrame, width: int = 5, scheme: Scheme = SIMILAR, label: s
     return keep_rows(docs, text_hash(F.col("text").cast("string")), keepers)
 
 
+def big_endian_hex(fp: Column) -> Column:
+    """The 16 hex digits of 8 little-endian bytes; Spark's ``reverse`` takes bytes for UTF-8 characters."""
+    digits = F.lower(F.hex(fp))
+    return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(8))])
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(read_table(spark, sf_dir, "documents"))
-    return groups.select("doc_id", F.lower(F.hex(F.reverse("fp"))).alias("fingerprint"), "component_id")
+    return groups.select("doc_id", big_endian_hex(F.col("fp")).alias("fingerprint"), "component_id")

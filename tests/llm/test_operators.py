@@ -180,6 +180,17 @@ def test_simhash_on_odd_rows(spark, odd, empty, clashing):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 4, 7, 8, 9]
 
 
+def test_op2_columns_are_the_brute_force_ones(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 5000, int(rng.integers(0, 40)))) for _ in range(60)]
+    texts += [f"{t} {t}" for t in texts[:5]] + texts[:5] + [None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in simhash.op2_simhash(spark, str(tmp_path)).collect()}
+    fps = [brute_fingerprint(t) for t in texts]
+    assert [got[i].fingerprint for i in range(len(texts))] == [f"{fp:016x}" for fp in fps]
+    assert [got[i].component_id for i in range(len(texts))] == brute_components([(fp,) for fp in fps], 3)
+
+
 def test_near_copies_go_and_others_stay(spark):
     rng = np.random.default_rng(5)
     vocabulary = [f"w{i}" for i in range(3000)]

@@ -8,6 +8,9 @@ A table of keys joins two segments, each exactly or by its ball.  By the pigeonh
 of fingerprints within the radius (see ``Scheme``).  What shares a key is compared in full.  Equal fingerprints are one node
 from the start.  A task compares a key's fingerprints block by block and passes on a spanning forest, never the pairs; a key
 with more fingerprints than a block has its blocks paired in separate groups.
+
+The pipeline's stage looks for far more differing bits than such tables cover.  Its keys are samples of the bits, and what they
+find are candidates only: texts are linked if their sets of shingles are, compared exactly, similar enough (``similar_roots``).
 """
 
 from __future__ import annotations
@@ -42,20 +45,29 @@ class Scheme:
     or more, there would be at least 2z + (4 - 2z) = 4 errors with z segments without any.  So some segment is the same and the
     next has one error at most.
 
-    ``SIMILAR`` is meant for a similarity of 0.8 of shingle sets.  Pairs of that similarity differ in 19 of 128 bits on the
-    average, with a standard deviation of 4; a radius of 22 takes in five of six of them, nearly all from 0.85, and few below 0.65.
-    Any 5 errors are covered fully, for then two neighbours in the ring of five segments have at most two each; beyond that most
-    pairs are.
+    ``samples`` are further tables, each of the bits at some positions.
+
+    ``SIMILAR`` finds candidates for a similarity of 0.8 of shingle sets.  Pairs of that similarity differ in 19 of 128 bits on the
+    average, with a standard deviation of 4; a radius of 33 is 3.4 of these above.  128 samples of 16 bits, each eight of them a
+    permutation of all bits, miss no pair of 7 bits or fewer.
     """
 
     seeds: tuple[int, ...]
     segments: tuple[tuple[int, int], ...]
     tables: tuple[tuple[tuple[int, str], tuple[int, str]], ...]
     radius: int
+    samples: tuple[tuple[int, ...], ...] = ()
+
+
+def bit_samples(bits: int, size: int, permutations: int) -> tuple[tuple[int, ...], ...]:
+    orders = np.random.RandomState(1)  # its stream never changes
+    return tuple(tuple(int(x) for x in part) for _ in range(permutations) for part in orders.permutation(bits).reshape(-1, size))
 
 
 NEAR = Scheme((42,), tuple((16 * k, 16) for k in range(4)), tuple(((k, "exact"), ((k + 1) % 4, "ball")) for k in range(4)), 3)
-SIMILAR = Scheme((42, 43), tuple((23 * k, 23) for k in range(5)), tuple(((k, "ball"), ((k + 1) % 5, "ball")) for k in range(5)), 22)
+SIMILAR = Scheme((42, 43), (), (), 33, bit_samples(128, 16, 16))
+#: Texts of the pipeline are near copies if their shingle sets share this part of their union or more: a numerator and a denominator.
+ALIKE = (4, 5)
 
 
 @cache
@@ -126,7 +138,10 @@ def key_rows(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in rows:
             for at in range(0, whole.num_rows, 2000):
-                fps = words_of(whole.column(0).slice(at, 2000), len(scheme.seeds))
+                fps = words_of(whole.column(0).slice(at, 2000))
+                if scheme.samples:
+                    keys = sample_keys(fps[:, : len(scheme.seeds)], scheme.samples)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), binary(np.repeat(fps, keys.shape[1], axis=0))], ["key", "fp"])
                 segments = [segment(fps, *s) for s in scheme.segments]
                 balls = {s: ball_keys(segments[s], scheme.segments[s][1]) for t in scheme.tables for s, how in t if how == "ball"}
                 exact = {s: (segments[s][:, None], np.ones((len(fps), 1), bool)) for t in scheme.tables for s, how in t if how == "exact"}
@@ -140,8 +155,15 @@ def key_rows(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     return nodes.select("fp").mapInArrow(batches, "key long, fp binary")
 
 
-def words_of(column: pa.Array, n: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, n)
+def sample_keys(fps: np.ndarray, samples: tuple[tuple[int, ...], ...]) -> np.ndarray:
+    """A key for each row and sample of 16 bits; those of different samples differ."""
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
+    values = np.ascontiguousarray(np.packbits(bits[:, np.array(samples).ravel()], axis=1, bitorder="little")).view("<u2")
+    return np.arange(len(samples), dtype=np.int64) << 16 | values.astype(np.int64)
+
+
+def words_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
 
 
 def binary(fps: np.ndarray) -> pa.Array:
@@ -158,7 +180,17 @@ def segment(fps: np.ndarray, first: int, width: int) -> np.ndarray:
     return (bits & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
-def forest(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def close(fps: np.ndarray, a: np.ndarray, b: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """Whether rows ``a`` and ``b`` differ in few bits; if a word with the sets' sizes follows the bits, also whether these allow for ``ALIKE``."""
+    n = len(scheme.seeds)
+    near = np.bitwise_count(fps[a, :n] ^ fps[b, :n]).sum(axis=1) <= scheme.radius
+    if fps.shape[1] > n:
+        x, y = fps[a, n] & SIZE, fps[b, n] & SIZE
+        near &= ALIKE[1] * np.minimum(x, y) >= ALIKE[0] * np.maximum(x, y)
+    return near
+
+
+def forest(keys: np.ndarray, fps: np.ndarray, scheme: Scheme) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions and their roots: a forest that spans, within each run of equal keys, what is linked."""
     parent = np.arange(len(keys))
 
@@ -170,8 +202,8 @@ def forest(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
 
     left, shift = np.arange(len(keys) - 1), 1
     while len(left := left[left + shift < len(keys)]) and len(left := left[keys[left + shift] == keys[left]]):
-        near = left[np.bitwise_count(fps[left] ^ fps[left + shift]).sum(axis=1) <= radius]
-        near = near[parent[near] != parent[near + shift]]
+        near = left[parent[left] != parent[left + shift]]
+        near = near[close(fps, near, near + shift, scheme)]
         for i in near.tolist():
             a, b = find(i), find(i + shift)
             if a != b:
@@ -181,40 +213,51 @@ def forest(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
                 parent = up
         shift += 1
     linked = np.nonzero(parent != np.arange(len(keys)))[0]
-    return linked, parent[linked]
+    yield linked, parent[linked]
+
+
+def every_pair(keys: np.ndarray, fps: np.ndarray, scheme: Scheme) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of positions that are close, within each run of equal keys, with different labels (the last word)."""
+    left, shift = np.arange(len(keys) - 1), 1
+    while len(left := left[left + shift < len(keys)]) and len(left := left[keys[left + shift] == keys[left]]):
+        near = left[fps[left, -1] != fps[left + shift, -1]]
+        near = near[close(fps, near, near + shift, scheme)]
+        if len(near):
+            yield near, near + shift
+        shift += 1
 
 
 COMPARED = "u binary, v binary, key long, block int"
 
 
-def compare(keyed: DataFrame, scheme: Scheme, block: int = BLOCK) -> DataFrame:
+def compare(keyed: DataFrame, scheme: Scheme, block: int = BLOCK, pairs=forest) -> DataFrame:
     """Edges ``(u, v)`` of ``(key, fp)`` rows dealt and sorted by key; of a key with over a block of rows, all rows as ``(u, key, block)``."""
-    n = len(scheme.seeds)
 
-    def edges(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        i, j = forest(keys, fps, scheme.radius)
-        return pa.RecordBatch.from_arrays([binary(fps[i]), binary(fps[j]), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int32())], ["u", "v", "key", "block"])
+    def edges(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i, j in pairs(keys, fps, scheme):
+            yield pa.RecordBatch.from_arrays([binary(fps[i]), binary(fps[j]), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int32())], ["u", "v", "key", "block"])
 
     def as_block(key: int, number: int, fps: np.ndarray) -> pa.RecordBatch:
         m = len(fps)
         return pa.RecordBatch.from_arrays([binary(fps), pa.nulls(m, pa.binary()), pa.array(np.full(m, key)), pa.array(np.full(m, number), pa.int32())], ["u", "v", "key", "block"])
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, np.int64), np.zeros((0, n), np.uint64)
+        keys, fps = np.zeros(0, np.int64), None
         blocks: dict[int, int] = {}  # blocks so far of the key that goes on
 
         def wide(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
             key = int(k[0])
             for at in range(0, len(k), block):
                 part = slice(at, at + block)
-                yield edges(k[part], f[part])
+                yield from edges(k[part], f[part])
                 yield as_block(key, blocks.setdefault(key, 0), f[part])
                 blocks[key] += 1
 
         for whole in chain(rows, [None]):
             if whole is not None and whole.num_rows:
+                more = words_of(whole.column(1))
+                fps = np.concatenate((fps, more)) if len(keys) else more
                 keys = np.concatenate((keys, whole.column(0).to_numpy()))
-                fps = np.concatenate((fps, words_of(whole.column(1), n)))
             if not len(keys):
                 continue
             end = len(keys) if whole is None else int(np.searchsorted(keys, keys[-1]))
@@ -224,7 +267,7 @@ def compare(keyed: DataFrame, scheme: Scheme, block: int = BLOCK) -> DataFrame:
             large = (sizes > block) | np.isin(k[starts], list(blocks))
             several = np.repeat(~large & (sizes > 1), sizes)
             if several.any():
-                yield edges(k[several], f[several])
+                yield from edges(k[several], f[several])
             for i in np.nonzero(large)[0]:
                 run = slice(starts[i], starts[i] + sizes[i])
                 yield from wide(k[run], f[run])
@@ -239,19 +282,19 @@ def compare(keyed: DataFrame, scheme: Scheme, block: int = BLOCK) -> DataFrame:
     return keyed.mapInArrow(batches, COMPARED)
 
 
-def edges_of(nodes: DataFrame, scheme: Scheme, label: str, block: int = BLOCK) -> DataFrame:
-    """``(u, v)``: a spanning forest's edges for every key, over distinct fingerprints."""
+def edges_of(nodes: DataFrame, scheme: Scheme, label: str, block: int = BLOCK, pairs=forest) -> DataFrame:
+    """``(u, v)``: for every key a spanning forest's edges, or what else ``pairs`` takes, over distinct fingerprints."""
     keyed = key_rows(nodes, scheme)
-    found = cut(compare(keyed.repartition("key").sortWithinPartitions("key"), scheme, block), f"{label}-compared")
+    found = cut(compare(keyed.repartition("key").sortWithinPartitions("key"), scheme, block, pairs), f"{label}-compared")
     edges = found.filter("v is not null").select("u", "v")
     wide = found.filter("v is null").select("key", "block", F.col("u").alias("fp"))
     if wide.isEmpty():
         return edges
     # Keys with over a block of fingerprints: every two of their blocks meet in a group of their own.
     others = wide.groupBy("key").agg(F.max("block").alias("last")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
-    pairs = wide.join(others, "key").filter("other <> block")
+    met = wide.join(others, "key").filter("other <> block")
     pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    again = compare(pairs.select(pair.alias("key"), "fp").repartition("key").sortWithinPartitions("key"), scheme, 1 << 30)
+    again = compare(met.select(pair.alias("key"), "fp").repartition("key").sortWithinPartitions("key"), scheme, 1 << 30, pairs)
     return edges.unionByName(cut(again, f"{label}-blocks").select("u", "v"))
 
 
@@ -282,9 +325,95 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+#: The bits of a node's last word that hold the number of its shingles, at most this; the others are of a hash of the set.
+SIZE = np.uint64((1 << 24) - 1)
+
+
+def set_node(text: bytes, width: int, scheme: Scheme) -> bytes:
+    """The fingerprint, then a word of the shingle set's hash and size: texts with the same set are one node."""
+    own = shingle_set(text, width)
+    tail = xxhash.xxh64_intdigest(own.tobytes()) & ~int(SIZE) | min(len(own), int(SIZE))
+    return simhash(text, width, scheme.seeds) + tail.to_bytes(8, "little")
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width, 42))
+
+
+def alike(a: bytes, b: bytes) -> bool:
+    """Whether two sorted sets of hashes are similar enough; exact, in whole numbers.  Empty sets are alike."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return ALIKE[1] * both >= ALIKE[0] * (len(x) + len(y) - both)
+
+
+def on_texts(of, kind: str):
+    """The column function of ``of`` over texts as bytes, null as the empty one."""
+
+    @F.arrow_udf(kind)
+    def column(text: pa.Array) -> pa.Array:
+        return pa.array([of(t.as_py()) for t in text.cast(pa.binary()).fill_null(b"")], pa.binary())
+
+    return column
+
+
+def on_sets():
+    """The column function of ``alike``."""
+
+    @F.arrow_udf("boolean")
+    def column(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([alike(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.bool_())
+
+    return column
+
+
+def similar_roots(rows: DataFrame, docs: DataFrame, width: int, scheme: Scheme, label: str) -> DataFrame:
+    """``(fp, root)`` of the nodes of ``rows``: components of the candidate pairs whose shingle sets are alike.
+
+    Candidates are first taken for links.  Each member of such a coarse component is compared with its smallest; where all are
+    alike, the component stands.  Of the other components every candidate pair that isn't linked by then is compared.
+    """
+    nodes = cut(rows.select("fp").distinct(), f"{label}-nodes")
+    coarse = cut(components(edges_of(nodes, scheme, label), f"{label}-coarse"), f"{label}-stars")
+    members = cut(coarse.select("node").union(coarse.select("root")).distinct(), f"{label}-members")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "rows")
+    chosen = rows.groupBy("fp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows")).groupBy("fp").agg(F.min(order).alias("o"))
+    chosen = cut(chosen.join(members, F.col("fp") == F.col("node"), "left_semi").select("fp", "o.doc_id", "o.text_hash", "o.rows"), f"{label}-chosen")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("hash", text_hash(F.col("text")))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
+    found = texts.join(chosen, same).select("fp", "text")
+    if not chosen.filter("rows > 1").isEmpty():
+        found = found.dropDuplicates(["fp"])
+    sets = cut(found.select("fp", on_texts(lambda t: shingle_set(t, width).tobytes(), "binary")("text").alias("of")), f"{label}-sets")
+
+    def judged(pairs: DataFrame, name: str) -> DataFrame:
+        one = pairs.join(sets.select(F.col("fp").alias("u"), F.col("of").alias("a")), "u")
+        both = one.join(sets.select(F.col("fp").alias("v"), F.col("of").alias("b")), "v")
+        return cut(both.select("u", "v", on_sets()("a", "b").alias("alike")), f"{label}-{name}")
+
+    stars = judged(coarse.select(F.col("node").alias("u"), F.col("root").alias("v")), "judged-stars")
+    links = stars.filter("alike").select("u", "v")
+    open_roots = stars.filter("not alike").select("v").distinct()
+    if not open_roots.isEmpty():
+        pool = stars.join(open_roots, "v", "left_semi").select(F.col("u").alias("node"), F.when(F.col("alike"), F.col("v")).otherwise(F.col("u")).alias("of"))
+        pool = pool.unionByName(open_roots.select(F.col("v").alias("node"), F.col("v").alias("of")))
+        # The label of what is linked already follows the node's own words.
+        labelled = cut(pool.select(F.concat("node", F.unhex(F.lpad(F.hex(F.xxhash64("of")), 16, "0"))).alias("fp")), f"{label}-pool")
+        bare = lambda x: F.substring(x, 1, 8 * len(scheme.seeds) + 8)
+        pairs = edges_of(labelled, scheme, f"{label}-open", pairs=every_pair).select(bare("u").alias("u"), bare("v").alias("v"))
+        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(stars.select("u", "v"), ["u", "v"], "left_anti")
+        links = links.unionByName(judged(cut(pairs, f"{label}-pairs"), "judged-pairs").filter("alike").select("u", "v"))
+    roots = components(links, f"{label}-components")
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def keep_one(docs: DataFrame, width: int = 5, scheme: Scheme = SIMILAR, label: str = "simhash-stage") -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest doc_id, nulls last; rows that tie stay once."""
-    rows = near_groups(docs, width, scheme, label).groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    """``docs`` with one row of each group of near copies, that of the smallest doc_id, nulls last; rows that tie stay once."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    node = on_texts(lambda t: set_node(t, width, scheme), "binary")("text").alias("fp")
+    made = cut(texts.select("doc_id", text_hash(F.col("text")).alias("text_hash"), node), f"{label}-fingerprints")
+    rows = made.join(cut(similar_roots(made, docs, width, scheme, label), f"{label}-roots"), "fp")
+    rows = rows.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "rows")).alias("first")
     keepers = cut(rows.groupBy("root").agg(first).select("first.doc_id", F.col("first.text_hash").alias("key"), "first.rows"), f"{label}-keepers")
     return keep_rows(docs, text_hash(F.col("text").cast("string")), keepers)

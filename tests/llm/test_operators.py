@@ -200,6 +200,23 @@ def test_near_copies_go_and_others_stay(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == list(range(12))
 
 
+def test_stage_links_by_exact_similarity(spark):
+    rng = np.random.default_rng(11)
+    vocabulary, texts, want = [f"w{i}" for i in range(5000)], [], []
+    for k in range(60):  # every fourth pair is over 0.8 by little, the others under it by little
+        t = list(rng.choice(vocabulary, 304))
+        changed, n = list(t), 6 if k % 4 == 0 else 10
+        for at in range(20, 20 + 25 * n, 25):
+            changed[at] = f"new{k}"
+        a, b = (simhash.shingle_set(" ".join(x).encode(), 5) for x in (t, changed))
+        near = len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+        assert near == (k % 4 == 0)
+        want += [2 * k] if near else [2 * k, 2 * k + 1]
+        texts += [" ".join(t), " ".join(changed)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(200, 200), (None, 3)]
     found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -109,11 +109,13 @@ def shingle_hashes(text: bytes, width: int, seed: int) -> np.ndarray:
     return np.fromiter((hashed(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends.tolist(), strict=True)), np.uint64, n)
 
 
-def simhash(text: bytes, width: int, seeds: tuple[int, ...]) -> bytes:
-    """A little-endian 64-bit word for each seed: a bit is 1 if set in over half of the shingles' hashes."""
+def simhash(text: bytes, width: int, seeds: tuple[int, ...], once: bool = False) -> bytes:
+    """A little-endian 64-bit word for each seed: a bit is 1 if set in over half of the shingles' hashes; with ``once`` repeats don't count."""
     out = b""
     for seed in seeds:
         hashes = shingle_hashes(text, width, seed)
+        if once:
+            hashes = np.unique(hashes)
         votes = np.zeros(64, np.int64)
         for at in range(0, len(hashes), UNPACK):
             part = hashes[at : at + UNPACK].view(np.uint8).reshape(-1, 8)
@@ -330,10 +332,10 @@ SIZE = np.uint64((1 << 24) - 1)
 
 
 def set_node(text: bytes, width: int, scheme: Scheme) -> bytes:
-    """The fingerprint, then a word of the shingle set's hash and size: texts with the same set are one node."""
+    """The fingerprint of the shingle set, then a word of its hash and size: texts with the same set are one node."""
     own = shingle_set(text, width)
     tail = xxhash.xxh64_intdigest(own.tobytes()) & ~int(SIZE) | min(len(own), int(SIZE))
-    return simhash(text, width, scheme.seeds) + tail.to_bytes(8, "little")
+    return simhash(text, width, scheme.seeds, once=True) + tail.to_bytes(8, "little")
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:

@@ -217,6 +217,16 @@ def test_stage_links_by_exact_similarity(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
 
 
+def test_stage_fingerprints_are_of_sets():
+    rng = np.random.default_rng(13)
+    line = " ".join(f"line{i}" for i in range(11))
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 5000, 100)) for _ in range(2)]
+    a, b = (simhash.words_of(pa.array([simhash.set_node(f"{t} {(line + ' ') * 50}".encode(), 5, simhash.SIMILAR)]))[0] for t in texts)
+    assert np.bitwise_count(a[:2] ^ b[:2]).sum() > simhash.SIMILAR.radius
+    twice, often = (simhash.set_node(f"{texts[0]} {(line + ' ') * n}".encode(), 5, simhash.SIMILAR) for n in (2, 50))
+    assert twice == often
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(200, 200), (None, 3)]
     found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -106,23 +107,28 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
 class Template:
     def __init__(self, name: str, text: str):
         self.name, self.words = name, words_of(text)
+        self.count = Counter(self.words)
         self.distinct = set(self.words)
         self.reach = 2 * len(self.words) + 8
 
+    def seeds(self, where: dict[str, list[int]]) -> list[str]:
+        """Of the template's words at most a fifth may be missing, so one of its rarest ones stands in any hit."""
+        missing = len(self.words) - int(-(-LEAST_COVERAGE * len(self.words) // 1))
+        out, covered = [], 0
+        for w in sorted(self.distinct, key=lambda w: len(where.get(w, ()))):
+            if w in where:
+                out.append(w)
+            covered += self.count[w]
+            if covered > missing:
+                break
+        return out
+
     def places(self, text: list[str], where: dict[str, list[int]]) -> list[tuple[int, int]]:
         """Stretches of the text that hold enough of the template's words: nothing outside can reach the least coverage."""
         rare = min(self.distinct & where.keys(), key=lambda w: len(where[w]), default=None)
         if rare is None or sum(w in where for w in self.words) < LEAST_COVERAGE * len(self.words):
             return []
-        # Of the template's words at most a fifth may be missing, so one of its rarest ones stands in any hit.
-        missing = len(self.words) - int(-(-LEAST_COVERAGE * len(self.words) // 1))
-        counts = sorted(self.distinct, key=lambda w: len(where.get(w, ())))
-        seeds, covered = [], 0
-        for w in counts:
-            seeds += where.get(w, ())
-            covered += self.words.count(w)
-            if covered > missing:
-                break
+        seeds = [at for w in self.seeds(where) for at in where[w]]
         out: list[tuple[int, int]] = []
         for at in sorted(seeds):
             low, high = max(0, at - self.reach), min(len(text), at + self.reach)
@@ -136,14 +142,32 @@ class Template:
         """The best coverage with the first and last aligned word, if it is enough."""
         best = None
         for low, high in self.places(text, where):
-            pairs = align(text[low:high], self.words)
-            if pairs and pairs[-1][0] - pairs[0][0] > self.reach:
-                pairs = densest(pairs, self.reach)
-            coverage = len(pairs) / len(self.words)
-            if coverage >= LEAST_COVERAGE and (best is None or coverage > best[0]):
-                best = (coverage, low + pairs[0][0], low + pairs[-1][0])
+            found = self.within(text, low, high)
+            if found is None or found[0] < 1:  # a notice that stands twice has no word once: each one is looked at alone
+                found = max([f for f in (found, *self.alone(text, where, low, high)) if f], key=lambda f: f[0], default=None)
+            if found and (best is None or found[0] > best[0]):
+                best = found
         return best
 
+    def within(self, text: list[str], low: int, high: int) -> tuple[float, int, int] | None:
+        pairs = align(text[low:high], self.words)
+        if pairs and pairs[-1][0] - pairs[0][0] > self.reach:
+            pairs = densest(pairs, self.reach)
+        coverage = len(pairs) / len(self.words)
+        return (coverage, low + pairs[0][0], low + pairs[-1][0]) if coverage >= LEAST_COVERAGE else None
+
+    def alone(self, text: list[str], where: dict[str, list[int]], low: int, high: int) -> Iterator[tuple[float, int, int] | None]:
+        """Windows of about the template's length, where it has to begin for one of its rare words to be in place."""
+        n, begins = len(self.words), set()
+        for w in self.seeds(where):
+            for at in where[w][bisect_left(where[w], low) : bisect_left(where[w], high)]:
+                begins |= {at - i for i, own in enumerate(self.words) if own == w}
+        for slack in (n // 4 + 2, n + 4):
+            for at in sorted(begins):
+                a, b = max(low, at - slack), min(high, at + n + slack)
+                if (self.count & Counter(text[a:b])).total() >= LEAST_COVERAGE * n:
+                    yield self.within(text, a, b)
+
 
 def densest(pairs: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
     """The most pairs whose text positions lie within ``reach``."""

@@ -104,6 +104,22 @@ def test_license_scan_finds_each_template_and_leaves_others(spark):
     assert got[103].license == "MIT"
 
 
+def scanned(text, name):
+    where = {}
+    for i, w in enumerate(license_scan.words_of(text)):
+        where.setdefault(w, []).append(i)
+    return license_scan.Template(name, license_scan.TEMPLATES[name]).find(license_scan.words_of(text), where)
+
+
+@pytest.mark.parametrize("name", sorted(license_scan.TEMPLATES))
+@pytest.mark.parametrize("between", ["", "and so on", EN])
+def test_repeated_notices_are_found(name, between):
+    notice = license_scan.TEMPLATES[name]
+    for times in (2, 3):
+        found = scanned(f"foreign words {between} {f' {between} '.join([notice] * times)} {between} more of them", name)
+        assert found and found[0] == 1
+
+
 # 2
 
 

@@ -22,6 +22,8 @@ WORDS = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 #: The least coverage of a template that counts as found.
 LEAST_COVERAGE = 0.8
+#: Templates of fewer words may miss one word at most.
+SHORT = 20
 
 # Short notices and the opening grants of common licenses.
 TEMPLATES = {
@@ -49,6 +51,22 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
 }
 
+#: What names the license: phrases of a template, and those of their words that have to be aligned.  A phrase takes no more
+#: words of the text than of the template, so that nothing (Lesser, NonCommercial, another version) stands in between.
+_APACHE = (("apache license version 2.0", "apache license 2.0"),)
+_GPL = (("gnu general public license", "gnu general public license"), ("version 3", "version 3"))
+NAMES = {
+    "Apache-2.0": _APACHE,
+    "Apache-2.0 (header)": _APACHE,
+    "MIT": (("mit license", "mit license"),),
+    "GPL-3.0": _GPL,
+    "GPL-3.0 (notice)": (("gnu general public license", "gnu general public license"), ("either version 3", "version 3")),
+    "MPL-2.0": (("mozilla public license v 2.0", "mozilla public license 2.0"),),
+    "CC-BY-4.0": (("creative commons attribution 4.0", "creative commons attribution 4.0"),),
+    "CC-BY-NC-4.0": (("cc by-nc 4.0", "cc by-nc 4.0"),),
+    "CC-BY-SA-4.0": (("cc by-sa 4.0", "cc by-sa 4.0"),),
+}
+
 
 def words_of(text: str) -> list[str]:
     return WORDS.findall(text.lower())
@@ -109,6 +127,11 @@ class Template:
         self.name, self.words = name, words_of(text)
         self.count = Counter(self.words)
         self.distinct = set(self.words)
+        self.names = []
+        for phrase, needed in NAMES.get(name, ()) if TEMPLATES.get(name) == text else ():
+            p = words_of(phrase)
+            first = next(i for i in range(len(self.words)) if self.words[i : i + len(p)] == p)
+            self.names.append([first + k for k, w in enumerate(p) if w in words_of(needed)])
         self.reach = 2 * len(self.words) + 8
 
     def seeds(self, where: dict[str, list[int]]) -> list[str]:
@@ -154,7 +177,12 @@ class Template:
         if pairs and pairs[-1][0] - pairs[0][0] > self.reach:
             pairs = densest(pairs, self.reach)
         coverage = len(pairs) / len(self.words)
-        return (coverage, low + pairs[0][0], low + pairs[-1][0]) if coverage >= LEAST_COVERAGE else None
+        enough = coverage >= LEAST_COVERAGE and (len(self.words) >= SHORT or len(pairs) >= len(self.words) - 1)
+        return (coverage, low + pairs[0][0], low + pairs[-1][0]) if enough and self.named(pairs) else None
+
+    def named(self, pairs: list[tuple[int, int]]) -> bool:
+        at = {j: i for i, j in pairs}
+        return all(all(j in at for j in needed) and at[needed[-1]] - at[needed[0]] <= needed[-1] - needed[0] for needed in self.names)
 
     def alone(self, text: list[str], where: dict[str, list[int]], low: int, high: int) -> Iterator[tuple[float, int, int] | None]:
         """Windows of about the template's length, where it has to begin for one of its rare words to be in place."""

@@ -120,6 +120,31 @@ def test_repeated_notices_are_found(name, between):
         assert found and found[0] == 1
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Released under the BSD License.",
+        "It was released under the new license.",
+        "Licensed under CC BY 4.0.",
+        "Licensed under CC BY-ND 4.0.",
+        "Licensed under the Apache License, Version 1.1.",
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        license_scan.TEMPLATES["GPL-3.0 (notice)"].replace("version 3", "version 2"),
+        license_scan.TEMPLATES["Apache-2.0 (header)"].replace("2.0", "1.1"),
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "Subject to the terms of the Mozilla Public License, v. 1.1. This Source Code Form is subject to the terms of it",
+    ],
+)
+def test_other_licenses_and_prose_are_not_found(text):
+    assert not [n for n in license_scan.TEMPLATES for t in (text, f"{EN} {text} {DE}") if scanned(t, n)]
+
+
+def test_small_changes_of_short_notices_are_found():
+    assert scanned(f"{EN} distributed under the MIT License {DE}", "MIT")
+    assert scanned(f"{EN} licensed under the Apache License 2.0 {DE}", "Apache-2.0")
+
+
 # 2
 
 

@@ -10,6 +10,7 @@ them, each with its outgoing byte transitions; a token is emitted when every pos
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import unicodedata
 from array import array
@@ -20,18 +21,19 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, worker_state
 
 #: Pieces at least this long are not remembered whole; the transducer reads them byte by byte each time.
 MEMO_PIECE = 64
-#: The memo stops at its size, the state table and the known pairs are emptied at theirs, so a worker's memory is bounded.
-MEMO_ROWS, MAX_STATES, MAX_PAIRS = 120_000, 120_000, 200_000
+#: The memo starts anew at its size and keeps the one before as well; the tables of states, plans and known pairs are emptied at
+#: theirs, so a worker's memory is bounded.
+MEMO_ROWS, MAX_STATES, MAX_PLANS, MAX_PAIRS = 100_000, 120_000, 100_000, 200_000
 #: The rank of a pair that no merge joins.
 NEVER = 1 << 60
 #: Texts are split into pieces in one go up to this many characters, beyond it piece by piece.
 WHOLE_TEXT = 1_000_000
-#: Bytes of a piece whose labels are held before tokens are emitted; the longest token is shorter.
-LOOKAHEAD = 4096
+#: Bits of a token id within a transition; ids beyond them are refused.
+ID_BITS = 20
 #: Rows of an Arrow batch that are worked on at a time.
 SLICE = 1000
 #: Tokens joined at a time by the decoder.
@@ -47,21 +49,29 @@ class Transducer:
 
     A state holds the bytes that a token may still continue and, for each position where such a token can begin, the token
     that ends there.  A step reads a byte and says which token ends after it.  Tokens are emitted once every position that
-    is still open descends from them.
+    is still open descends from them, after no more bytes than the longest token has.
+
+    What a byte does to the bytes alone is a *plan*: the tokens that may end, and the positions that stay open.  Windows are
+    few, so a new state costs a look at its plan and at the pairs of tokens that the plan names.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
+        if any(not 0 <= i < 1 << ID_BITS for i in ranks.values()):
+            raise ValueError(f"token ids have to be from 0 to {(1 << ID_BITS) - 1}")
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.length_of = {i: len(t) for t, i in ranks.items()}
-        self.offsets: dict[bytes, tuple[int, ...]] = {}
+        self.lookahead = max(map(len, ranks), default=1)
         self.open = {t[:k] for t in ranks for k in range(1, len(t))}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.windows: list[tuple[bytes, tuple[int, ...]]] = []
+        self.window_of: dict[bytes, int] = {}
+        self.plans: dict[int, tuple[list, list, int]] = {}
+        self.pairs: dict[int, bool] = {}
         self.edges: dict[int, tuple[bool, list, list]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        start = (b"", (-1,))
+        start = (self._window(b""), -1)
         self.states, self.index = [start], {start: 0}
         self.step: dict[int, int] = {}
 
@@ -101,16 +111,15 @@ class Transducer:
         They do unless, at some time while both tokens are built up, a merge across the seam outranks the next merges of
         the two parts that touch it.
         """
-        if (known := self.pairs.get((left, right))) is None:
-            if len(self.pairs) > MAX_PAIRS:
-                self.pairs.clear()
-            whole, ahead, _ = self._edge(right)
-            if left < 0:
-                known = whole
-            else:
-                left_whole, _, behind = self._edge(left)
-                known = whole and left_whole and self._seam_holds(behind, ahead)
-            self.pairs[(left, right)] = known
+        if len(self.pairs) > MAX_PAIRS:
+            self.pairs.clear()
+        whole, ahead, _ = self._edge(right)
+        if left < 0:
+            known = whole
+        else:
+            left_whole, _, behind = self._edge(left)
+            known = whole and left_whole and self._seam_holds(behind, ahead)
+        self.pairs[left + 1 << ID_BITS | right] = known
         return known
 
     def _seam_holds(self, behind: list, ahead: list) -> bool:
@@ -127,31 +136,41 @@ class Transducer:
             else:
                 j += 1
 
-    def _open_at(self, window: bytes) -> tuple[int, ...]:
-        """The positions in a window where a token can have begun that goes on; the last is the window's end."""
-        if (known := self.offsets.get(window)) is None:
-            if len(self.offsets) > MAX_STATES:
-                self.offsets.clear()
-            known = self.offsets[window] = (*(k for k in range(len(window)) if window[k:] in self.open), len(window))
+    def _window(self, window: bytes) -> int:
+        """The number of a window, beside which stand the positions where a token can have begun that goes on, and its end."""
+        if (known := self.window_of.get(window)) is None:
+            known = self.window_of[window] = len(self.windows)
+            self.windows.append((window, (*(k for k in range(len(window)) if window[k:] in self.open), len(window))))
+        return known
+
+    def _plan(self, number: int, byte: int) -> tuple[list, list, int]:
+        """Of a window and a byte: the tokens that may end, longest first, and the open positions that stay so, both by the place
+        in a state where the position's token stands; then the next window."""
+        if len(self.plans) > MAX_PLANS:
+            self.plans.clear()
+        window, at = self.windows[number]
+        seen = window + bytes((byte,))
+        ending = [(place, token) for place, k in enumerate(at, 1) if (token := self.ranks.get(seen[k:])) is not None]
+        first = next((k for k in at if seen[k:] in self.open), len(seen))
+        to = self._window(seen[first:])
+        still = {k + first for k in self.windows[to][1]}
+        known = self.plans[number << 8 | byte] = (ending, [place for place, k in enumerate(at, 1) if k in still], to)
         return known
 
-    def _determinise(self, state: int, byte: int) -> int:
-        window, ends = self.states[state]
-        seen, at = window + bytes((byte,)), self._open_at(window)
-        for k, before in zip(at, ends):
-            token = self.ranks.get(seen[k:])
-            if token is not None and self._fits(before, token):
+    def _determinise(self, number: int, byte: int) -> int:
+        state = self.states[number]
+        ending, staying, to = self.plans.get(state[0] << 8 | byte) or self._plan(state[0], byte)
+        for place, token in ending:
+            fits = self.pairs.get(state[place] + 1 << ID_BITS | token)
+            if self._fits(state[place], token) if fits is None else fits:
                 break
         else:
             raise ValueError("the ranks don't give each single byte a token")
-        first = next((k for k in at if seen[k:] in self.open), len(seen))
-        left = seen[first:]
-        still = {k + first for k in self._open_at(left)}
-        target = (left, (*(t for k, t in zip(at, ends) if k in still), token))
-        if (to := self.index.get(target)) is None:
-            to = self.index[target] = len(self.states)
+        target = (to, *[state[place] for place in staying], token)
+        if (next_number := self.index.get(target)) is None:
+            next_number = self.index[target] = len(self.states)
             self.states.append(target)
-        self.step[state << 8 | byte] = found = to << 20 | token
+        self.step[number << 8 | byte] = found = next_number << ID_BITS | token
         return found
 
     def _settled(self, labels: list[int], upto: int) -> list[int]:
@@ -170,22 +189,20 @@ class Transducer:
             self._reset()
         out: list[int] = []
         labels: list[int] = []
-        state, known = 0, self.step.get
-        for at in range(0, len(piece), LOOKAHEAD):
-            for byte in piece[at : at + LOOKAHEAD]:
-                found = known(state << 8 | byte)
-                if found is None:
-                    found = self._determinise(state, byte)
-                state = found >> 20
-                labels.append(found & 0xFFFFF)
-            if len(piece) > LOOKAHEAD:
+        state, known, token_of = 0, self.step.get, (1 << ID_BITS) - 1
+        for at in range(0, len(piece), self.lookahead):
+            for byte in piece[at : at + self.lookahead]:
+                found = known(state << 8 | byte) or self._determinise(state, byte)  # no step leads to the start, state 0
+                state = found >> ID_BITS
+                labels.append(found & token_of)
+            if len(piece) > at + self.lookahead:
                 self._emit(labels, state, out)
         return out + self._settled(labels, len(labels))
 
     def _emit(self, labels: list[int], state: int, out: list[int]) -> None:
         """Emit what every open position agrees on, and forget its labels."""
-        window = self.states[state][0]
-        paths = [self._settled(labels, len(labels) - len(window) + k) for k in self._open_at(window)]
+        window, at = self.windows[self.states[state][0]]
+        paths = [self._settled(labels, len(labels) - len(window) + k) for k in at]
         agreed = 0
         while all(len(p) > agreed for p in paths) and len({p[agreed] for p in paths}) == 1:
             agreed += 1
@@ -235,27 +252,26 @@ def _latin_classes(pattern: str) -> re.Pattern:
 
 _BEYOND_LATIN = re.compile("[^\\x00-\u024f]")
 
-_workers: dict[int, Encoder] = {}
-
 
 class Encoder:
     def __init__(self, ranks: bytes, pattern: str):
         self.fst = Transducer(parse_ranks(ranks))
         self.split, self.split_latin = regex.compile(pattern), _latin_classes(pattern)
         self.memo: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, ranks: bytes, pattern: str) -> Encoder:
-        """One for each Python worker and rank file."""
-        key = hash((ranks, pattern))
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = cls(ranks, pattern)
-        return _workers[key]
+        """One for each Python worker and rank file, until another operator needs the place."""
+        return worker_state(("byte_bpe", hashlib.sha256(ranks).digest(), pattern), lambda: cls(ranks, pattern))
 
     def _miss(self, piece: str) -> bytes:
-        packed = array("i", self.fst.encode(piece.encode())).tobytes()
-        if len(piece) < MEMO_PIECE and len(self.memo) < MEMO_ROWS:  # frequent pieces come early
+        if (packed := self.before.get(piece)) is None:
+            packed = array("i", self.fst.encode(piece.encode())).tobytes()
+        if len(piece) < MEMO_PIECE:
+            if len(self.memo) >= MEMO_ROWS:
+                self.before = dict(self.memo)
+                self.memo.clear()  # whoever looks up in it goes on
             self.memo[piece] = packed
         return packed
 

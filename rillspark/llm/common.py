@@ -6,7 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
-
+from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
+from functools import reduce
+from operator import and_
+from typing import Any
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +21,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _local_dirs: dict[str, str] = {}
+_worker_state: dict[Hashable, Any] = {}
+
+
+def worker_state(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one thing at a time.
+
+    Workers outlive tasks and serve all operators in turn, so what one of them keeps is let go as soon as another keeps its own.
+    """
+    if key not in _worker_state:
+        _worker_state.clear()
+        _worker_state[key] = make()
+    return _worker_state[key]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,16 +63,44 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scratch: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that ``cut`` writes inside are deleted at the end, when what is read from then on has been written outside."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scratch.pop():
+            _delete(spark, path)
+
+
+@contextmanager
+def outside() -> Iterator[None]:
+    """Within ``scratch``: what ``cut`` writes here belongs to the caller and stays."""
+    own = _scratch.pop()
+    try:
+        yield
+    finally:
+        _scratch.append(own)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files behind a table made by ``cut`` that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -64,16 +111,63 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def keep_rows(docs: DataFrame, key: Column, keepers: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id and ``key`` are among ``keepers`` ``(doc_id, key, rows)``, all columns as they are.
+#: Bits of a Bloom filter, 2 MB on the driver and in a task, and hash functions.  Its size is fixed; with more than some three
+#: million keys it lets more and more others pass, which costs work later on and changes no result.
+BLOOM_BITS, BLOOM_HASHES = 1 << 24, 4
+
+
+class Bloom:
+    """A filter of keys, made of DataFrame operations: what it refuses is no key for certain."""
+
+    def __init__(self, keys: DataFrame, *columns: str, bits: int = BLOOM_BITS):
+        first, second = self._hashes(columns)
+        spots = F.array(*[F.pmod(first + F.lit(i) * second, F.lit(bits)) for i in range(BLOOM_HASHES)])
+        at = keys.select(F.explode(spots).alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, int(at & 63))").alias("bit"))
+        self.bits, self.words = bits, np.zeros(bits // 64, np.int64)
+        for r in at.groupBy("word").agg(F.bit_or("bit").alias("bit")).collect():  # bits / 64 rows
+            self.words[r.word] = r.bit
+
+    @staticmethod
+    def _hashes(columns: tuple[str, ...]) -> list[Column]:
+        # Below 2^40, so that no sum overflows.
+        return [F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40)) for seed in ("bloom", "filter")]
+
+    def may_have(self, *columns: str) -> Column:
+        bits, words = self.bits, self.words
+
+        @F.arrow_udf("boolean")
+        def found(first: pa.Array, second: pa.Array) -> pa.Array:
+            one, two = first.to_numpy(), second.to_numpy()
+            out = np.ones(len(one), bool)
+            for i in range(BLOOM_HASHES):
+                at = (one + i * two) % bits
+                out &= (words[at >> 6] >> (at & 63) & 1).astype(bool)
+            return pa.array(out)
+
+        return found(*self._hashes(columns))
+
+
+def chosen_rows(rows: DataFrame, names: tuple[str, ...], chosen: DataFrame, others: DataFrame, label: str) -> DataFrame:
+    """The rows whose columns ``names`` are among ``chosen``, of rows that are all among ``chosen`` or ``others``; all columns stay.
 
-    A keeper stands for one row: if ``rows`` says that more have its id and key, one of them stays.
+    ``chosen`` has the columns ``names`` and ``copies``, the number of rows with them; of several one stays.  A first filter has
+    the others' keys and those of several rows.  A second one has the chosen keys that the first lets pass.  A row that the first
+    refuses is chosen, one that only the second refuses isn't, and what both let pass is joined with the chosen keys.  So the
+    rows, texts and all, are shuffled only where that can't be told, whatever part of them is chosen.
     """
-    name = free_name(docs, "_key")
-    marked = docs.withColumn(name, key)
-    wanted = keepers.select(F.col("doc_id").alias(f"{name}_id"), F.col("key").alias(f"{name}_of"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{name}_id")) & (F.col(name) == F.col(f"{name}_of"))
-    kept = marked.join(wanted, same, "left_semi")
-    if not keepers.filter("rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", name])
-    return kept.drop(name)
+    keys = list(names)
+    first = Bloom(others.select(*keys).unionByName(chosen.filter("copies > 1").select(*keys)), *keys)
+    left_open = cut(chosen.filter(first.may_have(*keys)).select(*keys, "copies"), f"{label}-open")
+    if left_open.isEmpty():
+        return rows.filter(~first.may_have(*keys))
+    second = Bloom(left_open, *keys)
+    one, two = free_name(rows, "_first"), free_name(rows, "_second")
+    marked = rows.withColumn(one, first.may_have(*keys)).withColumn(two, second.may_have(*keys))
+    sure = marked.filter(~F.col(one)).drop(one, two)
+    settled = marked.filter(F.col(one) & F.col(two)).drop(one, two)
+    renamed = {k: free_name(rows, f"_of_{k}") for k in keys}
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(r)) for k, r in renamed.items()])
+    settled = settled.join(left_open.select(*[F.col(k).alias(r) for k, r in renamed.items()]), same, "left_semi")
+    if not left_open.filter("copies > 1").isEmpty():
+        settled = settled.dropDuplicates(keys)
+    return sure.unionByName(settled)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import Bloom, cut, free_name, read_table
 
 #: Hash buckets of the models, and the count that every bucket has before any text.
 BUCKETS, PRIOR = 10_000, 1.0
@@ -74,20 +74,23 @@ def gumbel(*key: Column) -> Column:
 
 
 def kth_largest(rows: DataFrame, column: str, k: int) -> tuple[float, int]:
-    """The k-th largest value, 1 being the largest, and how many rows with it are among the k largest.
+    """The k-th largest value, 1 being the largest, and how many with it are among the k largest, of rows that stand for ``n`` each.
 
     Histograms of ``BINS`` bins narrow the range until few rows are left or all are the same.
     """
-    now = rows.select(F.col(column).cast("double").alias("value"))
+    now = rows.select(F.col(column).cast("double").alias("value"), "n")
     while True:
-        low, high, n = now.agg(F.min("value"), F.max("value"), F.count(F.lit(1))).first()
+        low, high, count = now.agg(F.min("value"), F.max("value"), F.count(F.lit(1))).first()
         if low == high:
             return low, k
-        if n <= FEW:
-            values = sorted((r.value for r in now.collect()), reverse=True)  # FEW numbers at most
-            return values[k - 1], k - sum(v > values[k - 1] for v in values)
+        if count <= FEW:
+            for value, n in sorted(((r.value, r.n) for r in now.groupBy("value").agg(F.sum("n").alias("n")).collect()), reverse=True):  # FEW rows at most
+                if k <= n:
+                    return value, k
+                k -= n
+            raise ValueError("there are fewer rows than that")
         bin_of = F.least(F.floor((F.col("value") - low) / ((high - low) / BINS)), F.lit(BINS - 1))
-        counts = {r.bin: r.n for r in now.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()}  # BINS rows
+        counts = {r.bin: r.n for r in now.groupBy(bin_of.alias("bin")).agg(F.sum("n").alias("n")).collect()}  # BINS rows
         for chosen in sorted(counts, reverse=True):
             if k <= counts[chosen]:
                 break
@@ -95,36 +98,53 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> tuple[float, int]:
         now = now.filter(bin_of == chosen)
 
 
-def largest(rows: DataFrame, k: int) -> Column:
-    """A condition by which the k rows of the largest ``key`` stay, of ties those of the largest ``tie``."""
+def how_many(rows: DataFrame, k: int) -> Column:
+    """How many of the ``n`` that a row stands for are among the k of the largest ``key``; of ties those of the largest ``tie``."""
     if k <= 0 or rows.isEmpty():
-        return F.lit(False)
+        return F.lit(0)
     key, left = kth_largest(rows, "key", k)
-    ties = rows.filter(F.col("key") == key)
-    tie = kth_largest(ties, "tie", left)[0]
-    return (F.col("key") > key) | ((F.col("key") == key) & (F.col("tie").cast("double") >= tie))
+    tie, left = kth_largest(rows.filter(F.col("key") == key), "tie", left)
+    of_ties = F.when(F.col("tie").cast("double") > tie, F.col("n")).when(F.col("tie").cast("double") == tie, F.least("n", F.lit(left)))
+    return F.when(F.col("key") > key, F.col("n")).when(F.col("key") == key, of_ties).otherwise(F.lit(0))
 
 
 def resample(docs: DataFrame, target: DataFrame, share: float | None = None, k: int | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """``(doc_id, log_weight, key, kept)``, a row for each row of ``docs``; about k rows, or a share of all, are kept.
+    """``(doc_id, log_weight, key, kept)``, a row for each row of ``docs``; k rows, or a share of all, are kept.
 
-    Rows whose keys tie at the threshold are cut by a hash of id and weight; rows that tie in this too (repeated rows) stay or go
-    together.  Null and empty texts have weight 0.  An empty target leaves all weights to the prior; an empty table gives an
-    empty one.
+    Rows whose keys tie at the threshold are cut by a hash of id and weight; of rows that are equal in all this as many stay as
+    there is room for.  Null and empty texts have weight 0.  An empty target leaves all weights to the prior; an empty table
+    gives an empty one.
     """
     ratio = log_ratio(count_grams(target, buckets=buckets), count_grams(docs, buckets=buckets))
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), log_weight(ratio)(F.col("text").cast("string")).alias("log_weight"))
+    scored = scored.groupBy("doc_id", "log_weight").agg(F.count(F.lit(1)).alias("n"))
     tie = F.pmod(F.xxhash64("doc_id", "log_weight"), F.lit(1 << 52))
     keyed = cut(scored.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"))).withColumn("tie", tie), "importance-keys")
     if k is None:
-        k = round((1.0 if share is None else share) * keyed.count())
-    return keyed.select("doc_id", "log_weight", "key", largest(keyed, k).alias("kept"))
+        k = round((1.0 if share is None else share) * (keyed.agg(F.sum("n")).first()[0] or 0))
+    copies = keyed.withColumn("among", how_many(keyed, k)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return copies.select("doc_id", "log_weight", "key", (F.col("copy") <= F.col("among")).alias("kept"))
+
+
+def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among ``ids``, in the same way at every size.
+
+    A Bloom filter of the ids goes first, so that only the texts of those are shuffled, and a few others; the join settles it.
+    """
+    key = free_name(docs, "_key")
+    wanted = ids.select(F.col("doc_id").cast("long").alias(key)).filter(F.col(key).isNotNull()).distinct()
+    likely = docs.withColumn(key, F.col("doc_id").cast("long")).filter(Bloom(wanted, key).may_have(key))
+    return likely.join(wanted.hint("merge"), key, "left_semi").drop(key)
 
 
 def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target are documents of quality 1; as many are kept as that share of the labelled ones says."""
+    """The target are documents of quality 1; as many are kept as that share of the labelled ones says.
+
+    A document with several labels has the largest; labels without an id or a quality count for nothing; without any label all
+    documents are kept.
+    """
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    good = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    target = docs.join(good.filter("quality = 1"), "doc_id", "left_semi")
+    good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = good.agg(F.avg(F.col("quality").cast("double"))).first()[0]
+    target = rows_of(docs.select("doc_id", "text"), good.filter("quality = 1"))
     return resample(docs, target, share=1.0 if share is None else share)

@@ -1,27 +1,39 @@
 """WARC archives whose repeated payloads are revisit records, written and resolved by shuffling headers only.
 
 Digests and identifiers are grouped by payload digest; of each group one record keeps its payload.  The others become revisit
-records that refer to it and carry no payload.  Archives are files of concatenated records under one folder, written and read
-through Spark's own writers and readers, so that any store that Spark reaches will do.
+records that refer to it and carry no payload.  Which rows of the pages are responses is told where they are read, by two Bloom
+filters; payloads are shuffled only of the few rows that these leave open.
+
+Archives are files of gzip members, one for each record, under one folder.  They are written and read through Spark's own writers
+and readers, so that any store that Spark reaches will do and what lost tasks wrote is never seen.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from itertools import islice
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh_path, read_table
+from .common import chosen_rows, cut, fresh_path, read_table, scratch
 
-#: Records of one archive file; readers hold a file at a time.
-RECORDS_A_FILE = 1000
+#: Bytes of the chunks that an archive file is written in (a longer record is a chunk of its own), and chunks of a file: readers
+#: hold a compressed file at a time.
+CHUNK, CHUNKS_A_FILE = 1 << 20, 32
+#: A gzip member ends in the length of its content; up to this length the last byte is 0, so longer records take several members.
+MEMBER = 1 << 24
 #: The date in fresh headers; a parameter, so that reruns write the same bytes.
 DATE = "2024-01-01T00:00:00Z"
+#: Records that a reader passes on at a time.
+ROWS = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -57,7 +69,7 @@ def record_id(page_id: Column, url: Column, digest: Column, number: Column) -> C
 
 
 def _record(kind: str, more: list[Column], block: Column) -> Column:
-    """The record's bytes without the final line end, which the writer adds."""
+    """The record as text."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     # A line end inside a URL would end the header early.
     url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("about:blank")), r"[\r\n]", "%0A")
@@ -73,7 +85,7 @@ def _record(kind: str, more: list[Column], block: Column) -> Column:
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    return F.concat(head, block, F.lit("\r\n"))
+    return F.concat(head, block, F.lit("\r\n\r\n"))
 
 
 def _http(length: Column) -> Column:
@@ -87,56 +99,72 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     page_id has no Page-ID header.  Of rows that are equal in everything one is the response, the rest revisit it.  An empty
     table writes no record.
     """
-    rows = cut(headers(pages), "warc-headers")
-    firsts = cut(originals(rows, least_bytes), "warc-originals")
-    known = rows.join(firsts, rows["digest"] == firsts["of_digest"], "left")
-    is_first = F.col("of_digest").isNotNull() & F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url"))
-    # Revisit records need headers only: all copies but the one that is the response.
-    numbers = F.explode(F.sequence(F.when(is_first, F.lit(1)).otherwise(F.lit(0)), F.col("copies").cast("int") - 1))
-    revisits = (
-        known.filter(F.col("of_digest").isNotNull() & ~(is_first & (F.col("copies") == 1)))
-        .select("*", numbers.alias("number"))
-        .withColumn("record_id", record_id(F.col("page_id"), F.col("url"), F.col("digest"), F.col("number")))
-    )
-    to = F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), record_id(F.col("first_id"), F.col("first_url"), F.col("digest"), F.lit(0)), F.lit("\r\n"))
-    revisit_records = revisits.select(_record("revisit", [to], _http(F.col("bytes"))).alias("value"))
-    others = known.filter(F.col("of_digest").isNotNull() & ~is_first).select("page_id", "url", "digest")
-    doubled = not known.filter(is_first & (F.col("copies") > 1)).isEmpty()
-    responses = _with_payload(pages, others, doubled, least_bytes)
-    html = F.coalesce(F.col("html"), F.lit(""))
-    response_records = responses.select(_record("response", [], F.concat(_http(F.octet_length(html)), html)).alias("value"))
-    writer = response_records.unionByName(revisit_records).write.option("maxRecordsPerFile", RECORDS_A_FILE)
-    # Each record ends in two line ends; the writer adds the second.
-    writer.option("lineSep", "\r\n").option("compression", "gzip").text(path)
-
-
-def _with_payload(pages: DataFrame, others: DataFrame, doubled: bool, least_bytes: int) -> DataFrame:
-    """``(page_id, url, digest, html, record_id)`` of the responses: all rows but ``others``, the ones that are revisits.
-
-    Where these are few, which Spark finds by their size, payloads aren't shuffled at all; else once.
-    """
+    with scratch():
+        rows = cut(headers(pages), "warc-headers")
+        firsts = cut(originals(rows, least_bytes), "warc-originals")
+        known = rows.join(firsts, rows["digest"] == firsts["of_digest"], "left")
+        is_first = F.col("of_digest").isNotNull() & F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url"))
+        # Revisit records need headers only: all copies but the one that is the response.
+        numbers = F.explode(F.sequence(F.when(is_first, F.lit(1)).otherwise(F.lit(0)), F.col("copies").cast("int") - 1))
+        revisits = (
+            known.filter(F.col("of_digest").isNotNull() & ~(is_first & (F.col("copies") == 1)))
+            .select("*", numbers.alias("number"))
+            .withColumn("record_id", record_id(F.col("page_id"), F.col("url"), F.col("digest"), F.col("number")))
+        )
+        to = F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), record_id(F.col("first_id"), F.col("first_url"), F.col("digest"), F.lit(0)), F.lit("\r\n"))
+        revisit_records = revisits.select(_record("revisit", [to], _http(F.col("bytes"))).alias("value"))
+        responses = _with_payload(pages, known.withColumn("is_first", is_first), least_bytes)
+        html = F.coalesce(F.col("html"), F.lit(""))
+        response_records = responses.select(_record("response", [], F.concat(_http(F.octet_length(html)), html)).alias("value"))
+        chunks = response_records.unionByName(revisit_records).mapInArrow(_members, "value binary")
+        # Every chunk ends in a zero byte, which _members leaves to the writer as its line end.
+        chunks.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", CHUNKS_A_FILE).option("lineSep", "\0").text(path)
+
+
+def _members(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of the records' gzip members, each without its last byte."""
+    chunk: list[bytes] = []
+    size = 0
+    for batch in rows:
+        for record in batch.column(0):
+            data = record.as_py().encode()
+            for at in range(0, len(data), MEMBER - 1):
+                chunk.append(gzip.compress(data[at : at + MEMBER - 1], 6, mtime=0))
+                size += len(chunk[-1])
+                if size >= CHUNK:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(chunk)[:-1]], pa.binary())], ["value"])
+                    chunk, size = [], 0
+    if chunk:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(chunk)[:-1]], pa.binary())], ["value"])
+
+
+KEY = ("page_id", "url", "digest")
+
+
+def _with_payload(pages: DataFrame, known: DataFrame, least_bytes: int) -> DataFrame:
+    """``(page_id, url, digest, html, record_id)`` of the responses: all rows but those that are revisits."""
+    known = known.filter("of_digest is not null").select(*KEY, "is_first", "copies")
     full = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
     ).withColumn("digest", payload_digest("html"))
-    renamed = others.toDF("_page_id", "_url", "_digest")
-    same = (F.col("digest") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("_page_id")) & F.col("url").eqNullSafe(F.col("_url"))
-    kept = full.join(renamed, same, "left_anti")
     small = F.coalesce(F.octet_length("html"), F.lit(0)) < least_bytes
-    if doubled:  # rows that are equal in everything: one of them is the response
-        kept = kept.filter(~small).dropDuplicates(["page_id", "url", "digest"]).unionByName(kept.filter(small)) if least_bytes else kept.dropDuplicates(["page_id", "url", "digest"])
-    number = F.when(small, F.monotonically_increasing_id()).otherwise(F.lit(0)) if least_bytes else F.lit(0)
-    return kept.withColumn("record_id", record_id(F.col("page_id"), F.col("url"), F.col("digest"), number))
+    firsts = chosen_rows(full.filter(~small), KEY, known.filter("is_first"), known.filter("not is_first"), "warc")
+    numbered = lambda rows, number: rows.withColumn("record_id", record_id(F.col("page_id"), F.col("url"), F.col("digest"), number))
+    if not least_bytes:
+        return numbered(firsts, F.lit(0))
+    return numbered(firsts, F.lit(0)).unionByName(numbered(full.filter(small), F.monotonically_increasing_id()))
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The headers and the block of each record of an uncompressed archive."""
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        head = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:] if ": " in x)}
-        at = end + 4 + int(head["content-length"])
-        yield head, data[end + 4 : at]
+def parse(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The headers and the block of each record of an uncompressed archive, read as a stream."""
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):  # line ends between records
+            continue
+        head = {}
+        while (line := stream.readline().rstrip(b"\r\n")) and b": " in line:
+            name, value = line.decode("utf-8", "replace").split(": ", 1)
+            head[name.lower()] = value
+        yield head, stream.read(int(head["content-length"]))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -146,24 +174,24 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """
     schema = "record_id string, record_type string, page_id long, url string, digest string, payload_bytes long, refers_to_record string"
 
-    def batches(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+
+    def row(head: dict[str, str], block: bytes) -> tuple:
+        kind, page = head["warc-type"], head.get("page-id")
+        digest, size = head.get("warc-payload-digest", "").removeprefix("sha1:"), None
+        if kind == "response":
+            payload = block[block.index(b"\r\n\r\n") + 4 :]
+            digest, size = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)
+        return head["warc-record-id"], kind, int(page) if page else None, head.get("warc-target-uri"), digest, size, head.get("warc-refers-to")
 
-        names = [x.split(" ")[0] for x in schema.split(", ")]
-        types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+    def batches(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in files:
             for content in batch.column(0):
-                data = content.as_py()
-                rows = []
-                for head, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                    kind, page = head["warc-type"], head.get("page-id")
-                    digest, size = head.get("warc-payload-digest", "").removeprefix("sha1:"), None
-                    if kind == "response":
-                        payload = block[block.index(b"\r\n\r\n") + 4 :]
-                        digest, size = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)
-                    rows.append((head["warc-record-id"], kind, int(page) if page else None, head.get("warc-target-uri"), digest, size, head.get("warc-refers-to")))
-                columns = list(zip(*rows, strict=True)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                data = io.BytesIO(content.as_py())
+                records = parse(gzip.open(data) if data.getbuffer()[:2] == b"\x1f\x8b" else data)
+                while rows := [row(*record) for record in islice(records, ROWS)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(batches, schema)

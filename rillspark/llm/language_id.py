@@ -7,6 +7,7 @@ every change of language, labels its spans.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -18,14 +19,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, read_table
+from .common import free_name, read_table, worker_state
 
-#: Training texts of a language on the average (all, if it has fewer), and n-grams that the model keeps.
-SAMPLE_TEXTS, MAX_GRAMS = 1000, 60_000
+#: Training texts of a language on the average (all, if it has fewer); the model keeps every n-gram of them.
+SAMPLE_TEXTS = 1000
 #: Letters of the n-grams of a word with its ends marked.
 GRAM = 3
 #: The price of a change of language, the most that one word can say, and the price of a language without the word's script.
 SWITCH, MOST, WRONG_SCRIPT = 12.0, 8.0, 30.0
+#: A span is identified if its words speak for its language by this much on the average.
+LEAST_MEAN = 1.0
 #: A language uses a script if it has this share of its letters.
 SCRIPT_SHARE = 0.01
 #: A longer run of letters, as in scripts without spaces, is read as several words of so many letters.
@@ -89,6 +92,10 @@ class Model:
     memo: dict[str, int] = field(default_factory=dict)
     rows: list[np.ndarray] = field(default_factory=list)
 
+    def digest(self) -> bytes:
+        content = repr((self.languages, sorted(self.grams.items()), sorted((s, u.tolist()) for s, u in self.scripts.items())))
+        return hashlib.sha256(content.encode() + self.scores.tobytes()).digest()
+
     def __getstate__(self):
         return {**self.__dict__, "memo": {}, "rows": []}
 
@@ -125,11 +132,11 @@ class Model:
         self.rows.append(self.word_scores(list(fresh)))
         return [np.fromiter(map(memo.__getitem__, words), np.int32, len(words)) for words in texts]
 
-    def paths(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The language of each word of each text, all texts a word at a time."""
+    def paths(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the language of each word and what the word says for it, all texts a word at a time."""
         k = len(self.languages)
         if not k:
-            return [np.zeros(len(t), np.int16) for t in texts]
+            return [(np.zeros(len(t), np.int16), np.zeros(len(t))) for t in texts]
         numbers = self.numbered(texts)
         table = self.rows[0] = np.concatenate(self.rows)
         del self.rows[1:]
@@ -161,9 +168,11 @@ class Model:
             at = starts[:going] + t
             labels[at] = state[:going]
             state[:going] = np.where(switched[at, state[:going]], from_best[at], state[:going])
-        out: list[np.ndarray] = [np.zeros(0, np.int16)] * len(texts)
+        said = table[words, labels] if len(words) else np.zeros(0, np.float32)
+        out = [(labels[:0], said[:0])] * len(texts)
         for place, i in enumerate(order):
-            out[i] = labels[starts[place] : starts[place + 1]]
+            own = slice(starts[place], starts[place + 1])
+            out[i] = labels[own], said[own]
         return out
 
 
@@ -177,8 +186,11 @@ def in_sample(labelled: DataFrame, texts: int) -> Column:
     return condition
 
 
-def train(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, max_grams: int = MAX_GRAMS) -> Model:
-    """Fit on ``(doc_id, text, lang)`` rows without nulls.  The sample and the model are bounded by the parameters."""
+def train(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Model:
+    """Fit on ``(doc_id, text, lang)`` rows without nulls.  ``sample_texts`` bounds the sample and so the model.
+
+    Repeated rows are in the sample together or not at all; without rows the model has no languages.
+    """
 
     def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -203,7 +215,7 @@ def train(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, max_grams: int
     counts = sample.mapInArrow(counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("n"))  # a row of a list for each language
     scripts = grams.filter(F.col("gram").startswith("\x00")).collect()  # scripts
-    kept = grams.filter(~F.col("gram").startswith("\x00")).orderBy(F.desc("n"), "gram").limit(max_grams).collect()  # the model
+    kept = grams.filter(~F.col("gram").startswith("\x00")).orderBy("gram").collect()  # the model
     return fit([(r.gram, {x.lang: x.n for x in r.by}) for r in kept], [(r.gram[1:], {x.lang: x.n for x in r.by}) for r in scripts])
 
 
@@ -226,9 +238,6 @@ def fit(grams: list[tuple[str, dict[str, int]]], scripts: list[tuple[str, dict[s
     return Model(languages, {g: i for i, (g, _) in enumerate(grams)}, scores, uses)
 
 
-_models: dict[int, Model] = {}
-
-
 def groups(texts: pa.Array, most: int = TEXTS, chars: int = CHARS) -> Iterator[pa.Array]:
     """The texts in order, ``most`` or fewer at a time with no more than ``chars`` bytes, longer ones alone."""
     start, held = 0, 0
@@ -241,44 +250,48 @@ def groups(texts: pa.Array, most: int = TEXTS, chars: int = CHARS) -> Iterator[p
 
 
 SPAN = pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("lang", pa.string())])
-VERDICT = "lang_pred string, score double, spans array<struct<first_word:int,words:int,lang:string>>"
+VERDICT = "lang_pred string, score double, identified double, spans array<struct<first_word:int,words:int,lang:string>>"
 
 
 def language_of(model: Model):
     """The column function of a text: a struct of lang_pred, score and spans.
 
     ``spans`` are ``(first_word, words, lang)`` over the text's words of letters; lang_pred is the language with the most
-    letters, score its share of them.  A text that is null or has no letter is ``und`` with score 0, as every text is for a
-    model without languages.
+    letters, score its share of them; ``identified`` is the share of letters in spans whose words speak for the span's language.
+    A text that is null or has no letter is ``und`` with score 0, as every text is for a model without languages.
     """
-    key = hash((tuple(model.languages), len(model.grams), float(model.scores.sum())))
+    key = ("language_id", model.digest())
 
-    def verdict(own: Model, words: list[str], path: np.ndarray) -> tuple[str, float, list[dict]]:
+    def verdict(own: Model, words: list[str], path: np.ndarray, scores: np.ndarray) -> tuple[str, float, float, list[dict]]:
         if not words:
-            return "und", 0.0, []
-        letters = np.bincount(path, [len(w) for w in words], len(own.languages))
+            return "und", 0.0, 0.0, []
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        letters = np.bincount(path, sizes, len(own.languages))
         top = int(letters.argmax())
         cuts = np.concatenate(([0], np.nonzero(path[1:] != path[:-1])[0] + 1, [len(path)]))
+        sure = np.add.reduceat(scores, cuts[:-1]) >= LEAST_MEAN * np.diff(cuts)
+        identified = float((np.add.reduceat(sizes, cuts[:-1]) * sure).sum() / sizes.sum())
         spans = [{"first_word": int(a), "words": int(b - a), "lang": own.languages[path[a]]} for a, b in zip(cuts, cuts[1:], strict=False)]
-        return own.languages[top], float(letters[top] / letters.sum()), spans
+        return own.languages[top], float(letters[top] / letters.sum()), identified, spans
 
     @F.arrow_udf(f"struct<{VERDICT.replace(' string', ':string').replace(' double', ':double').replace(' array', ':array')}>")
     def of(text: pa.Array) -> pa.Array:
-        if key not in _models:
-            _models.clear()
-            _models[key] = model
-        own, out = _models[key], []
+        own, out = worker_state(key, lambda: model), []
         for part in groups(text):
             texts = [words_of(t) if t and own.languages else [] for t in part.to_pylist()]
-            out += [verdict(own, words, path) for words, path in zip(texts, own.paths(texts), strict=True)]
-        langs, scores, spans = zip(*out, strict=True) if out else ((), (), ())
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(SPAN))], ["lang_pred", "score", "spans"])
+            out += [verdict(own, words, *found) for words, found in zip(texts, own.paths(texts), strict=True)]
+        langs, scores, identified, spans = zip(*out, strict=True) if out else ((), (), (), ())
+        columns = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(identified, pa.float64()), pa.array(spans, pa.list_(SPAN))]
+        return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "identified", "spans"])
 
     return of
 
 
 def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, lang_pred, score, spans)`` of every row of ``docs``; other columns are left out."""
+    """``(doc_id, lang_pred, score, identified, spans)`` of every row of ``docs``; other columns are left out.
+
+    Null ids and repeated rows get a row each; of languages that tie the first by name is taken; an empty table gives an empty one.
+    """
     verdict = language_of(model)(F.col(text_col).cast("string")).alias("verdict")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), verdict).select("doc_id", "verdict.*")
 
@@ -298,8 +311,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label(docs, train_on(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """``docs`` without the texts that are ``und`` or have no language with ``least_score`` of the letters."""
+def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """``docs`` without the texts that are ``und`` or have less than ``least`` of their letters in identified spans.
+
+    A text in several languages stays, whatever the share of each.  All columns stay as they are, so do repeated rows; an empty
+    table, or one without labels to learn from, gives an empty one.
+    """
     name = free_name(docs, "_verdict")
     marked = docs.withColumn(name, language_of(train_on(docs))(F.col("text").cast("string")))
-    return marked.filter((F.col(name)["lang_pred"] != "und") & (F.col(name)["score"] >= least_score)).drop(name)
+    return marked.filter((F.col(name)["lang_pred"] != "und") & (F.col(name)["identified"] >= least)).drop(name)

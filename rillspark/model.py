@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -18,7 +19,7 @@ class Run:
     """Cells are sparse: a row for each feature and time with any value, missing values null.
 
     ``cells(feature_id, time, flow, velocity, depth)``, ``features(feature_id, row_idx)``, ``times(time, t_idx)``.  ``time_kind`` is
-    ``epoch_ms`` or ``offset_s``.
+    ``epoch_ms`` or ``offset_s``; ``variables`` are those that the files have, the others are null throughout.
     """
 
     cells: DataFrame
@@ -27,6 +28,7 @@ class Run:
     time_kind: str = "epoch_ms"
     ref_time: str | None = None
     files: tuple[str, ...] = ()
+    variables: tuple[str, ...] = VARIABLES
 
     @cached_property
     def shape(self) -> tuple[int, int]:
@@ -44,20 +46,29 @@ class Run:
     def replace(self, **changes) -> Run:
         return replace(self, **changes)
 
+    def persist(self) -> Run:
+        """The run with its cells and axes kept by Spark once they are computed, for several questions to one run."""
+        return self.replace(cells=self.cells.persist(), features=self.features.persist(), times=self.times.persist())
 
-def last_writes(rows: DataFrame) -> DataFrame:
+    def unpersist(self) -> None:
+        for part in (self.cells, self.features, self.times):
+            part.unpersist()
+
+
+def last_writes(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Of rows ``(feature_id, time, ord, flow, velocity, depth)`` the last value that isn't null, for each variable by itself.
 
-    ``ord`` orders the rows as written.  A fill value is a value here: written last, it stays.
+    ``ord`` orders the rows as written.  A fill value is a value here: written last, it stays.  ``by`` are columns before the
+    feature that keep rows apart.
     """
     last = [F.max_by(v, F.when(F.col(v).isNotNull(), F.col("ord"))).alias(v) for v in VARIABLES]
-    return rows.groupBy("feature_id", "time").agg(*last)
+    return rows.groupBy(*by, "feature_id", "time").agg(*last)
 
 
-def run_of(rows: DataFrame, time_kind: str = "epoch_ms", ref_time: str | None = None, files: tuple[str, ...] = ()) -> Run:
+def run_of(rows: DataFrame, time_kind: str = "epoch_ms", ref_time: str | None = None, files: tuple[str, ...] = (), variables: tuple[str, ...] = VARIABLES) -> Run:
     """A run of long rows.  Rows whose values are all null still put their feature and time on the axes."""
     rows = rows.filter("feature_id IS NOT NULL AND time IS NOT NULL")
     cells = last_writes(rows).select("feature_id", "time", *[V.valid(F.col(v)).alias(v) for v in VARIABLES])
     features = positions(rows.select("feature_id").distinct(), "feature_id", "row_idx")
     times = positions(rows.select("time").distinct(), "time", "t_idx", bits=40)
-    return Run(cells, features, times, time_kind, ref_time, files)
+    return Run(cells, features, times, time_kind, ref_time, files, variables)

@@ -21,12 +21,19 @@ def stride(run: Run) -> int:
 def value_sample(run: Run, variable: str) -> DataFrame:
     """``(cell_idx, value)``: every so manieth cell of the dense grid, as far as it is valid.
 
-    Cells are numbered feature by feature; the grid itself is never made.  Below 2 x SAMPLE_CELLS rows, whatever the run's size.
+    Cells are numbered feature by feature; the grid itself is never made.  Below 2 x SAMPLE_CELLS rows, whatever the run's size:
+    the sampled places are made from the axes' lengths, and only the cells at these are looked up.
     """
-    n_times = run.shape[1]
-    cell = (F.col("row_idx") * n_times + F.col("t_idx")).alias("cell_idx")
-    cells = run.with_indices().filter(F.col(variable).isNotNull()).select(cell, F.col(variable).cast("double").alias("value"))
-    return cells.filter(F.pmod("cell_idx", F.lit(stride(run))) == 0)
+    n_features, n_times = run.shape
+    every = stride(run)
+    n = -(-n_features * n_times // every)
+    places = run.cells.sparkSession.range(n).select((F.col("id") * every).alias("cell_idx"))
+    places = places.select("cell_idx", F.floor(F.col("cell_idx") / max(1, n_times)).alias("row_idx"), F.pmod("cell_idx", F.lit(max(1, n_times))).alias("t_idx"))
+    # Below 2 x SAMPLE_CELLS rows of four numbers, so each of these is small enough to broadcast.
+    named = run.features.join(F.broadcast(places), "row_idx").join(F.broadcast(run.times) if n_times < 2 * SAMPLE_CELLS else run.times, "t_idx")
+    wanted = named.select("feature_id", "time", "cell_idx")
+    cells = run.cells.filter(F.col(variable).isNotNull()).select("feature_id", "time", F.col(variable).cast("double").alias("value"))
+    return cells.join(F.broadcast(wanted), ["feature_id", "time"]).select("cell_idx", "value")
 
 
 def quantiles(run: Run, variable: str, at: list[float]) -> list[float]:

@@ -14,7 +14,8 @@ from rillspark.functions import scales as S
 from rillspark.functions import values as V
 from rillspark.operators import aggregates, distribution, merge, network, painting, series, spatial
 from rillspark.plans import runtree
-from rillspark.sources.tables import divides, event_rows, event_run, flowpaths, split_runs
+from rillspark.sources.results import load, load_many
+from rillspark.sources.tables import damaged_file, divides, event_rows, event_run, flowpaths, split_files, split_runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -116,18 +117,6 @@ def time_slice(spark, d):
     return series.time_slice(event_run(spark, d), "flow", T)
 
 
-@query(BASE + SLICE + " SELECT feature_id, value FROM slice JOIN (SELECT c_custkey AS feature_id FROM customer WHERE c_custkey % 2 = 0) USING (feature_id)")
-def paint_join(spark, d):
-    visible = flowpaths(spark, d).filter("feature_id % 2 = 0")
-    return series.paint(event_run(spark, d), "flow", T, visible)
-
-
-@query(BASE + SLICE + " SELECT feature_id, value FROM slice WHERE feature_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
-def unpainted_features(spark, d):
-    painted = flowpaths(spark, d).filter("feature_id % 3 = 0")
-    return series.unpainted(painted, series.time_slice(event_run(spark, d), "flow", T))
-
-
 @query(BASE + f" SELECT c_custkey AS feature_id, 'wb-' || c_custkey AS label, CAST(flow AS DOUBLE) AS flow, CAST(velocity AS DOUBLE) AS velocity, CAST(depth AS DOUBLE) AS depth FROM customer LEFT JOIN (SELECT * FROM cells JOIN times USING (time) WHERE t_idx = {T}) ON feature_id = c_custkey")
 def feature_record(spark, d):
     return series.record(event_run(spark, d), T, flowpaths(spark, d))
@@ -224,14 +213,32 @@ def merge_features(spark, d):
     return merge.merged_features(split_runs(spark, d))
 
 
-@query(f"{BASE}, {SPLIT}, k AS (SELECT feature_id % 2 AS part, * FROM rows) SELECT feature_id, count(*) AS cells, round(coalesce(sum(f), 0), 4) AS flow FROM (SELECT feature_id, time, CAST(max_by(flow, ord) FILTER (WHERE flow IS NOT NULL) AS DOUBLE) AS f FROM k GROUP BY feature_id, time) GROUP BY feature_id")
+@query(
+    MERGED.replace("max(ds) AS ds", "max(ds) AS ds, max(ds) FILTER (WHERE ds < 2) AS dv")
+    + " SELECT g.feature_id, g.time, CAST(c.flow AS DOUBLE) AS flow, CAST(e.velocity AS DOUBLE) AS velocity, CAST(e.depth AS DOUBLE) AS depth FROM g LEFT JOIN c USING (feature_id, time, ds) LEFT JOIN c e ON e.feature_id = g.feature_id AND e.time = g.time AND e.ds = dv WHERE coalesce(c.flow, e.velocity, e.depth) IS NOT NULL"
+)
+def merge_lacking(spark, d):
+    """The last of the three runs has the flow only."""
+    runs = split_runs(spark, d)
+    last = runs[2].replace(cells=runs[2].cells.withColumns({v: F.lit(None).cast("float") for v in ("velocity", "depth")}), variables=("flow",))
+    cells = merge.merge([*runs[:2], last]).cells
+    return cells.select("feature_id", "time", *[F.col(v).cast("double").alias(v) for v in VARIABLES]).filter("coalesce(flow, velocity, depth) IS NOT NULL")
+
+
+@query(MERGED + " SELECT g.feature_id, count(*) AS cells, round(coalesce(sum(CAST(flow AS DOUBLE)), 0), 4) AS flow FROM g JOIN c USING (feature_id, time, ds) WHERE coalesce(flow, velocity, depth) IS NOT NULL GROUP BY g.feature_id")
 def scan_many_merge(spark, d):
-    run = event_run(spark, d)
-    parts = [run.replace(cells=run.cells.filter(F.col("feature_id") % 2 == i), features=run.features.filter(F.col("feature_id") % 2 == i)) for i in range(2)]
-    cells = merge.merge_disjoint(parts).cells
+    """The three runs' rows written as result files and loaded with a damaged and a missing one among them."""
+    paths = split_files(spark, d)
+    cells = load_many(spark, [*paths[:1], damaged_file(spark, paths[0]), *paths[1:], paths[0] + ".gone.parquet"]).cells.filter("coalesce(flow, velocity, depth) IS NOT NULL")
     return cells.groupBy("feature_id").agg(F.count(F.lit(1)).alias("cells"), F.round(F.coalesce(F.sum(F.col("flow").cast("double")), F.lit(0.0)), 4).alias("flow"))
 
 
+@query(MERGED + " SELECT DISTINCT feature_id, time FROM c WHERE ds = 1")
+def load_one(spark, d):
+    """The second run's rows written as a result file and loaded by its name's ending."""
+    return load(spark, split_files(spark, d)[1]).cells.select("feature_id", "time")
+
+
 # Distributions, over hourly cells
 
 SAMPLE = HOURLY + """, k AS (SELECT (SELECT count(*) FROM features) AS nf, (SELECT count(*) FROM times) AS nt),
@@ -439,12 +446,30 @@ def tile_bbox(spark, d):
     return tiles.filter("x < power(2, z) AND y < power(2, z)").select("z", "x", "y", "wrap", *[rounded(c).alias(k) for k, c in box.items()])
 
 
-@query(f"WITH {LINES}, boxes AS (SELECT feature_id, {BOX} FROM lines GROUP BY feature_id), t AS (SELECT {_X} / power(2.0, {_Z}) * 360 - 180 AS w, ({_X} + 1) / power(2.0, {_Z}) * 360 - 180 AS e, {LAT(_Y, _Z)} AS n, {LAT(f'{_Y} + 1', _Z)} AS s) SELECT boxes.* FROM boxes, t WHERE min_x <= e AND max_x >= w AND min_y <= n AND max_y >= s")
-def bbox_filter(spark, d):
+IN_TILE = f"boxes AS (SELECT feature_id, {BOX} FROM lines GROUP BY feature_id), t AS (SELECT {_X} / power(2.0, {_Z}) * 360 - 180 AS w, ({_X} + 1) / power(2.0, {_Z}) * 360 - 180 AS e, {LAT(_Y, _Z)} AS n, {LAT(f'{_Y} + 1', _Z)} AS s), visible AS (SELECT boxes.* FROM boxes, t WHERE min_x <= e AND max_x >= w AND min_y <= n AND max_y >= s)"
+
+
+def _visible(spark: SparkSession, d: str) -> DataFrame:
+    """The flowpaths whose box meets the tile's."""
     box = spark.range(1).select(*[c.alias(k) for k, c in V.tile_bbox(*[F.lit(x) for x in TILE]).items()]).first()
     return spatial.in_box(spatial.feature_boxes(flowpaths(spark, d)), box.west, box.south, box.east, box.north)
 
 
+@query(f"WITH {LINES}, {IN_TILE} SELECT * FROM visible")
+def bbox_filter(spark, d):
+    return _visible(spark, d)
+
+
+@query(f"{BASE}{SLICE}, {LINES}, {IN_TILE} SELECT feature_id, value FROM slice JOIN visible USING (feature_id)")
+def paint_join(spark, d):
+    return series.paint(event_run(spark, d), "flow", T, _visible(spark, d))
+
+
+@query(f"{BASE}{SLICE}, {LINES}, {IN_TILE} SELECT feature_id, value FROM slice WHERE feature_id NOT IN (SELECT feature_id FROM visible)")
+def unpainted_features(spark, d):
+    return series.unpainted(_visible(spark, d), series.time_slice(event_run(spark, d), "flow", T))
+
+
 # The tree of runs
 
 RUN_KEYS = [

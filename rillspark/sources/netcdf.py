@@ -2,59 +2,100 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "feature_id long, time long, row_idx long, t_idx long, flow float, velocity float, depth float, ref_time string"
+VARIABLES = ("flow", "velocity", "depth")
+SCHEMA = "ds int, feature_id long, time long, row_idx long, t_idx long, flow float, velocity float, depth float, variables string, ref_time string"
+#: Cells of an Arrow batch.
+CELLS = 1 << 18
 
 
 class Rows(InputPartition):
-    def __init__(self, first: int, last: int):
-        self.first, self.last = first, last
+    def __init__(self, path: str, ds: int, first: int, last: int):
+        self.path, self.ds, self.first, self.last = path, ds, first, last
 
 
-class NetCdfReader(DataSourceReader):
-    """Splits a file by features: arrays are stored feature by feature, so a split is one stretch of each."""
+def open_arrays(path: str):
+    """The file's arrays: a local file as it is, one in a store by ranges through Arrow's file systems."""
+    import h5py
 
-    def __init__(self, path: str, features_a_split: int = 10_000):
-        self.path, self.step = path, features_a_split
+    if "://" not in path:
+        return h5py.File(path.removeprefix("file:"), "r")
+    from pyarrow import fs
 
-    def _open(self):
-        import h5py
+    store, name = fs.FileSystem.from_uri(path)
+    return h5py.File(store.open_input_file(name), "r")
 
-        return h5py.File(self.path, "r")
 
-    def partitions(self) -> list[InputPartition]:
-        with self._open() as file:
-            n = len(file["feature_id"]) if "feature_id" in file else 0
-        return [Rows(i, min(n, i + self.step)) for i in range(0, n, self.step)]
+class NetCdfReader(DataSourceReader):
+    """Splits files by features: arrays are stored feature by feature, so a split is one stretch of each.
 
-    def read(self, partition: Rows) -> Iterator[tuple]:
-        with self._open() as file:
-            yield from dense_rows(file, dict(file.attrs), partition.first, partition.last)
+    With ``skip`` a file that can't be opened, or has no ids or times, is left out.
+    """
 
+    def __init__(self, paths: list[tuple[int, str]], features_a_split: int = 10_000, skip: bool = False):
+        self.paths, self.step, self.skip = paths, features_a_split, skip
 
-def dense_rows(arrays, attributes: dict, first: int, last: int) -> Iterator[tuple]:
-    """Rows of the features ``first`` to before ``last`` from flat arrays; a missing or short array gives nulls."""
-    times = [int(t) for t in arrays["time"][:]] if "time" in arrays else []
+    def partitions(self) -> list[InputPartition]:
+        out: list[InputPartition] = []
+        for ds, path in self.paths:
+            try:
+                with open_arrays(path) as file:
+                    n = min(len(file["feature_id"]), len(file["feature_id"]) * len(file["time"]))
+            except (OSError, KeyError):  # no such file, none of this format, or an array that isn't there
+                if not self.skip:
+                    raise
+                continue
+            out += [Rows(path, ds, i, min(n, i + self.step)) for i in range(0, n, self.step)]
+        return out
+
+    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
+        with open_arrays(partition.path) as file:
+            yield from dense_batches(file, dict(file.attrs), partition.first, partition.last, partition.ds)
+
+
+def dense_batches(arrays: Mapping, attributes: Mapping, first: int, last: int, ds: int = 0) -> Iterator[pa.RecordBatch]:
+    """The cells of the features ``first`` to before ``last`` from flat arrays; a missing or short array gives nulls."""
+    times = np.asarray(arrays["time"][:]).astype(np.int64) if "time" in arrays else np.zeros(0, np.int64)
     n = len(times)
-    ids = arrays["feature_id"][first:last]
     ref = attributes.get("file_reference_time")
     ref = ref.decode() if isinstance(ref, bytes) else ref
-    parts = [_flat(arrays[v], first, last, n) if v in arrays else [] for v in ("flow", "velocity", "depth")]
-    for i, feature in enumerate(ids):
-        for t, time in enumerate(times):
-            at = i * n + t
-            yield (int(feature), time, first + i, t, *(float(p[at]) if at < len(p) else None for p in parts), ref)
-
-
-def _flat(array, first: int, last: int, n: int):
-    """The features' stretch of a flat array, or of one with a row for each feature."""
-    return array[first * n : last * n] if len(getattr(array, "shape", (0,))) == 1 else array[first:last].reshape(-1)
+    there = ",".join(v for v in VARIABLES if v in arrays)
+    step = max(1, CELLS // max(1, n))
+    for at in range(first, last if n else first, step):
+        to = min(last, at + step)
+        ids = np.asarray(arrays["feature_id"][at:to]).astype(np.int64)
+        size = len(ids) * n
+        columns = [
+            pa.repeat(pa.scalar(ds, pa.int32()), size),
+            pa.array(np.repeat(ids, n)),
+            pa.array(np.tile(times, len(ids))),
+            pa.array(np.repeat(np.arange(at, at + len(ids), dtype=np.int64), n)),
+            pa.array(np.tile(np.arange(n, dtype=np.int64), len(ids))),
+            *[_values(arrays.get(v), at, to, n, size) for v in VARIABLES],
+            pa.repeat(pa.scalar(there, pa.string()), size),
+            pa.repeat(pa.scalar(ref, pa.string()), size),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in SCHEMA.split(", ")])
+
+
+def _values(array, first: int, last: int, n: int, size: int) -> pa.Array:
+    """The features' stretch of a flat array, or of one with a row for each feature, nulls where it ends early."""
+    if array is None:
+        return pa.nulls(size, pa.float32())
+    flat = array[first * n : last * n] if len(getattr(array, "shape", (0,))) == 1 else array[first:last].reshape(-1)
+    found = pa.array(np.asarray(flat).astype(np.float32)[:size])
+    return pa.concat_arrays([found, pa.nulls(size - len(found), pa.float32())])
 
 
 class NetCdfSource(DataSource):
+    """Options: ``path``, or ``paths`` as a JSON list of numbers and paths; ``featuresPerSplit``; ``skipUnreadable``."""
+
     @classmethod
     def name(cls) -> str:
         return "rill_netcdf"
@@ -63,4 +104,5 @@ class NetCdfSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> NetCdfReader:
-        return NetCdfReader(self.options["path"], int(self.options.get("featuresPerSplit", 10_000)))
+        paths = [(int(i), p) for i, p in json.loads(self.options["paths"])] if "paths" in self.options else [(0, self.options["path"])]
+        return NetCdfReader(paths, int(self.options.get("featuresPerSplit", 10_000)), self.options.get("skipUnreadable", "false").lower() == "true")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +34,31 @@ def event_run(spark: SparkSession, sf_dir: str, unit: str = "day") -> Run:
     return run_of(event_rows(spark, sf_dir, unit))
 
 
+def _split(rows: DataFrame) -> list[DataFrame]:
+    part = F.when((F.col("feature_id") % 3 == 2) & (F.col("ord") % 2 == 0), 0).when(F.col("ord") % 3 == 0, 1).otherwise(2)
+    return [rows.filter(part == i) for i in range(3)]
+
+
 def split_runs(spark: SparkSession, sf_dir: str) -> list[Run]:
     """Three runs with overlapping features and times."""
-    rows = event_rows(spark, sf_dir)
-    part = F.when((F.col("feature_id") % 3 == 2) & (F.col("ord") % 2 == 0), 0).when(F.col("ord") % 3 == 0, 1).otherwise(2)
-    return [run_of(rows.filter(part == i)) for i in range(3)]
+    return [run_of(rows) for rows in _split(event_rows(spark, sf_dir))]
+
+
+def split_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The same three as result files, a fresh folder each time; the shared folder is the one for checkpoints where that is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    base = f"{named.rstrip('/') if named else 'file://' + tempfile.mkdtemp(prefix='rillspark-')}/results-{uuid.uuid4().hex}"
+    paths = [f"{base}/part-{i}.parquet" for i in range(3)]
+    for path, rows in zip(paths, _split(event_rows(spark, sf_dir)), strict=True):
+        rows.orderBy("ord").drop("ord").write.parquet(path)
+    return paths
+
+
+def damaged_file(spark: SparkSession, beside: str) -> str:
+    """A file that only its name makes Parquet."""
+    path = f"{beside.rsplit('/', 1)[0]}/damaged.parquet"
+    spark.range(1).select(F.lit("no columns here").alias("value")).coalesce(1).write.text(path)
+    return path
 
 
 def divides(spark: SparkSession, sf_dir: str) -> DataFrame:

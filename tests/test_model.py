@@ -16,7 +16,7 @@ from rillspark.functions import values as V
 from rillspark.model import run_of
 from rillspark.operators import aggregates, distribution, merge, network, painting, series, spatial
 from rillspark.plans import ranking, runtree, views
-from rillspark.sources import netcdf, results
+from rillspark.sources import folders, netcdf, results
 from rillspark.streaming import ingest
 
 SCHEMA = "feature_id long, time long, ord long, flow float, velocity float, depth float"
@@ -274,9 +274,78 @@ def test_lookups_filter_the_scan(spark, tmp_path):
     assert spark.sql("SELECT sum(flow) AS s FROM run_cells JOIN run_times USING (time) WHERE t_idx = 2").first().s == 9.0
 
 
+def test_many_files_in_one_plan(spark, tmp_path):
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    write("a", [(9, 0, 1.0, 10.0), (2, 0, 2.0, 20.0), (2, 60, 3.0, 30.0)], "feature_id long, time long, flow double, velocity double")
+    write("b", [(2, 0, 4.0), (5, 0, 5.0), (2, 60, None)], "feature_id long, time long, flow double")
+    write("none", [("x", 1)], "other string, time long")
+    (tmp_path / "bad.parquet").write_bytes(b"PAR1 is how it begins")
+    names = ("bad", "a", "gone", "none", "b")
+    run = results.load_many(spark, [f"{tmp_path}/{n}.parquet" for n in names])
+    # b covers a's flow, with a null too; it has no velocity and leaves that alone
+    assert cells(run) == {(9, 0): (1.0, 10.0, None), (2, 0): (4.0, 20.0, None), (2, 60): (None, 30.0, None), (5, 0): (5.0, None, None)}
+    assert axis(run.features, "feature_id", "row_idx") == [2, 9, 5]
+    assert axis(run.times, "time", "t_idx") == [0, 60]
+    assert run.variables == ("flow", "velocity") and [f.rsplit("/", 1)[1] for f in run.files] == ["a.parquet", "b.parquet"]
+    each = merge.merge([results.load(spark, f"{tmp_path}/{n}.parquet") for n in ("a", "b")])
+    assert cells(each) == cells(run) and each.variables == run.variables
+    assert axis(each.features, "feature_id", "row_idx") == [2, 9, 5]
+
+
+def test_a_run_without_a_variable_leaves_it_alone(spark):
+    a = make(spark, [(1, 0, 1.0, 2.0, 3.0), (2, 0, 4.0, 5.0, 6.0)])
+    b = make(spark, [(1, 0, 7.0)]).replace(variables=("flow",))
+    merged = merge.merge([a, b])
+    assert cells(merged) == {(1, 0): (7.0, 2.0, 3.0), (2, 0): (4.0, 5.0, 6.0)}
+    assert merge.merge([b, b]).variables == ("flow",)
+    assert cells(merge.merge([a, b.replace(variables=("flow", "depth"))]))[1, 0] == (7.0, 2.0, None)
+
+
+def test_positions_of_sparse_keys(spark):
+    keys = sorted({-(1 << 62), -5, 0, 1, 65_535, 65_536, 1 << 30, 1 << 41, (1 << 41) + 1, 1 << 61, (1 << 62) + 9})
+    df = spark.createDataFrame([(k,) for k in reversed(keys)], "k long")
+    assert axis(ranking.positions(df, "k", "i"), "k", "i") == keys
+    two = spark.createDataFrame([(ds, k) for ds in (1, 0) for k in keys[3:6]], "ds int, k long")
+    got = {(r.ds, r.k): r.i for r in ranking.positions(two, "k", "i", first=["ds"]).collect()}
+    assert got == {(ds, k): 3 * ds + i for ds in (0, 1) for i, k in enumerate(keys[3:6])}
+
+
+def test_one_level_of_a_store(spark, tmp_path):
+    (tmp_path / "run" / "deep").mkdir(parents=True)
+    (tmp_path / "run" / "a.nc").write_bytes(b"123")
+    (tmp_path / "run" / "deep" / "b.nc").write_bytes(b"4")
+    rows = [(r.name, r.is_folder, r.length) for r in folders.list_level(spark, f"{tmp_path}/run").collect() if not r.name.startswith(".")]
+    assert [r[:2] for r in rows] == [("a.nc", False), ("deep", True)] and rows[0][2] == 3
+    assert [r.key.rsplit("/", 1)[1] for r in folders.list_keys(spark, f"{tmp_path}").collect()].count("b.nc") == 1
+
+
+def test_unreadable_dense_files_are_left_out(monkeypatch):
+    class File(dict):
+        attrs: dict = {}
+        __enter__ = lambda self: self
+        __exit__ = lambda self, *_: None
+
+    files = {"good": File(time=np.array([0, 60]), feature_id=np.array([4, 5, 6]), flow=np.arange(6.0)), "empty": File()}
+
+    def opened(path):
+        if path not in files:
+            raise OSError(path)
+        return files[path]
+
+    monkeypatch.setattr(netcdf, "open_arrays", opened)
+    paths = [(0, "gone"), (1, "good"), (2, "empty")]
+    parts = netcdf.NetCdfReader(paths, 2, skip=True).partitions()
+    assert [(p.path, p.ds, p.first, p.last) for p in parts] == [("good", 1, 0, 2), ("good", 1, 2, 3)]
+    with pytest.raises(OSError, match="gone"):
+        netcdf.NetCdfReader(paths, 2).partitions()
+    rows = [r for p in parts for b in netcdf.NetCdfReader(paths, 2).read(p) for r in b.to_pylist()]
+    assert [(r["ds"], r["feature_id"], r["time"], r["row_idx"], r["flow"]) for r in rows] == [(1, 4 + i // 2, 60 * (i % 2), i // 2, float(i)) for i in range(6)]
+    assert {r["variables"] for r in rows} == {"flow"}
+
+
 def test_dense_arrays():
     arrays = {"time": np.array([0, 3600]), "feature_id": np.array([7, 8]), "flow": np.array([1, 2, 3, 4], np.float32), "depth": np.array([5.0], np.float32)}
-    rows = list(netcdf.dense_rows(arrays, {"file_reference_time": b"2026"}, 0, 2))
+    rows = [tuple(r[c] for c in "feature_id time row_idx t_idx flow velocity depth ref_time".split()) for b in netcdf.dense_batches(arrays, {"file_reference_time": b"2026"}, 0, 2) for r in b.to_pylist()]
     assert rows == [(7, 0, 0, 0, 1.0, None, 5.0, "2026"), (7, 3600, 0, 1, 2.0, None, None, "2026"), (8, 0, 1, 0, 3.0, None, None, "2026"), (8, 3600, 1, 1, 4.0, None, None, "2026")]
 
 

@@ -10,7 +10,6 @@ them, each with its outgoing byte transitions; a token is emitted when every pos
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 import unicodedata
 from array import array
@@ -21,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, worker_state
+from .common import give_back, read_table
 
 #: Pieces at least this long are not remembered whole; the transducer reads them byte by byte each time.
 MEMO_PIECE = 64
@@ -254,17 +253,14 @@ _BEYOND_LATIN = re.compile("[^\\x00-\u024f]")
 
 
 class Encoder:
+    """A task's transducer and what it remembers; both end with the task, since the Python worker that ran it serves other operators."""
+
     def __init__(self, ranks: bytes, pattern: str):
         self.fst = Transducer(parse_ranks(ranks))
         self.split, self.split_latin = regex.compile(pattern), _latin_classes(pattern)
         self.memo: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
-    @classmethod
-    def of(cls, ranks: bytes, pattern: str) -> Encoder:
-        """One for each Python worker and rank file, until another operator needs the place."""
-        return worker_state(("byte_bpe", hashlib.sha256(ranks).digest(), pattern), lambda: cls(ranks, pattern))
-
     def _miss(self, piece: str) -> bytes:
         if (packed := self.before.get(piece)) is None:
             packed = array("i", self.fst.encode(piece.encode())).tobytes()
@@ -323,9 +319,11 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     """
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(ranks, pattern)
+        encoder = Encoder(ranks, pattern)
         for batch in slices(rows):
             yield pa.RecordBatch.from_arrays([batch.column(0), encode_texts(encoder, batch.column(1))], ["doc_id", "ids"])
+        del encoder
+        give_back()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(batches, "doc_id long, ids array<int>")
 
@@ -345,10 +343,12 @@ def encode_decode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "do
     """``decode(encode(docs))`` in one Python worker for each task, where two would hold the vocabulary twice."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tokens = Encoder.of(ranks, pattern), token_table(ranks)
+        encoder, tokens = Encoder(ranks, pattern), token_table(ranks)
         for batch in slices(rows):
             ids = encode_texts(encoder, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, decode_ids(tokens, ids)], ["doc_id", "ids", "text"])
+        del encoder, tokens
+        give_back()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(batches, "doc_id long, ids array<int>, text string")
 

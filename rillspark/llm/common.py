@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
 from operator import and_
-from typing import Any
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,18 +21,15 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _local_dirs: dict[str, str] = {}
-_worker_state: dict[Hashable, Any] = {}
 
 
-def worker_state(key: Hashable, make: Callable[[], Any]) -> Any:
-    """What a Python worker keeps from task to task: one thing at a time.
-
-    Workers outlive tasks and serve all operators in turn, so what one of them keeps is let go as soon as another keeps its own.
-    """
-    if key not in _worker_state:
-        _worker_state.clear()
-        _worker_state[key] = make()
-    return _worker_state[key]
+def give_back() -> None:
+    """Give freed memory back to the system: Python workers outlive tasks, and one that waits would go on holding it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,34 +114,30 @@ BLOOM_BITS, BLOOM_HASHES = 1 << 24, 4
 
 
 class Bloom:
-    """A filter of keys, made of DataFrame operations: what it refuses is no key for certain."""
+    """A filter of keys, made of DataFrame operations: what it refuses is no key for certain.
+
+    The bits are words of 64 in one array, the value of a scalar subquery, which a row looks up in without leaving the JVM.
+    """
 
-    def __init__(self, keys: DataFrame, *columns: str, bits: int = BLOOM_BITS):
-        first, second = self._hashes(columns)
-        spots = F.array(*[F.pmod(first + F.lit(i) * second, F.lit(bits)) for i in range(BLOOM_HASHES)])
-        at = keys.select(F.explode(spots).alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, int(at & 63))").alias("bit"))
-        self.bits, self.words = bits, np.zeros(bits // 64, np.int64)
-        for r in at.groupBy("word").agg(F.bit_or("bit").alias("bit")).collect():  # bits / 64 rows
-            self.words[r.word] = r.bit
+    def __init__(self, keys: DataFrame, *columns: str, bits: int = BLOOM_BITS, label: str = "bloom"):
+        self.bits = bits
+        at = keys.select(F.explode(F.array(*self._spots(columns))).alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, int(at & 63))").alias("bit"))
+        words = at.groupBy("word").agg(F.bit_or("bit").alias("bit"))
+        every = keys.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bit"))
+        words = words.unionByName(every).groupBy("word").agg(F.bit_or("bit").alias("bit"))
+        ordered = F.sort_array(F.collect_list(F.struct("word", "bit")))  # bits / 64 words
+        self.words = cut(words.agg(F.transform(ordered, lambda x: x["bit"]).alias("words")), label)
 
-    @staticmethod
-    def _hashes(columns: tuple[str, ...]) -> list[Column]:
-        # Below 2^40, so that no sum overflows.
-        return [F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40)) for seed in ("bloom", "filter")]
+    def _spots(self, columns: tuple[str, ...]) -> list[Column]:
+        # Hashes below 2^40, so that no sum overflows.
+        first, second = (F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40)) for seed in ("bloom", "filter"))
+        return [F.pmod(first + F.lit(i) * second, F.lit(self.bits)) for i in range(BLOOM_HASHES)]
 
     def may_have(self, *columns: str) -> Column:
-        bits, words = self.bits, self.words
-
-        @F.arrow_udf("boolean")
-        def found(first: pa.Array, second: pa.Array) -> pa.Array:
-            one, two = first.to_numpy(), second.to_numpy()
-            out = np.ones(len(one), bool)
-            for i in range(BLOOM_HASHES):
-                at = (one + i * two) % bits
-                out &= (words[at >> 6] >> (at & 63) & 1).astype(bool)
-            return pa.array(out)
-
-        return found(*self._hashes(columns))
+        words = self.words.scalar()
+        word = lambda at: F.get(words, F.shiftright(at, 6).cast("int"))
+        is_set = lambda at: F.getbit(word(at), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+        return reduce(and_, [is_set(at) for at in self._spots(columns)])
 
 
 def chosen_rows(rows: DataFrame, names: tuple[str, ...], chosen: DataFrame, others: DataFrame, label: str) -> DataFrame:

@@ -7,7 +7,6 @@ every change of language, labels its spans.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, read_table, worker_state
+from .common import free_name, give_back, read_table
 
 #: Training texts of a language on the average (all, if it has fewer); the model keeps every n-gram of them.
 SAMPLE_TEXTS = 1000
@@ -34,7 +33,7 @@ SCRIPT_SHARE = 0.01
 #: A longer run of letters, as in scripts without spaces, is read as several words of so many letters.
 WORD_LETTERS = 40
 #: Scores that a worker remembers, and texts whose paths are found together: so many, or fewer with that many characters.
-MEMO_SCORES, TEXTS, CHARS = 600_000, 2000, 4_000_000
+MEMO_SCORES, TEXTS, CHARS = 600_000, 2000, 2_000_000
 
 # First and last code points of the scripts' main blocks.
 SCRIPTS = (
@@ -92,10 +91,6 @@ class Model:
     memo: dict[str, int] = field(default_factory=dict)
     rows: list[np.ndarray] = field(default_factory=list)
 
-    def digest(self) -> bytes:
-        content = repr((self.languages, sorted(self.grams.items()), sorted((s, u.tolist()) for s, u in self.scripts.items())))
-        return hashlib.sha256(content.encode() + self.scores.tobytes()).digest()
-
     def __getstate__(self):
         return {**self.__dict__, "memo": {}, "rows": []}
 
@@ -258,28 +253,29 @@ def language_of(model: Model):
 
     ``spans`` are ``(first_word, words, lang)`` over the text's words of letters; lang_pred is the language with the most
     letters, score its share of them; ``identified`` is the share of letters in spans whose words speak for the span's language.
-    A text that is null or has no letter is ``und`` with score 0, as every text is for a model without languages.
+    A text that is null or has no letter is ``und`` with score 0, as every text is for a model without languages.  Each task has the
+    model, and the words that it remembers, for itself.
     """
-    key = ("language_id", model.digest())
-
-    def verdict(own: Model, words: list[str], path: np.ndarray, scores: np.ndarray) -> tuple[str, float, float, list[dict]]:
+    def verdict(words: list[str], path: np.ndarray, scores: np.ndarray) -> tuple[str, float, float, list[dict]]:
         if not words:
             return "und", 0.0, 0.0, []
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        letters = np.bincount(path, sizes, len(own.languages))
+        letters = np.bincount(path, sizes, len(model.languages))
         top = int(letters.argmax())
         cuts = np.concatenate(([0], np.nonzero(path[1:] != path[:-1])[0] + 1, [len(path)]))
         sure = np.add.reduceat(scores, cuts[:-1]) >= LEAST_MEAN * np.diff(cuts)
         identified = float((np.add.reduceat(sizes, cuts[:-1]) * sure).sum() / sizes.sum())
-        spans = [{"first_word": int(a), "words": int(b - a), "lang": own.languages[path[a]]} for a, b in zip(cuts, cuts[1:], strict=False)]
-        return own.languages[top], float(letters[top] / letters.sum()), identified, spans
+        spans = [{"first_word": int(a), "words": int(b - a), "lang": model.languages[path[a]]} for a, b in zip(cuts, cuts[1:], strict=False)]
+        return model.languages[top], float(letters[top] / letters.sum()), identified, spans
 
     @F.arrow_udf(f"struct<{VERDICT.replace(' string', ':string').replace(' double', ':double').replace(' array', ':array')}>")
     def of(text: pa.Array) -> pa.Array:
-        own, out = worker_state(key, lambda: model), []
+        out = []
         for part in groups(text):
-            texts = [words_of(t) if t and own.languages else [] for t in part.to_pylist()]
-            out += [verdict(own, words, *found) for words, found in zip(texts, own.paths(texts), strict=True)]
+            texts = [words_of(t) if t and model.languages else [] for t in part.to_pylist()]
+            out += [verdict(words, *found) for words, found in zip(texts, model.paths(texts), strict=True)]
+        texts = []
+        give_back()
         langs, scores, identified, spans = zip(*out, strict=True) if out else ((), (), (), ())
         columns = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(identified, pa.float64()), pa.array(spans, pa.list_(SPAN))]
         return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "identified", "spans"])

@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, keep_rows, read_table
+from .common import chosen_rows, cut, free_name, outside, read_table, scratch
 
-#: Distinct digests meant for a bucket: some 10 MB in the task that builds or searches it.
-BUCKET_DIGESTS = 100_000
+#: Distinct digests meant for a bucket: a few MB in the task that builds or searches it.
+BUCKET_DIGESTS = 30_000
 #: Bits for each key of a level, and levels before the rest of a few keys is listed.
 GAMMA, LEVELS = 2.0, 24
 
@@ -189,16 +189,24 @@ def midpoint(docs: DataFrame) -> Column:
     return F.lit(False) if low is None else F.col("doc_id") < (low + high) // 2
 
 
-def dedup_table(docs: DataFrame) -> DataFrame:
-    return exact_dedup(with_digests(docs), midpoint(docs))
+def dedup_table(docs: DataFrame, label: str = "exact") -> DataFrame:
+    return exact_dedup(with_digests(docs), midpoint(docs), label)
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with the row that stays of each group, all columns as they are."""
-    groups = dedup_table(docs)
-    rows = F.count(F.lit(1)).alias("rows")
-    same = groups.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", F.col("digest").alias("key")).agg(rows)
-    return keep_rows(docs, digest_of(F.col("text").cast("string")), cut(same, "exact-keepers"))
+def keep_one(docs: DataFrame, label: str = "exact-stage") -> DataFrame:
+    """``docs`` with the row that stays of each group, all columns as they are, as ``exact_dedup`` has it.
+
+    Texts that are null or empty are one group; of rows with the same id and digest one stays; an empty table gives an empty one.
+    """
+    id_, digest = free_name(docs, "_id"), free_name(docs, "_digest")
+    names = [F.col("doc_id").alias(id_), F.col("digest").alias(digest)]
+    with scratch():
+        groups = dedup_table(docs, label).select("doc_id", "digest", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays"))
+        keys = groups.groupBy("doc_id", "digest").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("copies"))
+        with outside():
+            keys = cut(keys.select(*names, "stays", "copies"), f"{label}-keys")
+    marked = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(digest, digest_of(F.col("text").cast("string")))
+    return chosen_rows(marked, (id_, digest), keys.filter("stays"), keys.filter("not stays"), label).drop(id_, digest)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ with more fingerprints than a block has its blocks paired in separate groups.
 
 The pipeline's stage looks for far more differing bits than such tables cover.  Its keys are samples of the bits, and what they
 find are candidates only: texts are linked if their sets of shingles are, compared exactly, similar enough (``similar_roots``).
+Where candidates form a large group that isn't plainly one of copies, its sets are compared in blocks, as products of matrices.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keep_rows, read_table
+from .common import Bloom, chosen_rows, cut, free_name, outside, read_table, scratch
 from .components import components
 
 #: Fingerprints of one key that are compared in one group; two such blocks meet in a group of their own.
@@ -65,9 +66,11 @@ def bit_samples(bits: int, size: int, permutations: int) -> tuple[tuple[int, ...
 
 
 NEAR = Scheme((42,), tuple((16 * k, 16) for k in range(4)), tuple(((k, "exact"), ((k + 1) % 4, "ball")) for k in range(4)), 3)
-SIMILAR = Scheme((42, 43), (), (), 33, bit_samples(128, 16, 16))
+SIMILAR = Scheme((0, 1), (), (), 33, bit_samples(128, 16, 16))
 #: Texts of the pipeline are near copies if their shingle sets share this part of their union or more: a numerator and a denominator.
 ALIKE = (4, 5)
+#: Sets and hashes that a block of them has on the average at most (a set alone can have more), and columns of a matrix at a time.
+SETS, HASHES, COLUMNS = 512, 1 << 20, 2048
 
 
 @cache
@@ -109,19 +112,27 @@ def shingle_hashes(text: bytes, width: int, seed: int) -> np.ndarray:
     return np.fromiter((hashed(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends.tolist(), strict=True)), np.uint64, n)
 
 
-def simhash(text: bytes, width: int, seeds: tuple[int, ...], once: bool = False) -> bytes:
-    """A little-endian 64-bit word for each seed: a bit is 1 if set in over half of the shingles' hashes; with ``once`` repeats don't count."""
-    out = b""
-    for seed in seeds:
-        hashes = shingle_hashes(text, width, seed)
-        if once:
-            hashes = np.unique(hashes)
-        votes = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), UNPACK):
-            part = hashes[at : at + UNPACK].view(np.uint8).reshape(-1, 8)
-            votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out += np.packbits(2 * votes > len(hashes), bitorder="little").tobytes()
-    return out
+def majority(hashes: np.ndarray) -> bytes:
+    """A little-endian 64-bit word: a bit is 1 if set in over half of the hashes."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), UNPACK):
+        part = hashes[at : at + UNPACK].view(np.uint8).reshape(-1, 8)
+        votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > len(hashes), bitorder="little").tobytes()
+
+
+def simhash(text: bytes, width: int, seeds: tuple[int, ...]) -> bytes:
+    """A word for each seed; repeats of a shingle count each time."""
+    return b"".join(majority(shingle_hashes(text, width, seed)) for seed in seeds)
+
+
+def mixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Other hashes of the same shingles for each number: the finaliser of splitmix64."""
+    with np.errstate(over="ignore"):
+        x = hashes + np.uint64(number * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
 
 def fingerprint(width: int, seeds: tuple[int, ...]):
@@ -218,25 +229,14 @@ def forest(keys: np.ndarray, fps: np.ndarray, scheme: Scheme) -> Iterator[tuple[
     yield linked, parent[linked]
 
 
-def every_pair(keys: np.ndarray, fps: np.ndarray, scheme: Scheme) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of positions that are close, within each run of equal keys, with different labels (the last word)."""
-    left, shift = np.arange(len(keys) - 1), 1
-    while len(left := left[left + shift < len(keys)]) and len(left := left[keys[left + shift] == keys[left]]):
-        near = left[fps[left, -1] != fps[left + shift, -1]]
-        near = near[close(fps, near, near + shift, scheme)]
-        if len(near):
-            yield near, near + shift
-        shift += 1
-
-
 COMPARED = "u binary, v binary, key long, block int"
 
 
-def compare(keyed: DataFrame, scheme: Scheme, block: int = BLOCK, pairs=forest) -> DataFrame:
+def compare(keyed: DataFrame, scheme: Scheme, block: int = BLOCK) -> DataFrame:
     """Edges ``(u, v)`` of ``(key, fp)`` rows dealt and sorted by key; of a key with over a block of rows, all rows as ``(u, key, block)``."""
 
     def edges(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i, j in pairs(keys, fps, scheme):
+        for i, j in forest(keys, fps, scheme):
             yield pa.RecordBatch.from_arrays([binary(fps[i]), binary(fps[j]), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int32())], ["u", "v", "key", "block"])
 
     def as_block(key: int, number: int, fps: np.ndarray) -> pa.RecordBatch:
@@ -284,10 +284,10 @@ def compare(keyed: DataFrame, scheme: Scheme, block: int = BLOCK, pairs=forest)
     return keyed.mapInArrow(batches, COMPARED)
 
 
-def edges_of(nodes: DataFrame, scheme: Scheme, label: str, block: int = BLOCK, pairs=forest) -> DataFrame:
-    """``(u, v)``: for every key a spanning forest's edges, or what else ``pairs`` takes, over distinct fingerprints."""
+def edges_of(nodes: DataFrame, scheme: Scheme, label: str, block: int = BLOCK) -> DataFrame:
+    """``(u, v)``: for every key a spanning forest's edges, over distinct fingerprints."""
     keyed = key_rows(nodes, scheme)
-    found = cut(compare(keyed.repartition("key").sortWithinPartitions("key"), scheme, block, pairs), f"{label}-compared")
+    found = cut(compare(keyed.repartition("key").sortWithinPartitions("key"), scheme, block), f"{label}-compared")
     edges = found.filter("v is not null").select("u", "v")
     wide = found.filter("v is null").select("key", "block", F.col("u").alias("fp"))
     if wide.isEmpty():
@@ -296,7 +296,7 @@ def edges_of(nodes: DataFrame, scheme: Scheme, label: str, block: int = BLOCK, p
     others = wide.groupBy("key").agg(F.max("block").alias("last")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
     met = wide.join(others, "key").filter("other <> block")
     pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    again = compare(met.select(pair.alias("key"), "fp").repartition("key").sortWithinPartitions("key"), scheme, 1 << 30, pairs)
+    again = compare(met.select(pair.alias("key"), "fp").repartition("key").sortWithinPartitions("key"), scheme, 1 << 30)
     return edges.unionByName(cut(again, f"{label}-blocks").select("u", "v"))
 
 
@@ -315,10 +315,12 @@ def near_groups(docs: DataFrame, width: int = 3, scheme: Scheme = NEAR, label: s
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(rows.select("doc_id", text_hash(F.col("text")).alias("text_hash"), fingerprint(width, scheme.seeds)("text").alias("fp")), f"{label}-fingerprints")
-    roots = cut(link(rows, scheme, label, block), f"{label}-roots")
-    smallest = rows.groupBy("fp").agg(F.min("doc_id").alias("smallest")).join(roots, "fp")
-    ids = smallest.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    classes = cut(roots.join(ids, "root").select("fp", "root", "component_id"), f"{label}-classes")
+    with scratch():
+        roots = cut(link(rows, scheme, label, block), f"{label}-roots")
+        smallest = rows.groupBy("fp").agg(F.min("doc_id").alias("smallest")).join(roots, "fp")
+        ids = smallest.groupBy("root").agg(F.min("smallest").alias("component_id"))
+        with outside():
+            classes = cut(roots.join(ids, "root").select("fp", "root", "component_id"), f"{label}-classes")
     return rows.join(classes, "fp")
 
 
@@ -335,7 +337,7 @@ def set_node(text: bytes, width: int, scheme: Scheme) -> bytes:
     """The fingerprint of the shingle set, then a word of its hash and size: texts with the same set are one node."""
     own = shingle_set(text, width)
     tail = xxhash.xxh64_intdigest(own.tobytes()) & ~int(SIZE) | min(len(own), int(SIZE))
-    return simhash(text, width, scheme.seeds, once=True) + tail.to_bytes(8, "little")
+    return b"".join(majority(mixed(own, number)) for number in scheme.seeds) + tail.to_bytes(8, "little")
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -349,6 +351,38 @@ def alike(a: bytes, b: bytes) -> bool:
     return ALIKE[1] * both >= ALIKE[0] * (len(x) + len(y) - both)
 
 
+def common_counts(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """How many hashes each of the first ``left`` sets shares with each of the others, or with each of all if there are no others."""
+    n = len(sets)
+    right = slice(left, n) if left < n else slice(0, n)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = counts[column] > 1  # a hash that one set has is no common one
+    owner, column = owner[several], column[several]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], np.cumsum(np.diff(column[order], prepend=-1) > 0) - 1
+    out = np.zeros((left, right.stop - right.start), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, (first, first + COLUMNS)))
+        has = np.zeros((n, COLUMNS), np.float32)
+        has[owner[part], column[part] - first] = 1
+        out += has[:left] @ has[right].T  # whole numbers below 2^24
+    if left == n:
+        np.fill_diagonal(out, [len(x) for x in sets])
+    return out.astype(np.int64)
+
+
+def spanning(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links the least row of its component."""
+    root = np.arange(len(linked))
+    while True:
+        least = np.minimum(root, np.where(linked, root, len(root)).min(axis=1, initial=len(root)))
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least
+
+
 def on_texts(of, kind: str):
     """The column function of ``of`` over texts as bytes, null as the empty one."""
 
@@ -369,56 +403,113 @@ def on_sets():
     return column
 
 
+def size_of(fp: Column) -> Column:
+    """The size that stands in a node's last word: its three lowest bytes, which come first."""
+    digits = F.hex(F.substring(fp, -8, 3))
+    return F.conv(F.concat(F.substring(digits, 5, 2), F.substring(digits, 3, 2), F.substring(digits, 1, 2)), 16, 10).cast("long")
+
+
+def in_steps(members: DataFrame, sets: int = SETS, hashes: int = HASHES) -> DataFrame:
+    """``(group, low, high, below, own, fp, of)``: each row of ``members`` ``(group, fp, linked, of)`` once for every block that its own one meets.
+
+    A group's sets are dealt to steps by their size, a step's largest being 5/4 of its smallest, and those of a step to blocks; sets
+    that are alike stand in the same step or neighbouring ones.  Blocks of sets that are linked already don't meet each other.
+    """
+    ratio = F.lit(ALIKE[1] / ALIKE[0])
+    step = F.floor(F.log(F.greatest(size_of(F.col("fp")), F.lit(1)).cast("double")) / F.log(ratio) + 1e-9).cast("int")
+    sized = members.withColumn("step", step)
+    most = F.greatest(F.lit(1), F.least(F.lit(sets), F.floor(F.lit(hashes) / F.pow(ratio, F.col("step") + 1))))
+    counts = sized.groupBy("group", "step", "linked").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / most).cast("int")).drop("n")
+    sides = counts.select("group", "step", "linked", "blocks", F.explode(F.expr("array(step - 1, step, step + 1)")).alias("other_step"))
+    others = counts.select("group", F.col("step").alias("other_step"), F.col("linked").alias("other_linked"), F.col("blocks").alias("other_blocks"))
+    meets = sides.join(others, ["group", "other_step"]).filter("not (linked and other_linked)")
+    meets = meets.withColumn("other_block", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1))).drop("other_blocks")
+    here = F.struct("step", "linked", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"))
+    there = F.struct(F.col("other_step").alias("step"), F.col("other_linked").alias("linked"), F.col("other_block").alias("block"))
+    placed = sized.join(meets, ["group", "step", "linked"]).select("group", here.alias("at"), there.alias("there"), "fp", "of")
+    return placed.select("group", F.least("at", "there").alias("low"), F.greatest("at", "there").alias("high"), (F.col("at") < F.col("there")).alias("below"), (F.col("at") == F.col("there")).alias("own"), "fp", "of")
+
+
+def compared_in_blocks(members: DataFrame, sets: int = SETS, hashes: int = HASHES) -> DataFrame:
+    """``(u, v)``: for every two blocks of ``in_steps`` that meet, each set with the first of those that it is linked with there."""
+
+    def forest_of(table: pa.Table) -> pa.Table:
+        own = table["own"][0].as_py()
+        table = table.sort_by([("below", "descending")])
+        left = table.num_rows if own else sum(table["below"].to_pylist())
+        of = [np.frombuffer(x, np.uint64) for x in table["of"].to_pylist()]
+        sizes = np.array([len(x) for x in of])
+        n, right = len(of), slice(0 if own else left, len(of))
+        both = common_counts(of, left)
+        near = ALIKE[1] * both >= ALIKE[0] * (sizes[:left, None] + sizes[None, right] - both)
+        linked = np.zeros((n, n), bool)
+        linked[:left, right] = near
+        root = spanning(linked | linked.T)
+        at = np.nonzero(root != np.arange(n))[0]
+        fps = table["fp"].combine_chunks()
+        return pa.table({"u": fps.take(pa.array(at)), "v": fps.take(pa.array(root[at]))})
+
+    return in_steps(members, sets, hashes).groupBy("group", "low", "high").applyInArrow(forest_of, "u binary, v binary")
+
+
 def similar_roots(rows: DataFrame, docs: DataFrame, width: int, scheme: Scheme, label: str) -> DataFrame:
     """``(fp, root)`` of the nodes of ``rows``: components of the candidate pairs whose shingle sets are alike.
 
     Candidates are first taken for links.  Each member of such a coarse component is compared with its smallest; where all are
-    alike, the component stands.  Of the other components every candidate pair that isn't linked by then is compared.
+    alike, the component stands.  In the others those that aren't are compared with each other and with the rest.
     """
     nodes = cut(rows.select("fp").distinct(), f"{label}-nodes")
     coarse = cut(components(edges_of(nodes, scheme, label), f"{label}-coarse"), f"{label}-stars")
     members = cut(coarse.select("node").union(coarse.select("root")).distinct(), f"{label}-members")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "rows")
-    chosen = rows.groupBy("fp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows")).groupBy("fp").agg(F.min(order).alias("o"))
-    chosen = cut(chosen.join(members, F.col("fp") == F.col("node"), "left_semi").select("fp", "o.doc_id", "o.text_hash", "o.rows"), f"{label}-chosen")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "copies")
+    every = rows.groupBy("fp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    chosen = every.groupBy("fp").agg(F.min(order).alias("o"))
+    chosen = cut(chosen.join(members, F.col("fp") == F.col("node"), "left_semi").select("fp", "o.doc_id", "o.text_hash", "o.copies"), f"{label}-chosen")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("hash", text_hash(F.col("text")))
     same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
-    found = texts.join(chosen, same).select("fp", "text")
-    if not chosen.filter("rows > 1").isEmpty():
+    # Only the texts of candidates, and a few others, are shuffled.
+    likely = Bloom(chosen, "doc_id", "text_hash").may_have("id", "hash")
+    found = texts.filter(likely).join(chosen.hint("merge"), same).select("fp", "text")
+    if not chosen.filter("copies > 1").isEmpty():
         found = found.dropDuplicates(["fp"])
     sets = cut(found.select("fp", on_texts(lambda t: shingle_set(t, width).tobytes(), "binary")("text").alias("of")), f"{label}-sets")
 
-    def judged(pairs: DataFrame, name: str) -> DataFrame:
-        one = pairs.join(sets.select(F.col("fp").alias("u"), F.col("of").alias("a")), "u")
-        both = one.join(sets.select(F.col("fp").alias("v"), F.col("of").alias("b")), "v")
-        return cut(both.select("u", "v", on_sets()("a", "b").alias("alike")), f"{label}-{name}")
-
-    stars = judged(coarse.select(F.col("node").alias("u"), F.col("root").alias("v")), "judged-stars")
-    links = stars.filter("alike").select("u", "v")
-    open_roots = stars.filter("not alike").select("v").distinct()
+    # The smallest of a large component stands in as many places as it takes, so that no task has all its members.
+    parts = coarse.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    centres = parts.join(sets, F.col("root") == F.col("fp")).select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("of").alias("b"))
+    stars = coarse.join(parts, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    stars = stars.join(sets.select(F.col("fp").alias("node"), F.col("of").alias("a")), "node").join(centres, ["root", "part"])
+    stars = cut(stars.select("node", "root", on_sets()("a", "b").alias("alike")), f"{label}-judged")
+    links = stars.filter("alike").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    open_roots = cut(stars.filter("not alike").select("root").distinct(), f"{label}-open")
     if not open_roots.isEmpty():
-        pool = stars.join(open_roots, "v", "left_semi").select(F.col("u").alias("node"), F.when(F.col("alike"), F.col("v")).otherwise(F.col("u")).alias("of"))
-        pool = pool.unionByName(open_roots.select(F.col("v").alias("node"), F.col("v").alias("of")))
-        # The label of what is linked already follows the node's own words.
-        labelled = cut(pool.select(F.concat("node", F.unhex(F.lpad(F.hex(F.xxhash64("of")), 16, "0"))).alias("fp")), f"{label}-pool")
-        bare = lambda x: F.substring(x, 1, 8 * len(scheme.seeds) + 8)
-        pairs = edges_of(labelled, scheme, f"{label}-open", pairs=every_pair).select(bare("u").alias("u"), bare("v").alias("v"))
-        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(stars.select("u", "v"), ["u", "v"], "left_anti")
-        links = links.unionByName(judged(cut(pairs, f"{label}-pairs"), "judged-pairs").filter("alike").select("u", "v"))
+        pool = stars.join(open_roots, "root", "left_semi").select(F.col("root").alias("group"), F.col("node").alias("fp"), F.col("alike").alias("linked"))
+        pool = pool.unionByName(open_roots.select(F.col("root").alias("group"), F.col("root").alias("fp"), F.lit(True).alias("linked")))
+        links = links.unionByName(cut(compared_in_blocks(cut(pool.join(sets, "fp"), f"{label}-pool")), f"{label}-forests"))
     roots = components(links, f"{label}-components")
     return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, scheme: Scheme = SIMILAR, label: str = "simhash-stage") -> DataFrame:
-    """``docs`` with one row of each group of near copies, that of the smallest doc_id, nulls last; rows that tie stay once."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    node = on_texts(lambda t: set_node(t, width, scheme), "binary")("text").alias("fp")
-    made = cut(texts.select("doc_id", text_hash(F.col("text")).alias("text_hash"), node), f"{label}-fingerprints")
-    rows = made.join(cut(similar_roots(made, docs, width, scheme, label), f"{label}-roots"), "fp")
-    rows = rows.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "rows")).alias("first")
-    keepers = cut(rows.groupBy("root").agg(first).select("first.doc_id", F.col("first.text_hash").alias("key"), "first.rows"), f"{label}-keepers")
-    return keep_rows(docs, text_hash(F.col("text").cast("string")), keepers)
+    """``docs`` with one row of each group of near copies, that of the smallest doc_id, nulls last; rows that tie stay once.
+
+    Texts that are null or have no word are one group.  All columns stay as they are; an empty table gives an empty one.
+    """
+    id_, hash_ = free_name(docs, "_id"), free_name(docs, "_hash")
+    with scratch():
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        node = on_texts(lambda t: set_node(t, width, scheme), "binary")("text").alias("fp")
+        made = cut(texts.select("doc_id", text_hash(F.col("text")).alias("text_hash"), node), f"{label}-fingerprints")
+        rows = made.join(cut(similar_roots(made, docs, width, scheme, label), f"{label}-roots"), "fp")
+        rows = cut(rows.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies")), f"{label}-rows")
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
+        firsts = rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), F.lit(True).alias("stays"))
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+        keys = rows.join(firsts, same, "left").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), "stays", "copies")
+        with outside():
+            keys = cut(keys, f"{label}-keys")
+    marked = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(hash_, text_hash(F.col("text").cast("string")))
+    return chosen_rows(marked, (id_, hash_), keys.filter("stays"), keys.filter("stays is null"), label).drop(id_, hash_)
 
 
 def big_endian_hex(fp: Column) -> Column:

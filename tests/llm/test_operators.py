@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from rillspark.llm import (
     byte_bpe,
+    common,
     components,
     exact_dedup,
     importance,
@@ -145,6 +146,52 @@ def test_small_changes_of_short_notices_are_found():
     assert scanned(f"{EN} licensed under the Apache License 2.0 {DE}", "Apache-2.0")
 
 
+def common_length(a, b):
+    """The length of a longest common subsequence, by the table."""
+    above = [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+        above = row
+    return above[-1]
+
+
+def test_op1_against_plain_search(spark, tmp_path):
+    rng = np.random.default_rng(21)
+    filler = [w for w in f"{EN} {DE} license version software public the under".split()]
+    texts = []
+    for name in license_scan.TEMPLATES:
+        notice = license_scan.TEMPLATES[name].split()
+        for drop in (0, 1, len(notice) // 3):
+            kept = [w for i, w in enumerate(notice) if i not in set(rng.choice(len(notice), drop, replace=False))]
+            texts.append(" ".join([*rng.choice(filler, 40), *kept, *rng.choice(filler, 40)]))
+    texts += [" ".join(rng.choice(filler, 200)) for _ in range(10)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in license_scan.op1_license_scan(spark, str(tmp_path)).collect()}
+    full = {r.doc_id: {m.license: m for m in r.matches} for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        w = license_scan.words_of(text or "")
+        for name, template in license_scan.TEMPLATES.items():
+            t = license_scan.words_of(template)
+            whole = any(w[k : k + len(t)] == t for k in range(len(w) - len(t) + 1))
+            assert not whole or full[i][name].coverage == 1
+            if name in full[i]:  # no alignment covers more than the longest common subsequence of the place
+                m = full[i][name]
+                assert common_length(w[m.first_word : m.last_word + 1], t) >= round(m.coverage * len(t)) >= license_scan.LEAST_COVERAGE * len(t)
+        assert got[i].licensed == bool(full[i]) and got[i].n_matches == len(full[i])
+    assert not any(full[i] for i in range(len(texts) - 12, len(texts)))
+
+
+def test_license_scan_on_odd_rows(odd, empty, clashing):
+    got = license_scan.scan(clashing).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in odd_rows())
+    assert not any(r.license for r in got)
+    assert license_scan.scan(empty).count() == 0
+    notice = odd.filter("doc_id = 1").select("doc_id", F.lit("Released under the MIT License.").alias("text"))
+    assert [r.license for r in license_scan.scan(notice).collect()] == ["MIT", "MIT"]
+
+
 # 2
 
 
@@ -258,6 +305,35 @@ def test_stage_links_by_exact_similarity(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
 
 
+@pytest.mark.parametrize("sets", [4, 512])
+def test_blocks_find_all_that_is_alike(spark, sets):
+    rng = np.random.default_rng(17)
+    rows, of = [], {}
+    for group in range(3):
+        base = rng.integers(0, 1 << 62, 60)
+        for k in range(25):
+            own = base[: int(rng.integers(35, 61))].copy()
+            changed = rng.choice(len(own), int(rng.integers(0, 9)), replace=False)
+            own[changed] = rng.integers(0, 1 << 62, len(changed))
+            own = np.unique(own.astype(np.uint64))
+            fp = bytes(16) + (int(rng.integers(1, 1 << 40)) << 24 | len(own)).to_bytes(8, "little")
+            of[fp] = (group, own)
+            rows.append((bytearray(str(group).encode()), bytearray(fp), False, bytearray(own.tobytes())))
+    members = spark.createDataFrame(rows, "group binary, fp binary, linked boolean, of binary")
+    pairs = [(a, b) for a in of for b in of if a < b and of[a][0] == of[b][0]]
+    linked = [(a, b) for a, b in pairs if simhash.alike(of[a][1].tobytes(), of[b][1].tobytes())]
+    assert 0 < len(linked) < len(pairs)
+
+    def classes(edges):
+        label = {fp: fp for fp in of}
+        find = lambda x: x if label[x] == x else find(label[x])
+        for a, b in edges:
+            label[find(a)] = find(b)
+        return {frozenset(x for x in of if find(x) == r) for r in of}
+
+    assert classes((bytes(r.u), bytes(r.v)) for r in simhash.compared_in_blocks(members, sets).collect()) == classes(linked)
+
+
 def test_stage_fingerprints_are_of_sets():
     rng = np.random.default_rng(13)
     line = " ".join(f"line{i}" for i in range(11))
@@ -296,6 +372,33 @@ def test_language_id_on_mixed_and_odd_texts(spark, odd, empty, clashing):
     assert not {4, 5, 6, 9} & {r.doc_id for r in language_id.keep_identified(clashing).collect()}
 
 
+def test_word_scores_are_log_probabilities_against_the_mean(spark):
+    rows = [(1, "aab ab", "x"), (2, "ba bb", "y"), (3, "aab", "y"), (4, "cc", "z")]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {lang: Counter() for lang in "xyz"}
+    for _, text, lang in rows:
+        for w in text.split():
+            counts[lang].update(f"\x02{w}\x03"[i : i + 3] for i in range(len(w)))
+    grams = sorted(set().union(*counts.values()))
+    logs = {lang: {g: math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * len(grams))) for g in grams} for lang, c in counts.items()}
+    for word in ("aab", "abba", "qq"):
+        own = [g for g in (f"\x02{word}\x03"[i : i + 3] for i in range(len(word))) if g in grams]
+        want = [sum(logs[lang][g] - sum(logs[k][g] for k in "xyz") / 3 for g in own) for lang in "xyz"]
+        assert model.word_scores([word])[0].tolist() == pytest.approx([max(-language_id.MOST, min(language_id.MOST, v)) for v in want], abs=1e-4)
+    # Two models of the same languages and n-grams in one session, whatever worker labels: each gives its own answer.
+    other = language_id.train(spark.createDataFrame([(1, "aab ab", "y"), (2, "ba bb", "x"), (3, "aab", "x"), (4, "cc", "z")], "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame([(1, "ab ab ab ab")], "doc_id long, text string").coalesce(1)
+    assert [language_id.label(docs, m).first().lang_pred for m in (model, other, model)] == ["x", "y", "x"]
+
+
+def test_texts_of_several_languages_stay(spark):
+    train = [(i, (EN, DE)[i % 2] + f" x{i}", ("en", "de")[i % 2]) for i in range(100)] + [(200 + i, "привет как дела река и город", "ru") for i in range(20)]
+    mixed = [(900, f"{EN} {DE} " + "привет как дела река и город " * 4, None), (901, "ⴰⴱⴳ ⴷⴻⴼ ⴳⵀⵉ", None), (902, "12 34", None)]
+    docs = spark.createDataFrame(train + mixed, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in language_id.keep_identified(docs).collect()}
+    assert 900 in kept and not {901, 902} & kept and {t[0] for t in train} <= kept
+
+
 def test_every_letter_of_a_long_run_is_read():
     for run in ("ab" * 75, "漢字" * 75):
         assert "".join(language_id.words_of(f"1{run}2")) == run
@@ -321,7 +424,7 @@ def test_viterbi_is_the_best_path():
     def value(p, at):
         return sum(scores[w][k] for w, k in zip(at, p, strict=True)) - language_id.SWITCH * sum(x != y for x, y in zip(p, p[1:], strict=False))
 
-    for found, at in ((path[0], range(9)), (path[2], (0, 4))):
+    for found, at in ((path[0][0], range(9)), (path[2][0], (0, 4))):
         assert value(found, at) == pytest.approx(max(value(p, at) for p in product(range(3), repeat=len(at))), abs=1e-4)
 
 
@@ -363,6 +466,54 @@ def test_mixing_comes_near_its_targets(spark):
     assert sorted(map(tuple, mixing.taken(docs.repartition(7)).collect()), key=str) == sorted(map(tuple, got), key=str)
 
 
+def brute_taken(rows):
+    """Words taken of each row ``(doc_id, size, source, mixed)`` by walking the schedule slot by slot and the streams word by word."""
+    sizes = Counter()
+    for _, n, s, _ in rows:
+        sizes[s] += n
+    want, passes = brute_targets(sizes), 2
+    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])
+    order = [s for s in order if sizes[s] and want[s]]
+    blocks, width = {}, {}
+    for s in order:
+        words_a_block = max(1, min(mixing.BLOCK_WORDS, sizes[s] // mixing.LEAST_BLOCKS))
+        blocks[s] = -(-sizes[s] // words_a_block)
+        width[s] = sizes[s] / blocks[s]
+    slots = {s: want[s] / width[s] for s in order}
+    ends, total = [], sum(slots.values())
+    for s in order:
+        ends.append(sum(slots[x] for x in order[: order.index(s) + 1]) / total)
+    ends[-1] = 2.0
+    rank, uses = Counter(), Counter()
+    for i in range(round(total)):
+        x = math.fmod(i // (1 << 20) * mixing.PHI_HIGH + i % (1 << 20) * mixing.PHI, 1.0)
+        s = next(s for s, end in zip(order, ends, strict=True) if x < end)
+        if rank[s] < passes * blocks[s]:
+            uses[s, rank[s] % blocks[s]] += 1
+        rank[s] += 1
+    cells, out = max(64, math.isqrt(len(rows))), Counter()
+    for s in order:
+        stream = sorted((r for r in rows if r[2] == s and r[1]), key=lambda r: (r[3] % cells, r[3], r[0], r[1]))
+        edges = [math.floor(b * width[s]) for b in range(blocks[s])] + [sizes[s]]
+        times = [uses[s, b] for b in range(blocks[s]) for _ in range(edges[b + 1] - edges[b])]
+        at = 0
+        for doc_id, n, _, _ in stream:
+            out[doc_id] += sum(times[at : at + n])
+            at += n
+    return out
+
+
+def test_op4_takes_what_the_schedule_says(spark, tmp_path):
+    rng = np.random.default_rng(31)
+    rows = [(i, " ".join(["w"] * int(n)), s) for i, (n, s) in enumerate(zip(rng.integers(0, 90, 300), rng.choice(["a", "b", "é"], 300, p=[0.6, 0.3, 0.1]), strict=True))]
+    rows += [(500, None, None), (501, "x y z", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    hashed = mixing.sizes(docs).select("doc_id", "size", "source", F.xxhash64(F.lit(mixing.SEED), F.col("doc_id"), F.col("size"))).collect()
+    want = brute_taken([tuple(r) for r in hashed])
+    assert {r.doc_id: r.taken for r in mixing.op4_mixing(spark, str(tmp_path)).collect()} == {r[0]: want[r[0]] for r in rows}
+
+
 def test_the_schedule_keeps_to_the_weights_all_along(spark):
     docs = spark.createDataFrame([(i, "w " * 50, "abc"[i % 3]) for i in range(300)], "doc_id long, text string, source string")
     _, _, slots = mixing.mix(docs)
@@ -447,6 +598,19 @@ def test_quality_rules(spark, clashing, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def test_repeated_words_of_long_texts(spark):
+    import time
+
+    texts = [" ".join(f"w{i % (n // 2)}" for i in range(n)) for n in (20_000, 40_000)] + [LONG, "x " * 50_000]
+    took = []
+    for i, t in enumerate(texts):
+        docs = spark.createDataFrame([(i, t)], "doc_id long, text string")
+        at = time.monotonic()
+        assert quality_rules.judge(docs).first().n_repeat_words == brute_quality(t)[4]
+        took.append(time.monotonic() - at)
+    assert max(took) < 20  # seconds, where a square takes minutes
+
+
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("ab"), max_size=30), min_size=8, max_size=8))
 def test_repeated_words(spark, texts):
@@ -494,6 +658,34 @@ def test_bounded_loads(spark):
     assert sum(before[r.key] != r.shard for r in more) < 2.5 * 3000 / 8
 
 
+def test_op7_walks_row_by_row_as_the_ring_says(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i % 90}") for i in range(700)] + [(None, None)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows, counts = shards(ring_sharding.op7_ring_sharding(spark, str(tmp_path)))
+    assert len(rows) == 701 and set(counts) == set(range(16)) and max(counts.values()) - min(counts.values()) <= 1
+    arcs = sorted((r.arc, r.shard, r.low, r.high) for r in ring_sharding.ring(spark, 16).collect())
+    at = [r[0] for r in docs.select(ring_sharding.position(F.lit("key"), F.col("doc_id"))).collect()]
+    clockwise = sorted({(a, s) for a, s, _, _ in arcs})
+    held = Counter(next(a for a, _, low, high in arcs if low <= x <= high) for x in at)
+    room = [701 // 16 + (k < 701 % 16) for k in range(16)]
+    placed, left = Counter(), []
+    for k, (arc, owner) in enumerate(clockwise):
+        for _ in range(held[arc]):
+            if room[owner]:
+                room[owner] -= 1
+                placed[owner, owner] += 1
+            else:
+                left.append(k)
+    for k in left:
+        step = k
+        while not room[clockwise[step % len(clockwise)][1]]:
+            step += 1
+        shard = clockwise[step % len(clockwise)][1]
+        room[shard] -= 1
+        placed[clockwise[k][1], shard] += 1
+    assert Counter((r.owner, r.shard) for r in rows) == placed
+
+
 def test_every_position_has_one_owner(spark):
     arcs = ring_sharding.ring(spark, 5, 16)
     rows = sorted((r.low, r.high) for r in arcs.collect())
@@ -520,6 +712,16 @@ def vocabulary():
     return byte_bpe.public_vocabulary()
 
 
+@pytest.fixture(scope="module")
+def encoder(vocabulary):
+    return byte_bpe.Encoder(*vocabulary)
+
+
+def test_ids_beyond_the_bits_are_refused():
+    with pytest.raises(ValueError, match="token ids"):
+        byte_bpe.Transducer({b"a": 1 << byte_bpe.ID_BITS})
+
+
 @pytest.fixture(scope="module")
 def tokenizer(vocabulary):
     import tiktoken
@@ -530,18 +732,17 @@ def tokenizer(vocabulary):
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
-def test_ids_of_any_text(vocabulary, tokenizer, text):
-    assert np.frombuffer(byte_bpe.Encoder.of(*vocabulary).encode(text), "<i4").tolist() == tokenizer.encode_ordinary(text)
+def test_ids_of_any_text(encoder, tokenizer, text):
+    assert np.frombuffer(encoder.encode(text), "<i4").tolist() == tokenizer.encode_ordinary(text)
 
 
 @settings(max_examples=100, deadline=None)
 @given(st.text("aeinrst é\x1c '\n1²", max_size=200))
-def test_ids_of_words(vocabulary, tokenizer, text):
-    assert np.frombuffer(byte_bpe.Encoder.of(*vocabulary).encode(text), "<i4").tolist() == tokenizer.encode_ordinary(text)
+def test_ids_of_words(encoder, tokenizer, text):
+    assert np.frombuffer(encoder.encode(text), "<i4").tolist() == tokenizer.encode_ordinary(text)
 
 
 def test_long_pieces_small_tables_and_resets(vocabulary, tokenizer, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "LOOKAHEAD", 80)
     monkeypatch.setattr(byte_bpe, "MAX_STATES", 50)
     monkeypatch.setattr(byte_bpe, "MAX_PAIRS", 20)
     monkeypatch.setattr(byte_bpe, "WHOLE_TEXT", 100)
@@ -599,10 +800,12 @@ def test_weights_are_log_ratios(spark):
 def test_kth_largest(spark, monkeypatch, few):
     monkeypatch.setattr(importance, "FEW", few)
     values = [0.5, 3.0, 3.0, 3.0, -1.0, 2.0, 1e9]
-    rows = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "key double, tie long")
-    for k in range(1, 8):
-        assert importance.kth_largest(rows, "key", k)[0] == sorted(values, reverse=True)[k - 1]
-        assert rows.filter(importance.largest(rows, k)).count() == k
+    rows = spark.createDataFrame([(v, 2 * i, 1 + i % 3) for i, v in enumerate(values)], "key double, tie long, n long")
+    every = sorted((v for i, v in enumerate(values) for _ in range(1 + i % 3)), reverse=True)
+    for k in range(1, len(every) + 1):
+        assert importance.kth_largest(rows, "key", k)[0] == every[k - 1]
+    for k in (0, 1, 3, 7):
+        assert rows.select(F.sum(importance.how_many(rows, k))).first()[0] == k
 
 
 def test_gumbel_noise_is_gumbel(spark):
@@ -610,6 +813,54 @@ def test_gumbel_noise_is_gumbel(spark):
     assert np.mean(got) == pytest.approx(0.5772, abs=0.1) and np.std(got) == pytest.approx(math.pi / 6**0.5, abs=0.1)
 
 
+def brute_importance(texts, target):
+    """Log weights by the definition: words and neighbouring pairs in hashed buckets, one count in each before any text."""
+
+    def buckets(text):
+        h = [zlib.crc32(w.lower()) for w in words(text)]
+        return [x % 10_000 for x in h] + [((a * 0x9E3779B1 & (1 << 64) - 1 ^ b) * 0x85EBCA6B & (1 << 64) - 1) >> 16 for a, b in zip(h, h[1:], strict=False)]
+
+    def model(rows):
+        count = Counter(b % 10_000 for t in rows for b in buckets(t))
+        total = 10_000 + sum(count.values())
+        return lambda b: math.log((count[b] + 1) / total)
+
+    p, q = model([texts[i] for i in target]), model(texts)
+    return [sum(p(b % 10_000) - q(b % 10_000) for b in buckets(t)) for t in texts]
+
+
+def test_op9_is_what_the_definition_gives(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"W{i}" for i in rng.integers(0, 60 if k % 3 else 20, int(rng.integers(0, 30)))) for k in range(60)] + [None, "", "a", "a"]
+    labels = [(i, i % 3 == 0, 0) for i in range(0, 50, 2)] + [(4, None, 0), (None, True, 0), (6, False, 1), (999, True, 0)]
+    labels = [(i, None if q is None else int(q), t) for i, q, t in labels]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in importance.op9_importance(spark, str(tmp_path)).collect()}
+    best = {}
+    for i, q, _ in labels:
+        if i is not None and q is not None:
+            best[i] = max(best.get(i, 0), q)
+    want = brute_importance(texts, [i for i in best if best[i] and i < len(texts)])
+    assert [got[i].log_weight for i in range(len(texts))] == pytest.approx(want, abs=1e-9)
+    kept = sorted(range(len(texts)), key=lambda i: -got[i].key)[: round(sum(best.values()) / len(best) * len(texts))]
+    assert sorted(kept) == [i for i in range(len(texts)) if got[i].kept]
+
+
+def test_repeated_rows_at_the_threshold_stay_as_there_is_room(spark):
+    docs = spark.createDataFrame([(1, "a b")] * 7 + [(2, "c d")] * 3 + [(None, "e")] * 4, "doc_id long, text string")
+    for k in range(15):
+        got = importance.resample(docs, docs.filter("doc_id = 1"), k=k).collect()
+        assert len(got) == 14 and sum(r.kept for r in got) == k
+
+
+def test_importance_without_labels(spark, tmp_path, odd):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = importance.op9_importance(spark, str(tmp_path)).collect()
+    assert len(got) == odd.count() and all(r.kept for r in got)
+
+
 # 10
 
 PAGES = "page_id long, url string, html string"
@@ -630,6 +881,58 @@ def test_revisits_refer_to_the_smallest_page(spark, tmp_path):
     assert records.select("record_id").distinct().count() == len(rows)
 
 
+def test_op10_is_what_the_contract_says(spark, tmp_path):
+    rng = np.random.default_rng(41)
+    rows = [(int(i), f"http://{i}/", None if i % 11 == 0 else "" if i % 13 == 0 else f"<p>{rng.integers(0, 60)}</p>") for i in rng.permutation(300)]
+    spark.createDataFrame(rows, PAGES).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op10_warc(spark, str(tmp_path)).collect()}
+    first = {}
+    for page, _, html in sorted(rows):
+        first.setdefault(html or "", page)
+    want = {}
+    for page, _, html in rows:
+        data, of = (html or "").encode(), first[html or ""]
+        want[page] = (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if of == page else "revisit", None if of == page else of)
+    assert got == want
+
+
+def test_long_pages_and_several_members_a_record(spark, tmp_path):
+    path = f"file://{tmp_path}/long"
+    long = "".join(map(chr, np.random.default_rng(1).integers(32, 127, 9_000_000))) * 2  # over the length of a member
+    pages = spark.createDataFrame([(1, "a", long), (2, "b", "x"), (3, "c", long), (4, "d", None)], PAGES)
+    warc.write_archives(pages, path)
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.resolve(warc.read_archives(spark, path)).collect()}
+    assert got == {1: ("response", None, len(long)), 2: ("response", None, 1), 3: ("revisit", 1, len(long)), 4: ("response", None, 0)}
+
+
+def test_archives_are_gzip_members_a_record(spark, tmp_path):
+    import gzip
+    import zlib as z
+
+    warc.write_archives(spark.createDataFrame([(i, f"u{i}", f"page {i % 3}") for i in range(10)], PAGES).coalesce(1), f"file://{tmp_path}/members")
+    members, kinds = 0, []
+    for part in sorted((tmp_path / "members").glob("part-*")):
+        data = part.read_bytes()
+        kinds += [line for line in gzip.decompress(data).split(b"\r\n") if line.startswith(b"WARC-Type")]
+        while data:
+            one = z.decompressobj(31)
+            assert one.decompress(data).startswith(b"WARC/1.1\r\n") and one.eof
+            data, members = one.unused_data, members + 1
+    assert members == 10 and kinds.count(b"WARC-Type: response") == 3
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_filters_that_let_pass_change_no_result(spark, monkeypatch, bits):
+    monkeypatch.setitem(common.Bloom.__init__.__kwdefaults__, "bits", bits)
+    rows = [(i % 40, None if i % 7 == 0 else f"k{i % 5}", i // 200) for i in range(400)] + [(None, None, 1)] * 5
+    df = spark.createDataFrame(rows, "a long, b string, _first int")
+    keys = df.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"))
+    chosen = F.coalesce(F.col("a"), F.lit(0)) % 3 == 0
+    got = common.chosen_rows(df, ("a", "b"), keys.filter(chosen), keys.filter(~chosen).select("a", "b"), "test")
+    assert got.columns == df.columns
+    assert sorted({str((r[0], r[1])) for r in rows if (r[0] or 0) % 3 == 0}) == sorted(str((r.a, r.b)) for r in got.collect())
+
+
 def test_small_payloads_are_all_responses(spark, tmp_path):
     path = f"file://{tmp_path}/small"
     warc.write_archives(spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", "long enough"), (4, "d", "long enough")], PAGES), path, least_bytes=5)

@@ -60,3 +60,51 @@ def test_every_stage_takes_effect(spark):
             assert len(texts) == len(set(texts))
         docs = out
     assert {r.doc_id for r in docs.collect()} <= ids
+
+
+def test_the_pipeline_against_brute_force(spark, tmp_path):
+    """Exact copies by lower-cased text, then groups of similar shingle sets; what stays is mixed and encoded as the tokenizer does."""
+    import hashlib
+    from collections import Counter
+
+    import numpy as np
+    import tiktoken
+
+    from rillspark.llm import byte_bpe, mixing
+
+    docs = [tuple(r) for r in common.read_table(spark, SF_DIR, "documents").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    rng, top = np.random.default_rng(3), max(d[0] for d in docs)
+    long = [d for d in docs if len(d[1].split()) > 100][:12]
+    for k, d in enumerate(long):  # exact copies, near copies, and texts that are none
+        words = d[1].split()
+        words[int(rng.integers(len(words)))] = "changed"
+        docs += [(top + 3 * k + 1, d[1].upper(), *d[2:]), (top + 3 * k + 2, " ".join(words), *d[2:]), (top + 3 * k + 3, "123 456 !", *d[2:])]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    kept = {}
+    for d in sorted(docs):
+        if any(c.isalpha() for c in d[1]):
+            kept[d[1].translate(lower)] = d
+    kept = sorted(kept.values())
+    grams = []
+    for d in kept:
+        w = d[1].translate(lower).encode().split()
+        grams.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(kept)))
+    for i in range(len(kept)):
+        for j in range(i):
+            if 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    kept = [d for i, d in enumerate(kept) if root[i] == i]
+    got = Counter(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    frame = spark.createDataFrame(kept, "doc_id long, text string, lang string, source string, n_chars long")
+    times = {r.doc_id: int(r.taken / r["size"] + 0.5) for r in mixing.taken(frame).collect() if r["size"]}  # tested against its own brute force
+    ranks, pattern = byte_bpe.public_vocabulary()
+    tokenizer = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.parse_ranks(ranks), special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = Counter()
+    for d in kept:
+        ids = tokenizer.encode_ordinary(d[1])
+        want[d[0], len(ids), sha(",".join(map(str, ids)).encode()), sha(d[1].encode())] = times[d[0]]
+    assert got == +want

@@ -140,6 +140,29 @@ class Bloom:
         return reduce(and_, [is_set(at) for at in self._spots(columns)])
 
 
+#: Rows of a key that one task of a join may have, and bits of the filter of the keys with more.
+SPREAD_ROWS, SPREAD_BITS = 1 << 20, 1 << 20
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", label: str = "spread") -> DataFrame:
+    """``rows`` joined with ``side``, which has a row or none for each value of ``key``; no key's rows are all one task's.
+
+    If a key has over ``SPREAD_ROWS`` rows, ``side``'s row of it stands in as many parts as the largest such key needs, and each of
+    ``rows`` looks in one of them, told by a hash of its columns.  Both sides ask the same filter which keys these are, so a key
+    that it takes for one by mistake is spread on both and finds its row.  Null keys match nothing; rows equal in every column
+    share a part.
+    """
+    hot = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPREAD_ROWS), f"{label}-hot")
+    largest = hot.agg(F.max("n")).first()[0]
+    if largest is None:
+        return rows.join(side, key, how)
+    parts, part = -(-largest // SPREAD_ROWS), free_name(rows, "_part")
+    is_hot = Bloom(hot, key, bits=SPREAD_BITS, label=f"{label}-filter").may_have(key)
+    own = F.when(is_hot, F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int")).otherwise(F.lit(0))
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn(part, own).join(side.withColumn(part, F.explode(every)), [key, part], how).drop(part)
+
+
 def chosen_rows(rows: DataFrame, names: tuple[str, ...], chosen: DataFrame, others: DataFrame, label: str) -> DataFrame:
     """The rows whose columns ``names`` are among ``chosen``, of rows that are all among ``chosen`` or ``others``; all columns stay.
 

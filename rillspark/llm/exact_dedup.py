@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chosen_rows, cut, free_name, outside, read_table, scratch
+from .common import chosen_rows, cut, free_name, outside, read_table, scratch, spread_join
 
 #: Distinct digests meant for a bucket: a few MB in the task that builds or searches it.
 BUCKET_DIGESTS = 30_000
@@ -160,7 +160,7 @@ def exact_dedup(rows: DataFrame, is_history: Column, label: str = "exact") -> Da
     empty table gives an empty one.
     """
     rows = rows.withColumn("old", F.coalesce(is_history, F.lit(False)))
-    # A row for each digest and id: a text that a third of all rows share is never one task's work.
+    # A row for each digest and id; what is grouped by digest from here on is combined first, what is joined on it is spread.
     rows = cut(rows.groupBy("digest", "doc_id", "old").agg(F.count(F.lit(1)).alias("rows")), f"{label}-rows")
     history, fresh = distinct(rows.filter("old")), distinct(rows.filter("not old"))
     buckets = max(1, math.ceil(rows.count() / BUCKET_DIGESTS))
@@ -177,7 +177,7 @@ def exact_dedup(rows: DataFrame, is_history: Column, label: str = "exact") -> Da
     groups = known.unionByName(found.filter("not member").select("digest", F.col("winner").alias("keep_id"), F.col("rows").alias("group_size")))
     copies = F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))
     return (
-        rows.join(groups, "digest")
+        spread_join(rows, groups, "digest", label=label)
         .select("doc_id", "keep_id", "group_size", "digest", copies.alias("copy"))
         .select("doc_id", "keep_id", "group_size", ((F.col("copy") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "digest")
     )

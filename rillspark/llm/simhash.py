@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bloom, chosen_rows, cut, free_name, outside, read_table, scratch
+from .common import Bloom, chosen_rows, cut, free_name, outside, read_table, scratch, spread_join
 from .components import components
 
 #: Fingerprints of one key that are compared in one group; two such blocks meet in a group of their own.
@@ -321,7 +321,7 @@ def near_groups(docs: DataFrame, width: int = 3, scheme: Scheme = NEAR, label: s
         ids = smallest.groupBy("root").agg(F.min("smallest").alias("component_id"))
         with outside():
             classes = cut(roots.join(ids, "root").select("fp", "root", "component_id"), f"{label}-classes")
-    return rows.join(classes, "fp")
+    return spread_join(rows, classes, "fp", label=label)
 
 
 def text_hash(text: Column) -> Column:
@@ -500,7 +500,7 @@ def keep_one(docs: DataFrame, width: int = 5, scheme: Scheme = SIMILAR, label: s
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         node = on_texts(lambda t: set_node(t, width, scheme), "binary")("text").alias("fp")
         made = cut(texts.select("doc_id", text_hash(F.col("text")).alias("text_hash"), node), f"{label}-fingerprints")
-        rows = made.join(cut(similar_roots(made, docs, width, scheme, label), f"{label}-roots"), "fp")
+        rows = spread_join(made, cut(similar_roots(made, docs, width, scheme, label), f"{label}-roots"), "fp", label=label)
         rows = cut(rows.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies")), f"{label}-rows")
         first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
         firsts = rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), F.lit(True).alias("stays"))

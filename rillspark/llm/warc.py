@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chosen_rows, cut, fresh_path, read_table, scratch
+from .common import chosen_rows, cut, fresh_path, read_table, scratch, spread_join
 
 #: Bytes of the chunks that an archive file is written in (a longer record is a chunk of its own), and chunks of a file: readers
 #: hold a compressed file at a time.
@@ -102,7 +102,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     with scratch():
         rows = cut(headers(pages), "warc-headers")
         firsts = cut(originals(rows, least_bytes), "warc-originals")
-        known = rows.join(firsts, rows["digest"] == firsts["of_digest"], "left")
+        known = spread_join(rows, firsts.withColumn("digest", F.col("of_digest")), "digest", "left", label="warc")
         is_first = F.col("of_digest").isNotNull() & F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url"))
         # Revisit records need headers only: all copies but the one that is the response.
         numbers = F.explode(F.sequence(F.when(is_first, F.lit(1)).otherwise(F.lit(0)), F.col("copies").cast("int") - 1))
@@ -198,9 +198,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """The records, revisits with the ``payload_bytes`` of the response they refer to and its page_id as ``refers_to``."""
+    """The records, revisits with the ``payload_bytes`` of the response they refer to and its page_id as ``refers_to``.
+
+    A revisit whose response isn't among the records has neither; an empty table gives an empty one.
+    """
     responses = records.filter("record_type = 'response'").select(F.col("record_id").alias("of"), F.col("page_id").alias("first"), F.col("payload_bytes").alias("full_bytes"))
-    joined = records.join(responses, F.col("refers_to_record") == F.col("of"), "left")
+    # What refers to nothing has a key of its own, so that these rows aren't all one task's.
+    of = F.coalesce("refers_to_record", F.concat(F.lit("none of "), "record_id")).alias("of")
+    joined = spread_join(records.select("*", of), responses, "of", "left", label="warc-resolved")
     return joined.select(
         "page_id", F.coalesce("payload_bytes", "full_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.col("first").alias("refers_to")
     )

@@ -72,6 +72,12 @@ def clashing(odd):
     return odd.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
 
 
+@pytest.fixture(params=[1 << 20, 2])
+def spread(request, monkeypatch):
+    """Rows of a key beyond which joins spread it."""
+    monkeypatch.setattr(common, "SPREAD_ROWS", request.param)
+
+
 def words(text):
     return (text or "").encode().split()
 
@@ -268,7 +274,7 @@ def test_simhash_on_odd_rows(spark, odd, empty, clashing):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 4, 7, 8, 9]
 
 
-def test_op2_columns_are_the_brute_force_ones(spark, tmp_path):
+def test_op2_columns_are_the_brute_force_ones(spark, tmp_path, spread):
     rng = np.random.default_rng(7)
     texts = [" ".join(f"w{i}" for i in rng.integers(0, 5000, int(rng.integers(0, 40)))) for _ in range(60)]
     texts += [f"{t} {t}" for t in texts[:5]] + texts[:5] + [None]
@@ -549,7 +555,7 @@ def test_perfect_hash_is_minimal_and_rejects_strangers():
 
 
 @pytest.mark.parametrize("history", ["doc_id < 5", "false", "true"])
-def test_exact_dedup(spark, odd, clashing, history):
+def test_exact_dedup(spark, odd, clashing, history, spread):
     got = exact_dedup.exact_dedup(exact_dedup.with_digests(clashing), F.expr(history)).collect()
     groups = {}
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -866,7 +872,7 @@ def test_importance_without_labels(spark, tmp_path, odd):
 PAGES = "page_id long, url string, html string"
 
 
-def test_revisits_refer_to_the_smallest_page(spark, tmp_path):
+def test_revisits_refer_to_the_smallest_page(spark, tmp_path, spread):
     html = "<p>é 漢字</p>\r\nWARC/1.1\r\n\r\nContent-Length: 5\r\n"
     rows = [(5, "http://a/", html), (2, "http://b/", html), (9, None, html), (1, "u", ""), (3, "u", None), (4, "x\r\ny", "other"), (None, "n", "other"), (7, "t", "tie"), (7, "t", "tie"), (7, "t2", "tie"), (None, "n", None)]
     path = f"file://{tmp_path}/warc"
@@ -881,7 +887,7 @@ def test_revisits_refer_to_the_smallest_page(spark, tmp_path):
     assert records.select("record_id").distinct().count() == len(rows)
 
 
-def test_op10_is_what_the_contract_says(spark, tmp_path):
+def test_op10_is_what_the_contract_says(spark, tmp_path, spread):
     rng = np.random.default_rng(41)
     rows = [(int(i), f"http://{i}/", None if i % 11 == 0 else "" if i % 13 == 0 else f"<p>{rng.integers(0, 60)}</p>") for i in rng.permutation(300)]
     spark.createDataFrame(rows, PAGES).write.parquet(f"{tmp_path}/pages.parquet")
@@ -933,6 +939,21 @@ def test_filters_that_let_pass_change_no_result(spark, monkeypatch, bits):
     assert sorted({str((r[0], r[1])) for r in rows if (r[0] or 0) % 3 == 0}) == sorted(str((r.a, r.b)) for r in got.collect())
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize(("rows", "bits"), [(1 << 20, 1 << 20), (20, 1 << 20), (20, 64)])
+def test_spread_joins_are_joins(spark, monkeypatch, rows, bits, how):
+    monkeypatch.setattr(common, "SPREAD_ROWS", rows)
+    monkeypatch.setattr(common, "SPREAD_BITS", bits)
+    many = [(i, "hot" if i % 3 == 0 else None if i % 7 == 0 else f"k{i % 50}", i % 2) for i in range(600)] + [(1, "hot", 0)] * 30
+    one = {f"k{i}": i for i in range(0, 50, 2)} | {"hot": -1, "unused": -2}
+    left = spark.createDataFrame(many, "id long, key string, _part int")
+    right = spark.createDataFrame(list(one.items()), "key string, what long")
+    got = [(r["id"], r["key"], r["_part"], r["what"]) for r in common.spread_join(left, right, "key", how).collect()]
+    want = [(*row, one.get(row[1])) for row in many if how == "left" or row[1] in one]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert common.spread_join(left.limit(0), right, "key", how).count() == 0
+
+
 def test_small_payloads_are_all_responses(spark, tmp_path):
     path = f"file://{tmp_path}/small"
     warc.write_archives(spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", "long enough"), (4, "d", "long enough")], PAGES), path, least_bytes=5)

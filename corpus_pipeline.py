@@ -1,4 +1,8 @@
-"""A training corpus from raw documents: STAGES in order, each on all rows that the one before kept."""
+"""A training corpus from raw documents: STAGES in order, each on all rows that the one before kept.
+
+What holds of every stage: an empty table gives an empty one, null ids and repeated rows are rows like any others until a stage
+drops copies, columns beyond those of documents pass through whatever their names, and texts of any length are read whole.
+"""
 
 from __future__ import annotations
 
@@ -8,22 +12,30 @@ from rillspark.llm import byte_bpe, common, exact_dedup, language_id, mixing, si
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in languages that the labels teach; null, empty and letterless texts go, mixed ones stay.
+
+    The model is learned from this table's own labels; without any, no row stays.
+    """
     return language_id.keep_identified(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, A-Z lower-cased and null as empty: that of the largest doc_id, null ids last; ties stay once."""
     return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the smallest doc_id, null ids last; texts without words are one group."""
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture of sources takes them, twice at most; a null source is a source, texts without words go."""
     return mixing.repeat_rows(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each row: its number of tokens and the digests of its ids and of what they decode to; null counts as empty."""
     return byte_bpe.round_trip(docs)
 
 
@@ -40,6 +52,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the whole table ``documents``; each stage's are written to the shared folder for the next."""
     docs = common.read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = common.cut(stage(spark, docs, sf_dir), f"pipeline-{name}")

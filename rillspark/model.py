@@ -14,6 +14,10 @@ from rillspark.functions import values as V
 from rillspark.plans.ranking import positions
 
 
+#: Rows that a join may broadcast: time steps, or the paths of files.
+BROADCAST_ROWS = 200_000
+
+
 @dataclass(frozen=True)
 class Run:
     """Cells are sparse: a row for each feature and time with any value, missing values null.
@@ -32,7 +36,15 @@ class Run:
 
     @cached_property
     def shape(self) -> tuple[int, int]:
-        return self.features.count(), self.times.count()
+        return self.features.count(), self.n_times
+
+    @cached_property
+    def n_times(self) -> int:
+        return self.times.count()
+
+    def steps(self) -> DataFrame:
+        """The time axis for a join on time, broadcast if its size allows."""
+        return F.broadcast(self.times) if self.n_times <= BROADCAST_ROWS else self.times
 
     def with_indices(self) -> DataFrame:
         """Cells with row_idx and t_idx."""

@@ -29,8 +29,8 @@ def value_sample(run: Run, variable: str) -> DataFrame:
     n = -(-n_features * n_times // every)
     places = run.cells.sparkSession.range(n).select((F.col("id") * every).alias("cell_idx"))
     places = places.select("cell_idx", F.floor(F.col("cell_idx") / max(1, n_times)).alias("row_idx"), F.pmod("cell_idx", F.lit(max(1, n_times))).alias("t_idx"))
-    # Below 2 x SAMPLE_CELLS rows of four numbers, so each of these is small enough to broadcast.
-    named = run.features.join(F.broadcast(places), "row_idx").join(F.broadcast(run.times) if n_times < 2 * SAMPLE_CELLS else run.times, "t_idx")
+    # Below 2 x SAMPLE_CELLS rows of a few numbers, so these places are small enough to broadcast.
+    named = run.features.join(F.broadcast(places), "row_idx").join(run.steps(), "t_idx")
     wanted = named.select("feature_id", "time", "cell_idx")
     cells = run.cells.filter(F.col(variable).isNotNull()).select("feature_id", "time", F.col(variable).cast("double").alias("value"))
     return cells.join(F.broadcast(wanted), ["feature_id", "time"]).select("cell_idx", "value")

@@ -62,18 +62,25 @@ def formatted(value: Column, digits: int, units: str, missing: str) -> Column:
     return F.when(value.isNull(), F.lit(missing)).otherwise(F.concat_ws(" ", V.to_fixed(digits)(value), F.lit(units)))
 
 
+def grid(run: Run, *variables: str) -> DataFrame:
+    """``(feature_id, row_idx, t_idx)`` and the variables of every feature at every step: the dense grid, null where missing."""
+    steps = F.sequence(F.lit(0), F.lit(run.n_times - 1)) if run.n_times else F.array()
+    kind = run.times.schema["t_idx"].dataType.simpleString()
+    # A feature's places are made from its own row, without a join.
+    places = run.features.select("feature_id", "row_idx", F.explode(steps.cast(f"array<{kind}>")).alias("t_idx"))
+    cells = run.cells.join(run.steps(), "time").select("feature_id", "t_idx", *[F.col(v).cast("double").alias(v) for v in variables])
+    return places.join(cells, ["feature_id", "t_idx"], "left")
+
+
 def whole_series(run: Run, variable: str) -> DataFrame:
-    """``(feature_id, t_idx, value)`` of every feature at every step: the dense grid, null where missing."""
-    # The steps are one row each; a feature's grid row is its own.
-    grid = run.features.select("feature_id").join(F.broadcast(run.times.select("time", "t_idx")))
-    cells = run.cells.select("feature_id", "time", F.col(variable).cast("double").alias("value"))
-    return grid.join(cells, ["feature_id", "time"], "left").select("feature_id", "t_idx", "value")
+    """``(feature_id, t_idx, value)`` of the dense grid, null where missing."""
+    return grid(run, variable).select("feature_id", "t_idx", F.col(variable).alias("value"))
 
 
 def segments(run: Run, variable: str) -> DataFrame:
     """``(feature_id, segment, first_t, last_t, points)``: the stretches of each series between missing values."""
     at = Window.partitionBy("feature_id").orderBy("t_idx")
-    cells = run.cells.filter(F.col(variable).isNotNull()).join(F.broadcast(run.times), "time").select("feature_id", "t_idx")
+    cells = run.cells.filter(F.col(variable).isNotNull()).join(run.steps(), "time").select("feature_id", "t_idx")
     # Steps that follow each other differ from their rank by the same number: missing cells needn't be made.
     islands = cells.withColumn("island", F.col("t_idx") - F.row_number().over(at))
     found = islands.groupBy("feature_id", "island").agg(F.min("t_idx").alias("first_t"), F.max("t_idx").alias("last_t"), F.count(F.lit(1)).alias("points"))
@@ -83,8 +90,8 @@ def segments(run: Run, variable: str) -> DataFrame:
 def chart(run: Run, variable: str) -> DataFrame:
     """``(feature_id, t_idx, x, y)`` of the valid points, from 0 to 1; x is null in a run of one step."""
     own = Window.partitionBy("feature_id")
-    n = run.shape[1]
-    cells = run.cells.filter(F.col(variable).isNotNull()).join(F.broadcast(run.times), "time").select("feature_id", "t_idx", F.col(variable).cast("double").alias("v"))
+    n = run.n_times
+    cells = run.cells.filter(F.col(variable).isNotNull()).join(run.steps(), "time").select("feature_id", "t_idx", F.col(variable).cast("double").alias("v"))
     low, high = F.min("v").over(own), F.max("v").over(own)
     reach = F.when(high == low, F.lit(1.0)).otherwise(high - low)
     return cells.select("feature_id", "t_idx", F.try_divide(F.col("t_idx"), F.lit(n - 1)).alias("x"), ((F.col("v") - low) / reach).alias("y"))
@@ -92,14 +99,12 @@ def chart(run: Run, variable: str) -> DataFrame:
 
 def playback_steps(run: Run) -> DataFrame:
     """``(t_idx, next_t, previous_t)`` of every step, round the ends."""
-    n = run.shape[1]
+    n = run.n_times
     t = F.col("t_idx")
     return run.times.select("t_idx", V.step(t, 1, n).alias("next_t"), V.step(t, -1, n).alias("previous_t"))
 
 
 def dense_matrix(run: Run) -> DataFrame:
     """``(cell_idx, row_idx, t_idx, flow, velocity, depth)`` of the whole grid, the fill value where missing."""
-    grid = run.features.join(F.broadcast(run.times))
-    cells = grid.join(run.cells, ["feature_id", "time"], "left")
-    filled = [F.coalesce(F.col(v).cast("double"), F.lit(FILL)).alias(v) for v in VARIABLES]
-    return cells.select((F.col("row_idx") * run.shape[1] + F.col("t_idx")).alias("cell_idx"), "row_idx", "t_idx", *filled)
+    filled = [F.coalesce(F.col(v), F.lit(FILL)).alias(v) for v in VARIABLES]
+    return grid(run, *VARIABLES).select((F.col("row_idx") * run.n_times + F.col("t_idx")).alias("cell_idx"), "row_idx", "t_idx", *filled)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rillspark.constants import VARIABLES
 from rillspark.functions import values as V
-from rillspark.model import Run, last_writes, run_of
+from rillspark.model import BROADCAST_ROWS, Run, last_writes, run_of
 from rillspark.operators.merge import first_seen, merged_cells, one_kind_of_time, union_of_times
 from rillspark.sources.netcdf import NetCdfSource
 
@@ -98,7 +98,7 @@ def _many_parquet(spark: SparkSession, paths: list[tuple[int, str]]) -> DataFram
     files = [(_one_slash(f), place[q]) for f in raw.inputFiles() for q in (_one_slash(f), _one_slash(f).rsplit("/", 1)[0]) if q in place]
     known = spark.createDataFrame(files, "_file string, ds int")  # a row for each file
     placed = raw.withColumn("_path", F.col("_metadata.file_path")).withColumn("_row", F.col("_metadata.row_index"))
-    placed = placed.join(F.broadcast(known), F.regexp_replace("_path", "^file:/+", "file:/") == F.col("_file"))
+    placed = placed.join(F.broadcast(known) if len(files) <= BROADCAST_ROWS else known, F.regexp_replace("_path", "^file:/+", "file:/") == F.col("_file"))
     return canonical(placed, F.struct("_path", "_row"), keep=["ds"]).withColumn("row_idx", F.col("feature_id"))
 
 

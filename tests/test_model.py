@@ -10,6 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from rillspark import model
 from rillspark.functions import paths as P
 from rillspark.functions import scales as S
 from rillspark.functions import values as V
@@ -138,6 +139,21 @@ def test_natural_breaks_are_the_best_partition(values):
     assert cost(cuts) == pytest.approx(best, abs=1e-6)
 
 
+@pytest.mark.parametrize("most", [0, 100])
+def test_dense_grid_at_any_length_of_the_time_axis(spark, monkeypatch, most):
+    monkeypatch.setattr(model, "BROADCAST_ROWS", most)
+    run = make(spark, [(7, 10, 1.0), (7, 30, None, 2.0), (5, 20, 3.0)])
+    got = {(r.feature_id, r.t_idx): r.value for r in series.whole_series(run, "flow").collect()}
+    assert got == {(7, 0): 1.0, (7, 1): None, (7, 2): None, (5, 0): None, (5, 1): 3.0, (5, 2): None}
+    dense = {r.cell_idx: (r.flow, r.velocity) for r in series.dense_matrix(run).collect()}
+    place = {r.feature_id: r.row_idx for r in run.features.collect()}
+    want = {place[f] * 3 + t: (-9999.0 if v is None else v, 2.0 if (f, t) == (7, 2) else -9999.0) for (f, t), v in got.items()}
+    assert dense == want
+    assert "CartesianProduct" not in series.dense_matrix(run)._jdf.queryExecution().toString()
+    none = make(spark, [(1, 1, 1.0)]).replace(times=run.times.limit(0))
+    assert series.dense_matrix(none).count() == series.whole_series(none, "flow").count() == 0
+
+
 def test_segments_norm_and_steps(spark):
     values = [1.0, None, 2.0, 3.0, None, None, 4.0]
     run = make(spark, [(1, i, v) for i, v in enumerate(values)])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, quality_rules, warc
 from .byte_bpe import op8_byte_bpe
 from .exact_dedup import op5_exact_dedup
 from .importance import op9_importance
@@ -33,4 +33,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
+    "op10_warc": warc.ORACLE,
 }

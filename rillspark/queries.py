@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillspark.constants import PALETTE, PALETTE_RGB, SCALE_NOTES, VARIABLES
@@ -14,8 +14,8 @@ from rillspark.functions import scales as S
 from rillspark.functions import values as V
 from rillspark.operators import aggregates, distribution, merge, network, painting, series, spatial
 from rillspark.plans import runtree
-from rillspark.sources.results import load, load_many
-from rillspark.sources.tables import damaged_file, divides, event_rows, event_run, flowpaths, split_files, split_runs
+from rillspark.sources.results import load, load_many, scan_parquet
+from rillspark.sources.tables import damaged_file, divides, event_rows, event_run, flowpaths, split_files, split_runs, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -225,6 +225,29 @@ def merge_lacking(spark, d):
     return cells.select("feature_id", "time", *[F.col(v).cast("double").alias(v) for v in VARIABLES]).filter("coalesce(flow, velocity, depth) IS NOT NULL")
 
 
+@query(f"{BASE}, {SPLIT} SELECT DISTINCT feature_id, '2024-05-01_00:00:00' AS ref_time FROM ds_rows")
+def merge_ref_time(spark, d):
+    """The merged run's reference time, that of the first run, beside each feature."""
+    merged = merge.merge([r.replace(ref_time=f"2024-05-0{i + 1}_00:00:00") for i, r in enumerate(split_runs(spark, d))])
+    return merged.features.select("feature_id", F.lit(merged.ref_time).alias("ref_time"))
+
+
+@query(f"{BASE}, {SPLIT}, r AS (SELECT *, row_number() OVER (PARTITION BY feature_id, time ORDER BY ds, ord) AS place FROM ds_rows WHERE ds < 2) SELECT feature_id, time, place, CAST(flow AS DOUBLE) AS flow, CAST(velocity AS DOUBLE) AS velocity, CAST(depth AS DOUBLE) AS depth FROM r")
+def scan_file_order(spark, d):
+    """Two runs' rows written as result files and scanned as they are, each with its place among its cell's in file and row order."""
+    rows = scan_parquet(spark, *split_files(spark, d)[:2])
+    place = F.row_number().over(Window.partitionBy("feature_id", "time").orderBy("ord"))
+    return rows.select("feature_id", "time", place.alias("place"), *[F.col(v).cast("double").alias(v) for v in VARIABLES])
+
+
+@query(BASE + f" SELECT DISTINCT feature_id FROM cells JOIN times USING (time) WHERE t_idx IN ({T}, {T + 1}) AND flow IS NOT NULL")
+def rendered_features(spark, d):
+    """The features painted at either of two steps."""
+    run = event_run(spark, d)
+    slices = [series.time_slice(run, "flow", t).filter("value IS NOT NULL").select("feature_id") for t in (T, T + 1)]
+    return slices[0].unionByName(slices[1]).distinct()
+
+
 @query(MERGED + " SELECT g.feature_id, count(*) AS cells, round(coalesce(sum(CAST(flow AS DOUBLE)), 0), 4) AS flow FROM g JOIN c USING (feature_id, time, ds) WHERE coalesce(flow, velocity, depth) IS NOT NULL GROUP BY g.feature_id")
 def scan_many_merge(spark, d):
     """The three runs' rows written as result files and loaded with a damaged and a missing one among them."""
@@ -470,6 +493,37 @@ def unpainted_features(spark, d):
     return series.unpainted(_visible(spark, d), series.time_slice(event_run(spark, d), "flow", T))
 
 
+@query("SELECT c_custkey AS feature_id, CAST(c_custkey % 12 AS INTEGER) AS stream_order, round(1 + 5 * (power(1.6, greatest(1, least(8, c_custkey % 12)) - 1) - 1) / (power(1.6, 7) - 1), 6) AS width FROM customer")
+def order_width(spark, d):
+    order = (F.col("feature_id") % 12).cast("int")
+    return flowpaths(spark, d).select("feature_id", order.alias("stream_order"), rounded(S.order_width(order)).alias("width"))
+
+
+# Text and links
+
+TIE = "value * 4 = floor(value * 4) AND CAST(value * 4 AS BIGINT) % 2 <> 0"
+
+
+@query(f"SELECT event_id, CASE WHEN {TIE} THEN printf('%.1f', value + 0.01 * sign(value)) ELSE printf('%.1f', value) END AS one, printf('%.3f', value) AS three FROM events")
+def fixed_digits(spark, d):
+    one, three = V.to_fixed(1), V.to_fixed(3)
+    return table(spark, d, "events").select("event_id", one(F.col("value")).alias("one"), three(F.col("value")).alias("three"))
+
+
+@query("SELECT c_custkey AS feature_id, 'https://viewer.example/?bucket=' || lower(c_mktsegment) || '&path=' || url_encode('outputs/' || c_name || '/') AS url, lower(c_mktsegment) AS bucket, 'outputs/' || c_name || '/' AS path FROM customer")
+def deep_links(spark, d):
+    """A link for each flowpath, and what is read out of it again."""
+    p = F.col("properties")
+    url = P.deep_link(F.lit("https://viewer.example/"), F.lower(p["segment"]), F.concat(F.lit("outputs/"), p["name"], F.lit("/")))
+    return flowpaths(spark, d).select("feature_id", url.alias("url")).select("feature_id", "url", *[c.alias(k) for k, c in P.from_deep_link(F.col("url")).items()])
+
+
+@query("SELECT event_id, replace(event_type, 'view', 'VPU') || '_' || user_id AS name, event_type = 'view' AS clicked FROM events")
+def clicked_vpu(spark, d):
+    name = F.concat_ws("_", F.replace("event_type", F.lit("view"), F.lit("VPU")), "user_id")
+    return table(spark, d, "events").select("event_id", name.alias("name"), P.is_clicked_vpu(name).alias("clicked"))
+
+
 # The tree of runs
 
 RUN_KEYS = [

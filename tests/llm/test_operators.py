@@ -8,6 +8,7 @@ import math
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -152,6 +153,14 @@ def test_small_changes_of_short_notices_are_found():
     assert scanned(f"{EN} licensed under the Apache License 2.0 {DE}", "Apache-2.0")
 
 
+def test_whole_license_texts_are_told_apart(spark):
+    names = [n for n in license_scan.TEMPLATES if n.endswith("(text)")]
+    rows = [(i, f"Copyright 2020 someone. {license_scan.TEMPLATES[n]}") for i, n in enumerate(names)]
+    rows += [(100 + i, t[: len(t) // 2] + " a few words of somebody else " + t[len(t) // 2 :]) for i, t in rows]
+    got = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict(enumerate(names)), **{100 + i: n for i, n in enumerate(names)}}
+
+
 def common_length(a, b):
     """The length of a longest common subsequence, by the table."""
     above = [0] * (len(b) + 1)
@@ -899,6 +908,9 @@ def test_op10_is_what_the_contract_says(spark, tmp_path, spread):
     for page, _, html in rows:
         data, of = (html or "").encode(), first[html or ""]
         want[page] = (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if of == page else "revisit", None if of == page else of)
+    with duckdb.connect() as con:  # the query's SQL sees repeats here
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        assert {r[0]: r[1:] for r in con.execute(warc.ORACLE).fetchall()} == want
     assert got == want
 
 

@@ -9,16 +9,18 @@ of fingerprints within the radius (see ``Scheme``).  What shares a key is compar
 from the start.  A task compares a key's fingerprints block by block and passes on a spanning forest, never the pairs; a key
 with more fingerprints than a block has its blocks paired in separate groups.
 
-The pipeline's stage looks for far more differing bits than such tables cover.  Its keys are samples of the bits, and what they
+The pipeline's stage looks for far more differing bits than such tables cover.  Its tables are many, each of a segment's codeword
+index and of other bits as they are, as many as it takes for a key to have few strangers (``similar``).  What they
 find are candidates only: texts are linked if their sets of shingles are, compared exactly, similar enough (``similar_roots``).
 Where candidates form a large group that isn't plainly one of copies, its sets are compared in blocks, as products of matrices.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import cache
+from dataclasses import dataclass, replace
+from functools import cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -46,29 +48,28 @@ class Scheme:
     or more, there would be at least 2z + (4 - 2z) = 4 errors with z segments without any.  So some segment is the same and the
     next has one error at most.
 
-    ``samples`` are further tables, each of the bits at some positions.
-
-    ``SIMILAR`` finds candidates for a similarity of 0.8 of shingle sets.  Pairs of that similarity differ in 19 of 128 bits on the
-    average, with a standard deviation of 4; a radius of 33 is 3.4 of these above.  128 samples of 16 bits, each eight of them a
-    permutation of all bits, miss no pair of 7 bits or fewer.
+    ``dealt`` are further tables, each a list of positions: the first 23 are a segment, whose codeword index is the key's first
+    part, and the bits at the others are the second.
     """
 
     seeds: tuple[int, ...]
     segments: tuple[tuple[int, int], ...]
     tables: tuple[tuple[tuple[int, str], tuple[int, str]], ...]
     radius: int
-    samples: tuple[tuple[int, ...], ...] = ()
-
-
-def bit_samples(bits: int, size: int, permutations: int) -> tuple[tuple[int, ...], ...]:
-    orders = np.random.RandomState(1)  # its stream never changes
-    return tuple(tuple(int(x) for x in part) for _ in range(permutations) for part in orders.permutation(bits).reshape(-1, size))
+    dealt: tuple[tuple[int, ...], ...] = ()
 
 
 NEAR = Scheme((42,), tuple((16 * k, 16) for k in range(4)), tuple(((k, "exact"), ((k + 1) % 4, "ball")) for k in range(4)), 3)
-SIMILAR = Scheme((0, 1), (), (), 33, bit_samples(128, 16, 16))
 #: Texts of the pipeline are near copies if their shingle sets share this part of their union or more: a numerator and a denominator.
 ALIKE = (4, 5)
+#: Bits of a word of the code and of a codeword's index.
+WORD, INDEX = 23, 12
+#: Each bit of fingerprints of sets at the limit of ``ALIKE`` differs with this chance: an angle whose cosine is 8/9, as a part of pi.
+DIFFER = math.acos(2 * ALIKE[0] / (ALIKE[0] + ALIKE[1])) / math.pi
+#: The share of such pairs that is to have a key in common, and the strangers that a fingerprint may meet in a table on the average.
+RECALL, STRANGERS = 0.97, 8
+#: Dealt tables whose keys are made and compared at a time.
+ROUND = 128
 #: Sets and hashes that a block of them has on the average at most (a set alone can have more), and columns of a matrix at a time.
 SETS, HASHES, COLUMNS = 512, 1 << 20, 2048
 
@@ -100,6 +101,49 @@ def ball_keys(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, first
 
 
+@cache
+def same_index_chances() -> np.ndarray:
+    """How likely two words that differ in so many bits have the same codeword."""
+    rng, n = np.random.RandomState(1), 20_000  # its stream never changes
+    words = rng.randint(0, 1 << WORD, n).astype(np.uint32)
+    order = rng.random_sample((n, WORD)).argsort(axis=1)
+    other = [words ^ ((order < k) << np.arange(WORD)).sum(axis=1).astype(np.uint32) for k in range(WORD + 1)]
+    return np.array([(codeword_index(words) == codeword_index(x)).mean() for x in other])
+
+
+@cache
+def tables_for(bits: int, of: int = 128) -> int:
+    """How many tables with keys of so many bits it takes for ``RECALL``, over all numbers of bits in which a pair at the limit may differ."""
+    share, chance = np.zeros(of + 1), np.zeros(of + 1)
+    for d in range(of + 1):
+        share[d] = math.comb(of, d) * DIFFER**d * (1 - DIFFER) ** (of - d)
+        in_word = [math.comb(d, k) * math.comb(of - d, WORD - k) / math.comb(of, WORD) for k in range(WORD + 1)]
+        chance[d] = np.dot(in_word, same_index_chances()) * (1 - d / of) ** (bits - INDEX)
+    tables = 1
+    while (share * (1 - (1 - chance) ** tables)).sum() < RECALL:
+        tables += max(1, tables // 50)
+    return tables
+
+
+@cache
+def similar(rows: int) -> Scheme:
+    """Candidates for a similarity of ``ALIKE`` of shingle sets, among so many fingerprints.
+
+    Keys have as many bits as it takes for a fingerprint to meet ``STRANGERS`` others in a table or fewer, if these have nothing in
+    common: so the pairs compared grow with the fingerprints and not with their square.  Wider keys agree less often, and the
+    tables that it takes instead grow with less than the fourth root of the rows.  Pairs at the limit differ in 19 of 128 bits on
+    the average, with a standard deviation of 4; a radius of 33 is 3.4 of these above.
+    """
+    seeds, orders, bits = (0, 1), np.random.RandomState(1), INDEX
+    while rows > STRANGERS << bits:
+        bits += 1
+    size, tables = WORD + bits - INDEX, []
+    while len(tables) < tables_for(bits):
+        order = orders.permutation(64 * len(seeds)).tolist()
+        tables += [tuple(order[at : at + size]) for at in range(0, len(order) - size + 1, size)]
+    return Scheme(seeds, (), (), 33, tuple(tables[: tables_for(bits)]))
+
+
 def shingle_hashes(text: bytes, width: int, seed: int) -> np.ndarray:
     words = text.lower().split()  # bytes: A-Z only, and exactly the six ASCII white space characters
     if not words:
@@ -146,15 +190,15 @@ def fingerprint(width: int, seeds: tuple[int, ...]):
 
 
 def key_rows(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """``(key, fp)`` for each key of each fingerprint."""
+    """``(key, size, fp)`` for each key of each fingerprint; the size is that of its set, 0 where none is known."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in rows:
             for at in range(0, whole.num_rows, 2000):
                 fps = words_of(whole.column(0).slice(at, 2000))
-                if scheme.samples:
-                    keys = sample_keys(fps[:, : len(scheme.seeds)], scheme.samples)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), binary(np.repeat(fps, keys.shape[1], axis=0))], ["key", "fp"])
+                sizes = sizes_of(fps, scheme)
+                for number, keys in enumerate(dealt_keys(fps, scheme)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.int64(number) << 48 | keys), pa.array(sizes), binary(fps)], ["key", "size", "fp"])
                 segments = [segment(fps, *s) for s in scheme.segments]
                 balls = {s: ball_keys(segments[s], scheme.segments[s][1]) for t in scheme.tables for s, how in t if how == "ball"}
                 exact = {s: (segments[s][:, None], np.ones((len(fps), 1), bool)) for t in scheme.tables for s, how in t if how == "exact"}
@@ -163,16 +207,23 @@ def key_rows(nodes: DataFrame, scheme: Scheme) -> DataFrame:
                     keys_b, first_b = (balls if how_b == "ball" else exact)[b]
                     keys = np.int64(number) << 56 | keys_a.astype(np.int64)[:, :, None] << 24 | keys_b.astype(np.int64)[:, None, :]
                     row, i, j = np.nonzero(first_a[:, :, None] & first_b[:, None, :])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[row, i, j]), binary(fps[row])], ["key", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[row, i, j]), pa.array(sizes[row]), binary(fps[row])], ["key", "size", "fp"])
+
+    return nodes.select("fp").mapInArrow(batches, "key long, size int, fp binary")
 
-    return nodes.select("fp").mapInArrow(batches, "key long, fp binary")
+
+def sizes_of(fps: np.ndarray, scheme: Scheme) -> np.ndarray:
+    n = len(scheme.seeds)
+    return (fps[:, n] & SIZE).astype(np.int32) if fps.shape[1] > n else np.zeros(len(fps), np.int32)
 
 
-def sample_keys(fps: np.ndarray, samples: tuple[tuple[int, ...], ...]) -> np.ndarray:
-    """A key for each row and sample of 16 bits; those of different samples differ."""
-    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
-    values = np.ascontiguousarray(np.packbits(bits[:, np.array(samples).ravel()], axis=1, bitorder="little")).view("<u2")
-    return np.arange(len(samples), dtype=np.int64) << 16 | values.astype(np.int64)
+def dealt_keys(fps: np.ndarray, scheme: Scheme) -> Iterator[np.ndarray]:
+    """For each dealt table every row's key."""
+    bits = np.unpackbits(np.ascontiguousarray(fps[:, : len(scheme.seeds)]).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+    for positions in scheme.dealt:
+        number = lambda at: bits[:, at] @ (np.int64(1) << np.arange(len(at), dtype=np.int64))
+        index = codeword_index(number(positions[:WORD]).astype(np.uint32)).astype(np.int64)
+        yield index << (len(positions) - WORD) | number(positions[WORD:])
 
 
 def words_of(column: pa.Array) -> np.ndarray:
@@ -204,8 +255,13 @@ def close(fps: np.ndarray, a: np.ndarray, b: np.ndarray, scheme: Scheme) -> np.n
 
 
 def forest(keys: np.ndarray, fps: np.ndarray, scheme: Scheme) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions and their roots: a forest that spans, within each run of equal keys, what is linked."""
+    """Positions and their roots: a forest that spans, within each run of equal keys, what is linked.
+
+    Where sizes are known, a run is in their order, and no row is compared with larger ones than ``ALIKE`` allows for.
+    """
     parent = np.arange(len(keys))
+    sizes = sizes_of(fps, scheme).astype(np.int64)
+    most = sizes * ALIKE[1] // ALIKE[0]
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -214,7 +270,7 @@ def forest(keys: np.ndarray, fps: np.ndarray, scheme: Scheme) -> Iterator[tuple[
         return x
 
     left, shift = np.arange(len(keys) - 1), 1
-    while len(left := left[left + shift < len(keys)]) and len(left := left[keys[left + shift] == keys[left]]):
+    while len(left := left[left + shift < len(keys)]) and len(left := left[(keys[left + shift] == keys[left]) & (sizes[left + shift] <= most[left])]):
         near = left[parent[left] != parent[left + shift]]
         near = near[close(fps, near, near + shift, scheme)]
         for i in near.tolist():
@@ -233,7 +289,7 @@ COMPARED = "u binary, v binary, key long, block int"
 
 
 def compare(keyed: DataFrame, scheme: Scheme, block: int = BLOCK) -> DataFrame:
-    """Edges ``(u, v)`` of ``(key, fp)`` rows dealt and sorted by key; of a key with over a block of rows, all rows as ``(u, key, block)``."""
+    """Edges ``(u, v)`` of ``(key, fp)`` rows as ``by_key`` gives them; of a key with over a block of rows, all rows as ``(u, key, block)``."""
 
     def edges(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i, j in forest(keys, fps, scheme):
@@ -281,13 +337,20 @@ def compare(keyed: DataFrame, scheme: Scheme, block: int = BLOCK) -> DataFrame:
                 yield from wide(keys[:full], fps[:full])
                 keys, fps = keys[full:], fps[full:]
 
-    return keyed.mapInArrow(batches, COMPARED)
+    return keyed.select("key", "fp").mapInArrow(batches, COMPARED)
+
+
+def by_key(keyed: DataFrame) -> DataFrame:
+    return keyed.repartition("key").sortWithinPartitions("key", "size")
 
 
 def edges_of(nodes: DataFrame, scheme: Scheme, label: str, block: int = BLOCK) -> DataFrame:
     """``(u, v)``: for every key a spanning forest's edges, over distinct fingerprints."""
+    if len(scheme.dealt) > ROUND:  # tables by turns, so that the keys of a few are there at a time
+        turns = [replace(scheme, dealt=scheme.dealt[at : at + ROUND]) for at in range(0, len(scheme.dealt), ROUND)]
+        return reduce(DataFrame.unionByName, [edges_of(nodes, turn, label, block) for turn in turns])
     keyed = key_rows(nodes, scheme)
-    found = cut(compare(keyed.repartition("key").sortWithinPartitions("key"), scheme, block), f"{label}-compared")
+    found = cut(compare(by_key(keyed), scheme, block), f"{label}-compared")
     edges = found.filter("v is not null").select("u", "v")
     wide = found.filter("v is null").select("key", "block", F.col("u").alias("fp"))
     if wide.isEmpty():
@@ -296,7 +359,8 @@ def edges_of(nodes: DataFrame, scheme: Scheme, label: str, block: int = BLOCK) -
     others = wide.groupBy("key").agg(F.max("block").alias("last")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
     met = wide.join(others, "key").filter("other <> block")
     pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    again = compare(met.select(pair.alias("key"), "fp").repartition("key").sortWithinPartitions("key"), scheme, 1 << 30)
+    size = size_of(F.col("fp")) if scheme.dealt else F.lit(0)
+    again = compare(by_key(met.select(pair.alias("key"), size.alias("size"), "fp")), scheme, 1 << 30)
     return edges.unionByName(cut(again, f"{label}-blocks").select("u", "v"))
 
 
@@ -333,6 +397,10 @@ def text_hash(text: Column) -> Column:
 SIZE = np.uint64((1 << 24) - 1)
 
 
+#: Its seeds and radius are those of every number of rows.
+SIMILAR = similar(1)
+
+
 def set_node(text: bytes, width: int, scheme: Scheme) -> bytes:
     """The fingerprint of the shingle set, then a word of its hash and size: texts with the same set are one node."""
     own = shingle_set(text, width)
@@ -452,14 +520,14 @@ def compared_in_blocks(members: DataFrame, sets: int = SETS, hashes: int = HASHE
     return in_steps(members, sets, hashes).groupBy("group", "low", "high").applyInArrow(forest_of, "u binary, v binary")
 
 
-def similar_roots(rows: DataFrame, docs: DataFrame, width: int, scheme: Scheme, label: str) -> DataFrame:
+def similar_roots(rows: DataFrame, docs: DataFrame, width: int, label: str) -> DataFrame:
     """``(fp, root)`` of the nodes of ``rows``: components of the candidate pairs whose shingle sets are alike.
 
     Candidates are first taken for links.  Each member of such a coarse component is compared with its smallest; where all are
     alike, the component stands.  In the others those that aren't are compared with each other and with the rest.
     """
     nodes = cut(rows.select("fp").distinct(), f"{label}-nodes")
-    coarse = cut(components(edges_of(nodes, scheme, label), f"{label}-coarse"), f"{label}-stars")
+    coarse = cut(components(edges_of(nodes, similar(nodes.count()), label), f"{label}-coarse"), f"{label}-stars")
     members = cut(coarse.select("node").union(coarse.select("root")).distinct(), f"{label}-members")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "copies")
     every = rows.groupBy("fp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
@@ -490,7 +558,7 @@ def similar_roots(rows: DataFrame, docs: DataFrame, width: int, scheme: Scheme,
     return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def keep_one(docs: DataFrame, width: int = 5, scheme: Scheme = SIMILAR, label: str = "simhash-stage") -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, label: str = "simhash-stage") -> DataFrame:
     """``docs`` with one row of each group of near copies, that of the smallest doc_id, nulls last; rows that tie stay once.
 
     Texts that are null or have no word are one group.  All columns stay as they are; an empty table gives an empty one.
@@ -498,9 +566,9 @@ def keep_one(docs: DataFrame, width: int = 5, scheme: Scheme = SIMILAR, label: s
     id_, hash_ = free_name(docs, "_id"), free_name(docs, "_hash")
     with scratch():
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        node = on_texts(lambda t: set_node(t, width, scheme), "binary")("text").alias("fp")
+        node = on_texts(lambda t: set_node(t, width, SIMILAR), "binary")("text").alias("fp")
         made = cut(texts.select("doc_id", text_hash(F.col("text")).alias("text_hash"), node), f"{label}-fingerprints")
-        rows = spread_join(made, cut(similar_roots(made, docs, width, scheme, label), f"{label}-roots"), "fp", label=label)
+        rows = spread_join(made, cut(similar_roots(made, docs, width, label), f"{label}-roots"), "fp", label=label)
         rows = cut(rows.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies")), f"{label}-rows")
         first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
         firsts = rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), F.lit(True).alias("stays"))

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rillspark.llm import chat_windows, collocations, ranked_search, spans
+from rillspark.llm import chat_windows, collocations, ranked_search, simhash, spans
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -271,3 +271,62 @@ def test_search_of_nothing(spark):
     asked = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     for d, i in ((docs, items), (docs, asked), (some, items), (some, asked.withColumn("text", F.lit(None).cast("string")))):
         assert ranked_search.search(d, i).count() == 0
+
+
+# 2, the pipeline's stage
+
+
+def random_fingerprints(n):
+    return np.random.default_rng(n).integers(0, 1 << 63, (n, 3)).astype(np.uint64)
+
+
+def test_pairs_compared_grow_with_the_rows():
+    compared = []
+    for n in (20_000, 80_000, 320_000):
+        groups = [np.unique(k, return_counts=True)[1].astype(float) for k in simhash.dealt_keys(random_fingerprints(n), simhash.similar(n))]
+        compared.append(sum((g * (g - 1) / 2).sum() for g in groups) / n)
+    assert all(b < 1.6 * a for a, b in zip(compared, compared[1:], strict=False))
+    # Key and fingerprint together are 32 bytes a table, compressed to less.
+    assert [len(simhash.similar(n).dealt) for n in (1, 320_000, 10**9)] == [38, 88, 979]
+
+
+@pytest.mark.parametrize("rows", [1000, 320_000, 10**8])
+def test_near_copies_of_real_texts_meet_in_a_key(spark, sf_dir, rows):
+    """Real texts with words changed here and there, or a stretch taken out, until their shingle sets are just alike."""
+    rng, scheme = np.random.default_rng(5), simhash.similar(rows)
+    texts = [r.text.split() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect() if len(r.text.split()) > 60]
+    nodes = []
+    for k, words in enumerate(texts * 2):
+        changed, best = list(words), None
+        for _ in range(len(words)):
+            if k % 2:
+                at = int(rng.integers(len(changed)))
+                changed[at] = f"new{at}"
+            else:
+                del changed[len(changed) // 2]
+            a, b = (simhash.shingle_set(" ".join(w).encode(), 5) for w in (words, changed))
+            both = len(np.intersect1d(a, b))
+            if 5 * both < 4 * (len(a) + len(b) - both):
+                break
+            best = list(changed)
+        if best:
+            nodes.append([simhash.set_node(" ".join(w).encode(), 5, simhash.SIMILAR) for w in (words, best)])
+    a, b = (np.stack([np.frombuffer(pair[i], "<u8") for pair in nodes]) for i in (0, 1))
+    met = np.zeros(len(nodes), bool)
+    for x, y in zip(simhash.dealt_keys(a, scheme), simhash.dealt_keys(b, scheme), strict=True):
+        met |= x == y
+    met &= np.bitwise_count(a[:, :2] ^ b[:, :2]).sum(axis=1) <= scheme.radius
+    assert len(nodes) > 200 and met.mean() >= 0.9
+
+
+def test_tables_by_turns_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, (40, 3)).astype(np.uint64)
+    base[:, 2] = 100
+    near = base.copy()
+    near[:, 0] ^= np.uint64(0b10110)
+    frame = spark.createDataFrame([(bytearray(x.tobytes()),) for x in np.concatenate([base, near])], "fp binary")
+    edges = {tuple(sorted((bytes(r.u), bytes(r.v)))) for r in simhash.edges_of(frame, simhash.SIMILAR, "test").collect()}
+    monkeypatch.setattr(simhash, "ROUND", 10)
+    assert {tuple(sorted((bytes(r.u), bytes(r.v)))) for r in simhash.edges_of(frame, simhash.SIMILAR, "test").collect()} == edges
+    assert len(edges) == 40

@@ -67,7 +67,7 @@ WORD, INDEX = 23, 12
 #: Each bit of fingerprints of sets at the limit of ``ALIKE`` differs with this chance: an angle whose cosine is 8/9, as a part of pi.
 DIFFER = math.acos(2 * ALIKE[0] / (ALIKE[0] + ALIKE[1])) / math.pi
 #: The share of such pairs that is to have a key in common, and the strangers that a fingerprint may meet in a table on the average.
-RECALL, STRANGERS = 0.97, 8
+RECALL, STRANGERS = 0.99, 8
 #: Dealt tables whose keys are made and compared at a time.
 ROUND = 128
 #: Sets and hashes that a block of them has on the average at most (a set alone can have more), and columns of a matrix at a time.
@@ -112,7 +112,7 @@ def same_index_chances() -> np.ndarray:
 
 
 @cache
-def tables_for(bits: int, of: int = 128) -> int:
+def tables_for(bits: int, of: int) -> int:
     """How many tables with keys of so many bits it takes for ``RECALL``, over all numbers of bits in which a pair at the limit may differ."""
     share, chance = np.zeros(of + 1), np.zeros(of + 1)
     for d in range(of + 1):
@@ -131,17 +131,17 @@ def similar(rows: int) -> Scheme:
 
     Keys have as many bits as it takes for a fingerprint to meet ``STRANGERS`` others in a table or fewer, if these have nothing in
     common: so the pairs compared grow with the fingerprints and not with their square.  Wider keys agree less often, and the
-    tables that it takes instead grow with less than the fourth root of the rows.  Pairs at the limit differ in 19 of 128 bits on
-    the average, with a standard deviation of 4; a radius of 33 is 3.4 of these above.
+    tables that it takes instead grow with less than the fourth root of the rows.  Pairs at the limit differ in 29 of 192 bits on
+    the average, with a standard deviation of 5; a radius of 46 is 3.4 of these above.
     """
-    seeds, orders, bits = (0, 1), np.random.RandomState(1), INDEX
+    seeds, orders, bits = (0, 1, 2), np.random.RandomState(1), INDEX
     while rows > STRANGERS << bits:
         bits += 1
-    size, tables = WORD + bits - INDEX, []
-    while len(tables) < tables_for(bits):
+    size, n, tables = WORD + bits - INDEX, tables_for(bits, 64 * len(seeds)), []
+    while len(tables) < n:
         order = orders.permutation(64 * len(seeds)).tolist()
         tables += [tuple(order[at : at + size]) for at in range(0, len(order) - size + 1, size)]
-    return Scheme(seeds, (), (), 33, tuple(tables[: tables_for(bits)]))
+    return Scheme(seeds, (), (), 46, tuple(tables[:n]))
 
 
 def shingle_hashes(text: bytes, width: int, seed: int) -> np.ndarray:
@@ -190,15 +190,14 @@ def fingerprint(width: int, seeds: tuple[int, ...]):
 
 
 def key_rows(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """``(key, size, fp)`` for each key of each fingerprint; the size is that of its set, 0 where none is known."""
+    """``(key, fp)`` for each key of each fingerprint."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in rows:
             for at in range(0, whole.num_rows, 2000):
                 fps = words_of(whole.column(0).slice(at, 2000))
-                sizes = sizes_of(fps, scheme)
                 for number, keys in enumerate(dealt_keys(fps, scheme)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.int64(number) << 48 | keys), pa.array(sizes), binary(fps)], ["key", "size", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.int64(number) << 48 | keys), binary(fps)], ["key", "fp"])
                 segments = [segment(fps, *s) for s in scheme.segments]
                 balls = {s: ball_keys(segments[s], scheme.segments[s][1]) for t in scheme.tables for s, how in t if how == "ball"}
                 exact = {s: (segments[s][:, None], np.ones((len(fps), 1), bool)) for t in scheme.tables for s, how in t if how == "exact"}
@@ -207,12 +206,13 @@ def key_rows(nodes: DataFrame, scheme: Scheme) -> DataFrame:
                     keys_b, first_b = (balls if how_b == "ball" else exact)[b]
                     keys = np.int64(number) << 56 | keys_a.astype(np.int64)[:, :, None] << 24 | keys_b.astype(np.int64)[:, None, :]
                     row, i, j = np.nonzero(first_a[:, :, None] & first_b[:, None, :])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[row, i, j]), pa.array(sizes[row]), binary(fps[row])], ["key", "size", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[row, i, j]), binary(fps[row])], ["key", "fp"])
 
-    return nodes.select("fp").mapInArrow(batches, "key long, size int, fp binary")
+    return nodes.select("fp").mapInArrow(batches, "key long, fp binary")
 
 
 def sizes_of(fps: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """The sizes of the fingerprints' sets; 0 where none is known."""
     n = len(scheme.seeds)
     return (fps[:, n] & SIZE).astype(np.int32) if fps.shape[1] > n else np.zeros(len(fps), np.int32)
 
@@ -257,10 +257,13 @@ def close(fps: np.ndarray, a: np.ndarray, b: np.ndarray, scheme: Scheme) -> np.n
 def forest(keys: np.ndarray, fps: np.ndarray, scheme: Scheme) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions and their roots: a forest that spans, within each run of equal keys, what is linked.
 
-    Where sizes are known, a run is in their order, and no row is compared with larger ones than ``ALIKE`` allows for.
+    Where sizes are known, a run is taken in their order, and no row is compared with larger ones than ``ALIKE`` allows for.
     """
+    order, sizes = np.arange(len(keys)), sizes_of(fps, scheme).astype(np.int64)
+    if scheme.dealt:
+        order = np.lexsort((sizes, keys))
+        keys, fps, sizes = keys[order], fps[order], sizes[order]
     parent = np.arange(len(keys))
-    sizes = sizes_of(fps, scheme).astype(np.int64)
     most = sizes * ALIKE[1] // ALIKE[0]
 
     def find(x: int) -> int:
@@ -282,7 +285,7 @@ def forest(keys: np.ndarray, fps: np.ndarray, scheme: Scheme) -> Iterator[tuple[
                 parent = up
         shift += 1
     linked = np.nonzero(parent != np.arange(len(keys)))[0]
-    yield linked, parent[linked]
+    yield order[linked], order[parent[linked]]
 
 
 COMPARED = "u binary, v binary, key long, block int"
@@ -337,11 +340,11 @@ def compare(keyed: DataFrame, scheme: Scheme, block: int = BLOCK) -> DataFrame:
                 yield from wide(keys[:full], fps[:full])
                 keys, fps = keys[full:], fps[full:]
 
-    return keyed.select("key", "fp").mapInArrow(batches, COMPARED)
+    return keyed.mapInArrow(batches, COMPARED)
 
 
 def by_key(keyed: DataFrame) -> DataFrame:
-    return keyed.repartition("key").sortWithinPartitions("key", "size")
+    return keyed.repartition("key").sortWithinPartitions("key")
 
 
 def edges_of(nodes: DataFrame, scheme: Scheme, label: str, block: int = BLOCK) -> DataFrame:
@@ -359,8 +362,7 @@ def edges_of(nodes: DataFrame, scheme: Scheme, label: str, block: int = BLOCK) -
     others = wide.groupBy("key").agg(F.max("block").alias("last")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
     met = wide.join(others, "key").filter("other <> block")
     pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    size = size_of(F.col("fp")) if scheme.dealt else F.lit(0)
-    again = compare(by_key(met.select(pair.alias("key"), size.alias("size"), "fp")), scheme, 1 << 30)
+    again = compare(by_key(met.select(pair.alias("key"), "fp")), scheme, 1 << 30)
     return edges.unionByName(cut(again, f"{label}-blocks").select("u", "v"))
 
 

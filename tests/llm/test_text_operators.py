@@ -277,7 +277,7 @@ def test_search_of_nothing(spark):
 
 
 def random_fingerprints(n):
-    return np.random.default_rng(n).integers(0, 1 << 63, (n, 3)).astype(np.uint64)
+    return np.random.default_rng(n).integers(0, 1 << 63, (n, 4)).astype(np.uint64)
 
 
 def test_pairs_compared_grow_with_the_rows():
@@ -286,8 +286,8 @@ def test_pairs_compared_grow_with_the_rows():
         groups = [np.unique(k, return_counts=True)[1].astype(float) for k in simhash.dealt_keys(random_fingerprints(n), simhash.similar(n))]
         compared.append(sum((g * (g - 1) / 2).sum() for g in groups) / n)
     assert all(b < 1.6 * a for a, b in zip(compared, compared[1:], strict=False))
-    # Key and fingerprint together are 32 bytes a table, compressed to less.
-    assert [len(simhash.similar(n).dealt) for n in (1, 320_000, 10**9)] == [38, 88, 979]
+    # Key and fingerprint together are 40 bytes a table, compressed to less.
+    assert [len(simhash.similar(n).dealt) for n in (1, 320_000, 10**9)] == [48, 110, 1187]
 
 
 @pytest.mark.parametrize("rows", [1000, 320_000, 10**8])
@@ -315,14 +315,14 @@ def test_near_copies_of_real_texts_meet_in_a_key(spark, sf_dir, rows):
     met = np.zeros(len(nodes), bool)
     for x, y in zip(simhash.dealt_keys(a, scheme), simhash.dealt_keys(b, scheme), strict=True):
         met |= x == y
-    met &= np.bitwise_count(a[:, :2] ^ b[:, :2]).sum(axis=1) <= scheme.radius
+    met &= np.bitwise_count(a[:, :3] ^ b[:, :3]).sum(axis=1) <= scheme.radius
     assert len(nodes) > 200 and met.mean() >= 0.9
 
 
 def test_tables_by_turns_find_the_same(spark, monkeypatch):
     rng = np.random.default_rng(9)
-    base = rng.integers(0, 1 << 63, (40, 3)).astype(np.uint64)
-    base[:, 2] = 100
+    base = rng.integers(0, 1 << 63, (40, 4)).astype(np.uint64)
+    base[:, 3] = 100
     near = base.copy()
     near[:, 0] ^= np.uint64(0b10110)
     frame = spark.createDataFrame([(bytearray(x.tobytes()),) for x in np.concatenate([base, near])], "fp binary")

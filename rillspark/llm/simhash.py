@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bloom, chosen_rows, cut, free_name, outside, read_table, scratch, spread_join
+from .common import Bloom, chosen_rows, cut, free_name, give_back, outside, read_table, scratch, spread_join
 from .components import components
 
 #: Fingerprints of one key that are compared in one group; two such blocks meet in a group of their own.
@@ -207,6 +207,7 @@ def key_rows(nodes: DataFrame, scheme: Scheme) -> DataFrame:
                     keys = np.int64(number) << 56 | keys_a.astype(np.int64)[:, :, None] << 24 | keys_b.astype(np.int64)[:, None, :]
                     row, i, j = np.nonzero(first_a[:, :, None] & first_b[:, None, :])
                     yield pa.RecordBatch.from_arrays([pa.array(keys[row, i, j]), binary(fps[row])], ["key", "fp"])
+        give_back()
 
     return nodes.select("fp").mapInArrow(batches, "key long, fp binary")
 
@@ -339,6 +340,7 @@ def compare(keyed: DataFrame, scheme: Scheme, block: int = BLOCK) -> DataFrame:
                 full = len(keys) // block * block
                 yield from wide(keys[:full], fps[:full])
                 keys, fps = keys[full:], fps[full:]
+        give_back()
 
     return keyed.mapInArrow(batches, COMPARED)
 
@@ -458,7 +460,9 @@ def on_texts(of, kind: str):
 
     @F.arrow_udf(kind)
     def column(text: pa.Array) -> pa.Array:
-        return pa.array([of(t.as_py()) for t in text.cast(pa.binary()).fill_null(b"")], pa.binary())
+        made = pa.array([of(t.as_py()) for t in text.cast(pa.binary()).fill_null(b"")], pa.binary())
+        give_back()
+        return made
 
     return column
 
@@ -468,7 +472,9 @@ def on_sets():
 
     @F.arrow_udf("boolean")
     def column(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([alike(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.bool_())
+        judged = pa.array([alike(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.bool_())
+        give_back()
+        return judged
 
     return column
 

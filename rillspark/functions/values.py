@@ -92,3 +92,18 @@ def tile_bbox(z: Column, x: Column, y: Column, wrap: Column) -> dict[str, Column
     lon = lambda c: c / n * 360 - 180 + wrap * 360
     lat = lambda c: F.degrees(F.atan(F.sinh(F.pi() * (1 - 2 * c / n))))
     return {"west": lon(x), "east": lon(x + 1), "north": lat(y), "south": lat(y + 1)}
+
+
+def tile_place(z: Column, lon: Column, lat: Column) -> dict[str, Column]:
+    """Where a point in degrees lies in a zoom's square of web-mercator tiles, x and y from 0 to the number of tiles."""
+    n = F.pow(F.lit(2.0), z)
+    return {"x": (lon + 180) / 360 * n, "y": (1 - F.asinh(F.tan(F.radians(lat))) / F.pi()) / 2 * n}
+
+
+def tile_of(z: Column, lon: Column, lat: Column) -> dict[str, Column]:
+    """The x and y of the tile of a point; what lies outside the square belongs to the tile at its edge."""
+    return {k: within_square(F.floor(c), z) for k, c in tile_place(z, lon, lat).items()}
+
+
+def within_square(tile: Column, z: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.pow(F.lit(2.0), z).cast("long") - 1, tile.cast("long")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -23,7 +23,8 @@ class Run:
     """Cells are sparse: a row for each feature and time with any value, missing values null.
 
     ``cells(feature_id, time, flow, velocity, depth)``, ``features(feature_id, row_idx)``, ``times(time, t_idx)``.  ``time_kind`` is
-    ``epoch_ms`` or ``offset_s``; ``variables`` are those that the files have, the others are null throughout.
+    ``epoch_ms`` or ``offset_s``; ``variables`` are those that the files have, the others are null throughout.  ``slices`` gives the
+    cells of one time where the layout they're stored in can find these faster than a filter.
     """
 
     cells: DataFrame
@@ -33,6 +34,11 @@ class Run:
     ref_time: str | None = None
     files: tuple[str, ...] = ()
     variables: tuple[str, ...] = VARIABLES
+    slices: Callable[[int], DataFrame] | None = None
+
+    def at_time(self, time: int) -> DataFrame:
+        """The cells of one time."""
+        return self.slices(time) if self.slices else self.cells.filter(F.col("time") == time)
 
     @cached_property
     def shape(self) -> tuple[int, int]:
@@ -56,7 +62,8 @@ class Run:
         return self.cells.select("feature_id", "time", pairs).filter("value IS NOT NULL")
 
     def replace(self, **changes) -> Run:
-        return replace(self, **changes)
+        """Other ``cells`` aren't those that ``slices`` reads."""
+        return replace(self, **({"slices": None} if "cells" in changes else {}), **changes)
 
     def persist(self) -> Run:
         """The run with its cells and axes kept by Spark once they are computed, for several questions to one run."""

@@ -85,6 +85,26 @@ def merge_disjoint(runs: Sequence[Run]) -> Run:
     return _as_one(runs, reduce(DataFrame.unionByName, [r.cells for r in runs]), having)
 
 
+def share_no_feature(runs: Sequence[Run]) -> bool:
+    """Whether no two runs have a feature in common, by their axes alone.
+
+    One pass over the axes gives each run's least and largest id: ranges that don't meet prove it.  Only the ids of runs whose
+    ranges do meet are counted, which shuffles ids and no cell.
+    """
+    axes = _stacked([r.features.select("feature_id") for r in runs])
+    ends = {r.ds: (r.low, r.high) for r in axes.groupBy("ds").agg(F.min("feature_id").alias("low"), F.max("feature_id").alias("high")).collect()}  # a row for each run
+    meet = {i for i, (a, b) in ends.items() for j, (c, d) in ends.items() if i != j and a <= d and c <= b}
+    if not meet:
+        return True
+    often = axes.filter(F.col("ds").isin(*meet)).distinct().groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"))
+    return often.filter("n > 1").isEmpty()
+
+
+def merge_any(runs: Sequence[Run]) -> Run:
+    """``merge_disjoint`` where the runs' axes prove that nothing can cover anything, else ``merge``."""
+    return merge_disjoint(runs) if share_no_feature(runs) else merge(runs)
+
+
 def _as_one(runs: Sequence[Run], cells: DataFrame, having: Mapping[str, Sequence[int]]) -> Run:
     files = sum((r.files for r in runs), ())
     return Run(cells, merged_features(runs), merged_times(runs), runs[0].time_kind, runs[0].ref_time, files, tuple(v for v in VARIABLES if having[v]))

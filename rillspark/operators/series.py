@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillspark.constants import FILL, VARIABLES
+from rillspark.constants import FILL, LABELS, UNITS, VARIABLES
 from rillspark.functions import values as V
 from rillspark.model import Run
 
@@ -13,7 +13,7 @@ from rillspark.model import Run
 def at_step(run: Run, t_idx: int) -> DataFrame:
     """The cells of one step.  Its time is looked up first, so that the filter is on a literal and reaches below the last writes."""
     found = run.times.filter(F.col("t_idx") == t_idx).select("time").first()
-    return run.cells.filter(F.col("time") == found.time if found else F.lit(False))
+    return run.at_time(found.time) if found else run.cells.filter(F.lit(False))
 
 
 def point(run: Run, variable: str, feature_id: int, t_idx: int) -> DataFrame:
@@ -57,6 +57,27 @@ def info(run: Run, variable: str, t_idx: int, wanted: DataFrame) -> DataFrame:
     return wanted.join(now, "feature_id", "left").select("feature_id", "value", F.explode(shown).alias("key", "property"))
 
 
+def record_texts(run: Run, t_idx: int, wanted: DataFrame) -> DataFrame:
+    """``record`` as it is shown: values of three digits with their units, ``N/A`` without one."""
+    shown = [formatted(F.col(v), 3, UNITS[v], "N/A").alias(v) for v in VARIABLES]
+    return record(run, t_idx, wanted).select("feature_id", "label", *shown)
+
+
+def info_texts(run: Run, variable: str, t_idx: int, wanted: DataFrame) -> DataFrame:
+    """``info`` as it is shown, a row for each line: the label, the value of four digits or ``--``, then the properties by name."""
+    now = time_slice(run, variable, t_idx)
+    properties = F.map_entries(F.map_filter("properties", lambda k, _: k != "id"))
+    lines = F.concat(
+        F.array(
+            F.struct(F.lit("id").alias("key"), V.feature_label(F.col("feature_id")).alias("text")),
+            F.struct(F.lit(LABELS[variable]).alias("key"), F.col("shown").alias("text")),
+        ),
+        F.transform(F.sort_array(properties), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("text"))),
+    )
+    shown = wanted.join(now, "feature_id", "left").withColumn("shown", formatted(F.col("value"), 4, UNITS[variable], "--"))
+    return shown.select("feature_id", F.posexplode(lines).alias("line", "l")).select("feature_id", "line", "l.key", "l.text")
+
+
 def formatted(value: Column, digits: int, units: str, missing: str) -> Column:
     """A value as text, with its units or the mark of a missing one."""
     return F.when(value.isNull(), F.lit(missing)).otherwise(F.concat_ws(" ", V.to_fixed(digits)(value), F.lit(units)))

@@ -8,14 +8,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillspark.constants import PALETTE, PALETTE_RGB, SCALE_NOTES, VARIABLES
+from rillspark.constants import PALETTE, PALETTE_RGB, SCALE_NOTES, UNITS, VARIABLES
 from rillspark.functions import paths as P
 from rillspark.functions import scales as S
 from rillspark.functions import values as V
 from rillspark.operators import aggregates, distribution, merge, network, painting, series, spatial
 from rillspark.plans import runtree
-from rillspark.sources.results import load, load_many, scan_parquet
-from rillspark.sources.tables import damaged_file, divides, event_rows, event_run, flowpaths, split_files, split_runs, table
+from rillspark.model import run_of
+from rillspark.sources.results import canonical, load, load_cycle, load_many, observed, scan_parquet
+from rillspark.sources.shared import fresh_path
+from rillspark.sources.stored import load_by_time, save_by_time
+from rillspark.streaming import ingest
+from rillspark.sources.tables import asked_cycles, cycle_folder, damaged_file, divides, event_keys, event_rows, event_run, flowpaths, rejected_files, run_files, split_files, split_runs, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -117,6 +121,14 @@ def time_slice(spark, d):
     return series.time_slice(event_run(spark, d), "flow", T)
 
 
+@query(BASE + SLICE + " SELECT feature_id, value FROM slice")
+def time_slice_stored(spark, d):
+    """The slice from a store by time."""
+    path = fresh_path(spark, "by-time")
+    save_by_time(event_run(spark, d), path)
+    return series.time_slice(load_by_time(spark, path), "flow", T)
+
+
 @query(BASE + f" SELECT c_custkey AS feature_id, 'wb-' || c_custkey AS label, CAST(flow AS DOUBLE) AS flow, CAST(velocity AS DOUBLE) AS velocity, CAST(depth AS DOUBLE) AS depth FROM customer LEFT JOIN (SELECT * FROM cells JOIN times USING (time) WHERE t_idx = {T}) ON feature_id = c_custkey")
 def feature_record(spark, d):
     return series.record(event_run(spark, d), T, flowpaths(spark, d))
@@ -132,6 +144,22 @@ def dataset_info(spark, d):
     return aggregates.dataset_info(event_run(spark, d).replace(ref_time="2024-05-01_00:00:00"))
 
 
+def _fixed_sql(v: str, digits: int, units: str, missing: str) -> str:
+    """A value that is single precision as text; an exact tie goes away from zero."""
+    scaled = f"CAST({v} AS DOUBLE) * {2 * 10**digits}"
+    return f"CASE WHEN {v} IS NULL THEN '{missing}' WHEN {scaled} = floor({scaled}) AND CAST({scaled} AS BIGINT) % 2 <> 0 THEN printf('%.{digits}f', CAST({v} AS DOUBLE) + 1e-9 * sign({v})) || ' {units}' ELSE printf('%.{digits}f', CAST({v} AS DOUBLE)) || ' {units}' END"
+
+
+@query(BASE + f" SELECT c_custkey AS feature_id, 'wb-' || c_custkey AS label, {', '.join(f'{_fixed_sql(v, 3, UNITS[v], "N/A")} AS {v}' for v in VARIABLES)} FROM customer LEFT JOIN (SELECT * FROM cells JOIN times USING (time) WHERE t_idx = {T}) ON feature_id = c_custkey")
+def record_texts(spark, d):
+    return series.record_texts(event_run(spark, d), T, flowpaths(spark, d))
+
+
+@query(BASE + SLICE + f", p AS (SELECT c_custkey AS feature_id, unnest([0, 1, 2, 3]) AS line, unnest(['id', 'Flow', 'name', 'segment']) AS key, unnest(['wb-' || c_custkey, {_fixed_sql('value', 4, UNITS['flow'], '--')}, c_name, c_mktsegment]) AS text FROM customer LEFT JOIN slice ON feature_id = c_custkey) SELECT feature_id, CAST(line AS INTEGER) AS line, key, text FROM p")
+def info_texts(spark, d):
+    return series.info_texts(event_run(spark, d), "flow", T, flowpaths(spark, d))
+
+
 # Aggregates
 
 
@@ -203,6 +231,15 @@ def merge_runs(spark, d):
     return cells.select("feature_id", "time", *[F.col(v).cast("double").alias(v) for v in VARIABLES]).filter("coalesce(flow, velocity, depth) IS NOT NULL")
 
 
+@query(MERGED + f" SELECT feature_id, time, {', '.join(f'CAST({v} AS DOUBLE) AS {v}' for v in VARIABLES)} FROM g JOIN c USING (feature_id, time, ds) WHERE flow IS NOT NULL OR velocity IS NOT NULL OR depth IS NOT NULL")
+def running_merge(spark, d):
+    """The three runs as files of a stream, merged batch by batch."""
+    base = fresh_path(spark, "stream")
+    run_files(spark, d, f"{base}/in")
+    ingest.running_merge(ingest.read_runs(spark, f"{base}/in"), f"{base}/merged", f"{base}/checkpoint").awaitTermination()
+    return _values(ingest.merged_so_far(spark, f"{base}/merged").cells).filter("coalesce(flow, velocity, depth) IS NOT NULL")
+
+
 @query(f"{BASE}, {SPLIT} SELECT time, row_number() OVER (ORDER BY time) - 1 AS t_idx FROM (SELECT DISTINCT time FROM ds_rows)")
 def merge_times(spark, d):
     return merge.merged_times(split_runs(spark, d))
@@ -232,10 +269,18 @@ def merge_ref_time(spark, d):
     return merged.features.select("feature_id", F.lit(merged.ref_time).alias("ref_time"))
 
 
-@query(f"{BASE}, {SPLIT}, r AS (SELECT *, row_number() OVER (PARTITION BY feature_id, time ORDER BY ds, ord) AS place FROM ds_rows WHERE ds < 2) SELECT feature_id, time, place, CAST(flow AS DOUBLE) AS flow, CAST(velocity AS DOUBLE) AS velocity, CAST(depth AS DOUBLE) AS depth FROM r")
+@query(f"{BASE} SELECT feature_id, time, {', '.join(f'CAST({v} AS DOUBLE) AS {v}' for v in VARIABLES)} FROM cells")
+def merge_apart(spark, d):
+    """Runs of different features, told by their axes, merged without a shuffle of their cells."""
+    rows = event_rows(spark, d)
+    runs = [run_of(rows.filter(F.col("feature_id") % 3 == i)) for i in range(3)]
+    return _values(merge.merge_any(runs).cells)
+
+
+@query(f"{BASE}, {SPLIT}, r AS (SELECT *, row_number() OVER (PARTITION BY feature_id, time ORDER BY ds, ord) AS place FROM ds_rows) SELECT feature_id, time, place, CAST(flow AS DOUBLE) AS flow, CAST(velocity AS DOUBLE) AS velocity, CAST(depth AS DOUBLE) AS depth FROM r")
 def scan_file_order(spark, d):
-    """Two runs' rows written as result files and scanned as they are, each with its place among its cell's in file and row order."""
-    rows = scan_parquet(spark, *split_files(spark, d)[:2])
+    """The runs' rows written as result files and scanned as they are, each with its place among its cell's in file and row order."""
+    rows = scan_parquet(spark, *split_files(spark, d))
     place = F.row_number().over(Window.partitionBy("feature_id", "time").orderBy("ord"))
     return rows.select("feature_id", "time", place.alias("place"), *[F.col(v).cast("double").alias(v) for v in VARIABLES])
 
@@ -256,10 +301,38 @@ def scan_many_merge(spark, d):
     return cells.groupBy("feature_id").agg(F.count(F.lit(1)).alias("cells"), F.round(F.coalesce(F.sum(F.col("flow").cast("double")), F.lit(0.0)), 4).alias("flow"))
 
 
-@query(MERGED + " SELECT DISTINCT feature_id, time FROM c WHERE ds = 1")
+VALUES_SQL = ", ".join(f"CAST({v} AS DOUBLE) AS {v}" for v in VARIABLES)
+
+
+def _values(cells: DataFrame) -> DataFrame:
+    return cells.select("feature_id", "time", *[F.col(v).cast("double").alias(v) for v in VARIABLES])
+
+
+@query(f"{BASE} SELECT feature_id, time, {VALUES_SQL} FROM cells")
 def load_one(spark, d):
-    """The second run's rows written as a result file and loaded by its name's ending."""
-    return load(spark, split_files(spark, d)[1]).cells.select("feature_id", "time")
+    """All rows written as one result file and loaded by its name's ending."""
+    path = f"{fresh_path(spark, 'result')}.parquet"
+    event_rows(spark, d).orderBy("ord").drop("ord").write.parquet(path)
+    return _values(load(spark, path).cells)
+
+
+@query(MERGED + f" SELECT feature_id, time, {VALUES_SQL} FROM g JOIN c USING (feature_id, time, ds) WHERE flow IS NOT NULL OR velocity IS NOT NULL OR depth IS NOT NULL")
+def load_whole_cycle(spark, d):
+    """A cycle's folder with a region that can't be listed, an empty one and a damaged file, loaded as one run."""
+    cycle = load_cycle(spark, cycle_folder(spark, d))
+    return _values(cycle.run.cells).filter("coalesce(flow, velocity, depth) IS NOT NULL")
+
+
+@query(
+    """WITH f AS (SELECT user_id % 4 AS part, event_type = 'error' OR hour(ts) < 2 AS bad FROM events)
+SELECT count(*) AS "rows", count(*) FILTER (WHERE bad) AS rejected, count(DISTINCT part) AS files, (SELECT count(DISTINCT (user_id, date_trunc('day', ts))) FROM events WHERE event_type <> 'error' AND hour(ts) >= 2) AS cells FROM f"""
+)
+def load_counts(spark, d):
+    """Rows, rejected ones and files of a load, counted while its cells are."""
+    raw, counts = observed(spark.read.parquet(rejected_files(spark, d)))
+    cells = run_of(canonical(raw, F.lit(0))).cells.count()
+    found = counts.get
+    return spark.createDataFrame([(found["rows"], found["rejected"], found["files"], cells)], "rows long, rejected long, files long, cells long")
 
 
 # Distributions, over hourly cells
@@ -461,12 +534,25 @@ def loaded_extent(spark, d):
     return spatial.loaded_extent(flowpaths(spark, d), event_run(spark, d).features)
 
 
-@query(f"SELECT z, x, y, w AS wrap, round(x / power(2.0, z) * 360 - 180 + w * 360, 6) AS west, round((x + 1) / power(2.0, z) * 360 - 180 + w * 360, 6) AS east, round({LAT('y', 'z')}, 6) AS north, round({LAT('y + 1', 'z')}, 6) AS south FROM range(4) a(z), range(8) b(x), range(8) c(y), range(2) e(w) WHERE x < power(2, z) AND y < power(2, z)")
+TILES_SQL = f"""tiles AS (
+  SELECT DISTINCT z, CAST(floor((p.x + 180) / 360 * power(2.0, z)) AS BIGINT) AS x, CAST(floor((1 - asinh(tan(radians(p.y))) / pi()) / 2 * power(2.0, z)) AS BIGINT) AS y
+  FROM (SELECT CAST(c_custkey % 6 AS INTEGER) AS z, {_point_sql(37, 53)} AS p FROM customer)
+)"""
+
+
+@query(f"WITH {TILES_SQL} SELECT z, x, y, w AS wrap, round(x / power(2.0, z) * 360 - 180 + w * 360, 6) AS west, round((x + 1) / power(2.0, z) * 360 - 180 + w * 360, 6) AS east, round({LAT('y', 'z')}, 6) AS north, round({LAT('y + 1', 'z')}, 6) AS south FROM tiles, range(-1, 2) e(w)")
 def tile_bbox(spark, d):
-    n = spark.range(4 * 8 * 8 * 2)
-    tiles = n.select(F.floor(F.col("id") / 128).alias("z"), (F.floor(F.col("id") / 16) % 8).alias("x"), (F.floor(F.col("id") / 2) % 8).alias("y"), (F.col("id") % 2).alias("wrap"))
+    """The boxes of the tiles in which lines begin, at zooms from 0 to 5, and of their repeats to the west and the east."""
+    tiles = line_tiles(spark, d).withColumn("wrap", F.explode(F.array(*[F.lit(w) for w in (-1, 0, 1)])))
     box = V.tile_bbox(*[F.col(c) for c in ("z", "x", "y", "wrap")])
-    return tiles.filter("x < power(2, z) AND y < power(2, z)").select("z", "x", "y", "wrap", *[rounded(c).alias(k) for k, c in box.items()])
+    return tiles.select("z", "x", "y", "wrap", *[rounded(c).alias(k) for k, c in box.items()])
+
+
+def line_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """``(z, x, y)`` of the tile in which each line begins, at a zoom told by the feature."""
+    z, p = F.pmod("feature_id", F.lit(6)).cast("int"), F.col("coordinates")[0][0]
+    at = V.tile_of(z, p["x"], p["y"])
+    return flowpaths(spark, d).select(z.alias("z"), *[c.alias(k) for k, c in at.items()]).distinct()
 
 
 IN_TILE = f"boxes AS (SELECT feature_id, {BOX} FROM lines GROUP BY feature_id), t AS (SELECT {_X} / power(2.0, {_Z}) * 360 - 180 AS w, ({_X} + 1) / power(2.0, {_Z}) * 360 - 180 AS e, {LAT(_Y, _Z)} AS n, {LAT(f'{_Y} + 1', _Z)} AS s), visible AS (SELECT boxes.* FROM boxes, t WHERE min_x <= e AND max_x >= w AND min_y <= n AND max_y >= s)"
@@ -483,6 +569,21 @@ def bbox_filter(spark, d):
     return _visible(spark, d)
 
 
+SEGMENTS_SQL = f"""segments AS (SELECT c_custkey AS feature_id, unnest(CASE WHEN c_custkey % 3 = 0 THEN [{{'a': {_point_sql(37, 53)}, 'b': {_point_sql(41, 59)}}}, {{'a': {_point_sql(43, 61)}, 'b': {_point_sql(47, 67)}}}] ELSE [{{'a': {_point_sql(37, 53)}, 'b': {_point_sql(41, 59)}}}] END) AS s FROM customer),
+boxes AS (SELECT z, x, y, x / power(2.0, z) * 360 - 180 AS w, (x + 1) / power(2.0, z) * 360 - 180 AS e, {LAT('y', 'z')} AS n, {LAT('y + 1', 'z')} AS so FROM tiles),
+pairs AS (SELECT z, x, y, w, e, n, so, feature_id, s.a.x AS x0, s.a.y AS y0, s.b.x AS x1, s.b.y AS y1 FROM boxes, segments),
+parts AS (
+  SELECT *, CASE WHEN x1 = x0 THEN CASE WHEN x0 BETWEEN w AND e THEN 0 ELSE 2 END ELSE least((w - x0) / (x1 - x0), (e - x0) / (x1 - x0)) END AS x_in, CASE WHEN x1 = x0 THEN 1 ELSE greatest((w - x0) / (x1 - x0), (e - x0) / (x1 - x0)) END AS x_out,
+    CASE WHEN y1 = y0 THEN CASE WHEN y0 BETWEEN so AND n THEN 0 ELSE 2 END ELSE least((so - y0) / (y1 - y0), (n - y0) / (y1 - y0)) END AS y_in, CASE WHEN y1 = y0 THEN 1 ELSE greatest((so - y0) / (y1 - y0), (n - y0) / (y1 - y0)) END AS y_out
+  FROM pairs)"""
+
+
+@query(f"WITH {TILES_SQL}, {SEGMENTS_SQL} SELECT DISTINCT z, x, y, feature_id FROM parts WHERE greatest(0, x_in, y_in) <= least(1, x_out, y_out)")
+def tile_features(spark, d):
+    """The lines with a point in each of many tiles."""
+    return spatial.tile_features(flowpaths(spark, d), line_tiles(spark, d))
+
+
 @query(f"{BASE}{SLICE}, {LINES}, {IN_TILE} SELECT feature_id, value FROM slice JOIN visible USING (feature_id)")
 def paint_join(spark, d):
     return series.paint(event_run(spark, d), "flow", T, _visible(spark, d))
@@ -526,61 +627,63 @@ def clicked_vpu(spark, d):
 
 # The tree of runs
 
-RUN_KEYS = [
-    f"outputs/cfe_nom/v2.2_hydrofabric/ngen.{date}/{range_}/{cycle}/{vpu}/ngen-run/outputs/troute/{file}"
-    for date in ("20260718", "20260719", "20260720")
-    for range_, cycles in (("short_range", ("00", "06", "18")), ("medium_range", ("00/1", "18/1", "18/2")), ("analysis_assim_extend", ("16",)))
-    for cycle in cycles
-    for vpu in ("VPU_01", "VPU-02", "vpu_03N")
-    for file in ("troute.nc", "part.parquet", "log.txt")
-]
-KEYS_SQL = "WITH keys AS (SELECT unnest([" + ", ".join(f"'{k}'" for k in RUN_KEYS) + "]) AS key)"
-FABRIC = "outputs/cfe_nom/v2.2_hydrofabric/"
+KEYS_SQL = """WITH keys AS (
+  SELECT DISTINCT 'outputs/m' || user_id % 4 || '/v2.2_hydrofabric/ngen.' || strftime(ts, '%Y%m%d') || '/' || r || '/' || lpad(CAST(hour(ts) - hour(ts) % 6 AS VARCHAR), 2, '0') || '/'
+    || CASE WHEN r = 'medium_range' THEN (user_id % 2 + 1) || '/' ELSE '' END || list_extract(['VPU_', 'VPU-', 'vpu_'], CAST(user_id % 3 + 1 AS INTEGER)) || lpad(CAST(user_id % 21 AS VARCHAR), 2, '0')
+    || '/ngen-run/outputs/troute/' || list_extract(['troute.nc', 'part.parquet', 'log.txt'], CAST(event_id % 3 + 1 AS INTEGER)) AS key
+  FROM (SELECT *, CASE event_type WHEN 'view' THEN 'short_range' WHEN 'click' THEN 'Short_Range' WHEN 'purchase' THEN 'medium_range' WHEN 'signup' THEN 'analysis_assim_extend' ELSE 'logs' END AS r FROM events)
+)"""
 FOLDERS_SQL = KEYS_SQL + ", folders AS (SELECT DISTINCT array_to_string(parts[1:n], '/') || '/' AS path, parts[n] AS name, CASE WHEN n = 1 THEN '' ELSE array_to_string(parts[1:n - 1], '/') || '/' END AS parent FROM (SELECT string_split(key, '/') AS parts, unnest(range(1, len(string_split(key, '/')))) AS n FROM keys))"
+LISTED_SQL = FOLDERS_SQL + ", listed AS (SELECT *, CAST(CASE WHEN parent LIKE '%\\_hydrofabric/' ESCAPE '\\' THEN row_number() OVER (PARTITION BY parent ORDER BY name DESC) ELSE row_number() OVER (PARTITION BY parent ORDER BY name) END - 1 AS INTEGER) AS position FROM folders)"
 
 
-def run_keys(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in RUN_KEYS], "key string")
+def run_folders(spark: SparkSession, d: str) -> DataFrame:
+    return runtree.folders_of(event_keys(spark, d))
 
 
-def run_folders(spark: SparkSession) -> DataFrame:
-    """``(path, name, parent)`` of every folder above a key."""
-    parts = F.split("key", "/")
-    at = run_keys(spark).select(parts.alias("parts"), F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("n"))
-    path = F.concat(F.array_join(F.slice("parts", 1, F.col("n")), "/"), F.lit("/"))
-    return at.select(path.alias("path")).distinct().select("path", P.name_of(F.col("path")).alias("name"), P.parent_of(F.col("path")).alias("parent"))
-
-
-@query(FOLDERS_SQL + f" SELECT CAST(row_number() OVER (ORDER BY name DESC) - 1 AS INTEGER) AS position, name, path FROM folders WHERE parent = '{FABRIC}'")
+@query(LISTED_SQL + " SELECT parent, position, name, path FROM listed")
 def list_folders(spark, d):
-    return runtree.list_folders(run_keys(spark), FABRIC)
+    return runtree.listed(run_folders(spark, d))
 
 
 @query(FOLDERS_SQL + r" SELECT path, name, regexp_matches(name, '\d{8}') AS is_date, regexp_matches(name, '(?i)_range$') OR regexp_matches(name, '(?i)^analysis') AS is_range, regexp_matches(name, '^\d+$') AS is_cycle, regexp_matches(name, '(?i)^VPU[_-]') AS is_vpu, coalesce(TRY_CAST(regexp_extract(name, '(\d{8})', 1) AS INTEGER), 0) AS date_key FROM folders")
 def classify_folders(spark, d):
-    return runtree.classified(run_folders(spark))
+    return runtree.classified(run_folders(spark, d))
 
 
 @query(FOLDERS_SQL + " SELECT parent, bool_and(regexp_matches(name, '(?i)^VPU[_-]')) AS is_cycle_level FROM folders GROUP BY parent")
 def is_cycle_level(spark, d):
-    return runtree.is_cycle_level(run_folders(spark))
+    return runtree.is_cycle_level(run_folders(spark, d))
 
 
 @query(
-    FOLDERS_SQL
-    + r""", p AS (SELECT path, string_split(rtrim(path, '/'), '/') AS s FROM folders), newest AS (SELECT max(s[4]) AS day FROM p WHERE len(s) = 4),
-c AS (SELECT s[5] AS rng, max(CAST(s[6] AS INTEGER)) AS cycle FROM p, newest WHERE len(s) = 6 AND s[4] = day GROUP BY s[5]),
-m AS (SELECT s[5] AS rng, max(TRY_CAST(s[7] AS INTEGER)) AS member FROM p, newest, c WHERE len(s) = 7 AND s[4] = day AND s[5] = rng AND CAST(s[6] AS INTEGER) = cycle GROUP BY s[5])
-SELECT k AS range_key, 'outputs/cfe_nom/v2.2_hydrofabric/' || day || '/' || c.rng || '/' || lpad(CAST(cycle AS VARCHAR), 2, '0') || '/' || coalesce(member || '/', '') AS path
-FROM (SELECT unnest(['short', 'medium', 'analysis']) AS k) JOIN c ON starts_with(c.rng, k) JOIN m ON m.rng = c.rng, newest"""
+    LISTED_SQL
+    + r""", w AS (
+  SELECT DISTINCT 'outputs/m' || c_custkey % 5 || list_extract(['', '/v2.2_hydrofabric', '/v2.2_hydrofabric/ngen.20240101/short_range', '/v2.2_hydrofabric/ngen.20240101/medium_range/00/1/VPU_01/'], CAST(c_custkey % 4 + 1 AS INTEGER)) AS path,
+    'outputs/m' || c_custkey % 5 || '/' AS model, range_key
+  FROM customer, (SELECT unnest(['short', 'medium', 'analysis', 'long']) AS range_key)
+), day AS (SELECT parent, max_by(path, name) AS day FROM folders WHERE name LIKE 'ngen.%' GROUP BY parent),
+r AS (SELECT parent AS day, k, min_by(path, position) AS rng FROM listed, (SELECT unnest(['short', 'medium', 'analysis', 'long']) AS k) WHERE starts_with(lower(name), k) AND regexp_matches(parent, '/ngen\.\d{8}/$') GROUP BY parent, k),
+num AS (SELECT parent, max_by(path, CAST(name AS INTEGER)) AS numbered FROM folders WHERE regexp_matches(name, '^\d+$') GROUP BY parent)
+SELECT w.path, range_key, coalesce(m.numbered, c.numbered) AS latest,
+  CASE WHEN day IS NULL THEN 'no dated run folders below ' || w.path WHEN rng IS NULL THEN 'no ' || range_key || ' range in the latest run' END AS problem
+FROM w LEFT JOIN day ON day.parent = model || 'v2.2_hydrofabric/' LEFT JOIN r USING (day) LEFT JOIN num c ON c.parent = rng LEFT JOIN num m ON m.parent = c.numbered
+WHERE r.k IS NULL OR r.k = range_key
+UNION
+SELECT w.path, range_key, NULL, 'no ' || range_key || ' range in the latest run' FROM w JOIN day ON day.parent = model || 'v2.2_hydrofabric/' WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.day = day.day AND r.k = range_key)"""
 )
 def latest_cycle(spark, d):
-    return runtree.latest_cycles(spark, run_keys(spark), "outputs/cfe_nom/v2.2_hydrofabric/ngen.20260718/", ["short", "medium", "analysis"])
+    return runtree.latest_cycles(event_keys(spark, d), asked_cycles(spark, d))
 
 
-VPU = f"{FABRIC}ngen.20260720/short_range/18/VPU_01/"
+FILES_SQL = KEYS_SQL + ", files AS (SELECT string_split(key, '/ngen-run/outputs/troute/')[1] || '/' AS region, list_extract(string_split(key, '/'), -1) AS name, key FROM keys WHERE key LIKE '%.nc' OR key LIKE '%.parquet')"
 
 
-@query(KEYS_SQL + f" SELECT list_extract(string_split(key, '/'), -1) AS name, key FROM keys WHERE starts_with(key, '{VPU}') AND (key LIKE '%.nc' OR key LIKE '%.parquet')")
+@query(FILES_SQL + " SELECT region, name, key FROM files")
 def result_files(spark, d):
-    return runtree.result_files(run_keys(spark), VPU)
+    return runtree.result_files(event_keys(spark, d))
+
+
+@query(FILES_SQL + " SELECT region, min(key) AS key FROM files GROUP BY region HAVING count(*) = 1")
+def only_files(spark, d):
+    return runtree.only_files(runtree.result_files(event_keys(spark, d)))

@@ -5,14 +5,16 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rillspark.constants import VARIABLES
 from rillspark.functions import values as V
 from rillspark.model import BROADCAST_ROWS, Run, last_writes, run_of
+from rillspark.sources.listing import SCHEMA, cycle_files
 from rillspark.operators.merge import first_seen, merged_cells, one_kind_of_time, union_of_times
 from rillspark.sources.netcdf import NetCdfSource
 
@@ -29,6 +31,19 @@ def canonical(raw: DataFrame, ord_col: Column, keep: Sequence[str] = ()) -> Data
     return raw.select(*keep, V.feature_id(F.col("feature_id")).alias("feature_id"), time, ord_col.alias("ord"), *values).filter("feature_id IS NOT NULL AND time IS NOT NULL")
 
 
+def observed(raw: DataFrame, name: str | None = None) -> tuple[DataFrame, Observation]:
+    """``raw``, read from files, with counts that the first action on it leaves behind: no scan is made for them.
+
+    ``rows`` of all files, those ``rejected`` by ``canonical``, and the ``files`` that have any row and have been read to their first.
+    """
+    counts = Observation(name) if name else Observation()
+    bad = V.feature_id(F.col("feature_id")).isNull() | F.col("time").isNull()
+    first = F.col("_metadata.row_index") == 0
+    marked = raw.withColumn("_first", first)
+    metrics = [F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("rejected"), F.count_if("_first").alias("files")]
+    return marked.observe(counts, *metrics).drop("_first"), counts
+
+
 def rejects(raw: DataFrame) -> DataFrame:
     """One row: how many rows ``canonical`` drops."""
     bad = V.feature_id(F.col("feature_id")).isNull() | F.col("time").isNull()
@@ -138,6 +153,30 @@ def load_many(spark: SparkSession, paths: Iterable[str]) -> Run:
     return Run(merged_cells(cells, features, times, having), first_seen(features), union_of_times(times), kind, head[0].ref_time, files, tuple(v for v in VARIABLES if having[v]))
 
 
+@dataclass(frozen=True)
+class Cycle:
+    """What a cycle's folder gave: the run, the listing ``(ds, region, key, length, problem)``, and the regions that couldn't be listed."""
+
+    run: Run
+    listing: DataFrame
+    failed: tuple[str, ...]
+
+
+def load_cycle(spark: SparkSession, cycle: str) -> Cycle:
+    """All regions of a cycle as one run: files in the order of the regions' names, then of their keys.
+
+    Regions are listed by a Spark job, one task each.  A region whose listing fails is left out and named, a file that can't be read
+    is left out; it is an error if no file is found, or if none can be read.
+    """
+    listing = cycle_files(spark, cycle)
+    rows = sorted(listing.collect(), key=lambda r: (r.ds, r.key or ""))  # a row for each file of a cycle, whose paths a reader takes
+    keys = [r.key for r in rows if r.key is not None]
+    if not keys:
+        raise LookupError(f"no result files in the regions of {cycle}")
+    listed = spark.createDataFrame([tuple(r) for r in rows], SCHEMA)
+    return Cycle(load_many(spark, keys), listed, tuple(r.region for r in rows if r.problem is not None))
+
+
 def save(run: Run, path: str) -> None:
     """The cells as long Parquet rows, which ``load`` reads back."""
     run.cells.write.mode("error").parquet(path)

@@ -72,7 +72,7 @@ def info_texts(run: Run, variable: str, t_idx: int, wanted: DataFrame) -> DataFr
             F.struct(F.lit("id").alias("key"), V.feature_label(F.col("feature_id")).alias("text")),
             F.struct(F.lit(LABELS[variable]).alias("key"), F.col("shown").alias("text")),
         ),
-        F.transform(F.sort_array(properties), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("text"))),
+        F.transform(F.coalesce(F.sort_array(properties), F.array()), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("text"))),
     )
     shown = wanted.join(now, "feature_id", "left").withColumn("shown", formatted(F.col("value"), 4, UNITS[variable], "--"))
     return shown.select("feature_id", F.posexplode(lines).alias("line", "l")).select("feature_id", "line", "l.key", "l.text")

@@ -13,7 +13,7 @@ from rillspark.functions import paths as P
 from rillspark.functions import scales as S
 from rillspark.functions import values as V
 from rillspark.operators import aggregates, distribution, merge, network, painting, series, spatial
-from rillspark.plans import runtree
+from rillspark.plans import runtree, views
 from rillspark.model import run_of
 from rillspark.sources.results import canonical, load, load_cycle, load_many, observed, scan_parquet
 from rillspark.sources.shared import fresh_path
@@ -385,11 +385,59 @@ def jenks_sample(spark, d):
     return distribution.jenks_sample(event_run(spark, d, "hour"), "flow").select("i", "value")
 
 
-@query()
+def _jenks_sql(base: str) -> str:
+    """SQL for the natural breaks of every variable, as ``stops`` (variable, s0 to s4): a table of least costs for each number of classes."""
+    k = len(PALETTE)
+    c = base + f""", nn AS (SELECT (SELECT count(*) FROM features) AS nf, (SELECT count(*) FROM times) AS nt),
+long AS (UNPIVOT (SELECT feature_id, time, CAST(flow AS DOUBLE) AS flow, CAST(velocity AS DOUBLE) AS velocity, CAST(depth AS DOUBLE) AS depth FROM cells) ON flow, velocity, depth INTO NAME variable VALUE value),
+placed_cells AS (SELECT variable, row_idx * nt + t_idx AS cell_idx, value FROM long JOIN times USING (time) JOIN features USING (feature_id), nn WHERE (row_idx * nt + t_idx) % greatest(1, nf * nt // 50000) = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY value, cell_idx) - 1 AS rk, count(*) OVER (PARTITION BY variable) AS n FROM placed_cells),
+thinned AS (SELECT variable, i, value FROM ranked JOIN (SELECT k AS i FROM range(1000) x(k)) ON rk = CASE WHEN n > 1000 THEN CAST(floor(i * (n / 1000.0::DOUBLE)) AS BIGINT) ELSE i END),
+v AS (SELECT variable, value, row_number() OVER (PARTITION BY variable ORDER BY i) AS b FROM thinned),
+pre AS (SELECT variable, b, sum(value) OVER w AS s, sum(value * value) OVER w AS q FROM v WINDOW w AS (PARTITION BY variable ORDER BY b) UNION ALL SELECT DISTINCT variable, 0, 0, 0 FROM v),
+d AS (SELECT x.variable, x.b AS a, y.b AS b, (y.q - x.q) - (y.s - x.s) * (y.s - x.s) / (y.b - x.b) AS dev FROM pre x JOIN pre y ON x.variable = y.variable AND x.b < y.b),
+c1 AS (SELECT variable, b, dev AS cost FROM d WHERE a = 0)"""
+    for i in range(2, k + 1):
+        c += f", m{i} AS (SELECT variable, d.b, min({{'cost': cost + dev, 'a': d.a}}) AS m FROM c{i - 1} p JOIN d USING (variable) WHERE d.a = p.b GROUP BY variable, d.b), c{i} AS (SELECT variable, b, m.cost AS cost, m.a AS a FROM m{i})"
+    c += ", e6 AS (SELECT variable, max(b) AS e FROM v GROUP BY variable)"
+    for i in range(k, 1, -1):
+        c += f", e{i - 1} AS (SELECT c{i}.variable, c{i}.a AS e FROM e{i} JOIN c{i} ON c{i}.variable = e{i}.variable AND c{i}.b = e{i}.e)"
+    values = ", ".join(f"(SELECT value FROM v WHERE v.variable = f.variable AND v.b = (SELECT e FROM e{i} g WHERE g.variable = f.variable) + 1) AS s{i - 1}" for i in range(1, k))
+    return c + f", all_stops AS (SELECT f.variable, {values} FROM e1 f), stops AS (SELECT * FROM all_stops WHERE variable = 'flow')"
+
+
+@query(_jenks_sql(HOURLY) + " " + _listed(5))
 def jenks_breaks(spark, d):
     return _numbered(distribution.jenks_breaks(event_run(spark, d, "hour"), "flow"), spark)
 
 
+@query(_jenks_sql(HOURLY) + " " + " UNION ALL ".join(f"SELECT variable, {i} AS i, round(s{i}, 6) AS value FROM all_stops" for i in range(5)))
+def sql_natural_breaks(spark, d):
+    """The breaks of all variables by one SQL statement."""
+    run = event_run(spark, d, "hour")
+    views.register(run, "hourly_")
+    views.register_functions(run, "hourly_")
+    return spark.sql("SELECT variable, i, round(value, 6) AS value FROM (SELECT variable, natural_breaks(value) AS breaks FROM hourly_samples GROUP BY variable) LATERAL VIEW posexplode(breaks) AS i, value")
+
+
+@query(BASE + f" SELECT t_idx, time, CAST(velocity AS DOUBLE) AS value FROM times LEFT JOIN (SELECT * FROM cells WHERE feature_id = {FEATURE}) USING (time)")
+def sql_series(spark, d):
+    """A series by SQL's table function."""
+    run = event_run(spark, d)
+    views.register(run, "daily_")
+    views.register_functions(run, "daily_")
+    return spark.sql(f"SELECT * FROM daily_series({FEATURE}, 'velocity')")
+
+
+@query(ORACLE_SQL["series_segments"].replace("flow IS NOT NULL", "depth IS NOT NULL"))
+def sql_segments(spark, d):
+    """All segments of a variable by SQL's table function."""
+    run = event_run(spark, d)
+    views.register(run, "daily_")
+    views.register_functions(run, "daily_")
+    return spark.sql("SELECT * FROM daily_segments('depth')")
+
+
 # Scales and colours, over a slice of the daily cells
 
 _LOG_LO, _SYM = "greatest(mn, 1e-6)", "greatest(mx / 100, 1e-6)"
@@ -456,7 +504,7 @@ def colorize_quantile_classes(spark, d):
     return _painted(painting.colorize(run, "flow", "quantile-classes", series.time_slice(run, "flow", T)))
 
 
-@query()
+@query(f"{_jenks_sql(BASE)}{SLICE}, placed AS (SELECT feature_id, CAST({INDEX} AS DOUBLE) AS position FROM slice, stops){PAINTED}")
 def colorize_jenks(spark, d):
     run = event_run(spark, d)
     return _painted(painting.colorize(run, "flow", "jenks", series.time_slice(run, "flow", T)))
@@ -468,7 +516,7 @@ def class_index_quantile_classes(spark, d):
     return painting.classify(run, "flow", "quantile-classes", series.time_slice(run, "flow", T))
 
 
-@query()
+@query(f"{_jenks_sql(BASE)}{SLICE} SELECT feature_id, value, {INDEX} AS class_index FROM slice, stops")
 def class_index_jenks(spark, d):
     run = event_run(spark, d)
     return painting.classify(run, "flow", "jenks", series.time_slice(run, "flow", T))

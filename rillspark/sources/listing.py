@@ -39,12 +39,15 @@ def files_below(path: str) -> list[tuple[str, int]]:
     """Key and length of the result files at any depth, in the order of their keys; nothing there is no file, anything else an error."""
     from pyarrow import fs
 
-    store, at = open_store(path)
-    if store.get_file_info(at).type == fs.FileType.NotFound:
+    store, at = open_store(path.rstrip("/"))
+    kind = store.get_file_info(at).type
+    if kind == fs.FileType.NotFound:
         return []
+    if kind == fs.FileType.File:
+        raise NotADirectoryError(path)
     found = store.get_file_info(fs.FileSelector(at, recursive=True))
     plain = [f for f in found if f.type == fs.FileType.File and f.path.endswith(ENDINGS) and not f.base_name.startswith((".", "_"))]
-    return sorted((path.rstrip("/") + "/" + f.path[len(at.rstrip("/")) + 1 :], f.size) for f in plain)
+    return sorted((path.rstrip("/") + "/" + f.path[len(at) + 1 :], f.size) for f in plain)
 
 
 class RegionReader(DataSourceReader):

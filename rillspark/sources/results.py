@@ -66,18 +66,19 @@ def load_parquet(spark: SparkSession, path: str) -> Run:
 
 def _dense(spark: SparkSession, **options: str) -> DataFrame:
     spark.dataSource.register(NetCdfSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # filters on ids and times reach the arrays
     return spark.read.format("rill_netcdf").options(**options).load()
 
 
-def load_netcdf(spark: SparkSession, path: str) -> Run:
-    """A file's dense arrays.  Axes keep the file's order, doubled ids and times the last cell; times are offsets in seconds."""
-    rows = _dense(spark, path=path)
+def load_netcdf(spark: SparkSession, path: str, variables: Sequence[str] = VARIABLES) -> Run:
+    """A file's dense arrays, of the variables those wanted.  Axes keep the file's order, doubled ids and times the last cell; times are offsets in seconds."""
+    rows = _dense(spark, path=path, variables=",".join(variables))
     cells = rows.groupBy("feature_id", "time").agg(*[F.max_by(v, F.struct("row_idx", "t_idx")).alias(v) for v in VARIABLES])
     features = rows.groupBy("feature_id").agg(F.max("row_idx").alias("row_idx"))
     times = rows.groupBy("time").agg(F.max("t_idx").alias("t_idx"))
     head = rows.select("ref_time", "variables").first()
     valid = [V.valid(F.col(v)).alias(v) for v in VARIABLES]
-    there = tuple(head.variables.split(",")) if head and head.variables else VARIABLES
+    there = tuple(v for v in head.variables.split(",") if v in variables) if head and head.variables else VARIABLES
     return Run(cells.select("feature_id", "time", *valid), features, times, "offset_s", head.ref_time if head else None, (path,), there)
 
 

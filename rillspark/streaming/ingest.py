@@ -89,7 +89,7 @@ class TilesOnce(StatefulProcessor):
     """For each tile's key: passed on when it first arrives, counted while it is waited for, and reported when it ends.
 
     A timer ends a key's state so many milliseconds after its first arrival, in event time; a tile that comes again after that is
-    new.
+    new, however the arrivals are dealt to batches.
     """
 
     def __init__(self, waits_ms: int):
@@ -100,13 +100,17 @@ class TilesOnce(StatefulProcessor):
         self.seen = handle.getValueState("seen", T.StructType([T.StructField("arrivals", T.LongType()), T.StructField("first_ms", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = pd.concat([r["time"] for r in rows])
         arrivals, first = self.seen.get() if self.seen.exists() else (0, None)
-        if first is None:
-            first = int(times.min().timestamp() * 1000)
-            self.handle.registerTimer(first + self.waits_ms)
-            yield self._row(key, len(times), first, False)
-        self.seen.update((arrivals + len(times), first))
+        for t in sorted(int(t.timestamp() * 1000) for r in rows for t in r["time"]):
+            if first is None or t >= first + self.waits_ms:  # the timer may not have been told yet
+                if first is not None:
+                    self.handle.deleteTimer(first + self.waits_ms)
+                    yield self._row(key, arrivals, first, True)
+                arrivals, first = 0, t
+                self.handle.registerTimer(first + self.waits_ms)
+                yield self._row(key, 1, first, False)
+            arrivals += 1
+        self.seen.update((arrivals, first))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         arrivals, first = self.seen.get()

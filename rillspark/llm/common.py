@@ -85,18 +85,20 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Bits of a Bloom filter, 2 MB on the driver and in a task, and hash functions.  Its size is fixed; with more than some three
-#: million keys it lets more and more others pass, which costs work later on and changes no result.
-BLOOM_BITS, BLOOM_HASHES = 1 << 24, 4
+#: Hash functions of a Bloom filter, the bits that it has for each key, and the fewest and most in all: 16 MB on the driver and in a
+#: task, for some eight million keys.  With more it lets more and more others pass, which costs work later on and changes no result.
+BLOOM_HASHES, BLOOM_BITS_A_KEY, BLOOM_LEAST, BLOOM_MOST = 4, 16, 1 << 16, 1 << 27
 
 
 class Bloom:
     """A filter of keys, made of DataFrame operations: what it refuses is no key for certain.
 
-    The bits are words of 64 in one array, the value of a scalar subquery, which a row looks up in without leaving the JVM.
+    It has as many bits as the counted rows of ``keys`` ask for, or ``bits``.  These are words of 64 in one array, the value of a scalar subquery, which a row looks up in without leaving the JVM.
     """
 
-    def __init__(self, keys: DataFrame, *columns: str, bits: int = BLOOM_BITS, label: str = "bloom"):
+    def __init__(self, keys: DataFrame, *columns: str, bits: int | None = None, label: str = "bloom"):
+        if bits is None:
+            bits = min(BLOOM_MOST, max(BLOOM_LEAST, 1 << (BLOOM_BITS_A_KEY * keys.count()).bit_length()))
         self.bits = bits
         at = keys.select(F.explode(F.array(*self._spots(columns))).alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, int(at & 63))").alias("bit"))
         words = at.groupBy("word").agg(F.bit_or("bit").alias("bit"))

@@ -18,10 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, give_back, read_table
+from .common import cut, free_name, give_back, read_table
 
 #: Training texts of a language on the average (all, if it has fewer); the model keeps every n-gram of them.
 SAMPLE_TEXTS = 1000
+#: Bytes of the training texts of all languages together, about; and languages up to which their limits are broadcast.
+SAMPLE_BYTES, BROADCAST_LANGUAGES = 32 << 20, 10_000
 #: Letters of the n-grams of a word with its ends marked.
 GRAM = 3
 #: The price of a change of language, the most that one word can say, and the price of a language without the word's script.
@@ -171,18 +173,26 @@ class Model:
         return out
 
 
-def in_sample(labelled: DataFrame, texts: int) -> Column:
-    """A condition on doc_id by which about ``texts`` rows of each language are drawn, the same ones each time."""
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # languages
+def sample_of(labelled: DataFrame, texts: int, size: int = SAMPLE_BYTES) -> DataFrame:
+    """``(text, lang)`` of about ``texts`` rows of each language, the same ones each time.
+
+    All languages together have about ``size`` bytes, each the same part of these; of a language whose texts are longer fewer are
+    drawn, but the first of the draw always is.
+    """
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 20))
-    condition = F.lit(False)
-    for lang, n in counts.items():
-        condition |= (F.col("lang") == lang) & (draw < min(1.0, texts / n) * (1 << 20))
-    return condition
+    drawn = labelled.withColumn("draw", draw)
+    of = drawn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size"), F.min("draw").alias("first"))
+    of = cut(of, "language-counts")
+    languages = of.count()
+    share = F.least(F.lit(1.0), texts / F.col("n"), F.try_divide(F.lit(size / max(1, languages)), F.col("size")))
+    limits = of.select("lang", "first", (share * (1 << 20)).alias("below"))
+    # Rows of a language are many; where languages are few, as they should be, none of them is moved.
+    limits = F.broadcast(limits) if languages <= BROADCAST_LANGUAGES else limits
+    return drawn.join(limits, "lang").filter((F.col("draw") < F.col("below")) | (F.col("draw") == F.col("first"))).select("text", "lang")
 
 
 def train(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Model:
-    """Fit on ``(doc_id, text, lang)`` rows without nulls.  ``sample_texts`` bounds the sample and so the model.
+    """Fit on ``(doc_id, text, lang)`` rows without nulls.  ``sample_texts`` and ``SAMPLE_BYTES`` bound the sample and so the model.
 
     Repeated rows are in the sample together or not at all; without rows the model has no languages.
     """
@@ -206,8 +216,8 @@ def train(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Model:
         columns = list(zip(*rows, strict=True)) or [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "gram", "n"])
 
-    sample = labelled.filter(in_sample(labelled, sample_texts)).select("text", "lang")
-    counts = sample.mapInArrow(counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sample = sample_of(labelled, sample_texts)
+    counts = cut(sample.mapInArrow(counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
     grams = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("n"))  # a row of a list for each language
     scripts = grams.filter(F.col("gram").startswith("\x00")).collect()  # scripts
     kept = grams.filter(~F.col("gram").startswith("\x00")).orderBy("gram").collect()  # the model

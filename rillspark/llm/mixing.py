@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, free_name, read_table
+from .common import WORD, cut, free_name, read_table, spread_join
 
 #: Words of a block, and the least blocks that a source is cut into, as far as it has that many words.
 BLOCK_WORDS, LEAST_BLOCKS = 512, 256
@@ -183,17 +183,22 @@ def taken(docs: DataFrame) -> DataFrame:
     return with_words.unionByName(without)
 
 
+def row_key(doc_id: Column, source: Column) -> Column:
+    """A text for each id and source, nulls among them."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("/"), F.coalesce(F.concat(F.lit("of "), source), F.lit("")))
+
+
 def repeat_rows(docs: DataFrame) -> DataFrame:
     """``docs`` as the mixture takes them: each row as often as its words are taken, rounded; half-taken rows once.
 
-    Rows of the same doc_id and source are repeated alike.
+    Rows of the same doc_id and source are repeated alike; rows without an id are such rows, and are spread where they are many.
     """
-    name = free_name(docs, "_times")
-    times = F.coalesce(F.floor(F.sum("taken") / F.nullif(F.sum("size"), F.lit(0)) + 0.5), F.lit(0)).cast("int")
-    of = taken(docs).groupBy(F.col("doc_id").alias(f"{name}_id"), F.col("source").alias(f"{name}_source")).agg(times.alias(name)).filter(F.col(name) > 0)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{name}_id")) & F.col("source").eqNullSafe(F.col(f"{name}_source"))
-    columns = [docs[c] for c in docs.columns]
-    return docs.join(of, same).select(*columns, F.explode(F.sequence(F.lit(1), F.col(name))).alias(name)).drop(name)
+    times, key = free_name(docs, "_times"), free_name(docs, "_key")
+    rounded = F.coalesce(F.floor(F.sum("taken") / F.nullif(F.sum("size"), F.lit(0)) + 0.5), F.lit(0)).cast("int")
+    of = taken(docs).groupBy(row_key(F.col("doc_id"), F.col("source")).alias(key)).agg(rounded.alias(times)).filter(F.col(times) > 0)
+    keyed = docs.withColumn(key, row_key(F.col("doc_id").cast("long"), F.col("source").cast("string")))
+    found = spread_join(keyed, cut(of, "mix-times"), key, label="mix")
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(times)).drop(times)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ class Rule:
 
 
 RULES = (
-    Rule("n_words", low=10, high=1_000_000),
+    Rule("n_words", low=10),
     Rule("mean_word_chars", low=2, high=14),
     Rule("symbols_per_word", high=0.1),
     Rule("stop_word_share", low=0.02),
@@ -152,7 +152,7 @@ c AS (
 ), b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND n_words BETWEEN 10 AND 1000000 AND word_chars BETWEEN 2 * n_words AND 14 * n_words
+  NOT base_failed AND n_words >= 10 AND word_chars BETWEEN 2 * n_words AND 14 * n_words
     AND 1.0 * n_symbols / n_words <= 0.1 AND (n_words < 25 OR 2 * n_latin < word_chars OR 1.0 * n_stop / n_words >= 0.02) AND coalesce(1.0 * n_dup_lines / n_lines <= 0.4, true) AS kept
 FROM b
 """

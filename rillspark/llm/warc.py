@@ -25,9 +25,9 @@ from pyspark.sql import types as T
 
 from .common import chosen_rows, cut, fresh_path, read_table, scratch, spread_join
 
-#: Bytes of the chunks that an archive file is written in (a longer record is a chunk of its own), and chunks of a file: readers
-#: hold a compressed file at a time.
-CHUNK, CHUNKS_A_FILE = 1 << 20, 32
+#: Compressed bytes at which an archive file ends, after a whole record: writers and readers hold a file at a time.  A longer record
+#: is a file alone; a text that Spark can hold has less than the 2 GB that its reader of whole files allows.
+FILE_BYTES = 16 << 20
 #: A gzip member ends in the length of its content; up to this length the last byte is 0, so longer records take several members.
 MEMBER = 1 << 24
 #: The date in fresh headers; a parameter, so that reruns write the same bytes.
@@ -92,7 +92,7 @@ def _http(length: Column) -> Column:
     return F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), length.cast("string"), F.lit("\r\n\r\n"))
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES, member: int = MEMBER) -> None:
     """Write every row of ``pages`` as a response or a revisit record below ``path``.
 
     Payloads below ``least_bytes`` are always responses.  A null html is an empty payload, a null url ``about:blank``, a null
@@ -116,26 +116,30 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
         responses = _with_payload(pages, known.withColumn("is_first", is_first), least_bytes)
         html = F.coalesce(F.col("html"), F.lit(""))
         response_records = responses.select(_record("response", [], F.concat(_http(F.octet_length(html)), html)).alias("value"))
-        chunks = response_records.unionByName(revisit_records).mapInArrow(_members, "value binary")
-        # Every chunk ends in a zero byte, which _members leaves to the writer as its line end.
-        chunks.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", CHUNKS_A_FILE).option("lineSep", "\0").text(path)
-
-
-def _members(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of the records' gzip members, each without its last byte."""
-    chunk: list[bytes] = []
-    size = 0
-    for batch in rows:
-        for record in batch.column(0):
-            data = record.as_py().encode()
-            for at in range(0, len(data), MEMBER - 1):
-                chunk.append(gzip.compress(data[at : at + MEMBER - 1], 6, mtime=0))
-                size += len(chunk[-1])
-                if size >= CHUNK:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(chunk)[:-1]], pa.binary())], ["value"])
-                    chunk, size = [], 0
-    if chunk:
-        yield pa.RecordBatch.from_arrays([pa.array([b"".join(chunk)[:-1]], pa.binary())], ["value"])
+        files = response_records.unionByName(revisit_records).mapInArrow(_files(file_bytes, member), "value binary")
+        # Every file ends in a zero byte, which is left to the writer as its line end.
+        files.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\0").text(path)
+
+
+def _files(file_bytes: int, member: int):
+    """From records to contents of archive files, each without its last byte: whole records, of gzip members."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members: list[bytes] = []
+        size = 0
+        for batch in rows:
+            for record in batch.column(0):
+                data = record.as_py().encode()
+                for at in range(0, len(data), member - 1):
+                    members.append(gzip.compress(data[at : at + member - 1], 6, mtime=0))
+                    size += len(members[-1])
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]], pa.binary())], ["value"])
+                    members, size = [], 0
+        if members:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]], pa.binary())], ["value"])
+
+    return batches
 
 
 KEY = ("page_id", "url", "digest")

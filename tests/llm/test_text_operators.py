@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import math
 import re
 from collections import Counter, defaultdict
@@ -13,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rillspark.llm import chat_windows, collocations, ranked_search, simhash, spans
+from rillspark.llm import chat_windows, collocations, common, language_id, mixing, ranked_search, simhash, spans, warc
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -330,3 +332,72 @@ def test_tables_by_turns_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(simhash, "ROUND", 10)
     assert {tuple(sorted((bytes(r.u), bytes(r.v)))) for r in simhash.edges_of(frame, simhash.SIMILAR, "test").collect()} == edges
     assert len(edges) == 40
+
+
+# 10, 4, 3 at small limits
+
+
+def test_archive_files_end_by_bytes_after_whole_records(spark, tmp_path):
+    """Records of several members each, files of a few records: every file can be read by itself."""
+    rng = np.random.default_rng(1)
+    text = lambda n: bytes(rng.integers(33, 127, n, np.uint8)).decode()
+    pages = [(i, f"u{i}", text(int(rng.integers(0, 4000)))) for i in range(40)] + [(100, "long", text(30_000)), (101, "again", text(10)), (102, "null", None)]
+    pages += [(200 + i, "copy", pages[3][2]) for i in range(5)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").select("*", *[F.lit(1).alias(c) for c in ("digest", "bytes", "copies", "value", "record_id", "first", "of")])
+    path = f"file://{tmp_path}/archives"
+    warc.write_archives(frame.coalesce(1), path, file_bytes=3000, member=400)
+    files = sorted((tmp_path / "archives").glob("part-*"))
+    assert len(files) > 20
+    read = []
+    for file in files:
+        data = file.read_bytes()
+        records = list(warc.parse(io.BytesIO(gzip.decompress(data))))
+        read += records
+        one = len(gzip.compress(b"".join(b for _, b in records[:-1])))
+        assert one < 3000 + 4500
+    assert len(read) == len(pages)
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.resolve(warc.read_archives(spark, path)).collect()}
+    want = {i: ("response", None, len(t or "")) for i, _, t in pages}
+    want.update({200 + i: ("revisit", 3, len(pages[3][2])) for i in range(5)})
+    assert got == want
+
+
+@pytest.mark.parametrize("rows", [1 << 20, 3])
+def test_mixed_rows_without_ids_are_spread(spark, monkeypatch, rows):
+    monkeypatch.setattr(common, "SPREAD_ROWS", rows)
+    docs = [(None, "a b c", "x", i) for i in range(20)] + [(None, "d e", None, i) for i in range(9)] + [(7, None, "x", 0), (8, "f g", "of y", 1), (9, "h", "", 2)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, _times int")
+    got = counted(mixing.repeat_rows(frame))
+    taken = defaultdict(lambda: [0, 0])
+    for r in mixing.taken(frame).collect():
+        taken[r.doc_id, r.source][0] += r.taken
+        taken[r.doc_id, r.source][1] += r["size"]
+    want = Counter()
+    for d in docs:
+        n, size = taken[d[0], d[2]]
+        want[d] += math.floor(n / size + 0.5) if size else 0
+    assert got == +want and set(got) <= set(docs)
+
+
+def test_a_sample_is_bounded_by_bytes(spark):
+    rows = [(i, "word " * 20, "a") for i in range(2000)] + [(10_000 + i, "x" * 5000, "b") for i in range(20)] + [(20_000 + i, "y", f"l{i}") for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    size = lambda sample: sum(len(r.text) for r in sample)
+    sample = language_id.sample_of(frame, 500).collect()
+    by = Counter(r.lang for r in sample)
+    assert 400 < by["a"] < 600 and by["b"] == 20 and len(by) == 32
+    small = language_id.sample_of(frame, 500, 64_000).collect()
+    by = Counter(r.lang for r in small)
+    assert len(by) == 32 and by["b"] == 1  # the first of the draw, though it alone is over its part
+    assert size(small) < 64_000
+    assert sorted(small) == sorted(language_id.sample_of(frame.repartition(5), 500, 64_000).collect())
+    assert language_id.sample_of(frame.limit(0), 500).count() == 0
+
+
+@pytest.mark.parametrize("keys", [10, 20_000])
+def test_filters_have_bits_for_their_keys(spark, keys):
+    bloom = common.Bloom(spark.range(keys), "id")
+    assert bloom.bits == max(common.BLOOM_LEAST, 1 << (16 * keys).bit_length())
+    found = spark.range(4 * keys).select("id", bloom.may_have("id").alias("may")).groupBy("may").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).collect()
+    by = {r.may: (r.n, r.least) for r in found}
+    assert keys <= by[True][0] < keys * 1.05 + 1 and by[False][1] >= keys

@@ -33,6 +33,8 @@ from .spans import as_bytes, by_bytes, kinds, words_of
 MOST_WORDS, MIN_COUNT = 3, 10
 #: A candidate goes if a longer one that holds it has this share of its occurrences or more, in hundredths; so many stay of a language.
 SUBSUMED, TOP = 50, 2000
+#: Parts of a language's candidates that are ranked by themselves first.
+PARTS = 64
 
 TABLE = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 
@@ -262,9 +264,12 @@ def collocations(
     bits, cells = survivors(rows, min_count, most_words)
     counts = cut(exact_counts(rows, bits, cells, min_count, most_words), "collocations-counts")
     candidates = cut(scored(counts, most_words), "collocations-scored")
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    # Spark keeps the first rows of each task before they are dealt by language.
-    ranked = without_subsumed(candidates, most_words, share).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    # Of a language with most of the rows each of PARTS parts is ranked first, so no task has more than PARTS x top of its rows.
+    kept = without_subsumed(candidates, most_words, share).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    first = kept.withColumn("rank", rank("lang", "part")).filter(F.col("rank") <= top)
+    ranked = first.withColumn("rank", rank("lang")).filter(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

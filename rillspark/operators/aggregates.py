@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillspark.constants import LABELS, SCALE_NOTES, UNITS, VARIABLES
@@ -41,13 +41,11 @@ def totals_by_time(run: Run, variable: str) -> DataFrame:
 
 def overview(run: Run, variable: str) -> DataFrame:
     """The totals with ``x`` and ``y`` from 0 to 1; a single step stands in the middle, a flat line at 0."""
-    # A window over the steps of a run, one row each.
-    every = Window.partitionBy()
     totals = totals_by_time(run, variable)
-    low, high, last = F.min("total").over(every), F.max("total").over(every), F.max("t_idx").over(every)
-    reach = F.when(high - low == 0, F.lit(1.0)).otherwise(high - low)
-    x = F.when(last == 0, F.lit(0.5)).otherwise(F.col("t_idx") / F.nullif(last, F.lit(0)))
-    return totals.select("t_idx", "time", "total", x.alias("x"), ((F.col("total") - low) / reach).alias("y"))
+    ends = totals.agg(F.min("total").alias("low"), F.max("total").alias("high"), F.max("t_idx").alias("last"))  # one row
+    reach = F.when(F.col("high") - F.col("low") == 0, F.lit(1.0)).otherwise(F.col("high") - F.col("low"))
+    x = F.when(F.col("last") == 0, F.lit(0.5)).otherwise(F.col("t_idx") / F.nullif(F.col("last"), F.lit(0)))
+    return totals.join(F.broadcast(ends)).select("t_idx", "time", "total", x.alias("x"), ((F.col("total") - F.col("low")) / reach).alias("y"))
 
 
 def feature_extremes(run: Run, variable: str) -> DataFrame:

@@ -81,8 +81,8 @@ def start_of(path: Column) -> Column:
     return F.concat(F.array_join(F.slice(parts, 1, keep), "/"), F.lit("/"))
 
 
-def levels(folders: DataFrame) -> DataFrame:
-    """What the search has to know of each folder with children, one row each.
+def levels(shown: DataFrame) -> DataFrame:
+    """What the search has to know of each folder with children, of what ``listed`` gives, one row each.
 
     ``ranges``: whether any child is a range.  ``next``: where to go on from there, the newest date (of equal ones that shown last),
     else the last hydrofabric folder, else the last.  ``numbered``: the child of the highest number.  ``regions``: whether any child is one.
@@ -91,7 +91,7 @@ def levels(folders: DataFrame) -> DataFrame:
     number = F.when(P.is_cycle(n), n.try_cast("decimal(38,0)"))
     newest = F.max_by("path", F.when(P.is_date(n), F.struct(P.date_key(n), "position")))
     fabric = F.max_by("path", F.when(P.is_hydrofabric(n), n))
-    return listed(folders).groupBy("parent").agg(
+    return shown.groupBy("parent").agg(
         F.bool_or(P.is_range(n)).alias("ranges"),
         F.coalesce(newest, fabric, F.max_by("path", "name")).alias("next"),
         F.max_by("path", F.when(number.isNotNull(), F.struct(number, "position"))).alias("numbered"),
@@ -108,9 +108,9 @@ def latest_cycles(keys: DataFrame, wanted: DataFrame) -> DataFrame:
     some 140 000 different starts before Spark's own limit of a million rows of recursion ends the query with an error.
     """
     spark = keys.sparkSession
-    folders = folders_of(keys)
-    known = written(levels(folders), "levels")
-    asked = wanted.select("path", "range_key", start_of(F.col("path")).alias("start")).distinct()
+    everything = written(listed(folders_of(keys)), "folders")
+    known = written(levels(everything), "levels")
+    asked = written(wanted.select("path", "range_key", start_of(F.col("path")).alias("start")).distinct(), "asked")
     stops = spark.sql(
         f"""
         WITH RECURSIVE walk(start, at, depth) AS (
@@ -123,7 +123,8 @@ def latest_cycles(keys: DataFrame, wanted: DataFrame) -> DataFrame:
         asked=asked,
         known=known,
     )
-    shown = listed(folders).join(stops, F.col("parent") == F.col("at"), "left_semi").select(F.col("parent").alias("at"), "position", F.lower("name").alias("name"), F.col("path").alias("child"))
+    stops = written(stops, "stops")
+    shown = everything.join(stops, F.col("parent") == F.col("at"), "left_semi").select(F.col("parent").alias("at"), "position", F.lower("name").alias("name"), F.col("path").alias("child"))
     there = asked.join(stops, "start", "left")
     keys_of = there.select("at", "range_key").distinct().join(shown, "at").filter(F.col("name").startswith(F.col("range_key")))
     ranges = keys_of.groupBy("at", "range_key").agg(F.min_by("child", "position").alias("range"))

@@ -336,6 +336,12 @@ def test_texts_as_shown(spark):
     assert (2, 1, "Flow", "0.0000 m³/s") in lines or (2, 1, "Flow", "0.0001 m³/s") in lines
 
 
+def test_playback_period():
+    from rillspark.functions import values
+
+    assert [values.playback_ms(x) for x in (1, 10, 50)] == [2500, 250, 50]
+
+
 # Streams
 
 

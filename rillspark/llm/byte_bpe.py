@@ -377,6 +377,11 @@ def public_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[bytes,
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
+    """The contract's columns, a row for each row; null counts as empty.
+
+    Texts of any length are encoded whole, in time that grows with it, and a row's ids are in memory once; null ids and repeated rows
+    are rows like any others, an empty table gives an empty one, and other columns are left out, so their names can't clash.
+    """
     ranks, pattern = public_vocabulary()
     return encode_decode(docs, ranks, pattern).select(*digest_columns())
 

@@ -194,9 +194,9 @@ def dedup_table(docs: DataFrame, label: str = "exact") -> DataFrame:
 
 
 def keep_one(docs: DataFrame, label: str = "exact-stage") -> DataFrame:
-    """``docs`` with the row that stays of each group, all columns as they are, as ``exact_dedup`` has it.
+    """``docs`` with the row that stays of each group, all columns as they are whatever their names, as ``exact_dedup`` has it.
 
-    Texts that are null or empty are one group; of rows with the same id and digest one stays; an empty table gives an empty one.
+    Of a text, however long, only its digest is shuffled unless two filters leave it open whether its row stays.  Texts that are null or empty are one group; of rows with the same id and digest one stays; an empty table gives an empty one.
     """
     id_, digest = free_name(docs, "_id"), free_name(docs, "_digest")
     names = [F.col("doc_id").alias(id_), F.col("digest").alias(digest)]

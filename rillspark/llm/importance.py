@@ -113,7 +113,7 @@ def resample(docs: DataFrame, target: DataFrame, share: float | None = None, k:
 
     Rows whose keys tie at the threshold are cut by a hash of id and weight; of rows that are equal in all this as many stay as
     there is room for.  Null and empty texts have weight 0.  An empty target leaves all weights to the prior; an empty table
-    gives an empty one.
+    gives an empty one.  Texts of any length are hashed whole; other columns are left out, so their names can't clash.
     """
     ratio = log_ratio(count_grams(target, buckets=buckets), count_grams(docs, buckets=buckets))
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), log_weight(ratio)(F.col("text").cast("string")).alias("log_weight"))

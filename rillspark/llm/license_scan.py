@@ -258,7 +258,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
 
     ``matches`` are ``(license, coverage, first_word, last_word)`` for all templates found, in the templates' order; license is
     the one that covers most words, of equal ones the first.  Null, empty and unlicensed texts have a null license, coverage 0
-    and no matches.  The whole text is read, however long.
+    and no matches.  The whole text is read, however long.  Nothing is compared between rows: null ids and repeated rows get a row
+    each, an empty table gives an empty one, and other columns are left out, so their names can't clash.
     """
     kind = "struct<license:string,coverage:double,matches:array<struct<license:string,coverage:double,first_word:int,last_word:int>>>"
     match = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int32()), ("last_word", pa.int32())])

@@ -173,7 +173,12 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5,
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """The contract's columns: how many words the mixture takes of each row."""
+    """The contract's columns: how many words the mixture takes of each row.
+
+    A row that is null or has no words is there with 0; repeated rows, and rows that tie in id and size, take neighbouring places and
+    are rows each.  Of a text, however long, only its number of words is kept.  An empty table gives an empty one, and other columns
+    are left out, so their names can't clash.
+    """
     everyone, parts, slots = mix(docs)
     uses = slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("uses"))
     words = (F.col("to_word") - F.col("from_word")) * F.coalesce(F.col("uses"), F.lit(0))

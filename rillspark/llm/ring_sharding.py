@@ -91,11 +91,16 @@ def bounded_loads(keys: DataFrame, shards: int, slack: float = 0.0, virtual_node
 
     A shard's bound is (1 + slack) times the mean; with slack 0 the bounds are the mean rounded down or, for as many shards
     as needed, up, so counts are at most one apart.  Rows that are equal in all columns are counted together and dealt out
-    one by one, null keys too, so no key needs a task of its own.  An empty table gives an empty one.
+    one by one, null keys too, so no key needs a task of its own.  An empty table gives an empty one.  Columns may have
+    any names but ``shard``, ``slot`` and ``owner``, which the result adds.
     """
-    spark, names = keys.sparkSession, keys.columns
+    if clash := {"shard", "slot", "owner"} & {c.lower() for c in keys.columns}:
+        raise ValueError(f"the result adds columns of these names: {sorted(clash)}")
+    spark, own = keys.sparkSession, keys.columns
+    names = [f"k{i}" for i in range(len(own))]  # none of those that are used below
+    keys = keys.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(own, names, strict=True)])
     grouped = keys.groupBy(*names).agg(F.count(F.lit(1)).alias("copies"))
-    grouped = grouped.withColumn("at", position(F.lit("key"), F.col("key")))
+    grouped = grouped.withColumn("at", position(F.lit("key"), F.col(names[[c.lower() for c in own].index("key")])))
     arcs = cut(ring(spark, shards, virtual_nodes), f"{label}-arcs")
     grouped = with_arcs(grouped, arcs)
     grouped = cut(grouped.withColumn("cell", F.pmod(F.xxhash64(F.lit("cell"), *names), F.lit(CELLS)).cast("int")), f"{label}-keys")
@@ -122,12 +127,16 @@ def bounded_loads(keys: DataFrame, shards: int, slack: float = 0.0, virtual_node
     # An arc has a segment for itself and one for each shard that its rest reaches: shards x (virtual nodes + shards) rows or so.
     place = (ranked["arc"] == segments["arc"]) & (ranked["rank"] >= segments["from_rank"]) & (ranked["rank"] < segments["to_rank"])
     return ranked.join(F.broadcast(segments), place).select(
-        *[ranked[c] for c in names], segments["shard"], (segments["first_slot"] + ranked["rank"] - segments["from_rank"]).alias("slot"), ranked["owner"]
+        *[ranked[k].alias(c) for c, k in zip(own, names, strict=True)], segments["shard"], (segments["first_slot"] + ranked["rank"] - segments["from_rank"]).alias("slot"), ranked["owner"]
     )
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """The contract's columns; a null text has size 1 and the CRC of no bytes, a null doc_id a place like any other key."""
+    """The contract's columns; a null text has size 1 and the CRC of no bytes, a null doc_id a place like any other key.
+
+    Of a text, however long, only its size and its CRC are kept; repeated rows are rows each, an empty table gives an empty one, and
+    other columns are left out, so their names can't clash.
+    """
     keys = docs.select(
         F.col("doc_id").alias("key"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),

@@ -379,7 +379,8 @@ def near_groups(docs: DataFrame, width: int = 3, scheme: Scheme = NEAR, label: s
     """``(doc_id, text_hash, fp, root, component_id)``, a row for each row of ``docs``.
 
     component_id is the smallest doc_id reachable, null only where all are null.  Texts that are null or have no word share the
-    fingerprint zero and link like any others; repeated rows are one node; an empty table gives an empty one.
+    fingerprint zero and link like any others; repeated rows are one node; an empty table gives an empty one.  Texts of any length
+    are read whole, in time that grows with it; other columns are left out, so their names can't clash.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(rows.select("doc_id", text_hash(F.col("text")).alias("text_hash"), fingerprint(width, scheme.seeds)("text").alias("fp")), f"{label}-fingerprints")

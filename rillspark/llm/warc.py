@@ -97,7 +97,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes
 
     Payloads below ``least_bytes`` are always responses.  A null html is an empty payload, a null url ``about:blank``, a null
     page_id has no Page-ID header.  Of rows that are equal in everything one is the response, the rest revisit it.  An empty
-    table writes no record.
+    table writes no record.  Other columns are left out, so their names can't clash; a file ends after the record with which it has
+    ``file_bytes``, and a longer record is a file alone.
     """
     with scratch():
         rows = cut(headers(pages), "warc-headers")

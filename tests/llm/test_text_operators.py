@@ -15,7 +15,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rillspark.llm import chat_windows, collocations, common, language_id, mixing, ranked_search, simhash, spans, warc
+import corpus_pipeline
+from rillspark.llm import chat_windows, collocations, common, language_id, mixing, ranked_search, ring_sharding, simhash, spans, warc
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -401,3 +402,45 @@ def test_filters_have_bits_for_their_keys(spark, keys):
     found = spark.range(4 * keys).select("id", bloom.may_have("id").alias("may")).groupBy("may").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).collect()
     by = {r.may: (r.n, r.least) for r in found}
     assert keys <= by[True][0] < keys * 1.05 + 1 and by[False][1] >= keys
+
+
+# 7 and the pipeline with odd columns and rows
+
+
+def test_bounded_loads_keep_columns_of_any_name(spark):
+    rows = [(i % 7 if i % 5 else None, 7, f"c{i}", i, 3) for i in range(200)]
+    keys = spark.createDataFrame(rows, "key long, at int, cell string, arc long, copies int")
+    got = ring_sharding.bounded_loads(keys, 5)
+    assert got.columns == [*keys.columns, "shard", "slot", "owner"]
+    found = got.collect()
+    assert Counter(tuple(r)[:5] for r in found) == Counter(rows)
+    by = defaultdict(list)
+    for r in found:
+        by[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(40)) for v in by.values()) and len(by) == 5
+    with pytest.raises(ValueError, match="slot"):
+        ring_sharding.bounded_loads(keys.withColumnRenamed("at", "Slot"), 5)
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_the_pipeline_on_odd_rows(spark, tmp_path):
+    text = "the river and the lake with water of this and that was for the people in a town by the sea where it is number {} and that is it"
+    other = "der fluss und die stadt mit dem wasser für das haus von der frau nicht auf einem berg im schnee ist nummer {} und das ist es"
+    rows = [(i, (text, other)[i % 2].format(i % 9 * 1000 + 7) + f" word{i} other{i * 3} more{i * 7} than{i * 11}", ("en", "de")[i % 2], "s", 1) for i in range(30)]
+    rows += [(None, text.format("none"), "en", None, 1), (None, text.format("none"), "en", None, 1), (40, None, "en", "s", 1), (41, "", None, None, None), (42, "12 34 !", "en", "s", 1)]
+    frame = spark.createDataFrame(rows, DOCS).select("*", *[F.lit(1).alias(c) for c in ("_id", "_hash", "_times", "_key", "fp", "rank", "digest")])
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = Counter(r.doc_id for r in got)
+    assert set(ids) <= {None, *range(30)} and max(ids.values()) <= 2 and len(ids) > 5
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.cut(stage(spark, docs, str(tmp_path)), "odd")
+        assert docs.columns == frame.columns
+
+
+def test_the_pipeline_on_no_rows(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -28,6 +28,17 @@ def give_back() -> None:
         trim(0)
 
 
+#: Bytes of the Arrow batches that go to Python workers and come back: both sides hold a task's batch, and buffers grow by doubling.
+ARROW_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches have no more than ``ARROW_BYTES`` bytes, or one row; a smaller limit stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(key, f"{ARROW_BYTES}b")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,6 +2,7 @@
 
 What holds of every stage: an empty table gives an empty one, null ids and repeated rows are rows like any others until a stage
 drops copies, columns beyond those of documents pass through whatever their names, and texts of any length are read whole.
+Stages with Python workers bound the session's Arrow batches by bytes.
 """
 
 from __future__ import annotations
@@ -16,16 +17,19 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The model is learned from this table's own labels; without any, no row stays.
     """
+    common.bounded_batches(spark)
     return language_id.keep_identified(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text, A-Z lower-cased and null as empty: that of the largest doc_id, null ids last; ties stay once."""
+    common.bounded_batches(spark)
     return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id, null ids last; texts without words are one group."""
+    common.bounded_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -36,6 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each row: its number of tokens and the digests of its ids and of what they decode to; null counts as empty."""
+    common.bounded_batches(spark)
     return byte_bpe.round_trip(docs)
 
 

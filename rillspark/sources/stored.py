@@ -10,9 +10,11 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillspark.model import Run
+from rillspark.constants import VARIABLES
+from rillspark.model import BROADCAST_ROWS, Run
 
 DAY_MS = 86_400_000
+CELLS = "feature_id long, time long, " + ", ".join(f"{v} float" for v in VARIABLES) + ", bucket long"
 #: Rows of a file; a bucket of more has several, each of a range of features.
 FILE_ROWS = 4_000_000
 
@@ -44,9 +46,10 @@ def replace_buckets(run: Run, merged: Run, path: str) -> None:
     bucket = head_of(run.cells.sparkSession, path)["bucket"]
     number = F.floor(F.col("time") / bucket).cast("long").alias("bucket")
     touched = run.times.select(number).distinct()
-    rows = _bucketed(merged.cells, bucket).join(F.broadcast(touched) if run.n_times <= 200_000 else touched, "bucket", "left_semi")
-    columns = [*merged.cells.columns, "bucket"]
-    rows.select(*columns).write.option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", FILE_ROWS).partitionBy("bucket").mode("overwrite").parquet(f"{path}/cells")
+    touched = F.broadcast(touched) if run.n_times <= BROADCAST_ROWS else touched
+    cells = merged.cells.select("*", number).join(touched, "bucket", "left_semi").drop("bucket")
+    kept = _bucketed(cells, bucket).write.option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", FILE_ROWS)
+    kept.partitionBy("bucket").mode("overwrite").parquet(f"{path}/cells")
     _save_axes(merged, path, bucket)
 
 
@@ -57,7 +60,7 @@ def head_of(spark: SparkSession, path: str) -> dict:
 def load_by_time(spark: SparkSession, path: str) -> Run:
     """The run of a store; its slices filter on the bucket, so that only that folder is listed and read."""
     head = head_of(spark, path)
-    cells = spark.read.parquet(f"{path}/cells")
+    cells = spark.read.schema(CELLS).parquet(f"{path}/cells")
     plain = cells.drop("bucket")
 
     def at(time: int) -> DataFrame:

@@ -119,6 +119,13 @@ def test_a_slice_reads_one_bucket(spark, tmp_path):
     assert again.replace(cells=run.cells).slices is None
 
 
+def test_a_store_of_no_cells(spark, tmp_path):
+    stored.save_by_time(make(spark, [(1, 0, 1.0)]).replace(cells=make(spark, [(1, 0, 1.0)]).cells.limit(0)), f"{tmp_path}/store")
+    again = stored.load_by_time(spark, f"{tmp_path}/store")
+    assert again.cells.count() == 0 and again.shape == (1, 1)
+    assert [tuple(r) for r in series.time_slice(again, "flow", 0).collect()] == [(1, None)]
+
+
 def test_buckets_are_replaced_and_others_stay(spark, tmp_path):
     old = make(spark, [(1, 0, 1.0), (1, DAY, 2.0), (2, DAY, 3.0), (1, 2 * DAY, 4.0)])
     stored.save_by_time(old, f"{tmp_path}/store")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +35,25 @@ def open_store(path: str):
     return fs.FileSystem.from_uri(ARROW_SCHEMES.get(scheme, scheme) + ":" + rest)
 
 
+def results_of(found: Iterable[tuple[str, int]]) -> list[tuple[str, int]]:
+    """Key and length of the results among files ``(path, length)``, in the order of their keys.
+
+    A folder whose name ends in ``.parquet`` is one result, as it is for ``load``: its visible files are the parts of one table,
+    however many wrote it, and their lengths are added.  Of folders within each other the outer one counts.
+    """
+    lengths: dict[str, int] = {}
+    for path, length in found:
+        names = path.split("/")
+        depth = next((i for i, n in enumerate(names[:-1], 1) if n.endswith(".parquet")), len(names))
+        own = names[depth:] or names[-1:]
+        if names[depth - 1].endswith(ENDINGS) and not any(n.startswith(".") or n.startswith("_") and "=" not in n for n in own):
+            key = "/".join(names[:depth])
+            lengths[key] = lengths.get(key, 0) + length
+    return sorted(lengths.items())
+
+
 def files_below(path: str) -> list[tuple[str, int]]:
-    """Key and length of the result files at any depth, in the order of their keys; nothing there is no file, anything else an error."""
+    """``results_of`` the files at any depth; nothing there is no result, anything else an error."""
     from pyarrow import fs
 
     store, at = open_store(path.rstrip("/"))
@@ -46,8 +63,8 @@ def files_below(path: str) -> list[tuple[str, int]]:
     if kind == fs.FileType.File:
         raise NotADirectoryError(path)
     found = store.get_file_info(fs.FileSelector(at, recursive=True))
-    plain = [f for f in found if f.type == fs.FileType.File and f.path.endswith(ENDINGS) and not f.base_name.startswith((".", "_"))]
-    return sorted((path.rstrip("/") + "/" + f.path[len(at) + 1 :], f.size) for f in plain)
+    results = results_of((f.path[len(at) + 1 :], f.size) for f in found if f.type == fs.FileType.File)
+    return [(f"{path.rstrip('/')}/{key}", length) for key, length in results]
 
 
 class RegionReader(DataSourceReader):

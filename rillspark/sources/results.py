@@ -99,6 +99,11 @@ def _one_slash(uri: str) -> str:
     return re.sub("^file:/+", "file:/", uri)
 
 
+def _with_parents(path: str) -> list[str]:
+    names = path.split("/")
+    return ["/".join(names[:n]) for n in range(len(names), 0, -1)]
+
+
 def _many_parquet(spark: SparkSession, paths: list[tuple[int, str]]) -> DataFrame | None:
     """Canonical rows with ``ds`` of all files in one scan.  Files that are gone, damaged or without the columns give no rows."""
     place = {q: ds for ds, p in paths if (q := _qualified(spark, p)) is not None}
@@ -111,7 +116,7 @@ def _many_parquet(spark: SparkSession, paths: list[tuple[int, str]]) -> DataFram
         raw = None
     if raw is None or not {"feature_id", "time"} <= set(raw.columns):
         return None
-    files = [(_one_slash(f), place[q]) for f in raw.inputFiles() for q in (_one_slash(f), _one_slash(f).rsplit("/", 1)[0]) if q in place]
+    files = [(f, place[q]) for f in map(_one_slash, raw.inputFiles()) for q in _with_parents(f) if q in place]
     known = spark.createDataFrame(files, "_file string, ds int")  # a row for each file
     placed = raw.withColumn("_path", F.col("_metadata.file_path")).withColumn("_row", F.col("_metadata.row_index"))
     placed = placed.join(F.broadcast(known) if len(files) <= BROADCAST_ROWS else known, F.regexp_replace("_path", "^file:/+", "file:/") == F.col("_file"))
@@ -164,7 +169,9 @@ class Cycle:
 
 
 def load_cycle(spark: SparkSession, cycle: str) -> Cycle:
-    """All regions of a cycle as one run: files in the order of the regions' names, then of their keys.
+    """All regions of a cycle as one run: results in the order of the regions' names, then of their keys.
+
+    A result is a file or a folder of Parquet parts, which are rows of one result and never cover each other as results do.
 
     Regions are listed by a Spark job, one task each.  A region whose listing fails is left out and named, a file that can't be read
     is left out; it is an error if no file is found, or if none can be read.

@@ -63,8 +63,8 @@ def cycle_folder(spark: SparkSession, sf_dir: str) -> str:
     """A cycle's folder in the shared one: the three as regions, a damaged file beside the second's, and two more regions, of which one can't be listed and one is empty."""
     base = f"{fresh_path(spark, 'tree')}/outputs/m/v2.2_hydrofabric/ngen.20240101/short_range/06"
     for i, rows in enumerate(_split(event_rows(spark, sf_dir))):
-        rows.orderBy("ord").drop("ord").write.parquet(f"{base}/VPU_0{i + 1}/{RESULTS}part")
-    damaged_file(spark, f"{base}/VPU_02/{RESULTS}part")
+        rows.orderBy("ord").drop("ord").write.parquet(f"{base}/VPU_0{i + 1}/{RESULTS}part.parquet")
+    damaged_file(spark, f"{base}/VPU_02/{RESULTS}part.parquet")
     nothing = spark.range(0)
     nothing.write.parquet(f"{base}/VPU_05/other")
     nothing.write.parquet(f"{base}/VPU_06/other")

@@ -87,6 +87,22 @@ def test_a_cycle_is_one_run(spark, tmp_path):
         results.load_cycle(spark, f"file://{tmp_path}/bad")
 
 
+def test_the_parts_of_a_folder_are_one_result(spark, tmp_path):
+    region(tmp_path, "VPU_01", [(1, 0, 1.0), (2, 60, 4.0)], spark)
+    at = region(tmp_path, "VPU_01", [(1, 60, 5.0), (2, 0, 2.0)], spark)  # another part of the same folder
+    region(tmp_path, "VPU_02", [(2, 0, 6.0)], spark)
+    unfinished = at / "part.parquet/_temporary/0"
+    unfinished.mkdir(parents=True)
+    (unfinished / "part-9.parquet").write_bytes(b"damaged")
+    cycle = results.load_cycle(spark, f"file://{tmp_path}")
+    assert {k: v[0] for k, v in cells(cycle.run).items() if v[0] is not None} == {(1, 0): 1.0, (1, 60): 5.0, (2, 0): 6.0, (2, 60): 4.0}
+    listed = [(r.key.rsplit("/", 1)[1], r.length) for r in cycle.listing.orderBy("ds").collect()]
+    assert [k for k, _ in listed] == ["part.parquet", "part.parquet"]
+    assert listed[0][1] == sum(f.stat().st_size for f in (at / "part.parquet").glob("part-*.parquet"))
+    found = listing.results_of([("b.parquet/x=1/p", 1), ("b.parquet/q", 2), ("b.parquet/_SUCCESS", 4), ("a.nc", 8), ("deep/c.parquet", 16), ("log.txt", 32), (".h.nc", 64)])
+    assert found == [("a.nc", 8), ("b.parquet", 3), ("deep/c.parquet", 16)]
+
+
 def test_counts_come_with_the_load(spark, tmp_path):
     rows = [("1", 0, 1.0), (None, 0, 2.0), ("x", 5, 2.0), ("2", None, 3.0), ("2", 7, 4.0)]
     for i in range(2):

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillspark.functions import values as V
+from rillspark.model import BROADCAST_ROWS
 
 #: Tiles along one side of a stretch's box, above which the index cuts the stretch into parts.
 SIDE_TILES = 8
+#: Tiles along the lines that one task finds at a zoom.
+TASK_TILES = 1 << 18
 
 
 def _vertices(lines: DataFrame) -> DataFrame:
@@ -63,7 +67,7 @@ def tile_index(lines: DataFrame, zoom: int) -> DataFrame:
     """``(z, x, y, feature_id, x0, y0, x1, y1)``: for every stretch of the lines the tiles of a zoom that its box meets, edges included.
 
     A long stretch goes in as parts, so that a diagonal lists the tiles along it and not the square around it: the rows grow
-    with a stretch's length.
+    with a stretch's length.  A tile where two parts of a stretch meet is listed for both; no row waits for another.
     """
     z, n = F.lit(zoom), float(1 << zoom)
     wide = F.greatest(F.abs(F.col("x1") - F.col("x0")) / 360 * n, F.abs(F.col("y1") - F.col("y0")) / 180 * n)
@@ -74,20 +78,35 @@ def tile_index(lines: DataFrame, zoom: int) -> DataFrame:
     high = lambda c: V.within_square(F.floor(F.greatest(ends[0][c], ends[1][c])), z)
     stretch = ["feature_id", "x0", "y0", "x1", "y1"]
     found = parts.select(*stretch, F.sequence(low("x"), high("x")).alias("xs"), F.sequence(low("y"), high("y")).alias("ys"))
-    return found.select(*stretch, F.explode("xs").alias("x"), "ys").select(F.lit(zoom).alias("z"), "x", F.explode("ys").alias("y"), *stretch).distinct()
+    return found.select(*stretch, F.explode("xs").alias("x"), "ys").select(F.lit(zoom).alias("z"), "x", F.explode("ys").alias("y"), *stretch)
+
+
+def _dealt(lines: DataFrame, zoom: int) -> DataFrame:
+    """The lines dealt by feature to as many tasks as let each find ``TASK_TILES`` tiles of a zoom, which are estimated in one pass."""
+    n = float(1 << zoom)
+    along = 1 + F.abs(F.col("x1") - F.col("x0")) / 360 * n + F.abs(F.col("y1") - F.col("y0")) / 180 * n
+    tiles = segments(lines).agg(F.sum(F.least(along, F.lit(2 * n + 1)))).first()[0] or 0  # no stretch of the map is longer
+    return lines.select("feature_id", "coordinates").repartition(max(1, math.ceil(tiles / TASK_TILES)), "feature_id")
 
 
 def tile_features(lines: DataFrame, tiles: DataFrame) -> DataFrame:
     """``(z, x, y, feature_id)``: the features with a point in each of the tiles ``(z, x, y)``, by an equi-join on the index.
 
     The index finds the tiles that a stretch may meet; whether it does is told by clipping it to the tile's box.  Zooms are few and
-    are looked up first.
+    are looked up first.  The tiles of a zoom are broadcast up to ``BROADCAST_ROWS``; then only the lines are shuffled, and what is
+    found of a feature is already with one task, which has as many features as ``_dealt`` gives it.
     """
-    asked = tiles.select(F.col("z").cast("int").alias("z"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).distinct()
-    zooms = sorted(r.z for r in asked.select("z").distinct().collect())  # at most one for each zoom level
-    box = V.tile_bbox(F.col("z"), F.col("x"), F.col("y"), F.lit(0))
-    found = [asked.filter(F.col("z") == z).join(tile_index(lines, z), ["z", "x", "y"]) for z in zooms]
-    if not found:
+    asked = tiles.select(F.col("z").cast("int").alias("z"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).filter("z IS NOT NULL").distinct()
+    counts = {r.z: r.n for r in asked.groupBy("z").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one for each zoom level
+    if not counts:
         return asked.select("*", F.lit(None).cast("long").alias("feature_id")).limit(0)
+    dealt = _dealt(lines, max(counts))
+    box = V.tile_bbox(F.col("z"), F.col("x"), F.col("y"), F.lit(0))
     exact = meets_box(box["west"], box["south"], box["east"], box["north"])
-    return reduce(DataFrame.unionByName, found).filter(exact).select("z", "x", "y", "feature_id").distinct()
+
+    def found(zoom: int) -> DataFrame:
+        these = asked.filter(F.col("z") == zoom)
+        these = F.broadcast(these) if counts[zoom] <= BROADCAST_ROWS else these
+        return these.join(tile_index(dealt, zoom), ["z", "x", "y"]).filter(exact).select("z", "x", "y", "feature_id")
+
+    return reduce(DataFrame.unionByName, [found(z) for z in sorted(counts)]).distinct()

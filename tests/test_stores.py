@@ -216,6 +216,25 @@ def test_tiles_find_the_lines_in_them(spark):
     assert spatial.tile_features(frame, spark.createDataFrame([], "z int, x int, y int")).count() == 0
 
 
+def test_lines_in_tiles_are_dealt_by_their_tiles(spark, monkeypatch):
+    rng = random.Random(5)
+    lines = [(i % 300, [[(rng.uniform(-180, 180), rng.uniform(-80, 80)) for _ in range(2)]]) for i in range(400)]  # a hundred features stand in two rows
+    frame = spark.createDataFrame(lines, "feature_id long, coordinates array<array<struct<x:double,y:double>>>")
+    tiles = spark.createDataFrame([(z, x, y) for z in (0, 3, 5) for x in range(1 << z) for y in range(1 << z)] + [(None, 0, 0)], "z int, x int, y int")
+    whole = {tuple(r) for r in spatial.tile_features(frame, tiles).collect()}
+    monkeypatch.setattr(spatial, "TASK_TILES", 500)
+    found = spatial.tile_features(frame, tiles)
+    rows = found.select("feature_id", F.spark_partition_id().alias("task")).collect()
+    by_task = [sum(r.task == t for r in rows) for t in {r.task for r in rows}]
+    assert len(rows) == len(whole) and {tuple(r) for r in found.collect()} == whole
+    assert len(by_task) >= len(rows) // 2000 and max(by_task) <= 8 * spatial.TASK_TILES  # the largest zoom's tiles, and other zooms' beside
+    task = lambda f: {r.task for r in rows if r.feature_id == f}
+    assert all(len(task(f)) == 1 for f in range(0, 300, 30))
+    monkeypatch.setattr(spatial, "BROADCAST_ROWS", 10)  # tiles of the larger zooms are joined by a shuffle
+    again = spatial.tile_features(frame, tiles).collect()
+    assert {tuple(r) for r in again} == whole and len(again) == len(whole)
+
+
 def test_a_long_line_lists_the_tiles_along_it(spark):
     frame = spark.createDataFrame([(1, [[(-179.0, -80.0), (179.0, 80.0)]])], "feature_id long, coordinates array<array<struct<x:double,y:double>>>")
     n = spatial.tile_index(frame, 10).count()

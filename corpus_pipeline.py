@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each row: its number of tokens and the digests of its ids and of what they decode to; null counts as empty."""
     common.bounded_batches(spark)
-    return byte_bpe.round_trip(docs)
+    return byte_bpe.round_trip(docs, tables=0.5)  # the other stages' idle workers have memory beside it
 
 
 STAGES = [

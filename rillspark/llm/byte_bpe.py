@@ -54,10 +54,11 @@ class Transducer:
     few, so a new state costs a look at its plan and at the pairs of tokens that the plan names.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], tables: float = 1):
         if any(not 0 <= i < 1 << ID_BITS for i in ranks.values()):
             raise ValueError(f"token ids have to be from 0 to {(1 << ID_BITS) - 1}")
         self.ranks = ranks
+        self.max_states, self.max_plans, self.max_pairs = (int(tables * most) for most in (MAX_STATES, MAX_PLANS, MAX_PAIRS))
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.length_of = {i: len(t) for t, i in ranks.items()}
         self.lookahead = max(map(len, ranks), default=1)
@@ -110,7 +111,7 @@ class Transducer:
         They do unless, at some time while both tokens are built up, a merge across the seam outranks the next merges of
         the two parts that touch it.
         """
-        if len(self.pairs) > MAX_PAIRS:
+        if len(self.pairs) > self.max_pairs:
             self.pairs.clear()
         whole, ahead, _ = self._edge(right)
         if left < 0:
@@ -145,7 +146,7 @@ class Transducer:
     def _plan(self, number: int, byte: int) -> tuple[list, list, int]:
         """Of a window and a byte: the tokens that may end, longest first, and the open positions that stay so, both by the place
         in a state where the position's token stands; then the next window."""
-        if len(self.plans) > MAX_PLANS:
+        if len(self.plans) > self.max_plans:
             self.plans.clear()
         window, at = self.windows[number]
         seen = window + bytes((byte,))
@@ -184,7 +185,7 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:  # the rank files' rule: a piece that is a token stays whole
             return [whole]
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > self.max_states:
             self._reset()
         out: list[int] = []
         labels: list[int] = []
@@ -253,10 +254,14 @@ _BEYOND_LATIN = re.compile("[^\\x00-\u024f]")
 
 
 class Encoder:
-    """A task's transducer and what it remembers; both end with the task, since the Python worker that ran it serves other operators."""
+    """A task's transducer and what it remembers; both end with the task, since the Python worker that ran it serves other operators.
 
-    def __init__(self, ranks: bytes, pattern: str):
-        self.fst = Transducer(parse_ranks(ranks))
+    ``tables`` is the share of the bounds of both that they may have: less memory for more time, and the same ids.
+    """
+
+    def __init__(self, ranks: bytes, pattern: str, tables: float = 1):
+        self.fst = Transducer(parse_ranks(ranks), tables)
+        self.memo_rows = int(tables * MEMO_ROWS)
         self.split, self.split_latin = regex.compile(pattern), _latin_classes(pattern)
         self.memo: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -265,7 +270,7 @@ class Encoder:
         if (packed := self.before.get(piece)) is None:
             packed = array("i", self.fst.encode(piece.encode())).tobytes()
         if len(piece) < MEMO_PIECE:
-            if len(self.memo) >= MEMO_ROWS:
+            if len(self.memo) >= self.memo_rows:
                 self.before = dict(self.memo)
                 self.memo.clear()  # whoever looks up in it goes on
             self.memo[piece] = packed
@@ -292,8 +297,7 @@ def encode_texts(encoder: Encoder, texts: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends, values)
 
 
-def token_table(ranks: bytes) -> list[bytes]:
-    known = {i: t for t, i in parse_ranks(ranks).items()}
+def token_table(known: dict[int, bytes]) -> list[bytes]:
     return [known.get(i, b"") for i in range(max(known, default=-1) + 1)]
 
 
@@ -332,18 +336,19 @@ def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
     """``(doc_id, ids, text)`` from ``encode``'s rows; ids that end in the middle of a character give U+FFFD there."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = token_table(ranks)
+        tokens = token_table({i: t for t, i in parse_ranks(ranks).items()})
         for batch in slices(rows):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), decode_ids(tokens, batch.column(1))], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(batches, "doc_id long, ids array<int>, text string")
 
 
-def encode_decode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``decode(encode(docs))`` in one Python worker for each task, where two would hold the vocabulary twice."""
+def encode_decode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", tables: float = 1) -> DataFrame:
+    """``decode(encode(docs))`` in one Python worker for each task, with one copy of the vocabulary."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tokens = Encoder(ranks, pattern), token_table(ranks)
+        encoder = Encoder(ranks, pattern, tables)
+        tokens = token_table(encoder.fst.bytes_of)  # the same objects
         for batch in slices(rows):
             ids = encode_texts(encoder, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, decode_ids(tokens, ids)], ["doc_id", "ids", "text"])
@@ -376,14 +381,14 @@ def public_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[bytes,
         return f.read(), public_tokenizers.PATTERN
 
 
-def round_trip(docs: DataFrame) -> DataFrame:
+def round_trip(docs: DataFrame, tables: float = 1) -> DataFrame:
     """The contract's columns, a row for each row; null counts as empty.
 
     Texts of any length are encoded whole, in time that grows with it, and a row's ids are in memory once; null ids and repeated rows
     are rows like any others, an empty table gives an empty one, and other columns are left out, so their names can't clash.
     """
     ranks, pattern = public_vocabulary()
-    return encode_decode(docs, ranks, pattern).select(*digest_columns())
+    return encode_decode(docs, ranks, pattern, tables=tables).select(*digest_columns())
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,13 +11,12 @@ from __future__ import annotations
 import hashlib
 import math
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chosen_rows, cut, free_name, outside, read_table, scratch, spread_join
+from .common import chosen_rows, cut, free_name, give_back, outside, read_table, scratch, spread_join
 
 #: Distinct digests meant for a bucket: a few MB in the task that builds or searches it.
 BUCKET_DIGESTS = 30_000
@@ -85,13 +84,18 @@ class PerfectHash:
         return cls(levels, [data[i : i + 32] for i in range(at, len(data), 32)])
 
 
-def matrix(digests: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 32)
+def column(rows: pa.Table, name: str, kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays([pa.array([], kind), *rows[name].cast(kind).chunks])
+
+
+def matrix(digests: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(digests.to_pylist()), np.uint8).reshape(-1, 32)
 
 
 @F.arrow_udf(T.BinaryType())
 def digest_of(text: pa.Array) -> pa.Array:
     """SHA-256 of the whole text after lower-casing A-Z; null counts as empty."""
+    give_back()  # what the worker's task before has left
     return pa.array([hashlib.sha256(t.as_py().lower()).digest() for t in text.cast(pa.binary()).fill_null(b"")], pa.binary())
 
 
@@ -112,43 +116,50 @@ def distinct(rows: DataFrame) -> DataFrame:
 def build_index(history: DataFrame, buckets: int) -> DataFrame:
     """Of ``distinct``'s rows: a row for each slot, and in each bucket a row with slot -1 and the perfect hash."""
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        digests = matrix(pdf["digest"])
-        mph = PerfectHash.build(digests)
-        slots = pdf.assign(slot=mph.slots(digests), levels=None)
-        head = pd.DataFrame([{"bucket": pdf["bucket"].iloc[0], "slot": -1, "digest": None, "winner": None, "rows": 0, "levels": mph.dump()}])
-        out = pd.concat([head, slots.sort_values("slot")])[["bucket", "slot", "digest", "winner", "rows", "levels"]]
-        return out.astype({"winner": "Int64"})
-
-    return history.withColumn("bucket", bucket_of(F.col("digest"), buckets)).groupBy("bucket").applyInPandas(build, INDEX)
+    def build(rows: pa.Table) -> pa.Table:
+        digests = column(rows, "digest", pa.binary())
+        words = matrix(digests)
+        mph = PerfectHash.build(words)
+        slots = mph.slots(words)
+        order = np.argsort(slots)
+        after_head = lambda first, values: pa.concat_arrays([pa.array([first], values.type), values.take(pa.array(order))])
+        return pa.table(
+            {
+                "bucket": pa.array(np.full(len(slots) + 1, rows["bucket"][0].as_py(), np.int32)),
+                "slot": after_head(-1, pa.array(slots, pa.int64())),
+                "digest": after_head(None, digests),
+                "winner": after_head(None, column(rows, "winner", pa.int64())),
+                "rows": after_head(0, column(rows, "rows", pa.int64())),
+                "levels": pa.array([mph.dump(), *[None] * len(slots)], pa.binary()),
+            }
+        )
+
+    return history.withColumn("bucket", bucket_of(F.col("digest"), buckets)).groupBy("bucket").applyInArrow(build, INDEX)
 
 
 def lookup(index: DataFrame, fresh: DataFrame, buckets: int) -> DataFrame:
     """``fresh``'s rows ``(digest, winner, rows)`` with ``member`` and the slot's ``old_winner`` and ``old_rows``."""
 
-    def search(slots: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
-        out = probes[["digest", "winner", "rows"]].astype({"winner": "Int64"})
-        out = out.assign(member=False, old_winner=pd.array([pd.NA] * len(out), "Int64"), old_rows=0)
-        if len(slots) and len(probes):
-            slots = slots.sort_values("slot")
-            mph = PerfectHash.load(slots["levels"].iloc[0])
-            held, keys = matrix(slots["digest"].iloc[1:]), matrix(probes["digest"])
+    def search(slots: pa.Table, probes: pa.Table) -> pa.Table:
+        digests = column(probes, "digest", pa.binary())
+        member, old_winner, old_rows = np.zeros(len(digests), bool), pa.nulls(len(digests), pa.int64()), pa.array(np.zeros(len(digests), np.int64))
+        if len(slots) and len(digests):
+            slots = slots.take(pa.array(np.argsort(column(slots, "slot", pa.int64()).to_numpy())))
+            mph = PerfectHash.load(slots["levels"][0].as_py())
+            held, keys = matrix(column(slots, "digest", pa.binary()).slice(1)), matrix(digests)
             at = mph.slots(keys)
             member = (at >= 0) & (held[np.maximum(at, 0)] == keys).all(axis=1)
-            taken = slots.iloc[1:].iloc[np.maximum(at, 0)]
-            out = out.assign(
-                member=member,
-                old_winner=pd.array(taken["winner"].array, "Int64").copy(),
-                old_rows=np.where(member, taken["rows"].to_numpy(), 0),
-            )
-            out.loc[~member, "old_winner"] = pd.NA
-        return out
+            taken = pa.array(at + 1, mask=~member)  # the head stands first
+            old_winner = column(slots, "winner", pa.int64()).take(taken)
+            old_rows = column(slots, "rows", pa.int64()).take(taken).fill_null(0)
+        found = {"digest": digests, "winner": column(probes, "winner", pa.int64()), "rows": column(probes, "rows", pa.int64())}
+        return pa.table(found | {"member": pa.array(member), "old_winner": old_winner, "old_rows": old_rows})
 
     probes = fresh.withColumn("bucket", bucket_of(F.col("digest"), buckets))
     return (
         index.groupBy("bucket")
         .cogroup(probes.groupBy("bucket"))
-        .applyInPandas(search, "digest binary, winner long, rows long, member boolean, old_winner long, old_rows long")
+        .applyInArrow(search, "digest binary, winner long, rows long, member boolean, old_winner long, old_rows long")
     )
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -578,6 +581,23 @@ def test_exact_dedup(spark, odd, clashing, history, spread):
     assert sum(r.kept for r in got) == len(groups)
 
 
+def test_index_and_lookup_keep_ids_exactly(spark):
+    """Ids beyond doubles beside a null one; the workers of the stage do without pandas, whose memory they would keep."""
+    digest = lambda i: hashlib.sha256(str(i).encode()).digest()
+    ids = [None, *[(1 << 53) + i for i in range(1, 40)]]
+    kind = "digest binary, winner long, rows long"
+    index = exact_dedup.build_index(spark.createDataFrame([(bytearray(digest(i)), w, i + 1) for i, w in enumerate(ids)], kind), 2)
+    fresh = spark.createDataFrame([(bytearray(digest(i)), (1 << 53) + i if i % 2 else None, 1) for i in range(20, 60)], kind)
+    found = exact_dedup.lookup(index, fresh, 2)
+    for df in (index, found):
+        assert "Pandas" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {bytes(r.digest): (r.winner, r.rows) for r in index.filter("slot >= 0").collect()} == {digest(i): (w, i + 1) for i, w in enumerate(ids)}
+    got = {bytes(r.digest): (r.winner, r.rows, r.member, r.old_winner, r.old_rows) for r in found.collect()}
+    assert got == {digest(i): ((1 << 53) + i if i % 2 else None, 1, i < 40, ids[i] if i < 40 else None, i + 1 if i < 40 else 0) for i in range(20, 60)}
+    code = "import sys, corpus_pipeline; assert 'pandas' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(exact_dedup.__file__).parents[2], check=True)
+
+
 def test_exact_stage(odd, empty, clashing):
     kept = exact_dedup.keep_one(clashing)
     assert kept.columns == clashing.columns
@@ -976,3 +996,13 @@ def test_no_pages(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     warc.write_archives(spark.createDataFrame([], PAGES), path)
     assert warc.resolve(warc.read_archives(spark, path)).count() == 0
+
+
+def test_half_the_tables_give_the_same_ids(vocabulary, tokenizer, monkeypatch):
+    for name in ("MAX_STATES", "MAX_PAIRS", "MAX_PLANS", "MEMO_ROWS"):
+        monkeypatch.setattr(byte_bpe, name, 60)
+    encoder = byte_bpe.Encoder(*vocabulary, tables=0.5)
+    assert (encoder.memo_rows, encoder.fst.max_states, encoder.fst.max_plans, encoder.fst.max_pairs) == (30, 30, 30, 30)
+    for text in ("one two three " * 40, " ".join(f"w{i}x{i * 7}" for i in range(300))):
+        assert np.frombuffer(encoder.encode(text), "<i4").tolist() == tokenizer.encode_ordinary(text)
+    assert len(encoder.memo) <= 30

@@ -68,8 +68,8 @@ WORD, INDEX = 23, 12
 DIFFER = math.acos(2 * ALIKE[0] / (ALIKE[0] + ALIKE[1])) / math.pi
 #: The share of such pairs that is to have a key in common, and the strangers that a fingerprint may meet in a table on the average.
 RECALL, STRANGERS = 0.99, 8
-#: Dealt tables whose keys are made and compared at a time.
-ROUND = 128
+#: Dealt tables whose keys are made and compared at a time: so many rows of 40 bytes a fingerprint are on disk at once, however many tables there are.
+ROUND = 32
 #: Sets and hashes that a block of them has on the average at most (a set alone can have more), and columns of a matrix at a time.
 SETS, HASHES, COLUMNS = 512, 1 << 20, 2048
 
@@ -537,32 +537,34 @@ def similar_roots(rows: DataFrame, docs: DataFrame, width: int, label: str) -> D
     """
     nodes = cut(rows.select("fp").distinct(), f"{label}-nodes")
     coarse = cut(components(edges_of(nodes, similar(nodes.count()), label), f"{label}-coarse"), f"{label}-stars")
-    members = cut(coarse.select("node").union(coarse.select("root")).distinct(), f"{label}-members")
+    # The smallest of a large component stands in as many places as it takes, so that no task has all its members.
+    parts = coarse.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    nodes_of = coarse.join(parts, "root").select(F.col("node").alias("fp"), "root", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "parts")
+    members = cut(nodes_of.unionByName(parts.select(F.col("root").alias("fp"), "root", F.lit(0).alias("part"), "parts")), f"{label}-members")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "copies")
     every = rows.groupBy("fp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
     chosen = every.groupBy("fp").agg(F.min(order).alias("o"))
-    chosen = cut(chosen.join(members, F.col("fp") == F.col("node"), "left_semi").select("fp", "o.doc_id", "o.text_hash", "o.copies"), f"{label}-chosen")
+    chosen = cut(chosen.join(members, "fp").select("fp", "root", "part", "parts", "o.doc_id", "o.text_hash", "o.copies"), f"{label}-chosen")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("hash", text_hash(F.col("text")))
     same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
     # Only the texts of candidates, and a few others, are shuffled.
     likely = Bloom(chosen, "doc_id", "text_hash").may_have("id", "hash")
-    found = texts.filter(likely).join(chosen.hint("merge"), same).select("fp", "text")
+    found = texts.filter(likely).join(chosen.hint("merge"), same).select("fp", "root", "part", "parts", "text")
     if not chosen.filter("copies > 1").isEmpty():
         found = found.dropDuplicates(["fp"])
-    sets = cut(found.select("fp", on_texts(lambda t: shingle_set(t, width).tobytes(), "binary")("text").alias("of")), f"{label}-sets")
+    made = on_texts(lambda t: shingle_set(t, width).tobytes(), "binary")("text").alias("of")
+    sets = cut(found.select("fp", "root", "part", "parts", made), f"{label}-sets")
 
-    # The smallest of a large component stands in as many places as it takes, so that no task has all its members.
-    parts = coarse.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    centres = parts.join(sets, F.col("root") == F.col("fp")).select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("of").alias("b"))
-    stars = coarse.join(parts, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
-    stars = stars.join(sets.select(F.col("fp").alias("node"), F.col("of").alias("a")), "node").join(centres, ["root", "part"])
+    # A set comes with its component, so that only this join shuffles it to its smallest.
+    centres = sets.filter("fp = root").select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("of").alias("b"))
+    stars = sets.filter("fp <> root").select(F.col("fp").alias("node"), "root", "part", F.col("of").alias("a")).join(centres, ["root", "part"])
     stars = cut(stars.select("node", "root", on_sets()("a", "b").alias("alike")), f"{label}-judged")
     links = stars.filter("alike").select(F.col("node").alias("u"), F.col("root").alias("v"))
     open_roots = cut(stars.filter("not alike").select("root").distinct(), f"{label}-open")
     if not open_roots.isEmpty():
         pool = stars.join(open_roots, "root", "left_semi").select(F.col("root").alias("group"), F.col("node").alias("fp"), F.col("alike").alias("linked"))
         pool = pool.unionByName(open_roots.select(F.col("root").alias("group"), F.col("root").alias("fp"), F.lit(True).alias("linked")))
-        links = links.unionByName(cut(compared_in_blocks(cut(pool.join(sets, "fp"), f"{label}-pool")), f"{label}-forests"))
+        links = links.unionByName(cut(compared_in_blocks(cut(pool.join(sets.select("fp", "of"), "fp"), f"{label}-pool")), f"{label}-forests"))
     roots = components(links, f"{label}-components")
     return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 

@@ -7,7 +7,9 @@ import hashlib
 import io
 import math
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -335,6 +337,70 @@ def test_tables_by_turns_find_the_same(spark, monkeypatch):
     assert len(edges) == 40
 
 
+def test_few_keys_of_a_fingerprint_are_there_at_once(spark, monkeypatch):
+    """However many tables it takes, their keys are shuffled by turns, and a turn's shuffle files go with it."""
+    frame = common.cut(spark.createDataFrame([(bytearray(x.tobytes()),) for x in random_fingerprints(3000)], "fp binary"), "test")
+    turns, after, key_rows, cut = [], [], simhash.key_rows, simhash.cut
+
+    def noted(nodes, scheme):
+        turns.append(len(scheme.dealt))
+        return key_rows(nodes, scheme)
+
+    def looked_at(df, label):
+        before = shuffle_files(spark)
+        out = cut(df, label)
+        after.append(settled(lambda: not shuffle_files(spark) - before))
+        return out
+
+    monkeypatch.setattr(simhash, "key_rows", noted)
+    monkeypatch.setattr(simhash, "cut", looked_at)
+    tables = len(simhash.similar(400_000).dealt)
+    simhash.edges_of(frame, simhash.similar(400_000), "test")
+    assert sum(turns) == tables > 100 and max(turns) <= 32
+    assert after and all(after)
+
+
+def shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {str(x) for folder in manager.localDirs() for x in Path(folder.getPath()).rglob("shuffle_*.data")}
+
+
+def settled(holds):
+    for _ in range(100):
+        if holds():
+            return True
+        time.sleep(0.1)
+    return False
+
+
+def test_a_cut_leaves_no_shuffle_files_and_the_setting_as_it_was(spark, tmp_path):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    for was in ("false", "true"):
+        spark.conf.set(key, was)
+        before = shuffle_files(spark)
+        out = common.cut(spark.range(10_000).repartition(3, "id"), "test")
+        assert settled(lambda: not shuffle_files(spark) - before)  # noqa: B023
+        assert spark.conf.get(key) == was and out.count() == 10_000
+        with pytest.raises(Exception, match="nowhere"):
+            common.cut(spark.range(3).select(F.raise_error(F.lit("nowhere"))), "test")
+        assert spark.conf.get(key) == was
+    spark.conf.unset(key)
+
+
+def test_large_components_are_judged_in_parts(spark, monkeypatch):
+    """The smallest set of a component stands in several places, each with some of the others; odd rows and ties stay as they are."""
+    rng = np.random.default_rng(23)
+    texts = []
+    for group in range(3):
+        base = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+        texts += [" ".join(base[:k] + [f"new{group}x{k}"] + base[k + 1 :]) for k in range(10, 10 + 12)]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, None), (90, "")], "doc_id long, text string")
+    whole = sorted(map(str, simhash.keep_one(docs).collect()))
+    assert len(whole) == 4
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    assert sorted(map(str, simhash.keep_one(docs).collect())) == whole
+
+
 # 10, 4, 3 at small limits
 
 
